@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+from folioflow.llm.exact import op2_exact_dedup
+from folioflow.llm.html import op3_html_extraction
+from folioflow.llm.language import op10_language_id
+from folioflow.llm.packing import op5_packing
 from folioflow.llm.quality import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_html_extraction": op3_html_extraction,
+    "op5_packing": op5_packing,
+    "op10_language_id": op10_language_id,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op2_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents),
+w AS (SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM w
+""",
     "op1_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
