@@ -101,7 +101,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     )
     suspects = judged.filter("suspect")
     ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm")).join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm")).hint("merge").join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
     equal = texts.groupBy("norm").agg(F.count("*").alias("group_size")).select(F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size")
     best = suspects.groupBy("sha").agg(
         F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"), (-F.col("seq")).alias("neg_seq"))).alias("best")
