@@ -7,12 +7,14 @@ from folioflow.llm.html import op3_html_extraction
 from folioflow.llm.language import op10_language_id
 from folioflow.llm.packing import op5_packing
 from folioflow.llm.quality import op1_quality_rules
+from folioflow.llm.suffixes import op7_suffix_array_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op5_packing": op5_packing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op10_language_id": op10_language_id,
 }
 
