@@ -10,6 +10,7 @@ the window; the end of the last window is cut into powers of two, so that nothin
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ BLOCK_IDS = 1 << 22
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+@functools.lru_cache(2)
 def _encoder(path: str | None):
-    """text -> ids of a ``tokenizers`` file. The ranks beside it, where present, give the same ids
+    """One per worker process. text -> ids of a ``tokenizers`` file. The ranks beside it, where present, give the same ids
     about three times as fast; texts that hold a special token's string take the slow way."""
     import base64
     import os
