@@ -5,6 +5,7 @@ from __future__ import annotations
 from folioflow.llm.exact import op2_exact_dedup
 from folioflow.llm.html import op3_html_extraction
 from folioflow.llm.language import op10_language_id
+from folioflow.llm.lempelziv import op9_substring_dedup
 from folioflow.llm.packing import op5_packing
 from folioflow.llm.quality import op1_quality_rules
 from folioflow.llm.suffixes import op7_suffix_array_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op5_packing": op5_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
 
