@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioflow.llm.exact import op2_exact_dedup
 from folioflow.llm.html import op3_html_extraction
+from folioflow.llm.jaccard import op4_ngram_jaccard
 from folioflow.llm.language import op10_language_id
 from folioflow.llm.lempelziv import op9_substring_dedup
 from folioflow.llm.packing import op5_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_html_extraction": op3_html_extraction,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_packing": op5_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_substring_dedup": op9_substring_dedup,
