@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id
 
     proposing = sets.filter("prefix IS NOT NULL")
     shared = suspect_anchors(proposing.select(F.col("rid").alias("doc"), F.col("prefix").alias("text")), anchors, n_buckets, within=False)
-    shared = shared.groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
+    shared = shared.filter("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
     heads = classes.select("class")
     posted = (
         proposing.select("rid", "n", "score", "prefix").hint("merge").join(shared, F.col("rid") == F.col("doc"))

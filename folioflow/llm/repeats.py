@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id: after all others.
 NULL_ID = (1 << 63) - 1
 #: Text bytes handled at once in a task.
-CHUNK = 1 << 23
+CHUNK = 1 << 21
 PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -89,9 +89,10 @@ def buckets_for(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) >> 26)
 
 
-def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], n_buckets: int, within: bool) -> DataFrame:
-    """(doc, hashes): by document, the hashes of its anchors that another document has too, or, with
-    ``within``, that occur twice in it. ``anchors`` gives for a chunk the (hash, row) of every anchor."""
+def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], n_buckets: int, within: bool, hot: int = 0) -> DataFrame:
+    """(doc, hashes, hot): by document, the hashes of its anchors that another document has too, or, with
+    ``within``, that occur twice in it. ``anchors`` gives for a chunk the (hash, row) of every anchor.
+    Rows with ``hot`` hold no document but the (hash, count) of anchors that ``hot`` chunks or more have."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in chunks(batches, "text"):
@@ -117,7 +118,7 @@ def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.
 
     def own(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            return rows[["doc", "hashes"]]
+            return rows[["doc", "hashes"]].assign(hot=None)
         hashes = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
         ids = np.frombuffer(b"".join(rows["ids"]), np.int64)
         order = np.argsort(hashes, kind="stable")
@@ -131,10 +132,16 @@ def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.
             np.maximum.at(most, group, ids)
             twice = least < most
         hit = twice[group]
-        return pd.concat([x[["doc", "hashes"]] for x in _packed(ids[hit], hashes[hit], 1)] or [pd.DataFrame({"doc": [], "hashes": []})])
+        out = [x[["doc", "hashes"]].assign(hot=None) for x in _packed(ids[hit], hashes[hit], 1)]
+        count = np.bincount(group)
+        if hot and count.max() >= hot:
+            frequent = np.flatnonzero(count >= hot)
+            pairs = np.stack([hashes[np.searchsorted(group, frequent)], count[frequent].astype(np.uint64)], 1)
+            out.append(pd.DataFrame({"doc": None, "hashes": None, "hot": [x.tobytes() for x in pairs]}))
+        return pd.concat(out or [pd.DataFrame({"doc": [], "hashes": [], "hot": []})])
 
     sent = docs.mapInPandas(send, "bucket long, doc long, ids binary, hashes binary")
-    return sent.groupBy("bucket").applyInPandas(own, "doc long, hashes binary")
+    return sent.groupBy("bucket").applyInPandas(own, "doc long, hashes binary, hot binary")
 
 
 def _packed(ids: np.ndarray, hashes: np.ndarray, passed: int) -> Iterator[pd.DataFrame]:
@@ -152,7 +159,7 @@ def _packed(ids: np.ndarray, hashes: np.ndarray, passed: int) -> Iterator[pd.Dat
 
 def with_suspects(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     """(doc, th, z, hashes) of the documents that have suspects."""
-    per_doc = suspects.groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
+    per_doc = suspects.filter("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
     return docs.select("doc", "th", compressed("text").alias("z")).hint("merge").join(per_doc, "doc")
 
 

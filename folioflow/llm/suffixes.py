@@ -22,7 +22,7 @@ from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, cove
 from folioflow.llm.shared import written
 
 K = 16
-#: Chunks that hold an anchor before its suffixes are split by 17 more bytes; and how many such anchors are told to all tasks at most.
+#: Chunks of texts that hold an anchor before its suffixes are split by 17 more bytes; and how many such anchors are told to all tasks at most.
 HOT_SUFFIXES = 4096
 HOT_LISTED = 1 << 16
 #: Documents whose anchors give the splitters. This bounds balance, not results.
@@ -89,7 +89,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
         _, _, hashes, row, _, _, _ = _anchors([x.encode() for x in some["text"]], window)
         return hashes, row
 
-    suspects = written(suspect_anchors(docs, anchors, n_buckets, within=False), "suffix-suspects")
+    suspects = written(suspect_anchors(docs, anchors, n_buckets, within=False, hot=hot), "suffix-suspects")
 
     def leads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in chunks(batches, "text"):
@@ -98,11 +98,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
 
     sample = docs.select("text").limit(SPLITTER_DOCS).mapInPandas(leads, "lead long").toPandas()["lead"].to_numpy(np.int64).view(np.uint64)
     splitters = np.unique(np.quantile(np.sort(sample), np.arange(1, n_buckets) / n_buckets, method="nearest")) if len(sample) else np.zeros(0, np.uint64)
-    sent = (
-        suspects.select(F.explode(F.expr("transform(sequence(0, length(hashes) div 8 - 1), i -> substring(hashes, i * 8 + 1, 8))")).alias("h"))
-        .groupBy("h").count().filter(F.col("count") >= hot).orderBy(F.desc("count"), "h").limit(HOT_LISTED).collect()
-    ) if hot else []
-    hot_hashes = np.sort(np.array([int.from_bytes(r["h"], "little") for r in sent], np.uint64))
+    told = suspects.filter("hot IS NOT NULL").orderBy(F.desc(F.reverse(F.substring("hot", 9, 8))), "hot").limit(HOT_LISTED).collect()
+    hot_hashes = np.sort(np.array([int.from_bytes(r["hot"][:8], "little") for r in told], np.uint64))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,29 +149,36 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
         b_order, b_common = _runs(before, reach)
         hits: list[tuple[np.ndarray, int]] = []
         run, back = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+        run[s_order], back[b_order] = np.cumsum(s_common < window), np.cumsum(b_common < reach)
+        whole, least = _first_of((run << 32) | back, left * 64 + right, ids)
+        known = whole[ids[whole] > least]  # all of the context is in a smaller document
+        rest = np.setdiff1d(np.arange(len(ids)), known, assume_unique=True)
         for o in range(reach + 1):  # the window that starts o bytes before the anchor
-            rows = np.flatnonzero((left >= o) & (left - o < n))
+            rows = rest[(left[rest] >= o) & (left[rest] - o < n[rest])]
             if len(rows) < 2:
                 continue
             run[s_order] = np.cumsum(s_common < window - o)
             back[b_order] = np.cumsum(b_common < o) if o else 0
-            both = (run[rows] << 32) | back[rows]
-            by = np.lexsort((ids[rows], both))
-            key_ = both[by]
-            head = np.concatenate([[True], key_[1:] != key_[:-1]])
-            least = ids[rows[by]][np.flatnonzero(head)[np.cumsum(head) - 1]]
-            dup = rows[by][ids[rows[by]] > least]
-            hits.append((dup, o))
-        if not hits:
-            return _intervals(ids[:0], ths[:0], place[:0], n[:0])
-        rows = np.concatenate([d for d, _ in hits])
-        start = np.concatenate([place[d] + left[d] - o for d, o in hits])
-        return _intervals(ids[rows], ths[rows], start, np.ones(len(rows), np.int64))
+            by, least = _first_of((run[rows] << 32) | back[rows], None, ids[rows])
+            hits.append((rows[by][ids[rows[by]] > least], o))
+        rows = np.concatenate([known, *(d for d, _ in hits)])
+        start = np.concatenate([place[known], *(place[d] + left[d] - o for d, o in hits)])
+        return _intervals(ids[rows], ths[rows], start, np.concatenate([n[known], np.ones(len(rows) - len(known), np.int64)]))
 
     sheets = with_suspects(docs, suspects).mapInPandas(contexts, "bucket long, known boolean, numbers binary, body binary")
     return sheets.groupBy("bucket").applyInPandas(compare, "doc long, th long, starts binary")
 
 
+def _first_of(key: np.ndarray, more: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key (and ``more``), then id; and for each place in it the smallest id of its key."""
+    order = np.lexsort((ids, key) if more is None else (ids, more, key))
+    head = np.ones(len(order), bool)
+    head[1:] = key[order][1:] != key[order][:-1]
+    if more is not None:
+        head[1:] |= more[order][1:] != more[order][:-1]
+    return order, ids[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
+
+
 def _sheets(rows: pd.DataFrame, known: bool) -> Iterator[pd.DataFrame]:
     """Rows packed into one blob of numbers and one of bytes per bucket."""
     out = []
