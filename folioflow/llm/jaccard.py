@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.components import components
-from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, expand, mix, numbered, suspect_anchors
+from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, expand, mix, numbered, suspect_anchors, suspects_of
 from folioflow.llm.shared import written
 
 WORDS = 5
@@ -124,7 +124,7 @@ def _postings(rows_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = []
             for r in batch.iloc[at : at + 200].itertuples():
                 prefix = np.frombuffer(r.prefix, np.uint64)
-                place = np.flatnonzero(np.isin(prefix, np.frombuffer(b"".join(r.hashes), np.uint64)))
+                place = np.flatnonzero(np.isin(prefix, np.frombuffer(r.hashes, np.uint64)))
                 out.append(pd.DataFrame({"gram": prefix[place].view(np.int64), "rid": r.rid, "n": r.n, "score": r.score, "short": place < r.n - -(-8 * r.n // 9) + 1}))
             yield pd.concat(out)
 
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id
 
     proposing = sets.filter("prefix IS NOT NULL")
     shared = suspect_anchors(proposing.select(F.col("rid").alias("doc"), F.col("prefix").alias("text")), anchors, n_buckets, within=False)
-    shared = shared.filter("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
+    shared = suspects_of(shared)
     heads = classes.select("class")
     posted = (
         proposing.select("rid", "n", "score", "prefix").hint("merge").join(shared, F.col("rid") == F.col("doc"))

@@ -19,14 +19,15 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, covered, expand, minimisers, mix, numbered, suspect_anchors, wanted, with_suspects
+from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, covered, expand, gathered, minimisers, mix, numbered, packed, suspect_anchors, wanted, with_suspects
 from folioflow.llm.shared import written
 
 K = 8
 KEYS = ("0123456789abcdef", "fedcba9876543210")
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-FOUND = "doc long, th long, starts binary, ref_docs binary, ref_starts binary"
-DEALT = "bucket long, keys binary, who binary, places binary, prints binary, " + FOUND
+FOUND = {"starts": "<i4", "ref_docs": "<i8", "ref_starts": "<i4"}
+DEALT = "bucket long, keys binary, who binary, prints binary, starts binary, ref_docs binary, ref_starts binary"
+REPLIES = "part long, keys binary, who binary, starts binary, ref_docs binary, ref_starts binary"
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,18 +60,13 @@ def _earliest(f1, f2, docs, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return order, head, order[np.flatnonzero(head)[np.cumsum(head) - 1]]
 
 
-def _answers(docs, ths, starts, ref_docs, ref_starts) -> pd.DataFrame:
-    """One row per document, for windows that start earlier elsewhere."""
-    order = np.lexsort((starts, ths, docs))
-    docs, ths, starts, ref_docs, ref_starts = (x[order] for x in (docs, ths, starts, ref_docs, ref_starts))
-    at = np.flatnonzero((np.diff(docs, prepend=docs[:1] ^ 1) != 0) | (np.diff(ths, prepend=ths[:1] ^ 1) != 0))
-    to = np.append(at[1:], len(docs))[: len(at)]
-    cut = lambda x, kind: [x[a:b].astype(kind).tobytes() for a, b in zip(at, to)]
-    return pd.DataFrame({"doc": docs[at], "th": ths[at], "starts": cut(starts, "<i4"), "ref_docs": cut(ref_docs, "<i8"), "ref_starts": cut(ref_starts, "<i4")})
+def _answers(docs, ths, starts, ref_docs, ref_starts, n_parts: int) -> pd.DataFrame:
+    """Packed by document: windows that start earlier elsewhere, and where."""
+    return packed(docs, ths, {"starts": starts.astype("<i4"), "ref_docs": ref_docs.astype("<i8"), "ref_starts": ref_starts.astype("<i4")}, n_parts)
 
 
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """FOUND: by document, the windows whose words also start at an earlier place, and that place."""
+    """(doc, th, starts, ref_docs, ref_starts): by document, the windows whose words also start at an earlier place, and that place."""
     n_buckets = buckets_for(docs)
 
     def anchors(some: pd.DataFrame):
@@ -101,8 +97,8 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                 earlier = (keys[row[here], 0] < keys[row[later], 0]) | (starts[here] < starts[later])
                 later, here = later[earlier], here[earlier]
                 if len(later):
-                    known = _answers(*keys[row[later]].T, starts[later], keys[row[here], 0], starts[here])
-                    yield known.assign(bucket=-1 - known["doc"] % n_buckets, keys=None, who=None, places=None, prints=None)
+                    known = _answers(*keys[row[later]].T, starts[later], keys[row[here], 0], starts[here], n_buckets)
+                    yield known.assign(bucket=-1 - known.pop("part"), prints=None)
                 sent = order[head]
                 bucket = ((f1[sent] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 by = np.lexsort((starts[sent], row[sent], bucket))
@@ -112,26 +108,26 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                 for a, b in zip(at, np.append(at[1:], len(sent))):
                     part = sent[a:b]
                     who, local = np.unique(row[part], return_inverse=True)
-                    out.append((bucket[a], keys[who].tobytes(), local.astype("<u4").tobytes(), starts[part].astype("<i4").tobytes(), np.stack([f1[part], f2[part]]).tobytes(), 0, 0))
-                yield pd.DataFrame(out, columns=["bucket", "keys", "who", "places", "prints", "doc", "th"]).assign(starts=None, ref_docs=None, ref_starts=None)
+                    out.append((bucket[a], keys[who].tobytes(), local.astype("<u4").tobytes(), starts[part].astype("<i4").tobytes(), np.stack([f1[part], f2[part]]).tobytes()))
+                yield pd.DataFrame(out, columns=["bucket", "keys", "who", "starts", "prints"]).assign(ref_docs=None, ref_starts=None)
 
     def block(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            return rows[["doc", "th", "starts", "ref_docs", "ref_starts"]]
+            return rows[["keys", "who", *FOUND]].assign(part=-1 - key[0])
         parts = []
         for r in rows.itertuples():
             who = np.frombuffer(r.keys, np.int64).reshape(-1, 2)[np.frombuffer(r.who, "<u4")]
             f1, f2 = np.frombuffer(r.prints, np.uint64).reshape(2, -1)
-            parts.append((f1, f2, who[:, 0], who[:, 1], np.frombuffer(r.places, "<i4").astype(np.int64)))
+            parts.append((f1, f2, who[:, 0], who[:, 1], np.frombuffer(r.starts, "<i4").astype(np.int64)))
         f1, f2, ids, ths, starts = map(np.concatenate, zip(*parts))
         order, head, ref = _earliest(f1, f2, ids, starts)
         later, here = order[~head], ref[~head]
         earlier = (ids[here] < ids[later]) | (starts[here] < starts[later])
         later, here = later[earlier], here[earlier]
-        return _answers(ids[later], ths[later], starts[later], ids[here], starts[here])
+        return _answers(ids[later], ths[later], starts[later], ids[here], starts[here], n_buckets)
 
     dealt = with_suspects(docs, suspects).mapInPandas(look_up, DEALT)
-    return dealt.groupBy("bucket").applyInPandas(block, FOUND)
+    return gathered(dealt.groupBy("bucket").applyInPandas(block, REPLIES), FOUND)
 
 
 def factors(starts: np.ndarray, ref_docs: np.ndarray, ref_starts: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
@@ -154,18 +150,17 @@ def deduplicated(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
     all others.
     """
     rows = numbered(docs, id_col, text)
-    each = F.collect_list(F.struct("starts", "ref_docs", "ref_starts")).alias("f")
-    found = written(repeated_windows(rows, window), "lz-windows").groupBy("doc", "th").agg(each).select("doc", "th", "f.starts", "f.ref_docs", "f.ref_starts")
+    found = written(repeated_windows(rows, window), "lz-windows")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
                 words = expand(r.z).split()
-                if r.starts is None or not len(r.starts):
+                if r.starts is None:
                     out.append((r.doc, len(words), 0, b" ".join(words), []))
                     continue
-                starts, refs, places = (np.frombuffer(b"".join(x), k).astype(np.int64) for x, k in ((r.starts, "<i4"), (r.ref_docs, "<i8"), (r.ref_starts, "<i4")))
+                starts, refs, places = (np.frombuffer(getattr(r, c), kind).astype(np.int64) for c, kind in FOUND.items())
                 spans = factors(starts, refs, places, window)
                 gone = covered(np.unique(starts), window, len(words))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])

@@ -90,9 +90,9 @@ def buckets_for(docs: DataFrame) -> int:
 
 
 def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], n_buckets: int, within: bool, hot: int = 0) -> DataFrame:
-    """(doc, hashes, hot): by document, the hashes of its anchors that another document has too, or, with
+    """Replies for ``suspects_of``: by document, the hashes of its anchors that another document has too, or, with
     ``within``, that occur twice in it. ``anchors`` gives for a chunk the (hash, row) of every anchor.
-    Rows with ``hot`` hold no document but the (hash, count) of anchors that ``hot`` chunks or more have."""
+    Rows with ``hot`` hold no documents but the (hash, count) of anchors that ``hot`` chunks or more have."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in chunks(batches, "text"):
@@ -109,18 +109,19 @@ def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.
             if within:
                 shared |= np.bincount(group) > 1
             local = new & shared[group]
-            yield from _packed(ids[local], hashes[local], passed=n_buckets)
+            known = packed(ids[local], np.zeros(local.sum(), np.int64), {"hashes": hashes[local]}, n_buckets)
+            yield known.assign(bucket=-1 - known.pop("part"))
             first = np.flatnonzero(new_hash)
             bucket = ((hashes[first] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(at, np.append(at[1:], len(first))):
-                yield pd.DataFrame({"bucket": [bucket[a]], "doc": [0], "ids": [ids[first[a:b]].tobytes()], "hashes": [hashes[first[a:b]].tobytes()]})
+                yield pd.DataFrame({"bucket": [bucket[a]], "keys": [ids[first[a:b]].tobytes()], "who": None, "hashes": [hashes[first[a:b]].tobytes()]})
 
     def own(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            return rows[["doc", "hashes"]].assign(hot=None)
+            return rows[["keys", "who", "hashes"]].assign(part=-1 - key[0], hot=None)
         hashes = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
-        ids = np.frombuffer(b"".join(rows["ids"]), np.int64)
+        ids = np.frombuffer(b"".join(rows["keys"]), np.int64)
         order = np.argsort(hashes, kind="stable")
         hashes, ids = hashes[order], ids[order]
         group = np.cumsum(np.diff(hashes, prepend=hashes[0] ^ np.uint64(1)) != 0) - 1
@@ -132,45 +133,77 @@ def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.
             np.maximum.at(most, group, ids)
             twice = least < most
         hit = twice[group]
-        out = [x[["doc", "hashes"]].assign(hot=None) for x in _packed(ids[hit], hashes[hit], 1)]
+        out = [packed(ids[hit], np.zeros(hit.sum(), np.int64), {"hashes": hashes[hit]}, n_buckets).assign(hot=None)]
         count = np.bincount(group)
         if hot and count.max() >= hot:
             frequent = np.flatnonzero(count >= hot)
             pairs = np.stack([hashes[np.searchsorted(group, frequent)], count[frequent].astype(np.uint64)], 1)
-            out.append(pd.DataFrame({"doc": None, "hashes": None, "hot": [x.tobytes() for x in pairs]}))
-        return pd.concat(out or [pd.DataFrame({"doc": [], "hashes": [], "hot": []})])
-
-    sent = docs.mapInPandas(send, "bucket long, doc long, ids binary, hashes binary")
-    return sent.groupBy("bucket").applyInPandas(own, "doc long, hashes binary, hot binary")
-
-
-def _packed(ids: np.ndarray, hashes: np.ndarray, passed: int) -> Iterator[pd.DataFrame]:
-    """One row per document, in buckets below 0 that are passed on."""
-    if not len(ids):
-        return
-    order = np.argsort(ids, kind="stable")
-    ids, hashes = ids[order], hashes[order]
-    at = np.flatnonzero(np.diff(ids, prepend=ids[0] ^ 1))
-    yield pd.DataFrame({
-        "bucket": -1 - ids[at] % passed, "doc": ids[at], "ids": None,
-        "hashes": [hashes[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(ids)))],
-    })
-
-
-def with_suspects(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+            out.append(pd.DataFrame({"part": None, "keys": None, "who": None, "hashes": None, "hot": [x.tobytes() for x in pairs]}))
+        return pd.concat(out)
+
+    sent = docs.mapInPandas(send, "bucket long, keys binary, who binary, hashes binary")
+    return sent.groupBy("bucket").applyInPandas(own, "part long, keys binary, who binary, hashes binary, hot binary")
+
+
+def packed(docs: np.ndarray, ths: np.ndarray, columns: dict[str, np.ndarray], n_parts: int) -> pd.DataFrame:
+    """One row for each part of the documents (id modulo n_parts) with what belongs to them: keys, the
+    distinct (doc, th); who, for each entry its key; and the entries' values."""
+    part = docs % n_parts
+    order = np.lexsort((ths, docs, part))
+    docs, ths, part = docs[order], ths[order], part[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (ths[1:] != ths[:-1])
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    out = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(docs))):
+        first = a + np.flatnonzero(new[a:b])
+        who = (np.cumsum(new[a:b]) - 1).astype("<u4")
+        out.append((part[a], np.stack([docs[first], ths[first]], 1).tobytes(), who.tobytes(), *(x[order[a:b]].tobytes() for x in columns.values())))
+    return pd.DataFrame(out, columns=["part", "keys", "who", *columns])
+
+
+def gathered(replies: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(doc, th, columns as binary): one row per document, from the rows of ``packed``. ``columns``: NumPy types."""
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, who, values, n = [], [], {c: [] for c in columns}, 0
+        for r in rows.to_dict("records"):
+            keys.append(np.frombuffer(r["keys"], np.int64).reshape(-1, 2))
+            who.append(np.frombuffer(r["who"], "<u4").astype(np.int64) + n)
+            n += len(keys[-1])
+            for c, kind in columns.items():
+                values[c].append(np.frombuffer(r[c], kind))
+        unique, inverse = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+        doc = inverse.reshape(-1)[np.concatenate(who)]
+        order = np.argsort(doc, kind="stable")
+        edges = np.searchsorted(doc[order], np.arange(len(unique) + 1))
+        out = {"doc": unique[:, 0], "th": unique[:, 1]}
+        for c in columns:
+            x = np.concatenate(values[c])[order]
+            out[c] = [x[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        return pd.DataFrame(out)
+
+    return replies.groupBy("part").applyInPandas(gather, "doc long, th long, " + ", ".join(f"{c} binary" for c in columns))
+
+
+def suspects_of(replies: DataFrame) -> DataFrame:
+    """(doc, hashes): one row per document that has suspect anchors."""
+    return gathered(replies.filter("part IS NOT NULL"), {"hashes": "u8"}).drop("th")
+
+
+def with_suspects(docs: DataFrame, replies: DataFrame) -> DataFrame:
     """(doc, th, z, hashes) of the documents that have suspects."""
-    per_doc = suspects.filter("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
-    return docs.select("doc", "th", compressed("text").alias("z")).hint("merge").join(per_doc, "doc")
+    return docs.select("doc", "th", compressed("text").alias("z")).hint("merge").join(suspects_of(replies), "doc")
 
 
 def wanted(rows: pd.DataFrame, hashes: np.ndarray, row_of: np.ndarray) -> np.ndarray:
     """Which anchors (hash, row) of a chunk are among their row's suspect hashes."""
     out = np.zeros(len(hashes), bool)
     edges = np.searchsorted(row_of, np.arange(len(rows) + 1))
-    for i, lists in enumerate(rows["hashes"]):
+    for i, own in enumerate(rows["hashes"]):
         a, b = edges[i], edges[i + 1]
         if b > a:
-            out[a:b] = np.isin(hashes[a:b], np.frombuffer(b"".join(lists), np.uint64))
+            out[a:b] = np.isin(hashes[a:b], np.frombuffer(own, np.uint64))
     return out
 
 

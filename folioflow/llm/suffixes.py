@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, covered, expand, minimisers, mix, numbered, suspect_anchors, wanted, with_suspects
+from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, covered, expand, gathered, minimisers, mix, numbered, packed, suspect_anchors, wanted, with_suspects
 from folioflow.llm.shared import written
 
 K = 16
@@ -81,7 +81,7 @@ def _runs(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES) -> DataFrame:
-    """(doc, th, starts): window starts whose bytes also start in a document with a smaller id."""
+    """(doc, th, starts, counts): runs of window starts whose bytes also start in a document with a smaller id."""
     spark = docs.sparkSession
     n_buckets = buckets_for(docs)
 
@@ -135,7 +135,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
         parts = [_unsheet(r) for r in sheets.itertuples()]
         ids, ths, place, left, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
         if key[0] < 0:
-            return _intervals(ids, ths, place, n)
+            return _intervals(ids, ths, place, n, n_buckets)
         body = np.frombuffer(b"".join(p[5] for p in parts) + b"\0" * 128, np.uint8)
         size = n + window - 1
         at = np.cumsum(size) - size
@@ -163,10 +163,10 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
             hits.append((rows[by][ids[rows[by]] > least], o))
         rows = np.concatenate([known, *(d for d, _ in hits)])
         start = np.concatenate([place[known], *(place[d] + left[d] - o for d, o in hits)])
-        return _intervals(ids[rows], ths[rows], start, np.concatenate([n[known], np.ones(len(rows) - len(known), np.int64)]))
+        return _intervals(ids[rows], ths[rows], start, np.concatenate([n[known], np.ones(len(rows) - len(known), np.int64)]), n_buckets)
 
     sheets = with_suspects(docs, suspects).mapInPandas(contexts, "bucket long, known boolean, numbers binary, body binary")
-    return sheets.groupBy("bucket").applyInPandas(compare, "doc long, th long, starts binary")
+    return gathered(sheets.groupBy("bucket").applyInPandas(compare, "part long, keys binary, who binary, starts binary, counts binary"), {"starts": "<i4", "counts": "<i4"})
 
 
 def _first_of(key: np.ndarray, more: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,26 +194,20 @@ def _unsheet(r) -> tuple:
     return ids, ths, place, left, n, r.body
 
 
-def _intervals(ids: np.ndarray, ths: np.ndarray, start: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    """One row per document: (start, count) pairs as int32, neighbours joined."""
-    if not len(ids):
-        return pd.DataFrame({"doc": np.zeros(0, np.int64), "th": np.zeros(0, np.int64), "starts": pd.Series([], dtype=object)})
+def _intervals(ids: np.ndarray, ths: np.ndarray, start: np.ndarray, n: np.ndarray, n_parts: int) -> pd.DataFrame:
+    """Packed by document: runs (start, count) of window starts, neighbours joined."""
     order = np.lexsort((start, ths, ids))
     ids, ths, start, end = ids[order], ths[order], start[order], (start + n)[order]
-    doc_cut = (np.diff(ids, prepend=ids[0] ^ 1) != 0) | (np.diff(ths, prepend=ths[0] ^ 1) != 0)
-    cut = doc_cut | np.concatenate([[True], start[1:] > end[:-1]])
+    cut = np.ones(len(ids), bool)
+    cut[1:] = (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1]) | (start[1:] > end[:-1])
     first = np.flatnonzero(cut)
-    pairs = np.stack([start[first], np.maximum.reduceat(end, first) - start[first]], 1).astype("<i4")
-    at = np.flatnonzero(doc_cut[first])
-    return pd.DataFrame({
-        "doc": ids[first[at]], "th": ths[first[at]],
-        "starts": [pairs[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(first)))],
-    })
+    size = np.maximum.reduceat(end, first) - start[first] if len(first) else first
+    return packed(ids[first], ths[first], {"starts": start[first].astype("<i4"), "counts": size.astype("<i4")}, n_parts)
 
 
-def starts_of(blobs) -> np.ndarray:
-    pairs = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2).astype(np.int64)
-    return np.repeat(pairs[:, 0] - np.cumsum(pairs[:, 1]) + pairs[:, 1], pairs[:, 1]) + np.arange(pairs[:, 1].sum())
+def starts_of(starts: bytes, counts: bytes) -> np.ndarray:
+    start, n = (np.frombuffer(x, "<i4").astype(np.int64) for x in (starts, counts))
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def deduplicated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text: str = "text", hot: int = HOT_SUFFIXES) -> DataFrame:
@@ -223,22 +217,22 @@ def deduplicated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     Null texts are empty; rows with one id are never compared with each other; a null id is after all.
     """
     rows = numbered(docs, id_col, text)
-    found = written(repeated_windows(rows, window, hot), "suffix-windows").groupBy("doc", "th").agg(F.collect_list("starts").alias("starts"))
+    found = written(repeated_windows(rows, window, hot), "suffix-windows")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, z, starts in zip(batch["doc"], batch["z"], batch["starts"]):
+            for doc, z, starts, counts in zip(batch["doc"], batch["z"], batch["starts"], batch["counts"]):
                 data = expand(z)
-                if starts is None or not len(starts):
+                if starts is None:
                     out.append((doc, len(data), 0, 0, data))
                     continue
-                gone = covered(starts_of(starts), window, len(data))
+                gone = covered(starts_of(starts, counts), window, len(data))
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 out.append((doc, len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
             yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    texts = rows.select("doc", "th", compressed("text").alias("z")).hint("merge").join(found, ["doc", "th"], "left").select("doc", "z", "starts")
+    texts = rows.select("doc", "th", compressed("text").alias("z")).hint("merge").join(found, ["doc", "th"], "left").drop("th")
     return texts.mapInPandas(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary").select(
         F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept"
     )
