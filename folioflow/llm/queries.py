@@ -7,6 +7,7 @@ from folioflow.llm.html import op3_html_extraction
 from folioflow.llm.jaccard import op4_ngram_jaccard
 from folioflow.llm.language import op10_language_id
 from folioflow.llm.lempelziv import op9_substring_dedup
+from folioflow.llm.merges import op6_sentencepiece
 from folioflow.llm.packing import op5_packing
 from folioflow.llm.pii import op8_pii
 from folioflow.llm.quality import op1_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_packing": op5_packing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_pii": op8_pii,
     "op9_substring_dedup": op9_substring_dedup,
