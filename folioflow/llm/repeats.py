@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id: after all others.
 NULL_ID = (1 << 63) - 1
 #: Text bytes handled at once in a task.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -84,9 +84,9 @@ def minimisers(hashes: np.ndarray, ends: np.ndarray, k: int, window: int) -> tup
 
 
 def buckets_for(docs: DataFrame) -> int:
-    """Exchange buckets: as many as shuffle partitions, more where a bucket would hold over 64 MB of text."""
+    """Exchange buckets: as many as shuffle partitions, more where a bucket would hold over 8 MB of text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) >> 26)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) >> 23)
 
 
 def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], n_buckets: int, within: bool, hot: int = 0) -> DataFrame:
