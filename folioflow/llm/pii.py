@@ -48,7 +48,7 @@ def spans_of(text: str, pattern: str, kind: str, strict: bool) -> str:
 
 def luhn(digits: str) -> str:
     """SQL: whether a string of digits passes the Luhn test."""
-    double = f"CAST(substring({digits}, length({digits}) - i, 1) AS int)"
+    double = f"try_cast(substring({digits}, length({digits}) - i, 1) AS int)"
     return f"""(aggregate(sequence(0, length({digits}) - 1), 0, (a, i) -> a + CASE WHEN i % 2 = 0 THEN {double}
         ELSE 2 * {double} - CASE WHEN {double} > 4 THEN 9 ELSE 0 END END) % 10 = 0)"""
 
@@ -163,7 +163,8 @@ def fitted(found: DataFrame, sample: int = SAMPLE) -> str:
     after a cue word and card numbers that pass the Luhn test; the other loose spans are negatives. The sample is the ``sample`` candidates with the smallest hash.
     """
     plain = "named_struct('start', x.start, 'end', x.end, 'body', CASE x.kind WHEN 'phone' THEN trim(LEADING '+' FROM x.body) WHEN 'email' THEN replace(x.body, '@', ' at ') ELSE x.body END, 'kind', x.kind, 'strict', x.strict, 'before', x.before)"
-    spans = found.filter("size(base) > 0 OR size(loose) > 0").select(F.explode(F.expr(f"concat(transform(base_context, x -> {plain}), loose)")).alias("x"))
+    # the outer form: for the plain one Spark would search every text a second time, in a filter
+    spans = found.select(F.explode_outer(F.expr(f"concat(transform(base_context, x -> {plain}), loose)")).alias("x")).filter("x IS NOT NULL")
     rows = spans.select("x.kind", *(F.expr(e).alias(f) for f, e in FEATURES.items()), F.expr(f"x.strict OR {FEATURES['cue']} = 1 OR {FEATURES['luhn']} = 1").alias("label"), F.xxhash64("x").alias("h"))
     names = [f"({e})" for e in FEATURES.values()] + [f"CAST(x.kind = '{k}' AS double)" for k in KINDS]
     trees, limits = _fit(rows.orderBy("h", *FEATURES).limit(sample).collect(), list(FEATURES))
