@@ -9,7 +9,8 @@ overlap of a pair is counted in each of them by itself, and Spark sums the fragm
 Components need no more than a spanning set of links. So that a large group of near copies does not yield
 all of its pairs, prefix n-grams first propose one pair per document, with the most central document that
 shares them; documents in one component then need no pair any more. What is left between components, and
-only that, is joined pair by pair. No bound on candidates: every pair that could link two components is counted.
+only that, is joined pair by pair, but for pairs that the triangle inequality over a component's pivot rules out. No
+bound on candidates: every pair that could link two components is counted.
 """
 
 from __future__ import annotations
@@ -32,12 +33,16 @@ WORDS = 5
 #: broadcast to 2 MB; any order gives the same links, this one keeps frequent n-grams out of prefixes.
 FREQUENT = 1 << 17
 FREQUENT_DOCS = 8
+#: Text bytes a task looks at together.
+CHUNK = 1 << 21
 #: Fragments of the global order.
 FRAGMENTS = 8
-#: Rounds with one central document per n-gram, at most, before pairs between components are joined.
-ROUNDS = 6
+#: Rounds with one central document per n-gram, before pairs between components are joined.
+ROUNDS = 2
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-SETS = "rid long, doc long, th long, n long, s1 long, s2 long, score long, prefix binary"
+#: Bits of a set's parity map: each n-gram flips one. Two sets differ in at least as many n-grams as their maps in bits.
+PARITY = [f"b{i}" for i in range(8)]
+SETS = "rid long, doc long, th long, n long, s1 long, s2 long, score long, prefix binary, " + ", ".join(f"{b} long" for b in PARITY)
 
 
 def ngram_sets(texts: list[bytes], n_words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -58,17 +63,16 @@ def ngram_sets(texts: list[bytes], n_words: int = WORDS) -> tuple[np.ndarray, np
     grams = mix(grams)
     use = (left >= n_words) | ((size[row] < n_words) & (left == size[row]))
     row, grams = row[use], grams[use]
-    order = np.lexsort((grams, row))
-    row, grams = row[order], grams[order]
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])])[: len(row)]
-    return row[new], grams[new]
+    edges = np.searchsorted(row, np.arange(len(lists) + 1))
+    sets = [np.unique(grams[a:b]) for a, b in zip(edges, edges[1:])]
+    return np.repeat(np.arange(len(lists)), [len(x) for x in sets]), np.concatenate(sets) if sets else grams
 
 
 def frequent(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams, by hash, with their counts. A task reports those it saw twice."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in chunks(batches, "text"):
+        for some in chunks(batches, "text", CHUNK):
             grams, n = np.unique(ngram_sets([x.encode() for x in some["text"]], n_words)[1], return_counts=True)
             yield pd.DataFrame({"gram": grams[n > 1].view(np.int64), "n": n[n > 1]})
 
@@ -91,13 +95,15 @@ def _sets(table, n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams_by_count, counts = table.value
         base, done, seen = TaskContext.get().partitionId() << 33, 0, set()
-        for some in chunks(batches, "text"):
+        for some in chunks(batches, "text", CHUNK):
             row, grams = ngram_sets([x.encode() for x in some["text"]], n_words)
             at = np.minimum(np.searchsorted(grams_by_count, grams), max(0, len(counts) - 1))
             weight = np.where(grams_by_count[at] == grams, counts[at], 0) if len(counts) else np.zeros(len(grams), np.int64)
-            order = np.lexsort((grams, weight, row))
-            grams, weight = grams[order], weight[order]
             edges = np.searchsorted(row, np.arange(len(some) + 1))
+            for a, b in zip(edges, edges[1:]):
+                if weight[a:b].any():
+                    order = a + np.argsort(weight[a:b], kind="stable")
+                    grams[a:b], weight[a:b] = grams[order], weight[order]
             n = np.diff(edges)
             sums = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[edges])
             s1, s2 = sums(mix(grams)).view(np.int64), sums(mix(grams ^ FACTORS[1])).view(np.int64)
@@ -109,9 +115,12 @@ def _sets(table, n_words: int):
                     seen.add(key)
                 prefix.append(grams[a : a + k - -(-4 * k // 5) + 1].tobytes() if fresh else None)
                 score.append(int(weight[a]) if k else 0)
+            width = 64 * len(PARITY)
+            parity = np.bincount(row * width + (grams % np.uint64(width)).astype(np.int64), minlength=len(some) * width).reshape(len(some), width) & 1
+            maps = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
             yield pd.DataFrame({
                 "rid": base + done + np.arange(len(some)), "doc": some["doc"].to_numpy(np.int64), "th": some["th"].to_numpy(np.int64),
-                "n": n, "s1": s1, "s2": s2, "score": score, "prefix": prefix,
+                "n": n, "s1": s1, "s2": s2, "score": score, "prefix": prefix, **{b: maps[:, i] for i, b in enumerate(PARITY)},
             })
             done += len(some)
 
@@ -125,12 +134,12 @@ def _postings(rows_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in batch.iloc[at : at + 200].itertuples():
                 prefix = np.frombuffer(r.prefix, np.uint64)
                 place = np.flatnonzero(np.isin(prefix, np.frombuffer(r.hashes, np.uint64)))
-                out.append(pd.DataFrame({"gram": prefix[place].view(np.int64), "rid": r.rid, "n": r.n, "score": r.score, "short": place < r.n - -(-8 * r.n // 9) + 1}))
+                out.append(pd.DataFrame({"gram": prefix[place].view(np.int64), "rid": r.rid, "n": r.n, "score": r.score, "place": place, "short": place < r.n - -(-8 * r.n // 9) + 1}))
             yield pd.concat(out)
 
 
-def _partial(n_words: int, fragments: int):
-    """Overlap by fragment of each pair; a pair is left as soon as its bound is out of reach."""
+def _partial(n_words: int, fragments: int, whole: bool):
+    """Overlap by fragment of each pair; unless ``whole``, a pair is left as soon as its bound is out of reach."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,25 +155,82 @@ def _partial(n_words: int, fragments: int):
                 out = []
                 for i, (x, y) in enumerate(zip(some["x"], some["y"])):
                     p, q = codes[i], codes[i + len(some)]
-                    size, left_x, left_y, have = len(sets[p]) + len(sets[q]), len(sets[p]), len(sets[q]), 0
+                    size, left_x, left_y, have, parts = len(sets[p]) + len(sets[q]), len(sets[p]), len(sets[q]), 0, []
                     for f in range(fragments):
                         a, b = sets[p][ends[p][f] : ends[p][f + 1]], sets[q][ends[q][f] : ends[q][f + 1]]
                         common = len(np.intersect1d(a, b, assume_unique=True))
                         have, left_x, left_y = have + common, left_x - len(a), left_y - len(b)
-                        if 9 * (have + min(left_x, left_y)) < 4 * size:
+                        if not whole and 9 * (have + min(left_x, left_y)) < 4 * size:
                             break
-                        out.append((x, y, f, common, size))
+                        parts.append((x, y, f, common, size))
+                    else:
+                        out += parts
                 yield pd.DataFrame(out, columns=["x", "y", "f", "common", "size"])
 
     return run
 
 
-def links(pairs: DataFrame, texts: DataFrame, n_words: int = WORDS, fragments: int = FRAGMENTS) -> DataFrame:
-    """Of ``pairs`` (x, y), those with 100 * intersection >= 80 * union. ``texts``: rid, z."""
+def overlaps(pairs: DataFrame, texts: DataFrame, n_words: int = WORDS, fragments: int = FRAGMENTS, whole: bool = False) -> DataFrame:
+    """(x, y, common, size) of ``pairs`` (x, y): shared n-grams and the sum of both set sizes. Unless ``whole``,
+    too low a count may stand for pairs that do not link. ``texts``: rid, z."""
     side = lambda c: texts.select(F.col("rid").alias(c), F.col("z").alias(f"z{c}"))
-    both = pairs.hint("merge").join(side("x"), "x").hint("merge").join(side("y"), "y")
-    parts = both.mapInPandas(_partial(n_words, fragments), "x long, y long, f int, common long, size long").distinct()
-    return parts.groupBy("x", "y").agg(F.sum("common").alias("common"), F.max("size").alias("size")).filter("9 * common >= 4 * size").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    both = pairs.select("x", "y").hint("merge").join(side("x"), "x").hint("merge").join(side("y"), "y")
+    parts = both.mapInPandas(_partial(n_words, fragments, whole), "x long, y long, f int, common long, size long").distinct()
+    return parts.groupBy("x", "y").agg(F.sum("common").alias("common"), F.max("size").alias("size"))
+
+
+def closer(pairs: DataFrame, maps: DataFrame, limit: str) -> DataFrame:
+    """``pairs`` (x, y, …) whose parity maps do not show that ``limit``, SQL on ``differ`` (n-grams in one set alone, at
+    least) and ``size`` (of both sets), fails."""
+    both = pairs.alias("p").join(maps.alias("i"), F.expr("p.x = i.rid")).join(maps.alias("j"), F.expr("p.y = j.rid"))
+    differ = " + ".join(f"bit_count(i.{b} ^ j.{b})" for b in PARITY)
+    return both.select("p.*", F.expr(f"{differ}").alias("differ"), F.expr("i.n + j.n").alias("size")).filter(limit).drop("differ", "size")
+
+
+LINKS = "9 * common >= 4 * size"  # 100 * intersection >= 80 * union
+DISTANCE = "1 - common / (size - common)"
+REACH = 0.2 + 1e-9
+
+
+def may_link(x: str, y: str) -> str:
+    """SQL on two postings of one n-gram: sizes, places and parity maps leave room for a link, and the n-gram is in the prefix that the
+    shorter set needs."""
+    return f"""5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n)
+        AND CASE WHEN {x}.n > {y}.n OR {x}.n = {y}.n AND {x}.rid > {y}.rid THEN {y}.short ELSE {x}.short END
+        AND 9 * ({" + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in PARITY)}) <= {x}.n + {y}.n
+        AND 9 * (least({x}.place, {y}.place) + 1 + least({x}.n - {x}.place, {y}.n - {y}.place) - 1) >= 4 * ({x}.n + {y}.n)"""
+
+
+def between_components(at: DataFrame, grams: DataFrame, roots: DataFrame, texts: DataFrame, maps: DataFrame, n_words: int) -> DataFrame:
+    """(x, y): every pair of different components that could link. ``at``: postings with their roots;
+    ``maps``: parity maps of the sets.
+
+    A component with several members has a pivot. Jaccard distances obey the triangle inequality, so a document
+    can link to a member only if their distances to the pivot differ by 0.2 at most.
+    """
+    side = written(at.join(grams, "gram", "left_semi"), "jaccard-side")
+    centres = at.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.max(F.struct("score", "rid"))["rid"].alias("pivot"))
+    centres = written(centres, "jaccard-centres")
+    members = roots.join(centres, "root").filter("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"), "root")
+    inner = overlaps(members, texts, n_words, whole=True).select(F.col("x").alias("node"), F.expr(DISTANCE).alias("d"))
+    inner = roots.join(inner, "node", "left").select("node", "root", F.coalesce("d", F.lit(0.0)).alias("d"))  # a pivot: 0
+    inner = written(inner, "jaccard-inner")
+    radius = inner.groupBy("root").agg(F.max("d").alias("radius"))
+    held = side.join(centres, "root").select("gram", F.col("root").alias("there"), "pivot").distinct()
+    asking = side.join(held, "gram").filter("root <> there").select(F.col("rid").alias("x"), F.col("pivot").alias("y"), "there").distinct()
+    asking = asking.join(radius.select("root", "radius"), F.col("there") == F.col("root")).drop("root")
+    asking = written(closer(asking, maps, f"2.0 * differ / (size + differ) <= radius + {REACH}"), "jaccard-asking")
+    outer = overlaps(asking, texts, n_words, whole=True).select("x", "y", F.expr(DISTANCE).alias("far"))
+    near = asking.join(outer, ["x", "y"]).filter(F.col("far") <= F.col("radius") + REACH).select(F.col("x").alias("rid"), "there", "far")
+    near = written(near, "jaccard-near")
+    side = written(side.join(maps.drop("n"), "rid"), "jaccard-mapped")
+    o = side.join(near, "rid").alias("o")
+    m = side.join(inner.select(F.col("node").alias("rid"), "d"), "rid").alias("m")
+    reached = o.join(m, F.expr(f"o.gram = m.gram AND o.there = m.root AND abs(o.far - m.d) <= {REACH} AND {may_link('o', 'm')}"))
+    single = side.join(roots.select(F.col("node").alias("rid")), "rid", "left_anti")
+    alone = single.alias("o").join(single.alias("m"), F.expr(f"o.gram = m.gram AND o.rid > m.rid AND {may_link('o', 'm')}"))
+    pair = (F.greatest("o.rid", "m.rid").alias("x"), F.least("o.rid", "m.rid").alias("y"))
+    return reached.select(*pair).union(alone.select(*pair)).distinct()
 
 
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -190,35 +256,27 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id
     heads = classes.select("class")
     posted = (
         proposing.select("rid", "n", "score", "prefix").hint("merge").join(shared, F.col("rid") == F.col("doc"))
-        .mapInPandas(_postings, "gram long, rid long, n long, score long, short boolean")
+        .mapInPandas(_postings, "gram long, rid long, n long, score long, place long, short boolean")
         .join(heads, F.col("rid") == F.col("class"), "left_semi")
     )
     posted = written(posted, "jaccard-postings")
     wanted = posted.select("rid").distinct().join(sets.select("rid", "doc", "th"), "rid")
     texts = written(rows.select("doc", "th", compressed("text").alias("z")).hint("merge").join(wanted, ["doc", "th"]).select("rid", "z"), "jaccard-texts")
 
+    maps = sets.filter("prefix IS NOT NULL").select("rid", "n", *PARITY)
     edges, tried, roots = None, None, None
     for k in range(rounds + 1):
         if roots is None:
             at = posted.withColumn("root", F.col("rid"))
         else:
             at = posted.join(roots, F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rid")).drop("node")
-        split = at.groupBy("gram").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.count_if("short").alias("k_short"),
-            F.max(F.struct("score", (F.xxhash64(F.lit(k), "rid") if k else -F.col("rid")).alias("turn"), "rid", "n", "root")).alias("hub"),
-        ).filter("lo < hi")
+        turn = F.xxhash64(F.lit(k), "rid") if k else -F.col("rid")
+        split = at.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", turn.alias("turn"), "rid", "n", "root")).alias("hub")).filter("lo < hi")
         split = written(split, "jaccard-split")
-        size = split.agg(F.sum(F.col("k") * F.col("k_short")).alias("s"), F.sum("k").alias("k")).first()
-        if not size["k"]:
+        if not split.limit(1).count():
             break
-        last = k > 0 and (k == rounds or size["s"] <= 8 * size["k"])
-        if last:
-            side = at.join(split.select("gram"), "gram").select("gram", "rid", "n", "root", "short")
-            x, y = side.select("gram", *(F.col(c).alias(f"{c}_x") for c in ("rid", "n", "root"))), side.filter("short").select("gram", *(F.col(c).alias(f"{c}_y") for c in ("rid", "n", "root")))
-            pairs = (
-                x.join(y, "gram").filter("root_x <> root_y AND (n_x > n_y OR n_x = n_y AND rid_x > rid_y) AND 5 * n_y >= 4 * n_x")
-                .select(F.col("rid_x").alias("x"), F.col("rid_y").alias("y")).distinct()
-            )
+        if k == rounds:
+            pairs = between_components(at, split.select("gram"), roots, texts, maps, n_words)
         else:
             near = (
                 at.join(split.select("gram", F.col("hub.rid").alias("y"), F.col("hub.n").alias("n_y"), F.col("hub.root").alias("root_y"), F.col("hub.score").alias("s_y")), "gram")
@@ -227,14 +285,14 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id
             )
             pairs = near.groupBy("x").agg(F.max(F.struct("common", "s_y", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
         if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        found = written(links(pairs, texts, n_words), "jaccard-links")
+            pairs = pairs.join(tried, F.expr("greatest(x, y) = a AND least(x, y) = b"), "left_anti")
+        pairs = written(closer(pairs, maps, "9 * differ <= size"), "jaccard-pairs")
+        found = overlaps(pairs, texts, n_words).filter(LINKS).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        found = written(found, "jaccard-links")
         edges = found if edges is None else edges.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
+        done = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        tried = done if tried is None else tried.union(done)
         roots = written(components(edges), "jaccard-roots")
-        if last:
-            break
     if roots is None:
         named = classes.withColumn("component_id", F.col("least"))
     else:

@@ -52,11 +52,11 @@ def numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(body).alias("th"), body.alias("text"))
 
 
-def chunks(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
-    """Rows in chunks of about CHUNK bytes; a longer document makes a chunk of its own."""
+def chunks(batches: Iterator[pd.DataFrame], column: str, n_bytes: int = CHUNK) -> Iterator[pd.DataFrame]:
+    """Rows in chunks of about ``n_bytes``; a longer document makes a chunk of its own."""
     for batch in batches:
         size = np.cumsum([len(x) for x in batch[column]])
-        part = size // CHUNK
+        part = size // n_bytes
         for _, some in batch.groupby(part, sort=False):
             yield some
 
