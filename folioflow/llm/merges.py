@@ -263,19 +263,23 @@ def decode_ids(ids: np.ndarray, table: Pieces) -> str:
     return b"".join([text_of[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, seed: int = 0, dropout: float = 0.1, text: str = "text", id_col: str = "doc_id", into: str = "ids", path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, seed: int = 0, dropout: float = 0.1, text: str = "text", id_col: str = "doc_id", into: str = "ids", path: str | None = None, decode: bool = False) -> DataFrame:
     """``docs`` with the piece ids of its texts (int32, little-endian). Null and empty texts have none;
-    repeated rows are encoded alike; without dropout these are the model's own ids."""
+    repeated rows are encoded alike; without dropout these are the model's own ids. With ``decode``, also ``decoded``, the
+    text that the ids give back."""
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<ids: binary, decoded: string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         table = pieces(path)
         for texts, ids in batches:
-            rows = pd.DataFrame({"text": texts.fillna(""), "id": ids})
-            out = [x.astype("<i4").tobytes() for some in chunks(iter([rows]), "text") for x in encode_texts(some["text"].tolist(), some["id"].to_numpy(np.int64), seed, dropout, table)]
-            yield pd.Series(out, dtype=object)
+            out = []
+            for some in chunks(iter([pd.DataFrame({"text": texts.fillna(""), "id": ids})]), "text"):
+                for x in encode_texts(some["text"].tolist(), some["id"].to_numpy(np.int64), seed, dropout, table):
+                    out.append((x.astype("<i4").tobytes(), decode_ids(x, table) if decode else None))
+            yield pd.DataFrame(out, columns=["ids", "decoded"])
 
-    return docs.withColumn(into, run(F.col(text), F.coalesce(F.col(id_col).cast("long"), F.lit(-1))))
+    both = docs.withColumn("_encoded", run(F.col(text), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))).withColumn(into, F.col("_encoded.ids"))
+    return (both.withColumn("decoded", F.col("_encoded.decoded")) if decode else both).drop("_encoded")
 
 
 def decoded(ids: str, path: str | None = None) -> Column:
@@ -293,7 +297,7 @@ def decoded(ids: str, path: str | None = None) -> Column:
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Every document's ids under merge-dropout, as count and checksum, and the digest of their decoding."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = encode(docs).withColumn("decoded", decoded("ids"))
+    out = encode(docs, decode=True)
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
