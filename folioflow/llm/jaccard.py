@@ -143,8 +143,8 @@ def _partial(n_words: int, fragments: int, whole: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 100):
-                some = batch.iloc[at : at + 100]
+            part = np.cumsum(batch["zx"].map(len) + batch["zy"].map(len)) // CHUNK
+            for _, some in batch.groupby(part, sort=False):
                 zs = pd.concat([some["zx"], some["zy"]])
                 codes, unique = pd.factorize(zs)
                 row, grams = ngram_sets([expand(z) for z in unique], n_words)
@@ -179,12 +179,12 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n_words: int = WORDS, fragments
     return parts.groupBy("x", "y").agg(F.sum("common").alias("common"), F.max("size").alias("size"))
 
 
-def closer(pairs: DataFrame, maps: DataFrame, limit: str) -> DataFrame:
+def closer(pairs: DataFrame, maps: DataFrame, limit: str, *more: str) -> DataFrame:
     """``pairs`` (x, y, …) whose parity maps do not show that ``limit``, SQL on ``differ`` (n-grams in one set alone, at
     least) and ``size`` (of both sets), fails."""
     both = pairs.alias("p").join(maps.alias("i"), F.expr("p.x = i.rid")).join(maps.alias("j"), F.expr("p.y = j.rid"))
     differ = " + ".join(f"bit_count(i.{b} ^ j.{b})" for b in PARITY)
-    return both.select("p.*", F.expr(f"{differ}").alias("differ"), F.expr("i.n + j.n").alias("size")).filter(limit).drop("differ", "size")
+    return both.select("p.*", F.expr(f"{differ}").alias("differ"), F.expr("i.n + j.n").alias("size")).filter(limit).selectExpr("*", *more).drop("differ", "size")
 
 
 LINKS = "9 * common >= 4 * size"  # 100 * intersection >= 80 * union
@@ -206,7 +206,7 @@ def between_components(at: DataFrame, grams: DataFrame, roots: DataFrame, texts:
     ``maps``: parity maps of the sets.
 
     A component with several members has a pivot. Jaccard distances obey the triangle inequality, so a document
-    can link to a member only if their distances to the pivot differ by 0.2 at most.
+    can link to a member only if it is not farther from the pivot than the member by more than 0.2.
     """
     side = written(at.join(grams, "gram", "left_semi"), "jaccard-side")
     centres = at.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.max(F.struct("score", "rid"))["rid"].alias("pivot"))
@@ -218,15 +218,14 @@ def between_components(at: DataFrame, grams: DataFrame, roots: DataFrame, texts:
     radius = inner.groupBy("root").agg(F.max("d").alias("radius"))
     held = side.join(centres, "root").select("gram", F.col("root").alias("there"), "pivot").distinct()
     asking = side.join(held, "gram").filter("root <> there").select(F.col("rid").alias("x"), F.col("pivot").alias("y"), "there").distinct()
-    asking = asking.join(radius.select("root", "radius"), F.col("there") == F.col("root")).drop("root")
-    asking = written(closer(asking, maps, f"2.0 * differ / (size + differ) <= radius + {REACH}"), "jaccard-asking")
-    outer = overlaps(asking, texts, n_words, whole=True).select("x", "y", F.expr(DISTANCE).alias("far"))
-    near = asking.join(outer, ["x", "y"]).filter(F.col("far") <= F.col("radius") + REACH).select(F.col("x").alias("rid"), "there", "far")
+    asking = asking.join(radius.select("root", "radius"), F.col("there") == F.col("root"))
+    far = "2.0 * differ / (size + differ)"  # at least, by the parity maps
+    near = closer(asking, maps, f"{far} <= radius + {REACH}", f"{far} AS far").select(F.col("x").alias("rid"), "there", "far")
     near = written(near, "jaccard-near")
     side = written(side.join(maps.drop("n"), "rid"), "jaccard-mapped")
     o = side.join(near, "rid").alias("o")
     m = side.join(inner.select(F.col("node").alias("rid"), "d"), "rid").alias("m")
-    reached = o.join(m, F.expr(f"o.gram = m.gram AND o.there = m.root AND abs(o.far - m.d) <= {REACH} AND {may_link('o', 'm')}"))
+    reached = o.join(m, F.expr(f"o.gram = m.gram AND o.there = m.root AND o.far - m.d <= {REACH} AND {may_link('o', 'm')}"))
     single = side.join(roots.select(F.col("node").alias("rid")), "rid", "left_anti")
     alone = single.alias("o").join(single.alias("m"), F.expr(f"o.gram = m.gram AND o.rid > m.rid AND {may_link('o', 'm')}"))
     pair = (F.greatest("o.rid", "m.rid").alias("x"), F.least("o.rid", "m.rid").alias("y"))
