@@ -37,7 +37,7 @@ def metrics(ranks: DataFrame, *by: str) -> DataFrame:
     return ranks.groupBy(*by).agg(
         hit(1), hit(3), hit(5), F.round(F.avg(F.coalesce(1.0 / F.col("match_rank"), F.lit(0.0))), 6).alias("mrr"),
         F.round(F.avg(F.when(top >= SATURATED, 1.0).otherwise(0.0)), 6).alias("saturation"),
-        F.round(F.coalesce(F.stddev_pop("top_score"), F.lit(0.0)), 6).alias("score_std"), F.round(F.avg(top), 6).alias("mean_score"), F.count("*").alias("total"),
+        F.round(F.coalesce(F.stddev_pop("top_score"), F.lit(0.0)), 5).alias("score_std"), F.round(F.avg(top), 4).alias("mean_score"), F.count("*").alias("total"),
     )
 
 
