@@ -134,7 +134,7 @@ def _postings(rows_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in batch.iloc[at : at + 200].itertuples():
                 prefix = np.frombuffer(r.prefix, np.uint64)
                 place = np.flatnonzero(np.isin(prefix, np.frombuffer(r.hashes, np.uint64)))
-                out.append(pd.DataFrame({"gram": prefix[place].view(np.int64), "rid": r.rid, "n": r.n, "score": r.score, "place": place, "short": place < r.n - -(-8 * r.n // 9) + 1}))
+                out.append(pd.DataFrame({"gram": prefix[place].view(np.int64), "rid": r.rid, "n": r.n, "score": r.score, "place": place, "short": place < r.n - -(-8 * r.n // 9) + 1, "f0": r.b0 ^ r.b2 ^ r.b4 ^ r.b6, "f1": r.b1 ^ r.b3 ^ r.b5 ^ r.b7}))
             yield pd.concat(out)
 
 
@@ -193,11 +193,11 @@ REACH = 0.2 + 1e-9
 
 
 def may_link(x: str, y: str) -> str:
-    """SQL on two postings of one n-gram: sizes, places and parity maps leave room for a link, and the n-gram is in the prefix that the
+    """SQL on two postings of one n-gram: sizes, places and parity maps (folded to 128 bits) leave room for a link, and the n-gram is in the prefix that the
     shorter set needs."""
     return f"""5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n)
         AND CASE WHEN {x}.n > {y}.n OR {x}.n = {y}.n AND {x}.rid > {y}.rid THEN {y}.short ELSE {x}.short END
-        AND 9 * ({" + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in PARITY)}) <= {x}.n + {y}.n
+        AND 9 * (bit_count({x}.f0 ^ {y}.f0) + bit_count({x}.f1 ^ {y}.f1)) <= {x}.n + {y}.n
         AND 9 * (least({x}.place, {y}.place) + 1 + least({x}.n - {x}.place, {y}.n - {y}.place) - 1) >= 4 * ({x}.n + {y}.n)"""
 
 
@@ -222,7 +222,6 @@ def between_components(at: DataFrame, grams: DataFrame, roots: DataFrame, texts:
     far = "2.0 * differ / (size + differ)"  # at least, by the parity maps
     near = closer(asking, maps, f"{far} <= radius + {REACH}", f"{far} AS far").select(F.col("x").alias("rid"), "there", "far")
     near = written(near, "jaccard-near")
-    side = written(side.join(maps.drop("n"), "rid"), "jaccard-mapped")
     o = side.join(near, "rid").alias("o")
     m = side.join(inner.select(F.col("node").alias("rid"), "d"), "rid").alias("m")
     reached = o.join(m, F.expr(f"o.gram = m.gram AND o.there = m.root AND o.far - m.d <= {REACH} AND {may_link('o', 'm')}"))
@@ -254,8 +253,8 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id
     shared = suspects_of(shared)
     heads = classes.select("class")
     posted = (
-        proposing.select("rid", "n", "score", "prefix").hint("merge").join(shared, F.col("rid") == F.col("doc"))
-        .mapInPandas(_postings, "gram long, rid long, n long, score long, place long, short boolean")
+        proposing.select("rid", "n", "score", "prefix", *PARITY).hint("merge").join(shared, F.col("rid") == F.col("doc"))
+        .mapInPandas(_postings, "gram long, rid long, n int, score int, place int, short boolean, f0 long, f1 long")
         .join(heads, F.col("rid") == F.col("class"), "left_semi")
     )
     posted = written(posted, "jaccard-postings")
