@@ -201,7 +201,7 @@ def snippet(*sources: Column, n: int = 200) -> Column:
 def highlighted(c: Column, keywords: Column) -> Column:
     """Keywords of two characters or more marked, the longest first; marked text is left alone."""
     words = F.array_sort(F.array_distinct(F.filter(keywords, lambda k: F.length(k) >= 2)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    safe = F.array_join(F.transform(words, lambda k: F.regexp_replace(k, r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\\\$1")), "|")
+    safe = F.array_join(F.transform(words, lambda k: F.regexp_replace(k, r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1")), "|")
     return F.when((F.size(words) == 0) | F.contains(c, F.lit("<mark>")), c).otherwise(F.regexp_replace(c, F.concat(F.lit("(?iu)("), safe, F.lit(")")), F.lit("<mark>$1</mark>")))
 
 

@@ -73,7 +73,8 @@ def write_batch(spark: SparkSession, index_dir: str, model: str, batch_id: int,
     docs, pieces = embed_index(docs, pieces.withColumn("chunk_id", F.xxhash64("path", "chunk_index")), encoder)
     null = {c: F.lit(None) for c in ("title", "mtime", "size", "sha256", "text", "embedding")}
     rows = docs.withColumn("op", F.lit("upsert")).unionByName(gone.select("path").withColumn("doc_id", F.xxhash64("path")).withColumn("op", F.lit("deleted")).withColumns(null), allowMissingColumns=True)
-    for table, name, schema in ((rows, "documents", LOG), (pieces, "chunks", CHUNK_LOG)):
+    # documents last: they make the batch visible, and what is cached from their table is then read anew
+    for table, name, schema in ((pieces, "chunks", CHUNK_LOG), (rows, "documents", LOG)):
         fields = [x.strip().split(" ") for x in schema.split(", ")]
         out = tagged(table).select(*(F.col(c).cast(kind).alias(c) for c, kind in fields))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id", "batch_id").parquet(f"{index_dir}/{name}")
