@@ -105,9 +105,11 @@ def _fit(sample: list, features: list[str]) -> tuple[list, dict[str, float]]:
     the driver over at most SAMPLE rows."""
     import numpy as np
 
-    x = np.array([[r[f] or 0.0 for f in features] + [float(r["kind"] == k) for k in KINDS] for r in sample]).reshape(len(sample), -1)
+    if not sample:
+        return [], {k: 2.0 for k in KINDS}
+    x = np.array([[r[f] or 0.0 for f in features] + [float(r["kind"] == k) for k in KINDS] for r in sample])
     y = np.array([float(r["label"]) for r in sample])
-    if len(y) == 0 or y.min() == y.max():
+    if y.min() == y.max():
         return [], {k: 2.0 for k in KINDS}
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     score, trees = np.zeros(len(y)), []
