@@ -15,6 +15,8 @@ bound on candidates: every pair that could link two components is counted.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,7 @@ FRAGMENTS = 8
 ROUNDS = 2
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Bits of a set's parity map: each n-gram flips one. Two sets differ in at least as many n-grams as their maps in bits.
-PARITY = [f"b{i}" for i in range(8)]
+PARITY = [f"b{i}" for i in range(32)]
 SETS = "rid long, doc long, th long, n long, s1 long, s2 long, score long, prefix binary, " + ", ".join(f"{b} long" for b in PARITY)
 
 
@@ -128,13 +130,14 @@ def _sets(table, n_words: int):
 
 
 def _postings(rows_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fold = lambda r, odd: functools.reduce(operator.xor, (getattr(r, b) for b in PARITY[odd::2]))
     for batch in rows_in:
         for at in range(0, len(batch), 200):
             out = []
             for r in batch.iloc[at : at + 200].itertuples():
                 prefix = np.frombuffer(r.prefix, np.uint64)
                 place = np.flatnonzero(np.isin(prefix, np.frombuffer(r.hashes, np.uint64)))
-                out.append(pd.DataFrame({"gram": prefix[place].view(np.int64), "rid": r.rid, "n": r.n, "score": r.score, "place": place, "short": place < r.n - -(-8 * r.n // 9) + 1, "f0": r.b0 ^ r.b2 ^ r.b4 ^ r.b6, "f1": r.b1 ^ r.b3 ^ r.b5 ^ r.b7}))
+                out.append(pd.DataFrame({"gram": prefix[place].view(np.int64), "rid": r.rid, "n": r.n, "score": r.score, "place": place, "short": place < r.n - -(-8 * r.n // 9) + 1, "f0": fold(r, 0), "f1": fold(r, 1)}))
             yield pd.concat(out)
 
 
@@ -183,8 +186,7 @@ def closer(pairs: DataFrame, maps: DataFrame, limit: str, *more: str) -> DataFra
     """``pairs`` (x, y, …) whose parity maps do not show that ``limit``, SQL on ``differ`` (n-grams in one set alone, at
     least) and ``size`` (of both sets), fails."""
     both = pairs.alias("p").join(maps.alias("i"), F.expr("p.x = i.rid")).join(maps.alias("j"), F.expr("p.y = j.rid"))
-    differ = " + ".join(f"bit_count(i.{b} ^ j.{b})" for b in PARITY)
-    return both.select("p.*", F.expr(f"{differ}").alias("differ"), F.expr("i.n + j.n").alias("size")).filter(limit).selectExpr("*", *more).drop("differ", "size")
+    return both.select("p.*", F.expr(differing("i", "j")).alias("differ"), F.expr("i.n + j.n").alias("size")).filter(limit).selectExpr("*", *more).drop("differ", "size")
 
 
 LINKS = "9 * common >= 4 * size"  # 100 * intersection >= 80 * union
@@ -192,6 +194,11 @@ DISTANCE = "1 - common / (size - common)"
 REACH = 0.2 + 1e-9
 
 
+def differing(x: str, y: str) -> str:
+    """SQL: bits in which two parity maps differ."""
+    return "(" + " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in PARITY) + ")"
+
+
 def may_link(x: str, y: str) -> str:
     """SQL on two postings of one n-gram: sizes, places and parity maps (folded to 128 bits) leave room for a link, and the n-gram is in the prefix that the
     shorter set needs."""
@@ -222,9 +229,11 @@ def between_components(at: DataFrame, grams: DataFrame, roots: DataFrame, texts:
     far = "2.0 * differ / (size + differ)"  # at least, by the parity maps
     near = closer(asking, maps, f"{far} <= radius + {REACH}", f"{far} AS far").select(F.col("x").alias("rid"), "there", "far")
     near = written(near, "jaccard-near")
-    o = side.join(near, "rid").alias("o")
-    m = side.join(inner.select(F.col("node").alias("rid"), "d"), "rid").alias("m")
-    reached = o.join(m, F.expr(f"o.gram = m.gram AND o.there = m.root AND o.far - m.d <= {REACH} AND {may_link('o', 'm')}"))
+    bits = maps.select("rid", *PARITY)
+    o = side.join(near.join(bits, "rid"), "rid").alias("o")
+    m = side.join(inner.select(F.col("node").alias("rid"), "d").join(bits, "rid"), "rid").alias("m")
+    apart = f"9 * {differing('o', 'm')} <= o.n + m.n"
+    reached = o.join(m, F.expr(f"o.gram = m.gram AND o.there = m.root AND o.far - m.d <= {REACH} AND {may_link('o', 'm')} AND {apart}"))
     single = side.join(roots.select(F.col("node").alias("rid")), "rid", "left_anti")
     alone = single.alias("o").join(single.alias("m"), F.expr(f"o.gram = m.gram AND o.rid > m.rid AND {may_link('o', 'm')}"))
     pair = (F.greatest("o.rid", "m.rid").alias("x"), F.least("o.rid", "m.rid").alias("y"))
