@@ -18,6 +18,7 @@ from folioflow.operators import index as I
 from folioflow.operators.encode import HashEncoder, encode_column
 from folioflow.operators.fusion import fuse, three_way
 from folioflow.operators.keyword import search_keyword
+from folioflow.operators.passages import holders
 from folioflow.operators.vector import neighbours, topk
 from folioflow.plans import search as P
 from folioflow.sources import corpus
@@ -412,9 +413,7 @@ def relevance_tiers(spark, sf):
 def _judgments(spark, sf):
     """A passage expects the first document that holds it word for word."""
     q, docs = asked(spark, sf), documents(spark, sf)
-    key = F.substring("query", 1, 40)
-    lines = docs.select("path", "lang", "text", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 40), lambda x: F.left(x, F.lit(40))))).alias("head"))
-    found = q.withColumn("head", key).join(lines, "head").filter(F.contains("text", F.col("query")))
+    found = holders(q, docs.select("path", "lang", "text"))
     first = found.groupBy("query_id", "query").agg(F.min(F.struct("path", "lang")).alias("m"))
     return q.join(first.select("query_id", "m"), "query_id", "left").select("query_id", "query", F.coalesce(F.col("m.path"), F.lit("none")).alias("expected"), F.coalesce(F.col("m.lang"), F.lit("none")).alias("category"))
 

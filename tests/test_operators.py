@@ -173,3 +173,23 @@ def test_assets_prefer_the_own_folder(spark):
     assets = spark.createDataFrame([("pic.png",), ("d/pic.png",), ("x/y/deep.svg",)], "asset_path string")
     got = {r["reference"]: r["asset_path"] for r in X.resolve_assets(refs, assets).collect()}
     assert got == {"pic.png": "d/pic.png", "deep": "x/y/deep.svg", "no": None}
+
+def test_holders_start_anywhere(spark):
+    from folioflow.operators.passages import holders
+
+    long = "Zwölf Boxkämpfer jagen Viktor quer\nüber den großen Sylter Deich, sagt er."
+    docs = [("a", "x" + long + " end"), ("b", "first line\n" + long), ("c", long[:50]), ("d", None), ("e", ""), ("f", "before. " + long[12:70] + "!")]
+    asked = [(1, long), (2, long[3:]), (3, long[12:60]), (4, "line\nZw"), (5, "ö"), (6, ""), (7, None), (8, "not there, whatever the text may say about it"), (9, long[:40] + "?")]
+    out = holders(spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(docs, "path string, text string"))
+    want = sorted((i, p) for i, q in asked for p, t in docs if q is not None and t is not None and q in t)
+    assert sorted((r["query_id"], r["path"]) for r in out.collect()) == want and len(want) > 12
+
+
+def test_judgments_hold_the_passage_word_for_word(spark):
+    from folioflow.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    docs = registry.documents(spark, sf).select("path", "text").collect()
+    want = {r["query_id"]: min((d["path"] for d in docs if r["query"] in d["text"]), default="none") for r in registry.asked(spark, sf).collect()}
+    got = {r["query_id"]: r["expected"] for r in registry._judgments(spark, sf).collect()}
+    assert got == want and sum(x != "none" for x in got.values()) == 20
