@@ -442,7 +442,7 @@ def grid_search(spark, sf):
 
 def model_compare(spark, sf):
     t = table(spark, sf, "conversations")
-    pairs = t.filter("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("text_a")).join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_b")), ["conv_id", "turn"])
+    pairs = t.select("conv_id", "turn", F.col("text").alias("text_a")).join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_b")), ["conv_id", "turn"])
     out = E.model_similarities(pairs, {"hash_64": HashEncoder(64), "hash_16": HashEncoder(16)})
     return out.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 4).alias("mean"))
 

@@ -193,3 +193,12 @@ def test_judgments_hold_the_passage_word_for_word(spark):
     want = {r["query_id"]: min((d["path"] for d in docs if r["query"] in d["text"]), default="none") for r in registry.asked(spark, sf).collect()}
     got = {r["query_id"]: r["expected"] for r in registry._judgments(spark, sf).collect()}
     assert got == want and sum(x != "none" for x in got.values()) == 20
+
+
+def test_model_compare_pairs_every_turn(spark):
+    from folioflow.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    turns = {(r["conv_id"], r["turn"]) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    want = sum((c, t + 1) in turns for c, t in turns)
+    assert {r["model"]: r["n"] for r in registry.model_compare(spark, sf).collect()} == {"hash_64": want, "hash_16": want}
