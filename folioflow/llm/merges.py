@@ -2,8 +2,8 @@
 
 Symbols start as characters; the agenda holds the neighbours whose concatenation is a piece, best score
 first, leftmost on ties. When a merge's turn comes, it is skipped for good if a hash keyed by the seed, the
-word, its variant and the merge's place falls below the dropout rate. The variant comes from the document's
-id and the word's place, so occurrences of one word differ, and every run with one seed agrees. Words (runs of
+document's id, the word's place and the merge's place falls below the dropout rate, so every occurrence of a word
+is segmented by itself, and every run with one seed agrees. Words (runs of
 blanks with what follows) are independent of each other, so the words of many documents are merged side by
 side, each by its own agenda; very long words take a heap. Characters without a piece become bytes, and so does
 a literal U+2581, which stands for a blank in pieces; decoding gives back every text as it was.
@@ -18,15 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.repeats import chunks, mix
 
 BLANK = "▁"
-#: Different segmentations that the occurrences of a word are spread over.
-VARIANTS = 8
+#: Occurrences of words that are segmented side by side.
+TOGETHER = 1 << 17
 #: Longer words are merged one by one.
 SHORT = 48
 #: Stands for a literal U+2581 among the characters of a word; no text holds it, as it is no character.
@@ -228,31 +227,28 @@ def _together(words: list[str], size: np.ndarray, key: np.ndarray, limit: int, t
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
-def encode_texts(texts: list[str], ids: np.ndarray, seed: int, dropout: float, table: Pieces, variants: int = VARIANTS) -> list[np.ndarray]:
+def encode_texts(texts: list[str], ids: np.ndarray, seed: int, dropout: float, table: Pieces, together: int = TOGETHER) -> list[np.ndarray]:
     """Piece ids of each text. The first word has a blank before it, as the model expects; an empty text has none."""
     lists = [WORD.findall(BLANK + x.replace(BLANK, LITERAL).replace(" ", BLANK)) if x else [] for x in texts]
     size = np.array([len(x) for x in lists], np.int64)
-    flat = np.empty(size.sum(), object)
-    flat[:] = [w.encode("utf-8", "surrogatepass") for x in lists for w in x]
-    if not len(flat):
+    flat = [w for x in lists for w in x]
+    if not flat:
         return [np.zeros(0, np.int32) for _ in texts]
-    codes, distinct = pd.factorize(flat)
-    unique = [w.decode("utf-8", "surrogatepass") for w in distinct]
     limit = int(dropout * (1 << 64)) if dropout < 1 else (1 << 64) - 1
     if limit:
         place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         salt = np.uint64((seed * 0xD6E8FEB86659FD93 + 1) & ((1 << 64) - 1))
-        variant = mix(mix(np.repeat(ids.astype(np.int64).view(np.uint64), size) ^ salt) + place.astype(np.uint64)) % np.uint64(variants)
-        kinds, inverse = np.unique(codes * variants + variant.astype(np.int64), return_inverse=True)
-        words = [unique[k] for k in (kinds // variants).tolist()]
-        hashes = hash_array(distinct, categorize=False)
-        keys = mix(hashes[kinds // variants] ^ salt) + (kinds % variants).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    else:
-        words, inverse, keys = unique, codes, np.zeros(len(unique), np.uint64)
-    pool, n = segment(words, keys, limit, table)
-    begin = np.cumsum(n) - n
-    count = n[inverse]
-    every = pool[np.repeat(begin[inverse] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        keys = mix(mix(np.repeat(ids.astype(np.int64).view(np.uint64), size) ^ salt) + place.astype(np.uint64))
+        parts = [segment(flat[a : a + together], keys[a : a + together], limit, table) for a in range(0, len(flat), together)]
+        every, count = (np.concatenate(x) for x in zip(*parts))
+    else:  # all occurrences of a word are alike
+        words = np.empty(len(flat), object)
+        words[:] = [w.encode("utf-8", "surrogatepass") for w in flat]
+        inverse, distinct = pd.factorize(words)
+        pool, n = segment([w.decode("utf-8", "surrogatepass") for w in distinct], np.zeros(len(distinct), np.uint64), limit, table)
+        begin = np.cumsum(n) - n
+        count = n[inverse]
+        every = pool[np.repeat(begin[inverse] - np.cumsum(count) + count, count) + np.arange(count.sum())]
     ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(size)])]
     return [every[a:b] for a, b in zip(ends, ends[1:])]
 

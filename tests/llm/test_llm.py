@@ -220,6 +220,21 @@ def test_long_and_short_words_merge_alike():
         assert ids.tolist() == [i for w, k in zip(words, keys) for i in merges._one(w, int(k), limit, table)]
 
 
+def test_every_occurrence_is_segmented_by_itself():
+    table, n = merges.pieces(), 4000
+    word = "▁internationalization"
+    whole = merges.encode_texts([" ".join([word[1:]] * n)], np.array([5]), 3, 0.1, table)[0]
+    assert (whole == merges.encode_texts([" ".join([word[1:]] * n)], np.array([5]), 3, 0.1, table, together=7)[0]).all()
+    at, seen = 0, collections.Counter()
+    while at < len(whole):
+        text, start = "", at
+        while len(text) < len(word):
+            text, at = text + table.pieces[whole[at]], at + 1
+        assert text == word
+        seen[tuple(whole[start:at].tolist())] += 1
+    assert len(seen) > 50 and sum(seen.values()) == n
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
