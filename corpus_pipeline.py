@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import exact, jaccard, language, packing, pii
+from folioflow.llm.repeats import row_id, text_hash
 from folioflow.llm.shared import written
 
 #: A document whose best cosine is lower is rejected; so is one without letters.
@@ -37,9 +38,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near duplicates."""
-    keep = jaccard.near_duplicates(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.hint("merge").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    """Keeps one row of each component of near duplicates: the one with the smallest id, null ids after all others."""
+    verdicts = jaccard.near_duplicates(docs)
+    # a row without words is a component of its own, also when it repeats
+    stays = verdicts.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.count_if(F.col("n_shingles") > 0).alias("_n"), F.max("kept").alias("_kept")).filter("_kept")
+    keyed = docs.withColumns({"_row_doc": row_id("doc_id"), "_row_th": text_hash("text")})
+    left = keyed.hint("merge").join(stays, (F.col("_row_doc") == F.col("_doc")) & (F.col("_row_th") == F.col("_th")))
+    # rows that repeat both id and text: one of them
+    again = left.filter("_n > 1").dropDuplicates(["_doc", "_th"])
+    return left.filter("_n <= 1").unionByName(again).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,16 +241,17 @@ def between_components(at: DataFrame, grams: DataFrame, roots: DataFrame, texts:
 
 
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``: documents link at a Jaccard similarity of
+    """doc_id, n_shingles, component_id, doc, th, kept of every row of ``docs``: documents link at a Jaccard similarity of
     0.8 or more, and component_id is the smallest id that links reach. A text with fewer words is one n-gram;
     a null text, or one without words, links with nothing. Rows are judged one by one, also those that repeat an id.
+    ``numbered`` gives doc and th, the key of a row; kept is true for one row of each component, the first by id and key.
     """
     spark = docs.sparkSession
     rows = numbered(docs, id_col, text)
     n_buckets = buckets_for(rows)
     table = spark.sparkContext.broadcast(frequent(rows, n_words))
     sets = written(rows.mapInPandas(_sets(table, n_words), SETS), "jaccard-sets")
-    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("least"), F.min(F.when(F.col("prefix").isNotNull(), F.col("rid"))).alias("class"))
+    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "th", "rid")).alias("least"), F.min(F.when(F.col("prefix").isNotNull(), F.col("rid"))).alias("class"))
     classes = written(classes, "jaccard-classes")
 
     def anchors(some: pd.DataFrame):
@@ -301,17 +302,18 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id
         tried = done if tried is None else tried.union(done)
         roots = written(components(edges), "jaccard-roots")
     if roots is None:
-        named = classes.withColumn("component_id", F.col("least"))
+        named = classes.withColumn("first", F.col("least"))
     else:
         named = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
-        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        least = named.groupBy("root").agg(F.min("least").alias("first"))
         named = named.join(least, "root")
-    out = sets.select("doc", "n", "s1", "s2").join(named.select("s1", "s2", "n", "component_id"), ["s1", "s2", "n"], "left")
+    out = sets.select("doc", "th", "rid", "n", "s1", "s2").join(named.select("s1", "s2", "n", "first"), ["s1", "s2", "n"], "left")
     return out.select(
-        F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc"), F.lit(NULL_ID)).alias("component_id")
-    )
+        F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("first.doc", "doc"), F.lit(NULL_ID)).alias("component_id"),
+        "doc", "th", F.coalesce(F.col("first.rid") == F.col("rid"), F.lit(True)).alias("kept"),
+    )
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Every document with the component of near duplicates it belongs to."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

@@ -46,10 +46,18 @@ def expand(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def row_id(id_col: str) -> Column:
+    """The id, or NULL_ID."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """doc (the id, or NULL_ID), th (hash of the text: repeated ids with other texts stay apart), text."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(body).alias("th"), body.alias("text"))
+    return docs.select(row_id(id_col).alias("doc"), text_hash(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def chunks(batches: Iterator[pd.DataFrame], column: str, n_bytes: int = CHUNK) -> Iterator[pd.DataFrame]:

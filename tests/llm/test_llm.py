@@ -308,3 +308,26 @@ def test_pipeline(spark):
         assert strict_spans(t) == ""
     pieces = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = [r["text"] for r in docs.filter("lang = 'en' AND n_chars > 900").orderBy("doc_id").limit(5).collect()]
+    near = lambda t, i: t + f" ending{i}"
+    rows = [
+        (None, "Alone " + some[0]), (None, "Other " + some[1]), (None, near("Other " + some[1], 1)),  # one null id stays of two near copies
+        (9001, "Third " + some[2]), (9001, near("Third " + some[2], 1)), (9002, near("Third " + some[2], 2)),  # near copies that repeat an id
+        (9003, "Fourth " + some[3]), (9004, "Fifth " + some[4]), (9004, near("Fourth " + some[3], 1)),  # one of two rows with an id goes
+    ]
+    rows = [(i, " ".join(w[::-1] + "q" for w in t.split())) for i, t in rows]  # far from the other documents
+    extra = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    docs.unionByName(extra).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).filter("start = 0 AND (doc_id IS NULL OR doc_id > 9000)").collect())
+    assert got == {None: 2, 9001: 1, 9003: 1, 9004: 1}
+    staged = corpus_pipeline.near_dedup(spark, extra.union(extra), str(tmp_path))  # each row twice
+    texts = [r["text"] for r in staged.collect()]
+    assert len(texts) == 5 and len(set(texts)) == 5 and {rows[0][1], rows[7][1]} <= set(texts)
+    docs.filter("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
