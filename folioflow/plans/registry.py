@@ -325,9 +325,8 @@ def neighbour_context(spark, sf):
 
 
 def salient_sentence(spark, sf):
-    """The sentence of every English document that is closest to the document itself."""
-    docs = embedded(spark, sf).filter("lang = 'en'")
-    return P.salient_sentences(docs, HashEncoder(DIM), ("doc_id",), "text", "embedding")
+    """The sentence of every document that is closest to the document itself."""
+    return P.salient_sentences(embedded(spark, sf), HashEncoder(DIM), ("doc_id",), "text", "embedding")
 
 
 def _glossary_texts(spark, sf):

@@ -202,3 +202,12 @@ def test_model_compare_pairs_every_turn(spark):
     turns = {(r["conv_id"], r["turn"]) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
     want = sum((c, t + 1) in turns for c, t in turns)
     assert {r["model"]: r["n"] for r in registry.model_compare(spark, sf).collect()} == {"hash_64": want, "hash_16": want}
+
+
+def test_salient_sentence_in_every_language(spark):
+    from folioflow.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    langs = registry.documents(spark, sf).select("doc_id", "lang")
+    got = registry.salient_sentence(spark, sf).join(langs, "doc_id").groupBy("lang").count().collect()
+    assert {r["lang"] for r in got} == {r["lang"] for r in langs.select("lang").distinct().collect()} and len(got) == 4
