@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav header footer aside form button select option dialog menu figcaption label fieldset".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+DROPPED = frozenset("head nav header footer aside form button select option dialog menu label fieldset".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mtable mtr mtd".split())
 #: Tags that end an open paragraph.
-ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark an element as no article.
 NOT_ARTICLE = frozenset(
@@ -35,16 +35,29 @@ NOT_ARTICLE = frozenset(
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED and not (tag == "header" and in_article):
-        return True
+#: First parts of a class or id, as in sidebar-left, that mark an element whatever follows.
+HEADS = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comments cookie cookies disqus footer gdpr nav navbar navigation newsletter popup promo sidebar sponsored".split())
+
+
+def _marked(value: str) -> bool:
+    """A whole token is on NOT_ARTICLE, or all of its parts are, or its first part is on HEADS."""
+    for token in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", token) if x]
+        if parts and (parts[0] in HEADS or NOT_ARTICLE.issuperset(parts)):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool) -> str:
+    """"tag", "hidden" or "mark": why an element is no article; empty if it may be one."""
+    why = "tag" if tag in DROPPED and not (tag == "header" and in_article) else ""
     for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "aria-hidden" and value == "true" or key == "hidden":
-            return True
-        if tag not in ("html", "body", "article", "main") and not NOT_ARTICLE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return "hidden"
+        if not why and key in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and _marked(value):
+            why = "mark"
+    return why
 
 
 def blocks_of(page: str) -> list[tuple[str, str, int, float]]:
@@ -54,6 +67,9 @@ def blocks_of(page: str) -> list[tuple[str, str, int, float]]:
     stack: list[str] = []
     parts: list[str] = []
     linked, links, dropped_at, container, n_containers = 0, 0, -1, [0], 0
+    opened: list[int] = []  # where the elements of the stack begin
+    spared: set[int] = set()  # elements that hold an article, so that their marks do not count
+    may_spare, links_before = False, 0
 
     def flush() -> None:
         nonlocal linked
@@ -67,6 +83,7 @@ def blocks_of(page: str) -> list[tuple[str, str, int, float]]:
     def pop_to(depth: int) -> None:
         nonlocal dropped_at
         while len(stack) > depth:
+            opened.pop()
             if stack.pop() in ("article", "main") and dropped_at < 0 and len(container) > 1:
                 container.pop()
             if len(stack) <= dropped_at:
@@ -117,8 +134,15 @@ def blocks_of(page: str) -> list[tuple[str, str, int, float]]:
             pop_to(len(stack) - 1 - stack[::-1].index("p"))
         elif tag == "li" and "li" in stack and not {"ul", "ol"} & {*stack[len(stack) - stack[::-1].index("li") :]}:
             pop_to(len(stack) - 1 - stack[::-1].index("li"))
-        if dropped_at < 0 and _unwanted(tag, m[3], container[-1] > 0):
-            dropped_at = len(stack)
+        if dropped_at >= 0 and may_spare and tag in ("article", "main"):  # back to the dropped element
+            spared.update(opened[dropped_at:])
+            at, links = opened[dropped_at], links_before
+            del stack[dropped_at:], opened[dropped_at:]
+            dropped_at = -1
+            continue
+        why = _unwanted(tag, m[3], container[-1] > 0) if dropped_at < 0 else ""
+        if why and (why == "hidden" or m.start() not in spared):
+            dropped_at, may_spare, links_before = len(stack), why != "hidden" and container[-1] == 0, links
         elif dropped_at < 0 and tag in ("article", "main"):
             if container[-1] == 0:
                 n_containers += 1
@@ -126,6 +150,7 @@ def blocks_of(page: str) -> list[tuple[str, str, int, float]]:
             else:
                 container.append(container[-1])
         stack.append(tag)
+        opened.append(m.start())
     if dropped_at < 0:
         flush()
     return out
@@ -149,8 +174,7 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
     content = fused >= threshold * fused.max()
     around = {b[2] for b, ok in zip(found, content) if ok and b[2]}
     if around:  # in the articles that hold content, all of their blocks belong to it
-        sizes = {c: sum(len(b[1]) for b in found if b[2] == c) for c in around}
-        keep = [b[2] in around and sizes[b[2]] >= 0.2 * max(sizes.values()) for b in found]
+        keep = [b[2] in around for b in found]
     else:
         good = {b[0] for b, ok in zip(found, content) if ok}
         first, last = np.flatnonzero(content)[[0, -1]]

@@ -292,6 +292,20 @@ def test_html(spark):
     assert {r["page_id"]: len(r["text"]) for r in html.extract(pages).collect()}[2] == 0
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class='with-sidebar'", "div id='no-comments'", "div class='sidebar'", "form id=f", "section class=comments"])
+def test_html_wrappers_of_an_article(wrapper):
+    inner = "<div class=sidebar><p>Side, side.</p></div><div class='share nav'><article><p>One, two.</p></article></div><p class=ad>Buy, now.</p>"
+    assert html.main_text(f"<body><{wrapper}>{inner}</{wrapper.split()[0]}><div class='sidebar-left'>x, y</div></body>") == "One, two."
+
+
+def test_html_keeps_what_is_not_marked():
+    page = "<article><h2 class='section-header'>Head</h2><p class='share-price'>Price, 5.</p><figure><img><figcaption>Caption.</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, here.</p><div class=comments><article>no, no</article></div></article>"
+    assert html.main_text(page) == "Head\n\nPrice, 5.\n\nCaption.\n\nSo x=1, here."
+    pages = "<article>" + "<p>Long, long, long text, on and on.</p>" * 20 + "</article><article><p>Short, but full, of, points, too.</p></article>"
+    assert html.main_text(pages).endswith("Short, but full, of, points, too.")
+    assert html.main_text("<main><p>Seen, yes.</p></main><div hidden=''><article><p>Not, seen.</p></article></div>") == "Seen, yes."
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
