@@ -1,316 +1,284 @@
 """Documents whose sets of word n-grams have a high Jaccard similarity, by vertical partitioning.
 
-The n-grams have one global order, frequent ones last: (count of the most frequent ones, hash). A document
-is its sorted set; documents with equal sets are one class. Two sets that link share an n-gram in their
-prefixes (the first n - ceil(4n/5) + 1 of the longer, the first n - ceil(8n/9) + 1 of the shorter), so only
-prefixes are exchanged. Candidate pairs are then counted: the global order is cut into fragments, the
-overlap of a pair is counted in each of them by itself, and Spark sums the fragments of a pair.
+The n-grams have one global order, by hash, and the order is cut into fragments. Every count of common
+n-grams is made in the fragments separately, each seeing only its own part of the sets, and then summed.
+
+1. Which documents can link at all: each fragment's owner gets Golomb-Rice coded lists of the n-grams that
+   chunks of documents hold, and answers with bitmaps of those that others hold too. Summed over the fragments,
+   a document has s shared n-grams out of n. A link needs 4n/5 of them, so nearly all documents are done here.
+2. The rest become classes of equal sets. Their n-grams are counted exactly, those that one class alone holds
+   go, and so do the classes with too few left. What stays is sorted, rare n-grams first; two sets that link
+   share an n-gram in a short prefix (s - ceil(4n/5) + 1 of the longer one, s - ceil(8n/9) + 1 of the shorter).
+3. Pairs proposed by prefixes are counted by partial overlaps in every fragment, summed by pair.
 
 Components need no more than a spanning set of links. So that a large group of near copies does not yield
 all of its pairs, prefix n-grams first propose one pair per document, with the most central document that
 shares them; documents in one component then need no pair any more. What is left between components, and
-only that, is joined pair by pair, but for pairs that the triangle inequality over a component's pivot rules out. No
-bound on candidates: every pair that could link two components is counted.
+only that, is joined pair by pair. No bound on candidates: every pair that could link two components is counted.
+N-grams are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm import rice, words
 from folioflow.llm.components import components
-from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, expand, mix, numbered, suspect_anchors, suspects_of
-from folioflow.llm.shared import written
+from folioflow.llm.repeats import NULL_ID, chunks, numbered
+from folioflow.llm.shared import by_group, written
+from folioflow.llm.words import mix
 
 WORDS = 5
-#: Frequent n-grams told to all tasks: at most so many, with at least so many documents. Bounds the
-#: broadcast to 2 MB; any order gives the same links, this one keeps frequent n-grams out of prefixes.
-FREQUENT = 1 << 17
-FREQUENT_DOCS = 8
-#: Text bytes a task looks at together.
-CHUNK = 1 << 21
-#: Fragments of the global order.
+#: Text bytes a task looks at together, and that an owner of n-grams stands for.
+CHUNK = 1 << 23
+#: Fragments of the global order in which pairs are counted.
 FRAGMENTS = 8
 #: Rounds with one central document per n-gram, before pairs between components are joined.
 ROUNDS = 2
-FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Bits of a set's parity map: each n-gram flips one. Two sets differ in at least as many n-grams as their maps in bits.
-PARITY = [f"b{i}" for i in range(32)]
-SETS = "rid long, doc long, th long, n long, s1 long, s2 long, score long, prefix binary, " + ", ".join(f"{b} long" for b in PARITY)
+#: Pairs that meet one copy of a central document's fragment.
+SHARE = 512
+FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
+BOOK = "kind string, chunk long, owner long, keys binary, coded binary"
+ROWS = "rid long, doc long, th long, n long, s1 long, s2 long, core boolean"
+LINKS = "9 * common >= 4 * size"  # 100 * intersection >= 80 * union; size: of both sets
 
 
 def ngram_sets(texts: list[bytes], n_words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct n-grams of each text, A-Z in lower case, sorted by row and hash."""
-    lists = [x.lower().split() for x in texts]
-    size = np.array([len(x) for x in lists], np.int64)
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    flat = np.empty(offsets[-1], object)
-    flat[:] = [w for x in lists for w in x]
-    codes, unique = pd.factorize(flat)
-    words = hash_array(unique, categorize=False)[codes] if len(unique) else np.zeros(0, np.uint64)
-    padded = np.concatenate([words, np.zeros(n_words, np.uint64)])
-    grams = np.zeros(len(words), np.uint64)
-    row = np.repeat(np.arange(len(lists)), size)
-    left = offsets[1:][row] - np.arange(len(words)) if len(words) else row
-    for j in range(n_words):  # a text with fewer words is one n-gram, all of its words
-        grams += np.where(left > j, mix(padded[j : j + len(words)] + np.uint64(j + 1)) * FACTORS[j % 5], np.uint64(0))
+    (word,), offsets = words.hashes(texts, lower=True)
+    size = np.diff(offsets)
+    grams = np.zeros(max(0, len(word) - n_words + 1), np.uint64)
+    for j in range(n_words):
+        grams = grams * FACTOR + word[j : j + len(grams)]
     grams = mix(grams)
-    use = (left >= n_words) | ((size[row] < n_words) & (left == size[row]))
-    row, grams = row[use], grams[use]
-    edges = np.searchsorted(row, np.arange(len(lists) + 1))
-    sets = [np.unique(grams[a:b]) for a, b in zip(edges, edges[1:])]
-    return np.repeat(np.arange(len(lists)), [len(x) for x in sets]), np.concatenate(sets) if sets else grams
-
-
-def frequent(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams, by hash, with their counts. A task reports those it saw twice."""
+    sets = []
+    for a, n in zip(offsets[:-1].tolist(), size.tolist()):
+        if n >= n_words:
+            s = grams[a : a + n - n_words + 1]
+            s.sort()
+            sets.append(s[np.diff(s, prepend=~s[:1]) != 0])
+        else:  # fewer words are one n-gram, all of them
+            g = n
+            for w in word[a : a + n].tolist():
+                g = (g * int(FACTOR) + w) & 0xFFFFFFFFFFFFFFFF
+            sets.append(mix(np.array([g] * (n > 0), np.uint64)))
+    row = np.repeat(np.arange(len(texts)), [len(s) for s in sets])
+    return row, np.concatenate(sets) if sets else grams
+
+
+def _book(n_words: int, owners: int, bits: int):
+    """For each chunk of texts one row about its documents, and for each owner a list of the chunk's n-grams, cut to ``bits``."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in chunks(batches, "text", CHUNK):
-            grams, n = np.unique(ngram_sets([x.encode() for x in some["text"]], n_words)[1], return_counts=True)
-            yield pd.DataFrame({"gram": grams[n > 1].view(np.int64), "n": n[n > 1]})
-
-    counts = docs.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_DOCS)
-    counts = written(counts, "jaccard-frequent")
-    sizes = counts.groupBy(F.floor(F.log2("n") * 4).alias("size")).agg(F.count("*").alias("k"), F.min("n").alias("least")).orderBy(F.desc("size")).collect()
-    least, total = None, 0
-    for r in sizes:
-        total += r["k"]
-        if total > FREQUENT:
-            break
-        least = r["least"]
-    rows = counts.filter(F.col("n") >= least).toPandas() if least else pd.DataFrame({"gram": [], "n": []})
-    grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(grams)
-    return grams[order], rows["n"].to_numpy(np.int64)[order]
-
-
-def _sets(table, n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams_by_count, counts = table.value
-        base, done, seen = TaskContext.get().partitionId() << 33, 0, set()
+        base, done, number = TaskContext.get().partitionId() << 33, 0, 0
         for some in chunks(batches, "text", CHUNK):
             row, grams = ngram_sets([x.encode() for x in some["text"]], n_words)
-            at = np.minimum(np.searchsorted(grams_by_count, grams), max(0, len(counts) - 1))
-            weight = np.where(grams_by_count[at] == grams, counts[at], 0) if len(counts) else np.zeros(len(grams), np.int64)
-            edges = np.searchsorted(row, np.arange(len(some) + 1))
-            for a, b in zip(edges, edges[1:]):
-                if weight[a:b].any():
-                    order = a + np.argsort(weight[a:b], kind="stable")
-                    grams[a:b], weight[a:b] = grams[order], weight[order]
-            n = np.diff(edges)
-            sums = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[edges])
-            s1, s2 = sums(mix(grams)).view(np.int64), sums(mix(grams ^ FACTORS[1])).view(np.int64)
-            prefix, score = [], []
-            for i, (a, k) in enumerate(zip(edges.tolist(), n.tolist())):
-                key = (s1[i], s2[i], k)
-                fresh = k > 0 and key not in seen  # of equal sets in a task, one proposes pairs
-                if fresh and len(seen) < 1 << 20:
-                    seen.add(key)
-                prefix.append(grams[a : a + k - -(-4 * k // 5) + 1].tobytes() if fresh else None)
-                score.append(int(weight[a]) if k else 0)
-            width = 64 * len(PARITY)
-            parity = np.bincount(row * width + (grams % np.uint64(width)).astype(np.int64), minlength=len(some) * width).reshape(len(some), width) & 1
-            maps = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
+            n = np.bincount(row, minlength=len(some))
+            edges = np.concatenate([[0], np.cumsum(n)])
+            sums = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[edges]).view(np.int64)
+            s1, s2 = sums(mix(grams)), sums(mix(grams ^ FACTOR))
+            order = np.argsort(grams)
+            short = grams[order] >> np.uint64(64 - bits)
+            new = np.diff(short, prepend=~short[:1]) != 0
+            slot = np.empty(len(grams), np.uint64)
+            slot[order] = np.cumsum(new) - 1
+            short = short[new]
+            rid = base + done + np.arange(len(some))
+            done += len(some)
+            keys = np.stack([rid, some["doc"].to_numpy(np.int64), some["th"].to_numpy(np.int64), n, s1, s2])
+            # slots rise within a document, and documents follow each other
+            slots = np.array([len(short)], np.int64).tobytes() + rice.encode(slot + row.astype(np.uint64) * np.uint64(len(short)))
+            owner = ((short >> np.uint64(bits - 32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+            at = np.flatnonzero(np.diff(owner, prepend=-1))
+            lists = [rice.encode(short[a:b]) for a, b in zip(at, np.append(at[1:], len(short)))]
             yield pd.DataFrame({
-                "rid": base + done + np.arange(len(some)), "doc": some["doc"].to_numpy(np.int64), "th": some["th"].to_numpy(np.int64),
-                "n": n, "s1": s1, "s2": s2, "score": score, "prefix": prefix, **{b: maps[:, i] for i, b in enumerate(PARITY)},
+                "kind": ["set"] + ["list"] * len(at), "chunk": base + number, "owner": [-1, *owner[at]],
+                "keys": [keys.tobytes()] + [None] * len(at), "coded": [slots, *lists],
             })
-            done += len(some)
+            number += 1
 
     return run
 
 
-def _postings(rows_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    fold = lambda r, odd: functools.reduce(operator.xor, (getattr(r, b) for b in PARITY[odd::2]))
-    for batch in rows_in:
-        for at in range(0, len(batch), 200):
-            out = []
-            for r in batch.iloc[at : at + 200].itertuples():
-                prefix = np.frombuffer(r.prefix, np.uint64)
-                place = np.flatnonzero(np.isin(prefix, np.frombuffer(r.hashes, np.uint64)))
-                out.append(pd.DataFrame({"gram": prefix[place].view(np.int64), "rid": r.rid, "n": r.n, "score": r.score, "place": place, "short": place < r.n - -(-8 * r.n // 9) + 1, "f0": fold(r, 0), "f1": fold(r, 1)}))
-            yield pd.concat(out)
-
-
-def _partial(n_words: int, fragments: int, whole: bool):
-    """Overlap by fragment of each pair; unless ``whole``, a pair is left as soon as its bound is out of reach."""
-
+def _answers(lists: pd.DataFrame) -> pd.DataFrame:
+    """One owner: a bitmap for each chunk's list, set where another chunk has the n-gram too."""
+    each = [rice.decode(x) for x in lists["coded"]]
+    every = np.sort(np.concatenate(each))
+    shared = every[1:][every[1:] == every[:-1]]
+    maps = [np.packbits(np.isin(x, shared, kind="sort")).tobytes() for x in each]
+    return pd.DataFrame({"chunk": lists["chunk"], "owner": lists["owner"], "n": [len(x) for x in each], "bits": maps})
+
+
+def _summed(sets: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a chunk, and whether enough of their n-grams are shared for a link."""
+    out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("rid", "doc", "th", "n", "s1", "s2")}).assign(core=False)]
+    answers = answers.sort_values("owner")
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for n, b in zip(answers["n"], answers["bits"])]
+    for keys, coded in zip(sets["keys"], sets["coded"]):
+        rid, doc, th, n, s1, s2 = np.frombuffer(keys, np.int64).reshape(6, -1)
+        width = int(np.frombuffer(coded[:8], np.int64)[0])
+        row = np.repeat(np.arange(len(n)), n)
+        slot = (rice.decode(coded[8:]) - row.astype(np.uint64) * np.uint64(width)).astype(np.int64)
+        shared = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool) | (np.bincount(slot, minlength=width) > 1)
+        s = np.bincount(row, shared[slot], minlength=len(n))
+        out.append(pd.DataFrame({"rid": rid, "doc": doc, "th": th, "n": n, "s1": s1, "s2": s2, "core": (n > 0) & (5 * s >= 4 * n)}))
+    return pd.concat(out)
+
+
+def judged(rows: DataFrame, n_words: int = WORDS) -> DataFrame:
+    """Every row of ``rows`` (doc, th, text): rid, doc, th, n (set size), s1, s2 (digest of the set) and core: whether it
+    may have a link. Rows without a link may be core; rows with one always are."""
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // CHUNK)
+    bits = min(64, max(32, math.ceil(math.log2(total / 4 + 1)) + 8))  # so that few n-grams look shared by chance
+    book = written(rows.mapInPandas(_book(n_words, owners, bits), BOOK), "jaccard-book", "kind")
+    lists = book.filter("kind = 'list'").select("chunk", "owner", "coded").repartition(owners, "owner")
+    answers = lists.groupBy("owner").applyInPandas(_answers, "chunk long, owner long, n long, bits binary")
+    sets = book.filter("kind = 'set'").select("chunk", "keys", "coded")
+    return written(sets.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_summed, ROWS), "jaccard-rows")
+
+
+def _exploded(n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            part = np.cumsum(batch["zx"].map(len) + batch["zy"].map(len)) // CHUNK
-            for _, some in batch.groupby(part, sort=False):
-                zs = pd.concat([some["zx"], some["zy"]])
-                codes, unique = pd.factorize(zs)
-                row, grams = ngram_sets([expand(z) for z in unique], n_words)
-                edges = np.searchsorted(row, np.arange(len(unique) + 1))
-                cuts = [np.uint64(i * (1 << 64) // fragments) for i in range(1, fragments)]
-                sets = [grams[a:b] for a, b in zip(edges, edges[1:])]
-                ends = [np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]]) for s in sets]
-                out = []
-                for i, (x, y) in enumerate(zip(some["x"], some["y"])):
-                    p, q = codes[i], codes[i + len(some)]
-                    size, left_x, left_y, have, parts = len(sets[p]) + len(sets[q]), len(sets[p]), len(sets[q]), 0, []
-                    for f in range(fragments):
-                        a, b = sets[p][ends[p][f] : ends[p][f + 1]], sets[q][ends[q][f] : ends[q][f + 1]]
-                        common = len(np.intersect1d(a, b, assume_unique=True))
-                        have, left_x, left_y = have + common, left_x - len(a), left_y - len(b)
-                        if not whole and 9 * (have + min(left_x, left_y)) < 4 * size:
-                            break
-                        parts.append((x, y, f, common, size))
-                    else:
-                        out += parts
-                yield pd.DataFrame(out, columns=["x", "y", "f", "common", "size"])
+        for some in chunks(batches, "text", 1 << 20):
+            row, grams = ngram_sets([x.encode() for x in some["text"]], n_words)
+            yield pd.DataFrame({"rid": some["rid"].to_numpy()[row], "n": some["n"].to_numpy()[row], "gram": grams.view(np.int64)})
 
     return run
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, n_words: int = WORDS, fragments: int = FRAGMENTS, whole: bool = False) -> DataFrame:
-    """(x, y, common, size) of ``pairs`` (x, y): shared n-grams and the sum of both set sizes. Unless ``whole``,
-    too low a count may stand for pairs that do not link. ``texts``: rid, z."""
-    side = lambda c: texts.select(F.col("rid").alias(c), F.col("z").alias(f"z{c}"))
-    both = pairs.select("x", "y").hint("merge").join(side("x"), "x").hint("merge").join(side("y"), "y")
-    parts = both.mapInPandas(_partial(n_words, fragments, whole), "x long, y long, f int, common long, size long").distinct()
-    return parts.groupBy("x", "y").agg(F.sum("common").alias("common"), F.max("size").alias("size"))
+def linkable(heads: DataFrame, rows: DataFrame, n_words: int) -> DataFrame:
+    """(rid, n, s, score, grams) of the classes ``heads`` (rid, doc, th, n): n-grams that other classes hold too, rare ones
+    first, of classes with enough of them for a link. score: how common they are."""
+    texts = rows.join(heads, ["doc", "th"]).groupBy("rid", "n").agg(F.any_value("text").alias("text"))  # a row may repeat
+    grams = written(texts.mapInPandas(_exploded(n_words), "rid long, n long, gram long"), "jaccard-grams")
+    held = grams.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1")
+    own = grams.join(held, "gram").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("own"))
+    own = own.withColumn("s", F.size("own")).filter("5 * s >= 4 * n")
+    score = F.expr("aggregate(own, 0D, (a, x) -> a + x.held) / n")
+    return written(own.select("rid", "n", "s", score.alias("score"), F.expr("own.gram").alias("grams")), "jaccard-core")
 
 
-def closer(pairs: DataFrame, maps: DataFrame, limit: str, *more: str) -> DataFrame:
-    """``pairs`` (x, y, …) whose parity maps do not show that ``limit``, SQL on ``differ`` (n-grams in one set alone, at
-    least) and ``size`` (of both sets), fails."""
-    both = pairs.alias("p").join(maps.alias("i"), F.expr("p.x = i.rid")).join(maps.alias("j"), F.expr("p.y = j.rid"))
-    return both.select("p.*", F.expr(differing("i", "j")).alias("differ"), F.expr("i.n + j.n").alias("size")).filter(limit).selectExpr("*", *more).drop("differ", "size")
-
-
-LINKS = "9 * common >= 4 * size"  # 100 * intersection >= 80 * union
-DISTANCE = "1 - common / (size - common)"
-REACH = 0.2 + 1e-9
-
-
-def differing(x: str, y: str) -> str:
-    """SQL: bits in which two parity maps differ."""
-    return "(" + " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in PARITY) + ")"
+def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(rid, f, n, part): the n-grams of a set that lie in each fragment, sorted."""
+    cuts = np.array([i * (1 << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            out = []
+            for rid, n, grams in zip(*(batch[c].iloc[at : at + 256] for c in ("rid", "n", "grams"))):
+                grams = np.sort(np.asarray(grams, np.int64).view(np.uint64))
+                for f, part in enumerate(np.split(grams, np.searchsorted(grams, cuts))):
+                    out.append((rid, f, n, part.tobytes()))
+            yield pd.DataFrame(out, columns=["rid", "f", "n", "part"])
+
+
+def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Overlap of each pair in one fragment."""
+    for batch in batches:
+        common = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(batch["px"], batch["py"])]
+        yield pd.DataFrame({"x": batch["x"], "y": batch["y"], "common": common, "size": batch["nx"] + batch["ny"]})
+
+
+def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(x, y, common, size) of ``pairs`` (x, y): shared n-grams and the sum of both set sizes. A set y with many
+    pairs comes in several copies, so that no task gets them all."""
+    many = pairs.groupBy("y").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies"))
+    y = fragments.join(many, F.col("rid") == F.col("y")).select("y", "f", F.col("n").alias("ny"), F.col("part").alias("py"), F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"))
+    x = pairs.join(many, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("copy"))
+    x = x.join(fragments.select(F.col("rid").alias("x"), "f", F.col("n").alias("nx"), F.col("part").alias("px")), "x")
+    parts = x.join(y, ["y", "f", "copy"]).mapInPandas(_partial, "x long, y long, common long, size long")
+    return parts.groupBy("x", "y").agg(F.sum("common").alias("common"), F.max("size").alias("size"))
 
 
 def may_link(x: str, y: str) -> str:
-    """SQL on two postings of one n-gram: sizes, places and parity maps (folded to 128 bits) leave room for a link, and the n-gram is in the prefix that the
-    shorter set needs."""
+    """SQL on two postings of one n-gram: sizes, shared n-grams and places leave room for a link, and the n-gram is in
+    the prefix that the shorter set needs."""
     return f"""5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n)
+        AND 9 * least({x}.s, {y}.s) >= 4 * ({x}.n + {y}.n)
         AND CASE WHEN {x}.n > {y}.n OR {x}.n = {y}.n AND {x}.rid > {y}.rid THEN {y}.short ELSE {x}.short END
-        AND 9 * (bit_count({x}.f0 ^ {y}.f0) + bit_count({x}.f1 ^ {y}.f1)) <= {x}.n + {y}.n
-        AND 9 * (least({x}.place, {y}.place) + 1 + least({x}.n - {x}.place, {y}.n - {y}.place) - 1) >= 4 * ({x}.n + {y}.n)"""
-
-
-def between_components(at: DataFrame, grams: DataFrame, roots: DataFrame, texts: DataFrame, maps: DataFrame, n_words: int) -> DataFrame:
-    """(x, y): every pair of different components that could link. ``at``: postings with their roots;
-    ``maps``: parity maps of the sets.
-
-    A component with several members has a pivot. Jaccard distances obey the triangle inequality, so a document
-    can link to a member only if it is not farther from the pivot than the member by more than 0.2.
-    """
-    side = written(at.join(grams, "gram", "left_semi"), "jaccard-side")
-    centres = at.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.max(F.struct("score", "rid"))["rid"].alias("pivot"))
-    centres = written(centres, "jaccard-centres")
-    members = roots.join(centres, "root").filter("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"), "root")
-    inner = overlaps(members, texts, n_words, whole=True).select(F.col("x").alias("node"), F.expr(DISTANCE).alias("d"))
-    inner = roots.join(inner, "node", "left").select("node", "root", F.coalesce("d", F.lit(0.0)).alias("d"))  # a pivot: 0
-    inner = written(inner, "jaccard-inner")
-    radius = inner.groupBy("root").agg(F.max("d").alias("radius"))
-    held = side.join(centres, "root").select("gram", F.col("root").alias("there"), "pivot").distinct()
-    asking = side.join(held, "gram").filter("root <> there").select(F.col("rid").alias("x"), F.col("pivot").alias("y"), "there").distinct()
-    asking = asking.join(radius.select("root", "radius"), F.col("there") == F.col("root"))
-    far = "2.0 * differ / (size + differ)"  # at least, by the parity maps
-    near = closer(asking, maps, f"{far} <= radius + {REACH}", f"{far} AS far").select(F.col("x").alias("rid"), "there", "far")
-    near = written(near, "jaccard-near")
-    bits = maps.select("rid", *PARITY)
-    o = side.join(near.join(bits, "rid"), "rid").alias("o")
-    m = side.join(inner.select(F.col("node").alias("rid"), "d").join(bits, "rid"), "rid").alias("m")
-    apart = f"9 * {differing('o', 'm')} <= o.n + m.n"
-    reached = o.join(m, F.expr(f"o.gram = m.gram AND o.there = m.root AND o.far - m.d <= {REACH} AND {may_link('o', 'm')} AND {apart}"))
-    single = side.join(roots.select(F.col("node").alias("rid")), "rid", "left_anti")
-    alone = single.alias("o").join(single.alias("m"), F.expr(f"o.gram = m.gram AND o.rid > m.rid AND {may_link('o', 'm')}"))
-    pair = (F.greatest("o.rid", "m.rid").alias("x"), F.least("o.rid", "m.rid").alias("y"))
-    return reached.select(*pair).union(alone.select(*pair)).distinct()
-
-
-def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, doc, th, kept of every row of ``docs``: documents link at a Jaccard similarity of
-    0.8 or more, and component_id is the smallest id that links reach. A text with fewer words is one n-gram;
-    a null text, or one without words, links with nothing. Rows are judged one by one, also those that repeat an id.
-    ``numbered`` gives doc and th, the key of a row; kept is true for one row of each component, the first by id and key.
-    """
-    spark = docs.sparkSession
-    rows = numbered(docs, id_col, text)
-    n_buckets = buckets_for(rows)
-    table = spark.sparkContext.broadcast(frequent(rows, n_words))
-    sets = written(rows.mapInPandas(_sets(table, n_words), SETS), "jaccard-sets")
-    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "th", "rid")).alias("least"), F.min(F.when(F.col("prefix").isNotNull(), F.col("rid"))).alias("class"))
-    classes = written(classes, "jaccard-classes")
-
-    def anchors(some: pd.DataFrame):
-        size = [len(x) // 8 for x in some["text"]]
-        return np.frombuffer(b"".join(some["text"]), np.uint64), np.repeat(np.arange(len(some)), size)
-
-    proposing = sets.filter("prefix IS NOT NULL")
-    shared = suspect_anchors(proposing.select(F.col("rid").alias("doc"), F.col("prefix").alias("text")), anchors, n_buckets, within=False)
-    shared = suspects_of(shared)
-    heads = classes.select("class")
-    posted = (
-        proposing.select("rid", "n", "score", "prefix", *PARITY).hint("merge").join(shared, F.col("rid") == F.col("doc"))
-        .mapInPandas(_postings, "gram long, rid long, n int, score int, place int, short boolean, f0 long, f1 long")
-        .join(heads, F.col("rid") == F.col("class"), "left_semi")
-    )
+        AND 9 * (least({x}.place, {y}.place) + least({x}.s - {x}.place, {y}.s - {y}.place)) >= 4 * ({x}.n + {y}.n)"""
+
+
+def hub_pairs(at: DataFrame, turn) -> DataFrame:
+    """(x, y): for each set the most central one of another component that its prefix shares the most n-grams with."""
+    hubs = at.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", turn.alias("turn"), "rid", "n", "s", "root")).alias("hub")).filter("lo < hi")
+    near = at.join(hubs.select("gram", "hub"), "gram").filter(
+        "root <> hub.root AND 5 * least(n, hub.n) >= 4 * greatest(n, hub.n) AND 9 * least(s, hub.s) >= 4 * (n + hub.n)"
+    )
+    near = near.groupBy(F.col("rid").alias("x"), F.col("hub.rid").alias("y")).agg(F.count("*").alias("shared"), F.max("hub.score").alias("score"))
+    return near.groupBy("x").agg(F.max(F.struct("shared", "score", "y"))["y"].alias("y"))
+
+
+def between_components(at: DataFrame) -> DataFrame:
+    """(x, y): every pair of different components that could link. An n-gram's postings in the component that has the most
+    of them meet the others, never each other."""
+    sizes = at.groupBy("gram", "root").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("gram").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root"))["root"].alias("main")).filter("roots > 1")
+    some = written(at.join(main.select("gram", "main"), "gram"), "jaccard-between")
+    few = some.filter("root <> main")
+    pairs = few.alias("o").join(some.alias("m"), F.expr(f"o.gram = m.gram AND o.root <> m.root AND (m.root = m.main OR o.rid > m.rid) AND {may_link('o', 'm')}"))
+    return pairs.select(F.greatest("o.rid", "m.rid").alias("x"), F.least("o.rid", "m.rid").alias("y")).distinct()
+
+
+def rooted(core: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+    """(node, root) of the sets that link, by component; None where no two of them share a prefix."""
+    fragments = written(core.select("rid", "n", "grams").mapInPandas(_fragments, "rid long, f int, n long, part binary"), "jaccard-fragments")
+    prefix = F.posexplode(F.expr("slice(grams, 1, CAST(s - ceil(4 * n / 5) + 1 AS int))")).alias("place", "gram")
+    posted = core.select("rid", "n", "s", "score", prefix).withColumn("short", F.expr("place < s - ceil(8 * n / 9) + 1"))
     posted = written(posted, "jaccard-postings")
-    wanted = posted.select("rid").distinct().join(sets.select("rid", "doc", "th"), "rid")
-    texts = written(rows.select("doc", "th", compressed("text").alias("z")).hint("merge").join(wanted, ["doc", "th"]).select("rid", "z"), "jaccard-texts")
-
-    maps = sets.filter("prefix IS NOT NULL").select("rid", "n", *PARITY)
     edges, tried, roots = None, None, None
     for k in range(rounds + 1):
-        if roots is None:
-            at = posted.withColumn("root", F.col("rid"))
-        else:
+        at = posted.withColumn("root", F.col("rid"))
+        if roots is not None:
             at = posted.join(roots, F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rid")).drop("node")
-        turn = F.xxhash64(F.lit(k), "rid") if k else -F.col("rid")
-        split = at.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", turn.alias("turn"), "rid", "n", "root")).alias("hub")).filter("lo < hi")
-        split = written(split, "jaccard-split")
-        if not split.limit(1).count():
-            break
-        if k == rounds:
-            pairs = between_components(at, split.select("gram"), roots, texts, maps, n_words)
-        else:
-            near = (
-                at.join(split.select("gram", F.col("hub.rid").alias("y"), F.col("hub.n").alias("n_y"), F.col("hub.root").alias("root_y"), F.col("hub.score").alias("s_y")), "gram")
-                .filter("root <> root_y AND 5 * least(n, n_y) >= 4 * greatest(n, n_y)")
-                .groupBy(F.col("rid").alias("x"), "y").agg(F.count("*").alias("common"), F.max("s_y").alias("s_y"))
-            )
-            pairs = near.groupBy("x").agg(F.max(F.struct("common", "s_y", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+        pairs = between_components(at) if k == rounds else hub_pairs(at, F.xxhash64(F.lit(k), "rid"))
         if tried is not None:
             pairs = pairs.join(tried, F.expr("greatest(x, y) = a AND least(x, y) = b"), "left_anti")
-        pairs = written(closer(pairs, maps, "9 * differ <= size"), "jaccard-pairs")
-        found = overlaps(pairs, texts, n_words).filter(LINKS).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = written(found, "jaccard-links")
+        pairs = written(pairs, "jaccard-pairs")
+        if pairs.isEmpty():
+            if k == rounds:
+                break
+            continue
+        found = written(overlaps(pairs, fragments).filter(LINKS).select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-links")
         edges = found if edges is None else edges.union(found)
         done = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         tried = done if tried is None else tried.union(done)
         roots = written(components(edges), "jaccard-roots")
-    if roots is None:
-        named = classes.withColumn("first", F.col("least"))
-    else:
-        named = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
-        least = named.groupBy("root").agg(F.min("least").alias("first"))
-        named = named.join(least, "root")
-    out = sets.select("doc", "th", "rid", "n", "s1", "s2").join(named.select("s1", "s2", "n", "first"), ["s1", "s2", "n"], "left")
-    return out.select(
-        F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("first.doc", "doc"), F.lit(NULL_ID)).alias("component_id"),
-        "doc", "th", F.coalesce(F.col("first.rid") == F.col("rid"), F.lit(True)).alias("kept"),
+    return roots
+
+
+def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, doc, th, kept of every row of ``docs``: documents link at a Jaccard similarity of
+    0.8 or more, and component_id is the smallest id that links reach. A text with fewer words is one n-gram;
+    a null text, or one without words, links with nothing. Rows are judged one by one, also those that repeat an id.
+    ``numbered`` gives doc and th, the key of a row; kept is true for one row of each component, the first by id and key.
+    Columns of ``docs`` other than the two named are not read, so their names do not matter; texts of any length count whole.
+    """
+    rows = numbered(docs, id_col, text)
+    every = judged(rows, n_words)
+    classes = every.filter("core").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "th", "rid")).alias("least"), F.count("*").alias("size"))
+    classes = written(classes, "jaccard-classes")
+    heads = classes.select("least.rid", "least.doc", "least.th", "n")
+    roots = rooted(linkable(heads, rows, n_words), rounds)
+    named = classes.select("s1", "s2", "n", "size", "least", F.col("least").alias("first"))
+    if roots is not None:
+        named = classes.join(roots, F.col("least.rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "least.rid"))
+        first = named.groupBy("root").agg(F.min("least").alias("first"))
+        named = named.join(first, "root").select("s1", "s2", "n", "size", "first")
+    linked = by_group(every.filter("core"), written(named.select("s1", "s2", "n", "size", "first"), "jaccard-named"), ["s1", "s2", "n"], "size")
+    alone = every.filter("NOT core").withColumn("first", F.struct("doc", "th", "rid"))
+    columns = ("doc", "th", "rid", "n", "first")
+    return linked.select(*columns).unionByName(alone.select(*columns)).select(
+        F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("first.doc", F.lit(NULL_ID)).alias("component_id"),
+        "doc", "th", (F.col("first.rid") == F.col("rid")).alias("kept"),
     )
 
 

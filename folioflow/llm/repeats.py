@@ -17,6 +17,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.words import mix  # noqa: F401
+
+
 #: Stands for a null id: after all others.
 NULL_ID = (1 << 63) - 1
 #: Text bytes handled at once in a task.
@@ -24,12 +27,6 @@ CHUNK = 1 << 19
 PLACE = np.uint64((1 << 28) - 1)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def compressed(text: str) -> Column:
     """UTF-8 text, compressed for its way through a shuffle."""
 
