@@ -110,10 +110,15 @@ def _book(n_words: int, owners: int, bits: int):
 def _answers(lists: pd.DataFrame) -> pd.DataFrame:
     """One owner: a bitmap for each chunk's list, set where another chunk has the n-gram too."""
     each = [rice.decode(x) for x in lists["coded"]]
-    every = np.sort(np.concatenate(each))
-    shared = every[1:][every[1:] == every[:-1]]
-    maps = [np.packbits(np.isin(x, shared, kind="sort")).tobytes() for x in each]
-    return pd.DataFrame({"chunk": lists["chunk"], "owner": lists["owner"], "n": [len(x) for x in each], "bits": maps})
+    size = [len(x) for x in each]
+    every = np.concatenate(each)
+    order = np.argsort(every)
+    every = every[order]
+    twice = np.concatenate([[False], every[1:] == every[:-1], [False]])
+    shared = np.empty(len(every), bool)
+    shared[order] = twice[1:] | twice[:-1]
+    maps = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(size)[:-1])]
+    return pd.DataFrame({"chunk": lists["chunk"], "owner": lists["owner"], "n": size, "bits": maps})
 
 
 def _summed(sets: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -158,10 +163,10 @@ def _exploded(n_words: int):
 def linkable(heads: DataFrame, rows: DataFrame, n_words: int) -> DataFrame:
     """(rid, n, s, score, grams) of the classes ``heads`` (rid, doc, th, n): n-grams that other classes hold too, rare ones
     first, of classes with enough of them for a link. score: how common they are."""
-    texts = rows.join(heads, ["doc", "th"]).groupBy("rid", "n").agg(F.any_value("text").alias("text"))  # a row may repeat
+    texts = rows.hint("merge").join(heads, ["doc", "th"]).groupBy("rid", "n").agg(F.any_value("text").alias("text"))  # a row may repeat
     grams = written(texts.mapInPandas(_exploded(n_words), "rid long, n long, gram long"), "jaccard-grams")
     held = grams.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1")
-    own = grams.join(held, "gram").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("own"))
+    own = grams.hint("merge").join(held, "gram").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("own"))
     own = own.withColumn("s", F.size("own")).filter("5 * s >= 4 * n")
     score = F.expr("aggregate(own, 0D, (a, x) -> a + x.held) / n")
     return written(own.select("rid", "n", "s", score.alias("score"), F.expr("own.gram").alias("grams")), "jaccard-core")
@@ -207,6 +212,13 @@ def may_link(x: str, y: str) -> str:
         AND 9 * (least({x}.place, {y}.place) + least({x}.s - {x}.place, {y}.s - {y}.place)) >= 4 * ({x}.n + {y}.n)"""
 
 
+def near_enough(k: int) -> str:
+    """SQL on two postings whose common n-grams with their central set of round k are known: if it is one and the same set, each
+    n-gram that both hold is in it for both, or outside it for both, which leaves room for a link."""
+    at_most = f"least(o.common{k}, m.common{k}) + least(o.s - o.common{k}, m.s - m.common{k})"
+    return f"coalesce(o.hub{k} <> m.hub{k} OR 9 * ({at_most}) >= 4 * (o.n + m.n), true)"
+
+
 def hub_pairs(at: DataFrame, turn) -> DataFrame:
     """(x, y): for each set the most central one of another component that its prefix shares the most n-grams with."""
     hubs = at.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", turn.alias("turn"), "rid", "n", "s", "root")).alias("hub")).filter("lo < hi")
@@ -217,14 +229,17 @@ def hub_pairs(at: DataFrame, turn) -> DataFrame:
     return near.groupBy("x").agg(F.max(F.struct("shared", "score", "y"))["y"].alias("y"))
 
 
-def between_components(at: DataFrame) -> DataFrame:
+def between_components(at: DataFrame, counted: list[DataFrame]) -> DataFrame:
     """(x, y): every pair of different components that could link. An n-gram's postings in the component that has the most
-    of them meet the others, never each other."""
+    of them meet the others, never each other. ``counted``: by round, common n-grams of sets x with a central set y."""
+    for k, c in enumerate(counted):
+        at = at.join(c.select(F.col("x").alias("rid"), F.col("y").alias(f"hub{k}"), F.col("common").alias(f"common{k}")), "rid", "left")
+    near = " AND ".join(["true", *map(near_enough, range(len(counted)))])
     sizes = at.groupBy("gram", "root").agg(F.count("*").alias("k"))
     main = sizes.groupBy("gram").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root"))["root"].alias("main")).filter("roots > 1")
     some = written(at.join(main.select("gram", "main"), "gram"), "jaccard-between")
     few = some.filter("root <> main")
-    pairs = few.alias("o").join(some.alias("m"), F.expr(f"o.gram = m.gram AND o.root <> m.root AND (m.root = m.main OR o.rid > m.rid) AND {may_link('o', 'm')}"))
+    pairs = few.alias("o").join(some.alias("m"), F.expr(f"o.gram = m.gram AND o.root <> m.root AND (m.root = m.main OR o.rid > m.rid) AND {may_link('o', 'm')} AND {near}"))
     return pairs.select(F.greatest("o.rid", "m.rid").alias("x"), F.least("o.rid", "m.rid").alias("y")).distinct()
 
 
@@ -234,12 +249,12 @@ def rooted(core: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
     prefix = F.posexplode(F.expr("slice(grams, 1, CAST(s - ceil(4 * n / 5) + 1 AS int))")).alias("place", "gram")
     posted = core.select("rid", "n", "s", "score", prefix).withColumn("short", F.expr("place < s - ceil(8 * n / 9) + 1"))
     posted = written(posted, "jaccard-postings")
-    edges, tried, roots = None, None, None
+    edges, tried, roots, counted = None, None, None, []
     for k in range(rounds + 1):
         at = posted.withColumn("root", F.col("rid"))
         if roots is not None:
             at = posted.join(roots, F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rid")).drop("node")
-        pairs = between_components(at) if k == rounds else hub_pairs(at, F.xxhash64(F.lit(k), "rid"))
+        pairs = between_components(at, counted) if k == rounds else hub_pairs(at, F.xxhash64(F.lit(k), "rid"))
         if tried is not None:
             pairs = pairs.join(tried, F.expr("greatest(x, y) = a AND least(x, y) = b"), "left_anti")
         pairs = written(pairs, "jaccard-pairs")
@@ -247,7 +262,8 @@ def rooted(core: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
             if k == rounds:
                 break
             continue
-        found = written(overlaps(pairs, fragments).filter(LINKS).select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-links")
+        counted.append(written(overlaps(pairs, fragments), "jaccard-counted"))
+        found = counted[-1].filter(LINKS).select(F.col("x").alias("a"), F.col("y").alias("b"))
         edges = found if edges is None else edges.union(found)
         done = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         tried = done if tried is None else tried.union(done)
@@ -271,8 +287,8 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id
     named = classes.select("s1", "s2", "n", "size", "least", F.col("least").alias("first"))
     if roots is not None:
         named = classes.join(roots, F.col("least.rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "least.rid"))
-        first = named.groupBy("root").agg(F.min("least").alias("first"))
-        named = named.join(first, "root").select("s1", "s2", "n", "size", "first")
+        first = named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members"))
+        named = by_group(named, written(first, "jaccard-first"), ["root"], "members").select("s1", "s2", "n", "size", "first")
     linked = by_group(every.filter("core"), written(named.select("s1", "s2", "n", "size", "first"), "jaccard-named"), ["s1", "s2", "n"], "size")
     alone = every.filter("NOT core").withColumn("first", F.struct("doc", "th", "rid"))
     columns = ("doc", "th", "rid", "n", "first")
