@@ -1,12 +1,12 @@
 """Repeated word sequences by relative Lempel-Ziv parsing.
 
-The reference is the corpus itself, cut into blocks by the hash of its windows: a block's index knows
-for each window of words that two places share where it starts first. A document is parsed greedily
-from left to right: a factor starts at the next window that some block knows from an earlier place, and
-goes on while the following windows continue that place. Windows that straddle a factor's boundary
-have entries of their own, so nothing between two factors is lost. Factors of a window's length or more
-are duplicate spans. Which windows need looking up comes from shared anchors (see ``repeats``); windows
-are compared by two independent 64-bit hashes of their words.
+The reference is the corpus itself, dealt into blocks by content: a block gets, for each shared anchor (see
+``repeats``) it owns, the stretches of words around it, so equal windows always lie in one block. A block
+indexes where each window of its stretches starts first, and factors every stretch greedily against that:
+a factor starts at the next window that the index knows from an earlier place, and is extended word by word as
+far as that place goes on. The windows across a factor's end are looked up next, so nothing between two
+factors is lost. Factors of a window's length or more are duplicate spans, and their words go. Words are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -15,92 +15,125 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, covered, expand, gathered, minimisers, mix, numbered, packed, suspect_anchors, wanted, with_suspects
+from folioflow.llm import words
+from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, expand, gathered, minimisers, numbered, packed, suspect_anchors, wanted, with_suspects
 from folioflow.llm.shared import written
+from folioflow.llm.words import mix
 
 K = 8
-KEYS = ("0123456789abcdef", "fedcba9876543210")
-P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-FOUND = {"starts": "<i4", "ref_docs": "<i8", "ref_starts": "<i4"}
-DEALT = "bucket long, keys binary, who binary, prints binary, starts binary, ref_docs binary, ref_starts binary"
-REPLIES = "part long, keys binary, who binary, starts binary, ref_docs binary, ref_starts binary"
+P = np.uint64(words.ODD[0])
+#: Stretches factored side by side.
+TOGETHER = 1 << 15
+FOUND = {"starts": "<i4", "sizes": "<i4", "ref_docs": "<i8", "ref_starts": "<i4"}
+DEALT = "bucket long, keys binary, who binary, spans binary, words binary, starts binary, sizes binary, ref_docs binary, ref_starts binary"
+REPLIES = "part long, keys binary, who binary, starts binary, sizes binary, ref_docs binary, ref_starts binary"
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every word, offsets of the documents' words, and each word's document's end."""
-    lists = [x.split() for x in texts]  # bytes split at \x20 and \x09 to \x0D only
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    flat = np.empty(offsets[-1], object)
-    flat[:] = [w for x in lists for w in x]
-    codes, unique = pd.factorize(flat)
-    h1, h2 = (hash_array(unique, hash_key=k, categorize=False)[codes] if len(unique) else np.zeros(0, np.uint64) for k in KEYS)
-    return h1, h2, offsets, np.repeat(offsets[1:], np.diff(offsets))
+class Prints:
+    """Hashes of any stretch of a sequence of word hashes."""
 
+    def __init__(self, word: np.ndarray):
+        up, self.down = words.powers(0, len(word) + 1)
+        self.sums = np.zeros(len(word) + 1, np.uint64)
+        np.cumsum(word * up[: len(word)], out=self.sums[1:])
 
-def _anchors(texts: list[bytes], window: int):
-    h1, h2, offsets, ends = _words(texts)
-    padded = np.concatenate([h1, np.zeros(K, np.uint64)])
-    grams = np.zeros(len(h1), np.uint64)
-    for j in range(K):
-        grams = grams * P1 + padded[j : j + len(h1)]
-    anchor, first, last = minimisers(mix(grams), ends, K, window)
-    return h1, h2, offsets, mix(grams)[anchor], np.searchsorted(offsets, anchor, "right") - 1, first, last
-
-
-def _earliest(f1, f2, docs, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, head, ref): entries by window, then place; whether it is its window's first; and the
-    index of that first entry, all in order."""
-    order = np.lexsort((starts, docs, f2, f1))
-    a, b = f1[order], f2[order]
-    head = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return order, head, order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        return mix((self.sums[start + size] - self.sums[start]) * self.down[start] + np.asarray(size, np.int64).astype(np.uint64))
 
 
-def _answers(docs, ths, starts, ref_docs, ref_starts, n_parts: int) -> pd.DataFrame:
-    """Packed by document: windows that start earlier elsewhere, and where."""
-    return packed(docs, ths, {"starts": starts.astype("<i4"), "ref_docs": ref_docs.astype("<i8"), "ref_starts": ref_starts.astype("<i4")}, n_parts)
-
-
-def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc, th, starts, ref_docs, ref_starts): by document, the windows whose words also start at an earlier place, and that place."""
+def _anchors(texts: list[bytes], window: int):
+    (word,), offsets = words.hashes(texts)
+    grams = np.zeros(len(word), np.uint64)
+    padded = np.concatenate([word, np.zeros(K, np.uint64)])
+    for j in range(K):
+        grams = grams * P + padded[j : j + len(word)]
+    grams = mix(grams)
+    anchor, first, last = minimisers(grams, np.repeat(offsets[1:], np.diff(offsets)), K, window)
+    return word, offsets, grams[anchor], np.searchsorted(offsets, anchor, "right") - 1, first, last
+
+
+def _earliest(prints, docs, starts) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the first one of its print by place, and whether that one is at an earlier place."""
+    order = np.lexsort((starts, docs, prints))
+    p = prints[order]
+    head = np.concatenate([np.ones(min(1, len(p)), bool), p[1:] != p[:-1]])
+    ref = np.empty(len(p), np.int64)
+    ref[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(p) else order
+    return ref, (docs[ref] < docs) | ((docs[ref] == docs) & (starts[ref] < starts))
+
+
+def _answers(docs, ths, starts, sizes, ref_docs, ref_starts, n_parts: int) -> pd.DataFrame:
+    """Packed by document: its factors."""
+    return packed(docs, ths, {c: x.astype(kind) for (c, kind), x in zip(FOUND.items(), (starts, sizes, ref_docs, ref_starts))}, n_parts)
+
+
+def parse(word: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Factors of stretches of words against each other: (stretch, first word in its document, length, reference
+    stretch, first word in that one's document). ``word``: the stretches' words, one after the other."""
+    ends = np.cumsum(sizes)
+    base = ends - sizes
+    n = sizes - window + 1  # windows
+    of = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = base[of] + inside
+    ref, known = _earliest(Prints(word).of(at, window), docs[of], starts[of] + inside)
+    # for each window the next known one of its stretch, or none
+    upcoming = np.where(known, np.arange(len(of)), len(of))
+    upcoming = np.minimum.accumulate(upcoming[::-1])[::-1] if len(of) else upcoming
+    last = np.cumsum(n)  # the window after the stretch's last one
+    found = []
+    for a in range(0, len(n), TOGETHER):
+        stretch = np.arange(a, min(len(n), a + TOGETHER))
+        here = (last - n)[stretch]
+        while len(stretch):
+            here = np.where(here < last[stretch], upcoming[np.minimum(here, len(of) - 1)], len(of))
+            go = here < last[stretch]
+            stretch, here = stretch[go], here[go]
+            if not len(stretch):
+                break
+            there = ref[here]
+            own, other = at[here], at[there]
+            room = np.minimum(ends[stretch] - own, ends[of[there]] - other)
+            step = np.arange(room.max())
+            same = (step < room[:, None]) & (word[np.minimum(own[:, None] + step, len(word) - 1)] == word[np.minimum(other[:, None] + step, len(word) - 1)])
+            size = np.where(same.all(1), len(step), same.argmin(1))
+            good = size >= window  # a window of another text with an equal print is no factor
+            found.append(np.stack([stretch, starts[stretch] + own - base[stretch], size, of[there], starts[of[there]] + other - base[of[there]]])[:, good])
+            here = here + np.where(good, size - window + 1, 1)
+    return tuple(np.concatenate(found, 1)) if found else (np.zeros(0, np.int64),) * 5
+
+
+def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
+    """(doc, th, starts, sizes, ref_docs, ref_starts): by document, factors that also start at an earlier place, and that place."""
     n_buckets = buckets_for(docs)
 
     def anchors(some: pd.DataFrame):
-        _, _, _, hashes, row, _, _ = _anchors([x.encode() for x in some["text"]], window)
+        _, _, hashes, row, _, _ = _anchors([x.encode() for x in some["text"]], window)
         return hashes, row
 
     suspects = written(suspect_anchors(docs, anchors, n_buckets, within=True), "lz-suspects")
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for some in chunks(iter([batch.assign(text=[expand(z) for z in batch["z"]])]), "text"):
-                h1, h2, offsets, hashes, row, first, last = _anchors(some["text"].tolist(), window)
+                word, offsets, hashes, row, first, last = _anchors(some["text"].tolist(), window)
                 use = wanted(some, hashes, row)
-                row, first, n = row[use], first[use], (last - first + 1)[use]
+                hashes, row, first, size = hashes[use], row[use], first[use], (last - first)[use] + window
                 if not len(row):
                     continue
-                place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                row = np.repeat(row, n)
-                f1, f2 = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
-                for j in range(window):
-                    f1, f2 = f1 * P1 + h1[place + j], f2 * P2 + h2[place + j]
-                f1, f2 = mix(f1), mix(f2)
-                keys = some[["doc", "th"]].to_numpy(np.int64)
-                starts = place - offsets[row]
-                order, head, ref = _earliest(f1, f2, keys[row, 0], starts)
-                later = order[~head]
-                here = ref[~head]
-                earlier = (keys[row[here], 0] < keys[row[later], 0]) | (starts[here] < starts[later])
-                later, here = later[earlier], here[earlier]
+                docs_, ths = some[["doc", "th"]].to_numpy(np.int64)[row].T
+                starts = first - offsets[row]
+                # of equal stretches only the first is factored elsewhere; the others are one factor each
+                ref, known = _earliest(Prints(word).of(first, size), docs_, starts)
+                later = np.flatnonzero(known)
                 if len(later):
-                    known = _answers(*keys[row[later]].T, starts[later], keys[row[here], 0], starts[here], n_buckets)
-                    yield known.assign(bucket=-1 - known.pop("part"), prints=None)
-                sent = order[head]
-                bucket = ((f1[sent] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                    told = _answers(docs_[later], ths[later], starts[later], size[later], docs_[ref[later]], starts[ref[later]], n_buckets)
+                    yield told.assign(bucket=-1 - told.pop("part"), spans=None, words=None)
+                sent = np.flatnonzero(~known)
+                bucket = ((hashes[sent] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 by = np.lexsort((starts[sent], row[sent], bucket))
                 sent, bucket = sent[by], bucket[by]
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -108,8 +141,11 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                 for a, b in zip(at, np.append(at[1:], len(sent))):
                     part = sent[a:b]
                     who, local = np.unique(row[part], return_inverse=True)
-                    out.append((bucket[a], keys[who].tobytes(), local.astype("<u4").tobytes(), starts[part].astype("<i4").tobytes(), np.stack([f1[part], f2[part]]).tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "keys", "who", "starts", "prints"]).assign(ref_docs=None, ref_starts=None)
+                    keys = some[["doc", "th"]].to_numpy(np.int64)[who]
+                    n = size[part]
+                    place = np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    out.append((bucket[a], keys.tobytes(), local.astype("<u4").tobytes(), np.stack([starts[part], n]).astype("<i4").tobytes(), word[place].tobytes()))
+                yield pd.DataFrame(out, columns=["bucket", "keys", "who", "spans", "words"]).assign(**dict.fromkeys(FOUND))
 
     def block(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
@@ -117,29 +153,31 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
         parts = []
         for r in rows.itertuples():
             who = np.frombuffer(r.keys, np.int64).reshape(-1, 2)[np.frombuffer(r.who, "<u4")]
-            f1, f2 = np.frombuffer(r.prints, np.uint64).reshape(2, -1)
-            parts.append((f1, f2, who[:, 0], who[:, 1], np.frombuffer(r.starts, "<i4").astype(np.int64)))
-        f1, f2, ids, ths, starts = map(np.concatenate, zip(*parts))
-        order, head, ref = _earliest(f1, f2, ids, starts)
-        later, here = order[~head], ref[~head]
-        earlier = (ids[here] < ids[later]) | (starts[here] < starts[later])
-        later, here = later[earlier], here[earlier]
-        return _answers(ids[later], ths[later], starts[later], ids[here], starts[here], n_buckets)
-
-    dealt = with_suspects(docs, suspects).mapInPandas(look_up, DEALT)
-    return gathered(dealt.groupBy("bucket").applyInPandas(block, REPLIES), FOUND)
-
-
-def factors(starts: np.ndarray, ref_docs: np.ndarray, ref_starts: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy parse of one document: (start, length in words, reference document, its start)."""
-    if not len(starts):
-        return []
-    starts, first = np.unique(starts, return_index=True)
-    ref_docs, ref_starts = ref_docs[first], ref_starts[first]
-    goes_on = (np.diff(starts) == 1) & (np.diff(ref_docs) == 0) & (np.diff(ref_starts) == 1)
-    at = np.concatenate([[0], np.flatnonzero(~goes_on) + 1])
-    size = np.append(at[1:], len(starts)) - at + window - 1
-    return list(zip(starts[at].tolist(), size.tolist(), ref_docs[at].tolist(), ref_starts[at].tolist()))
+            parts.append((who[:, 0], who[:, 1], *np.frombuffer(r.spans, "<i4").astype(np.int64).reshape(2, -1)))
+        ids, ths, starts, sizes = map(np.concatenate, zip(*parts))
+        word = np.frombuffer(b"".join(rows["words"]), np.uint64)
+        own, start, size, other, ref_start = parse(word, ids, starts, sizes, window)
+        return _answers(ids[own], ths[own], start, size, ids[other], ref_start, n_buckets)
+
+    dealt = with_suspects(docs, suspects, n_buckets).mapInPandas(deal, DEALT).repartition(n_buckets, "bucket")
+    return gathered(dealt.groupBy("bucket").applyInPandas(block, REPLIES), FOUND, n_buckets)
+
+
+def joined(starts: np.ndarray, sizes: np.ndarray, ref_docs: np.ndarray, ref_starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Factors of one document, in order: (start, length in words, reference document, its start). Overlapping
+    factors that go on at the same place are one."""
+    order = np.lexsort((-sizes, starts))
+    out: list[tuple[int, int, int, int]] = []
+    for s, n, d, r in zip(*(x[order].tolist() for x in (starts, sizes, ref_docs, ref_starts))):
+        if out and s <= out[-1][0] + out[-1][1]:
+            s0, n0, d0, r0 = out[-1]
+            if d == d0 and r - r0 == s - s0:
+                out[-1] = (s0, max(n0, s + n - s0), d0, r0)
+                continue
+            if s + n <= s0 + n0:
+                continue
+        out.append((s, n, d, r))
+    return out
 
 
 def deduplicated(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,24 +185,26 @@ def deduplicated(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
 
     A word goes when a window of ``window`` words over it also starts earlier: in a document with a smaller id,
     or earlier in its own. Null texts have no words; rows with one id count as one document; a null id is after
-    all others.
+    all others. Other columns of ``docs`` are not read; texts of any length count whole.
     """
     rows = numbered(docs, id_col, text)
-    found = written(repeated_windows(rows, window), "lz-windows")
+    found = written(repeated(rows, window), "lz-factors")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                words = expand(r.z).split()
+                each = expand(r.z).split()
                 if r.starts is None:
-                    out.append((r.doc, len(words), 0, b" ".join(words), []))
+                    out.append((r.doc, len(each), 0, b" ".join(each), []))
                     continue
-                starts, refs, places = (np.frombuffer(getattr(r, c), kind).astype(np.int64) for c, kind in FOUND.items())
-                spans = factors(starts, refs, places, window)
-                gone = covered(np.unique(starts), window, len(words))
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                out.append((r.doc, len(words), int(gone.sum()), kept, [dict(zip(("start", "length", "ref_doc", "ref_start"), x)) for x in spans]))
+                spans = joined(*(np.frombuffer(getattr(r, c), kind).astype(np.int64) for c, kind in FOUND.items()))
+                kept, at = [], 0
+                for start, size, _, _ in spans:
+                    kept += each[at : max(at, start)]
+                    at = max(at, start + size)
+                kept += each[at:]
+                out.append((r.doc, len(each), len(each) - len(kept), b" ".join(kept), [dict(zip(("start", "length", "ref_doc", "ref_start"), x)) for x in spans]))
             yield pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept", "factors"])
 
     texts = rows.select("doc", "th", compressed("text").alias("z")).hint("merge").join(found, ["doc", "th"], "left").drop("th")

@@ -24,7 +24,9 @@ from folioflow.llm.words import mix  # noqa: F401
 NULL_ID = (1 << 63) - 1
 #: Text bytes handled at once in a task.
 CHUNK = 1 << 19
-PLACE = np.uint64((1 << 28) - 1)
+#: Window starts looked at together, and the bits that hold a place among them.
+SEGMENT = 1 << 17
+PLACE = np.uint64((1 << 18) - 1)
 
 
 def compressed(text: str) -> Column:
@@ -70,6 +72,14 @@ def minimisers(hashes: np.ndarray, ends: np.ndarray, k: int, window: int) -> tup
     """(anchor, first, last): places of the anchors, and of the first and last window start each is
     the minimiser of. ``hashes``: of the k-grams at every place of a chunk (garbage across
     documents' ends); ``ends``: for each place, the end of its document."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    for at in range(0, len(hashes), SEGMENT):
+        stop = at + SEGMENT + window - 1
+        out.append(tuple(x + at for x in _minimisers(hashes[at:stop], ends[at:stop] - at, k, window)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _minimisers(hashes: np.ndarray, ends: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(hashes)
     width = window - k + 1
     if n < width:
@@ -80,7 +90,8 @@ def minimisers(hashes: np.ndarray, ends: np.ndarray, k: int, window: int) -> tup
         step = min(span, width - span)
         low = np.minimum(low[: len(low) - step], low[step:])
         span += step
-    starts = np.flatnonzero(np.arange(len(low)) + window <= ends[: len(low)])
+    low = low[:SEGMENT]
+    starts = np.flatnonzero(np.arange(window, len(low) + window) <= ends[: len(low)])
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3
     anchor = (low[starts] & PLACE).astype(np.int64)
@@ -95,7 +106,7 @@ def buckets_for(docs: DataFrame) -> int:
 
 
 def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], n_buckets: int, within: bool, hot: int = 0) -> DataFrame:
-    """Replies for ``suspects_of``: by document, the hashes of its anchors that another document has too, or, with
+    """Replies for ``with_suspects``: by document, the hashes of its anchors that another document has too, or, with
     ``within``, that occur twice in it. ``anchors`` gives for a chunk the (hash, row) of every anchor.
     Rows with ``hot`` hold no documents but the (hash, count) of anchors that ``hot`` chunks or more have."""
 
@@ -147,7 +158,7 @@ def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.
         return pd.concat(out)
 
     sent = docs.mapInPandas(send, "bucket long, keys binary, who binary, hashes binary")
-    return sent.groupBy("bucket").applyInPandas(own, "part long, keys binary, who binary, hashes binary, hot binary")
+    return sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(own, "part long, keys binary, who binary, hashes binary, hot binary")
 
 
 def packed(docs: np.ndarray, ths: np.ndarray, columns: dict[str, np.ndarray], n_parts: int) -> pd.DataFrame:
@@ -167,7 +178,7 @@ def packed(docs: np.ndarray, ths: np.ndarray, columns: dict[str, np.ndarray], n_
     return pd.DataFrame(out, columns=["part", "keys", "who", *columns])
 
 
-def gathered(replies: DataFrame, columns: dict[str, str]) -> DataFrame:
+def gathered(replies: DataFrame, columns: dict[str, str], n_parts: int) -> DataFrame:
     """(doc, th, columns as binary): one row per document, from the rows of ``packed``. ``columns``: NumPy types."""
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
@@ -188,17 +199,13 @@ def gathered(replies: DataFrame, columns: dict[str, str]) -> DataFrame:
             out[c] = [x[a:b].tobytes() for a, b in zip(edges, edges[1:])]
         return pd.DataFrame(out)
 
-    return replies.groupBy("part").applyInPandas(gather, "doc long, th long, " + ", ".join(f"{c} binary" for c in columns))
-
-
-def suspects_of(replies: DataFrame) -> DataFrame:
-    """(doc, hashes): one row per document that has suspect anchors."""
-    return gathered(replies.filter("part IS NOT NULL"), {"hashes": "u8"}).drop("th")
+    return replies.repartition(n_parts, "part").groupBy("part").applyInPandas(gather, "doc long, th long, " + ", ".join(f"{c} binary" for c in columns))
 
 
-def with_suspects(docs: DataFrame, replies: DataFrame) -> DataFrame:
-    """(doc, th, z, hashes) of the documents that have suspects."""
-    return docs.select("doc", "th", compressed("text").alias("z")).hint("merge").join(suspects_of(replies), "doc")
+def with_suspects(docs: DataFrame, replies: DataFrame, n_parts: int) -> DataFrame:
+    """(doc, th, z, hashes) of the documents that have suspect anchors."""
+    suspects = gathered(replies.filter("part IS NOT NULL"), {"hashes": "u8"}, n_parts).drop("th")
+    return docs.select("doc", "th", compressed("text").alias("z")).hint("merge").join(suspects, "doc")
 
 
 def wanted(rows: pd.DataFrame, hashes: np.ndarray, row_of: np.ndarray) -> np.ndarray:

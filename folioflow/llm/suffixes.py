@@ -165,8 +165,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
         start = np.concatenate([place[known], *(place[d] + left[d] - o for d, o in hits)])
         return _intervals(ids[rows], ths[rows], start, np.concatenate([n[known], np.ones(len(rows) - len(known), np.int64)]), n_buckets)
 
-    sheets = with_suspects(docs, suspects).mapInPandas(contexts, "bucket long, known boolean, numbers binary, body binary")
-    return gathered(sheets.groupBy("bucket").applyInPandas(compare, "part long, keys binary, who binary, starts binary, counts binary"), {"starts": "<i4", "counts": "<i4"})
+    sheets = with_suspects(docs, suspects, n_buckets).mapInPandas(contexts, "bucket long, known boolean, numbers binary, body binary")
+    return gathered(sheets.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(compare, "part long, keys binary, who binary, starts binary, counts binary"), {"starts": "<i4", "counts": "<i4"}, n_buckets)
 
 
 def _first_of(key: np.ndarray, more: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,12 +34,16 @@ def _values(seed: int, lower: bool) -> np.ndarray:
 
 @functools.lru_cache(4)
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the polynomial's base and of its inverse modulo 2 ** 64."""
     up, down = np.full(n, ODD[seed], np.uint64), np.full(n, pow(ODD[seed], -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the polynomial's base and of its inverse modulo 2 ** 64."""
+    return _powers(seed, 1 << max(16, int(n).bit_length()))
+
+
 SPACE = np.zeros(256, bool)
 SPACE[list(SPACES)] = True
 
@@ -70,7 +74,7 @@ def hashes(texts: list[bytes], lower: bool = False, seeds: tuple[int, ...] = (0,
         piece = data[at:end]
         a, b = bounds(piece)
         for seed, out in zip(seeds, found):
-            up, down = _powers(seed, 1 << max(16, int(len(piece)).bit_length()))
+            up, down = powers(seed, len(piece))
             sums = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum(_values(seed, lower)[piece] * up[: len(piece)], out=sums[1:])
             out.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(ODD[1 - seed])))
