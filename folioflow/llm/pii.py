@@ -1,49 +1,73 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
-Generators propose spans with high recall: what the strict patterns find, and looser shapes of the same
-kinds (spelled-out addresses, numbers without a country code or with other separators). Every span is
-described by its format and by the words before it. Boosted trees, fitted on a bounded sample of
-candidates and turned into a SQL expression, give it a score; a kind's threshold is the lowest score at
-which the sample's precision is high enough. Spans of the strict patterns always stay; the others are added
-where their score passes. Texts never leave their row.
+High-recall generators propose spans, which may overlap: what the strict patterns find, and looser shapes
+(addresses spelled out or broken, numbers with any separators or across a line's end, read as card, phone and address
+at once, long tokens). Each is described by its format and by what stands around it; boosted trees, turned into a
+SQL expression, score it, and a kind's calibrated threshold decides. Where accepted spans overlap, the best score stays.
+Spans of the strict patterns always stay, and loose ones that touch them go. Texts never leave their row.
+
+No table says where personal data is, so the trees learn from spans planted by rule into passages of the corpus:
+personal data in many formats, and what looks like it (dates, versions, prices, time stamps, codes). Whether a span was
+planted as the one or the other is its label; thresholds come from planted spans that the trees have not seen.
 """
 
 from __future__ import annotations
 
+import json
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
-#: Candidates the trees are fitted on at most, chosen by hash.
-SAMPLE = 20_000
-#: Precision that a kind's threshold must reach on the sample.
-PRECISION = 0.98
-DEPTH, TREES, BINS, RATE = 3, 8, 12, 0.5
-
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
-PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Shapes that look like a kind without being one by the strict pattern.
+KINDS = ("email", "ip", "card", "phone", "secret")
+STRICT = KINDS[:4]
+#: Passages of the corpus that spans are planted into, spans planted, and the precision that a kind's threshold must reach.
+PASSAGES, PLANTED, PRECISION = 256, 6000, 0.98
+DEPTH, TREES, BINS, RATE = 4, 16, 16, 0.4
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+#: Generators of loose spans: groups of digits with separators, also across blanks, or without them; addresses; tokens.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{2,64}(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{2,64}(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,24}){1,4}",
-    "ip": r"\b[0-9]{1,3}(?:\x20?[\[(]\.[\])]\x20?|\x20\.\x20)[0-9]{1,3}(?:\x20?[\[(]?\.[\])]?\x20?)[0-9]{1,3}(?:\x20?[\[(]?\.[\])]?\x20?)[0-9]{1,3}\b",
-    "card": r"\b[0-9]{4}(?:[\x20._/-]|\x20-\x20)[0-9]{4}(?:[\x20._/-]|\x20-\x20)[0-9]{4}(?:[\x20._/-]|\x20-\x20)[0-9]{2,4}\b",
-    "phone": r"(?:\b00[1-9][0-9]{0,2}[\x20.-]?|\()?\b[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b",
+    "wide": r"(?<![A-Za-z0-9])[+(]{0,2}[0-9]++(?:[\x20\n\t().,/_-]{1,3}[0-9]++)*+",
+    "tight": r"(?<![A-Za-z0-9])[+(]?[0-9]++(?:[().,/_-]{1,2}[0-9]++)*+",
+    "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\[({]\x20?at\x20?[\])}]|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}+"
+    r"(?:\x20?(?:\.|[\[({]\x20?dot\x20?[\])}]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,24}+){1,5}+",
+    "dotted": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\x20?(?:\.|[\[({]\x20?(?:\.|dot)\x20?[\])}]|\x20dot\x20)\x20?[0-9]{1,3}){3}(?![A-Za-z0-9.])",
+    "token": r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{16,256}+(?![A-Za-z0-9+/_=-])",
 }
-
-
-def spans_of(text: str, pattern: str, kind: str, strict: bool) -> str:
-    """SQL for the spans of a pattern in a column: array of (start, end, body, kind, strict), from
-    the leftmost on without overlaps. Positions are sums of the lengths of gaps and matches."""
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
+#: A text without it has no match, so that most texts are not searched. _d: a digit, _a: a sign or word for @.
+NEEDS = {"email": "instr(_t, '@') > 0", "ip": "_d", "card": "_d", "phone": "instr(_t, '+') > 0", "wide": "_d", "tight": "_d", "spelled": "_a", "dotted": "_d", "token": "_d"}
+SPAN = "array<struct<start: int, end: int, body: string>>"
+#: Matches whose positions are added up together.
+STEP = 64
+#: No loose span is longer, and at most so many places lie between two that overlap when they are sorted.
+WIDEST, NEIGHBOURS = 512, 256
+NEAR = f"slice({{0}}, greatest(1, i + 1 - {NEIGHBOURS}), {2 * NEIGHBOURS + 1})"
+OVERLAP = "{0}.start < x.end AND x.start < {0}.end"
+AS_SPAN = "x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'kind', x.kind)"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def spans_of(text: str, pattern: str) -> str:
+    """SQL for the spans of a pattern in a column: array of (start, end, body), from the leftmost on without
+    overlaps. Positions are sums of the lengths of gaps and matches, first of whole steps of matches."""
+    p = _quoted(pattern)
     return f"""
-        transform(array(struct(split({text}, '{quoted}') AS g, regexp_extract_all({text}, '{quoted}', 0) AS m)), z ->
-          aggregate(z.m,
-            CAST(struct(0, 0, array()) AS struct<i: int, at: int, out: array<struct<start: int, end: int, body: string, kind: string, strict: boolean>>>),
-            (s, m) -> named_struct('i', s.i + 1, 'at', s.at + length(z.g[s.i]) + length(m), 'out', concat(s.out,
-              array(named_struct('start', s.at + length(z.g[s.i]), 'end', s.at + length(z.g[s.i]) + length(m), 'body', m, 'kind', '{kind}', 'strict', {str(strict).lower()})))),
-            s -> s.out))[0]"""
+        transform(transform(transform(array(struct(split({text}, {p}) AS g, regexp_extract_all({text}, {p}, 0) AS m)),
+          z -> named_struct('g', z.g, 'm', z.m, 'n', transform(z.m, (x, i) -> length(x) + length(z.g[i])))),
+          z -> named_struct('g', z.g, 'm', z.m, 'n', z.n, 'b', aggregate(sequence(0, size(z.m) div {STEP}), array(0), (a, k) ->
+            concat(a, array(element_at(a, -1) + aggregate(slice(z.n, k * {STEP} + 1, {STEP}), 0, (s, x) -> s + x)))))),
+          z -> transform(transform(z.m, (x, i) -> named_struct('body', x, 'start',
+            z.b[i div {STEP}] + aggregate(slice(z.n, (i div {STEP}) * {STEP} + 1, i % {STEP}), 0, (s, v) -> s + v) + length(z.g[i]))),
+            x -> named_struct('start', x.start, 'end', x.start + length(x.body), 'body', x.body)))[0]"""
 
 
 def luhn(digits: str) -> str:
@@ -60,95 +84,203 @@ VALID = {
     "card": f"(length({DIGITS}) BETWEEN 14 AND 19 AND {luhn(DIGITS)})",
     "phone": f"length({DIGITS}) BETWEEN 10 AND 15",
 }
-#: A text without it has no match, so that most texts are not searched.
-NEEDS = {"email": "instr(_t, '@') > 0", "ip": "_d", "card": "_d", "phone": "instr(_t, '+') > 0"}
-LOOSE_NEEDS = {"email": "instr(_t, ' at ') > 0 OR instr(_t, 'at]') > 0 OR instr(_t, 'at)') > 0", "ip": "_d", "card": "_d", "phone": "_d"}
-SPAN = "array<struct<start: int, end: int, body: string, kind: string, strict: boolean>>"
-
-
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base``, the strict spans that hold, and ``loose``, further candidates with a
-    ``before`` context, which may overlap each other but no base span."""
-    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_d", F.expr("_t rlike '[0-9]'"))
-    none = f"CAST(array() AS {SPAN})"
-    strict = [f"CASE WHEN {NEEDS[k]} THEN filter({spans_of('_t', p, k, True)}, x -> {VALID[k]}) ELSE {none} END" for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE))]
-    loose = [f"CASE WHEN {LOOSE_NEEDS[k]} THEN {spans_of('_t', LOOSE[k], k, False)} ELSE {none} END" for k in KINDS]
-    out = out.withColumn("base", F.expr(f"concat({', '.join(strict)})")).withColumn("_loose", F.expr(f"concat({', '.join(loose)})"))
-    out = out.withColumn("loose", F.expr("CASE WHEN size(_loose) = 0 THEN _loose ELSE filter(_loose, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end)) END"))
-    context = lambda c: f"transform({c}, x -> struct(x.start, x.end, x.body, x.kind, x.strict, lower(substring(_t, greatest(1, x.start - 23), least(24, x.start))) AS before))"
-    return out.withColumn("loose", F.expr(f"CASE WHEN size(loose) = 0 THEN {context(none)} ELSE {context('loose')} END")).withColumn("base_context", F.expr(f"CASE WHEN size(base) = 0 THEN {context(none)} ELSE {context('base')} END")).drop("_t", "_d", "_loose")
-
-
+#: Kinds that a generator's span x (with d, its digits) may be.
+READ_AS = {
+    "wide": {"card": "length(x.d) BETWEEN 12 AND 19", "phone": "length(x.d) BETWEEN 7 AND 15"},
+    "tight": {"card": "length(x.d) BETWEEN 12 AND 19", "phone": "length(x.d) BETWEEN 7 AND 15"},
+    "spelled": {"email": "true"},
+    "dotted": {"ip": "true"},
+    "token": {"secret": "x.d <> '' AND x.body rlike '[A-Za-z]'"},
+}
 CUES = {
     "email": r"e-?mail|mailto|contact|write|courriel|correo|address|reach",
     "ip": r"\\bip\\b|host|server|addr|ping|login|adresse",
     "card": r"card|visa|master|amex|credit|debit|carte|karte|tarjeta|pay",
     "phone": r"tel|phone|call|fax|mobil|cell|ring|sms|appel|llam|anruf",
+    "secret": r"token|secret|passw|pwd|key|auth|bearer",
 }
-#: Features of a span x: its format and what stands before it.
+#: Features of a candidate x: its format (d: its digits, g: its groups) and what stands before and after it.
 FEATURES = {
-    "n_digits": f"CAST(length({DIGITS}) AS double)",
-    "n_letters": "CAST(length(regexp_replace(x.body, '[^A-Za-z]', '')) AS double)",
-    "n_separators": "CAST(length(regexp_replace(x.body, '[A-Za-z0-9]', '')) AS double)",
-    "n_groups": "CAST(size(filter(split(x.body, '[^A-Za-z0-9]+'), p -> p <> '')) AS double)",
-    "length": "CAST(length(x.body) AS double)",
-    "first_zero": "CAST(x.body rlike '^0' AS double)",
-    "spelled": "CAST(x.body rlike '(?i)(at|dot)' AS double)",
-    "luhn": f"CAST(x.kind = 'card' AND length({DIGITS}) BETWEEN 14 AND 19 AND {luhn(DIGITS)} AS double)",
-    "cue": "CAST(CASE x.kind " + " ".join(f"WHEN '{k}' THEN x.before rlike '{v}'" for k, v in CUES.items()) + " END AS double)",
-    "number_before": "CAST(x.before rlike '[0-9][^a-z]{0,3}$' AS double)",
+    "n_digits": "length(x.d)",
+    "n_letters": "length(regexp_replace(x.body, '[^A-Za-z]', ''))",
+    "length": "length(x.body)",
+    "n_groups": "size(x.g)",
+    "longest": "array_max(transform(x.g, p -> length(p)))",
+    "shortest": "array_min(transform(x.g, p -> length(p)))",
+    "last": "length(element_at(x.g, -1))",
+    "first_digit": "coalesce(try_cast(left(x.d, 1) AS int), -1)",
+    "plus": "CAST(x.body LIKE '%+%' OR x.body LIKE '00%' AS int)",
+    "brackets": "CAST(x.body LIKE '%(%' AS int)",
+    "commas": "CAST(x.body rlike '[,/_]' AS int)",
+    "dots": "CAST(x.body LIKE '%.%' AS int)",
+    "breaks": "CAST(x.body rlike '[\\n\\t]' AS int)",
+    "blanks": "CAST(x.body LIKE '% %' AS int)",
+    "at": "CAST(x.body LIKE '%@%' AS int)",
+    "hex": "CAST(x.body rlike '^[0-9a-fA-F]+$' AS int)",
+    "upper": "CAST(x.body rlike '[A-Z]' AND x.body rlike '[a-z]' AS int)",
+    "largest": "coalesce(array_max(transform(x.g, p -> try_cast(left(p, 6) AS int))), -1)",
+    "luhn": f"CAST(length(x.d) BETWEEN 12 AND 19 AND {luhn('x.d')} AS int)",
+    "cue": "CAST(CASE x.kind " + " ".join(f"WHEN '{k}' THEN x.before rlike '{v}'" for k, v in CUES.items()) + " END AS int)",
+    "counter": r"CAST(x.before rlike '(version|v\\.|page|isbn|order|chapter|section|no\\.|nr\\.|[$€£]|id|sum|commit|sha|md5|build)[^a-z0-9]{0,4}$' AS int)",
+    "unit": r"CAST(x.after rlike '^ ?(%|[$€£]|km|kg|eur|usd|am|pm|h |ms|units|items)' AS int)",
+    "assigned": r"CAST(x.before rlike '[=:][ \"\\x27]*$' AS int)",
+    "digit_near": "CAST(x.before rlike '[0-9][^a-z]{0,2}$' OR x.after rlike '^[^a-z]{0,2}[0-9]' AS int)",
+    "letter_near": "CAST(x.before rlike '[a-z]$' OR x.after rlike '^[a-z]' AS int)",
 }
 
 
-def _fit(sample: list, features: list[str]) -> tuple[list, dict[str, float]]:
-    """Boosted trees of ``DEPTH`` on logistic loss over binned features, and a threshold by kind, on
-    the driver over at most SAMPLE rows."""
+def _candidates(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with _base, the strict spans that hold, and _loose, the generators' spans of every kind with features;
+    those may overlap each other, and no base span."""
+    none = f"CAST(array() AS {SPAN})"
+    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn("_d", F.expr("_t rlike '[0-9]'")).withColumn("_a", F.expr("instr(_t, '@') > 0 OR _t rlike '[\\\\[({ ]at[\\\\])} ]'"))
+    as_kind = lambda k: f"x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'kind', '{k}')"
+    found = lambda name, p, k: f"transform(filter({spans_of('_t', p)}, x -> {VALID[k]}), {as_kind(k)})"
+    empty = "CAST(array() AS array<struct<start: int, end: int, body: string, kind: string>>)"
+    strict = [f"CASE WHEN {NEEDS[k]} THEN {found(k, PATTERNS[k], k)} ELSE {empty} END" for k in STRICT]
+    out = out.withColumn("_base", F.expr(f"concat({', '.join(strict)})"))
+    loose = []
+    for name, kinds in READ_AS.items():
+        with_digits = f"transform({spans_of('_t', LOOSE[name])}, x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'd', {DIGITS}))"
+        each = [f"transform(filter(z, x -> {where}), {as_kind(k)})" for k, where in kinds.items()]
+        loose.append(f"CASE WHEN {NEEDS[name]} THEN transform(array({with_digits}), z -> concat({', '.join(each)}))[0] ELSE {empty} END")
+    out = out.withColumn("_every", F.expr(f"array_distinct(concat({', '.join(loose)}))"))
+    both = "array_sort(concat(transform(_base, b -> struct(b.start, b.end, true AS strict, b.body, b.kind)), transform(_every, b -> struct(b.start, b.end, false AS strict, b.body, b.kind))))"
+    apart = f"NOT x.strict AND NOT exists({NEAR.format('z')}, b -> b.strict AND {OVERLAP.format('b')}) AND NOT exists(_base, b -> b.end - b.start > {WIDEST} AND {OVERLAP.format('b')})"
+    kept = f"transform(array({both}), z -> filter(z, (x, i) -> {apart}))[0]"
+    out = out.withColumn("_every", F.expr(f"CASE WHEN size(_every) = 0 THEN _every ELSE transform({kept}, {AS_SPAN}) END"))
+    around = f"""x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'kind', x.kind, 'd', {DIGITS},
+        'g', filter(split(x.body, '[^A-Za-z0-9]+'), p -> p <> ''),
+        'before', lower(substring(_t, greatest(1, x.start - 23), least(24, x.start))), 'after', lower(substring(_t, x.end + 1, 8)))"""
+    features = ", ".join(f"'{f}', CAST({e} AS int)" for f, e in FEATURES.items())
+    described = f"x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'kind', x.kind, {features})"
+    wide = "named_struct('start', 0, 'end', 0, 'body', '', 'kind', '', " + ", ".join(f"'{f}', 0" for f in FEATURES) + ")"
+    return out.withColumn("_loose", F.expr(f"CASE WHEN size(_every) = 0 THEN filter(array({wide}), x -> false) ELSE transform(transform(_every, {around}), {described}) END")).drop("_t", "_d", "_a", "_every")
+
+
+def _digits(rng: random.Random, shape: str) -> str:
+    return "".join(rng.choice("123456789") if c == "D" else rng.choice("0123456789") if c == "#" else c for c in shape)
+
+
+def _card(rng: random.Random) -> str:
+    digits = [int(c) for c in rng.choice("3456") + _digits(rng, "#" * rng.choice([13, 14, 14, 14, 15]))]
+    total = sum(x if i % 2 else 2 * x - 9 * (x > 4) for i, x in enumerate(digits[::-1]))
+    body = "".join(map(str, digits)) + str(-total % 10)
+    if rng.random() < 0.3:  # one that was mistyped is still personal
+        at = rng.randrange(1, len(body))
+        body = body[:at] + rng.choice("0123456789") + body[at + 1 :]
+    sep = rng.choice(["", "", " ", "-", ".", "_", "/", " - ", "\n"])
+    return sep.join(body[i : i + 4] for i in range(0, len(body), 4))
+
+
+def _planted(rng: random.Random, kind: str, good: bool) -> tuple[str, str]:
+    """(what stands before, span): personal data of a kind, or what looks like it."""
+    pick = rng.choice
+    word = lambda: "".join(pick("abcdefghilmnoprstuvw") for _ in range(rng.randint(3, 9)))
+    cue = pick({"email": ["e-mail: ", "contact ", "write to "], "ip": ["host ", "ip ", "server "], "card": ["card ", "visa ", "paid with "], "phone": ["tel. ", "call ", "phone: "], "secret": ["token = ", "key: ", 'secret="']}[kind]) if rng.random() < 0.5 else ""
+    octets = [str(rng.randint(0, 255)) for _ in range(4)]
+    code = lambda n, letters: "".join(pick(letters) for _ in range(n))
+    if good:
+        if kind == "email":
+            at, dot = pick([(" at ", " dot "), (" (at) ", "."), ("[at]", "[dot]"), ("@ ", "."), (" @", "."), ("(at)", "(dot)"), (" {at} ", " {dot} ")])
+            return cue, word() + pick(["", "." + word(), str(rng.randint(1, 99))]) + at + word() + dot + pick(["com", "org", "net", "de", "fr", "io"])
+        if kind == "ip":
+            return cue, pick(["[.]", " . ", "(.)", " dot ", "[dot]", " ."]).join(octets)
+        if kind == "card":
+            return cue, _card(rng)
+        if kind == "phone":
+            return cue, _digits(rng, pick(["D##-###-####", "(D##) ###-####", "D##.###.####", "00D# ## ### ####", "0## ### ## ##", "0D ## ## ## ##", "(0##) ### ####", "0D##/#######", "D## ### ####", "1-8##-###-####", "0D##-#######"]))
+        return pick(["token = \"", "api_key: ", "secret=", "password: ", "bearer ", ""]), pick([code(40, "0123456789abcdef"), code(32, "ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789"), "sk_" + code(24, "abcdefghij0123456789"), "AK" + code(18, "ABCDEFGHIJ0123456789")])
+    if kind == "email":
+        return "", pick([f"{word()} at {word()} . {word()}", f"look at {word()}.{word()}", f"{word()} at page.{word()}", f"{word()} at noon. {word()}"])
+    if kind == "ip":
+        return pick(["version ", "section ", "chapter ", "", "scores "]), pick([". ", ".", " . "]).join(str(rng.choice([rng.randint(0, 30), rng.randint(256, 999)])) for _ in range(4))
+    if kind == "card":
+        return pick(["order ", "isbn ", "id ", "sum ", ""]), _digits(rng, pick(["16###########", "978-D-##-######-#", "978##########", "D##,###,###,###", "20## 20## 20##", "0.D###########", "D.#############", "1################.##", "20##-##-## ##:##:##", "000000######", "D## ### ### ###"]))
+    if kind == "phone":
+        return pick(["", "page ", "order ", "id ", "$", "in ", "no. "]), _digits(rng, pick(["20##-0#-1#", "1#/0#/20##", "D,###,###", "1### - 20##", "20##/20##", "D###,###.##", "0.#######", "########", "D## 20##", "1# 1# 20##", "D.###.###", "#########", "16########", "D.##.####", "19## 20##"]))
+    return pick(["sha ", "commit ", "", "see ", "id "]), pick([word() + "-" + word() + "-" + word() + "-2024", "a/" + word() + "/" + word() + "/" + word() + "7", word() + "_" + word() + "_" + word() + str(rng.randint(1, 9)), word() * 3 + str(rng.randint(1, 99)), "-" * 20 + "1a"])
+
+
+def planted(passages: list[str], n: int = PLANTED, seed: int = 1) -> list[dict]:
+    """``n`` texts with one planted span each: text, kind, start, end, good, fold (0 to 3)."""
+    rng, out = random.Random(seed), []
+    passages = passages or ["some words that stand around"]
+    for i in range(n):
+        kind, good = KINDS[i % len(KINDS)], rng.random() < 0.5
+        before, body = _planted(rng, kind, good)
+        left, right = (rng.choice(passages) for _ in range(2))
+        left = left[: rng.randint(0, len(left))] + rng.choice([" ", " ", ". ", "\n", " ("]) + before
+        text = left + body + rng.choice([" ", ". ", ", ", "\n", ") ", '" ']) + right
+        out.append({"text": text, "kind": kind, "start": len(left), "end": len(left) + len(body), "good": good, "fold": i // len(KINDS) % 4})
+    return out
+
+
+def passages(docs: DataFrame, text: str, n: int = PASSAGES) -> list[str]:
+    """About ``n`` passages of 60 characters, of documents and from places chosen by hash; never more than ``2 * n``. Digits and
+    signs of addresses go, so that a passage holds no data of its own."""
+    every = max(1, docs.count() // n)
+    h, body = F.xxhash64(F.col(text)), F.coalesce(F.col(text), F.lit(""))
+    place = F.pmod(F.shiftright(h, 20), F.greatest(F.length(body) - 59, F.lit(1)).cast("long")).cast("int") + 1
+    some = docs.filter(F.pmod(h, F.lit(every)) == 0).select(F.regexp_replace(F.substring(body, place, F.lit(60)), "[0-9@+=]", "").alias("p")).filter("p <> ''")
+    return sorted(r["p"] for r in some.limit(2 * n).collect())
+
+
+def described(spark, texts: list[dict]) -> list:
+    """Features and label of every candidate in the planted ``texts``: good if it is the planted span, of its kind."""
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(texts)), "array<struct<text: string, kind: string, start: int, end: int, good: boolean, fold: int>>")).alias("r")).select("r.*")
+    found = _candidates(rows.withColumnRenamed("kind", "planted"), "text").select("start", "end", "good", "fold", "planted", F.explode("_loose").alias("x"))
+    label = "good AND x.kind = planted AND least(x.end, end) - greatest(x.start, start) >= 0.8 * (greatest(x.end, end) - least(x.start, start))"
+    return found.select("x.*", F.expr(label).alias("label"), "fold", F.expr("good AND x.start < end AND start < x.end").alias("touches")).collect()
+
+
+def _fit(rows: list) -> tuple[list, dict[str, float]]:
+    """Boosted trees on logistic loss over binned features, fitted on three folds, and a threshold by kind from the
+    fourth: the lowest score from which on precision holds. On the driver, over a bounded number of planted spans."""
     import numpy as np
 
-    if not sample:
-        return [], {k: 2.0 for k in KINDS}
-    x = np.array([[r[f] or 0.0 for f in features] + [float(r["kind"] == k) for k in KINDS] for r in sample])
-    y = np.array([float(r["label"]) for r in sample])
-    if y.min() == y.max():
-        return [], {k: 2.0 for k in KINDS}
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    x = np.array([[r[f] for f in FEATURES] + [r["kind"] == k for k in KINDS] for r in rows], float)
+    y = np.array([r["label"] for r in rows], float)
+    train = np.array([r["fold"] < 3 for r in rows])
+    kinds = np.array([r["kind"] for r in rows])
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
     score, trees = np.zeros(len(y)), []
 
-    def grow(rows, g, h, depth):
-        best = (1e-6, None, None)
-        total_g, total_h = g[rows].sum(), h[rows].sum()
-        if depth:
-            for j, edges in enumerate(cuts):
-                for c in edges:
-                    left = x[rows, j] <= c
-                    gl, hl = g[rows][left].sum(), h[rows][left].sum()
-                    if min(hl, total_h - hl) < 1.0:
-                        continue
-                    gain = gl * gl / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
-                    if gain > best[0]:
-                        best = (gain, j, float(c))
+    def grow(at, g, h, depth):
+        total_g, total_h = g[at].sum(), h[at].sum()
+        best = (1e-3, None, None)
+        for j, edges in enumerate(cuts if depth else ()):
+            place = np.searchsorted(edges, x[at, j])  # at most edges[i]: to the left of cut i
+            left_g, left_h = (np.cumsum(np.bincount(place, v[at], len(edges) + 1))[:-1] for v in (g, h))
+            gain = left_g**2 / (left_h + 1) + (total_g - left_g) ** 2 / (total_h - left_h + 1) - total_g**2 / (total_h + 1)
+            gain[(left_h < 1) | (total_h - left_h < 1)] = 0
+            if len(gain) and gain.max() > best[0]:
+                best = (gain.max(), j, float(edges[gain.argmax()]))
         if best[1] is None:
-            return float(RATE * total_g / (total_h + 1))
-        left = x[rows, best[1]] <= best[2]
-        return best[1], best[2], grow(rows[left], g, h, depth - 1), grow(rows[~left], g, h, depth - 1)
-
-    def value(tree, row):
-        while isinstance(tree, tuple):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree
+            return round(float(RATE * total_g / (total_h + 1)), 6)
+        left = x[at, best[1]] <= best[2]
+        return best[1], best[2], grow(at[left], g, h, depth - 1), grow(at[~left], g, h, depth - 1)
+
+    def values(tree, at):
+        if not isinstance(tree, tuple):
+            return np.full(len(at), tree)
+        left = x[at, tree[0]] <= tree[1]
+        out = np.empty(len(at))
+        out[left], out[~left] = values(tree[2], at[left]), values(tree[3], at[~left])
+        return out
 
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        trees.append(grow(np.arange(len(y)), y - p, p * (1 - p), DEPTH))
-        score += np.array([value(trees[-1], row) for row in x])
+        trees.append(grow(np.flatnonzero(train), y - p, p * (1 - p), DEPTH))
+        score += values(trees[-1], np.arange(len(y)))
     limits = {}
-    kinds = np.array([r["kind"] for r in sample])
     for k in KINDS:
-        order = np.argsort(-score[kinds == k])
-        s, good = score[kinds == k][order], y[kinds == k][order]
-        precise = np.cumsum(good) / np.arange(1, len(good) + 1) >= PRECISION
-        last = np.flatnonzero(precise & (np.append(s[1:], -np.inf) < s)) if len(s) else []
-        limits[k] = float(s[last[-1]]) if len(last) else 1e9
+        held = (kinds == k) & ~train
+        order = np.argsort(-score[held], kind="stable")
+        s, good = score[held][order], y[held][order]
+        precise = (np.cumsum(good) / np.arange(1, len(good) + 1) >= PRECISION) & (np.append(s[1:], -np.inf) < s)
+        limits[k] = round(float(s[np.flatnonzero(precise)[-1]]) - 1e-6, 6) if precise.any() else 1e9
     return trees, limits
 
 
@@ -158,38 +290,31 @@ def _sql(tree, names: list[str]) -> str:
     return f"{tree!r}D"
 
 
-def fitted(found: DataFrame, sample: int = SAMPLE) -> str:
-    """SQL condition on a loose span x: its boosted score passes its kind's threshold.
-
-    Positives are strict spans, seen without what made them strict (a plus sign, an @); so are loose spans
-    after a cue word and card numbers that pass the Luhn test; the other loose spans are negatives. The sample is the ``sample`` candidates with the smallest hash.
-    """
-    plain = "named_struct('start', x.start, 'end', x.end, 'body', CASE x.kind WHEN 'phone' THEN trim(LEADING '+' FROM x.body) WHEN 'email' THEN replace(x.body, '@', ' at ') ELSE x.body END, 'kind', x.kind, 'strict', x.strict, 'before', x.before)"
-    # the outer form: for the plain one Spark would search every text a second time, in a filter
-    spans = found.select(F.explode_outer(F.expr(f"concat(transform(base_context, x -> {plain}), loose)")).alias("x")).filter("x IS NOT NULL")
-    rows = spans.select("x.kind", *(F.expr(e).alias(f) for f, e in FEATURES.items()), F.expr(f"x.strict OR {FEATURES['cue']} = 1 OR {FEATURES['luhn']} = 1").alias("label"), F.xxhash64("x").alias("h"))
-    names = [f"({e})" for e in FEATURES.values()] + [f"CAST(x.kind = '{k}' AS double)" for k in KINDS]
-    trees, limits = _fit(rows.orderBy("h", *FEATURES).limit(sample).collect(), list(FEATURES))
-    if not trees:
-        return "false"
-    score = " + ".join(_sql(t, names) for t in trees)
+def fitted(docs: DataFrame, text: str = "text") -> str:
+    """SQL for how far the score of a candidate x lies above its kind's threshold, fitted on passages of ``docs``."""
+    trees, limits = _fit(described(docs.sparkSession, planted(passages(docs, text))))
+    names = [f"x.{f}" for f in FEATURES] + [f"CAST(x.kind = '{k}' AS int)" for k in KINDS]
     limit = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {v!r}D" for k, v in limits.items()) + " END"
-    return f"(({score}) >= {limit})"
-
-
-def detect(docs: DataFrame, text: str = "text", passes: str | None = None) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``, arrays of (start, end, body, kind, strict) by start, then kind:
-    the strict spans, and all spans. Positions count code points, ends are exclusive. Null text has none."""
-    found = candidates(docs, text)
-    passes = passes or fitted(found)
-    rank = "CASE {0}.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
-    ordered = lambda c: f"CASE WHEN size({c}) < 2 THEN {c} ELSE transform(sort_array(transform({c}, y -> struct(y.start, {rank.format('y')} AS k, y.end, y AS v))), z -> z.v) END"
+    return f"({' + '.join(_sql(t, names) for t in trees)} - {limit})"
+
+
+def detect(docs: DataFrame, text: str = "text", score: str | None = None, into: str = "pii") -> DataFrame:
+    """``docs`` with a column ``into``: struct of base and spans, arrays of (start, end, body, kind) by start, then kind:
+    the strict spans, and all spans. Positions count code points, ends are exclusive. Null text has none. Only columns
+    that start with _ are made on the way, so a column of ``docs`` by any other name stays; one named ``into`` is replaced."""
+    score = score or fitted(docs, text)
+    rank = "CASE y.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
+    ordered = lambda c: f"CASE WHEN size({c}) < 2 THEN {c} ELSE transform(array_sort(transform({c}, y -> struct(y.start, {rank} AS k, y.end, y AS v))), z -> z.v) END"
+    scored = f"filter(transform(_loose, x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'kind', x.kind, 'score', {score})), x -> x.score >= 0)"
+    better = "(y.score > x.score OR y.score = x.score AND (y.end - y.start > x.end - x.start OR y.end - y.start = x.end - x.start AND (y.start < x.start OR y.start = x.start AND y.kind < x.kind)))"
+    best = f"filter(z, (x, i) -> NOT exists({NEAR.format('z')}, y -> {OVERLAP.format('y')} AND {better}))"
+    more = f"transform(array({scored}), z -> transform({best}, {AS_SPAN}))[0]"
     return (
-        found.withColumn("_more", F.expr(f"CASE WHEN size(loose) = 0 THEN CAST(array() AS {SPAN}) ELSE transform(filter(loose, x -> {passes}), x -> struct(x.start, x.end, x.body, x.kind, x.strict)) END"))
-        .withColumn("base", F.expr(ordered("base")))
-        .withColumn("_all", F.concat("base", "_more"))
-        .withColumn("spans", F.expr(ordered("_all")))
-        .drop("_more", "_all", "loose", "base_context")
+        _candidates(docs, text)
+        .withColumn("_more", F.expr(f"CASE WHEN size(_loose) = 0 THEN filter(_base, x -> false) ELSE {more} END"))
+        .withColumn("_both", F.concat("_base", "_more"))
+        .withColumn(into, F.struct(F.expr(ordered("_base")).alias("base"), F.expr(ordered("_both")).alias("spans")))
+        .drop("_more", "_both", "_loose", "_base")
     )
 
 
@@ -198,25 +323,25 @@ def listed(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
 
 
-def redact(docs: DataFrame, text: str = "text", passes: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", score: str | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by
-    the first. A text without spans, or null, stays as it is."""
-    out = detect(docs, text, passes)
-    merged = """aggregate(spans, CAST(array() AS array<struct<start: int, end: int, kind: string>>), (a, x) ->
+    the first. A text without spans, or null, stays as it is; so do all other columns."""
+    out = detect(docs, text, score, "_pii")
+    body = f"`{text}`"
+    merged = """aggregate(_pii.spans, CAST(array() AS array<struct<start: int, end: int, kind: string>>), (a, x) ->
         CASE WHEN size(a) > 0 AND element_at(a, -1).end > x.start
              THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind)))
              ELSE concat(a, array(named_struct('start', x.start, 'end', x.end, 'kind', x.kind))) END)"""
-    body = f"`{text}`"
-    rewritten = f"""transform(array({merged}), m -> concat(aggregate(transform(m, (x, i) ->
+    parts = f"""transform(array({merged}), m -> concat(array_join(transform(m, (x, i) ->
         concat(substring({body}, CASE WHEN i = 0 THEN 1 ELSE m[i - 1].end + 1 END, x.start - CASE WHEN i = 0 THEN 0 ELSE m[i - 1].end END), '[', upper(x.kind), ']')),
-        '', (a, p) -> concat(a, p)), substring({body}, element_at(m, -1).end + 1)))[0]"""
-    return out.withColumn(text, F.expr(f"CASE WHEN size(spans) = 0 THEN {body} ELSE {rewritten} END")).drop("base", "spans")
+        ''), substring({body}, element_at(m, -1).end + 1)))[0]"""
+    return out.withColumn(text, F.expr(f"CASE WHEN size(_pii.spans) = 0 THEN {body} ELSE {parts} END")).drop("_pii")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     """Every document's personal data: counts and digest of the strict spans, and all spans."""
     out = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(
-        "doc_id", *(F.expr(f"CAST(size(filter(base, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS),
-        F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+        "doc_id", *(F.expr(f"CAST(size(filter(pii.base, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in STRICT),
+        F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"),
     )
