@@ -1,10 +1,10 @@
 """Exact duplicates by a Golomb-coded exchange of fingerprints.
 
-1. Each partition fingerprints its documents (64 bits of the SHA-256 of the normalised text), sorts
-   the distinct fingerprints and sends each owner of a fingerprint range one Golomb-Rice coded list.
-2. An owner answers with one bitmap per list: which of these fingerprints other partitions have too.
-   A fingerprint is sent once per partition however often it occurs there, so a group of copies
-   that holds a third of all rows costs an owner no more than one entry per partition.
+1. Each partition, in blocks of rows, fingerprints its documents (64 bits of the SHA-256 of the normalised text),
+   sorts the distinct fingerprints and sends each owner of a fingerprint range one Golomb-Rice coded list.
+2. An owner answers with one bitmap per list: which of these fingerprints other blocks have too.
+   A fingerprint is sent once per block however often it occurs there, so a group of copies
+   that holds a third of all rows costs an owner no more than one entry per block.
 3. Only suspects (documents whose fingerprint occurs twice) are shuffled with their texts, counted by
    their bytes, and those counts decide.
 """
@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import rice
-from folioflow.llm.shared import written
+from folioflow.llm.shared import by_group, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Fingerprints an owner gets on average, at most.
 OWNED = 1 << 20
+#: Rows of a block: about 60 bytes each, without their texts.
+BLOCK_ROWS = 1 << 19
 
 LEDGER = "kind string, block long, slot long, doc_id long, n_points long, sha binary, local boolean, owner long, payload binary"
 
@@ -36,11 +38,18 @@ def normalised(text):
 
 def _ledger(owners: int):
     def partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = TaskContext.get().partitionId()
-        parts = list(batches)  # 60 bytes a document, no texts
-        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
-        if rows.empty:
-            return
+        held, number = [], 0
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK_ROWS):
+                held.append(batch.iloc[at : at + BLOCK_ROWS])
+                if sum(map(len, held)) >= BLOCK_ROWS:
+                    yield from block_of(pd.concat(held, ignore_index=True), number)
+                    held, number = [], number + 1
+        if held:
+            yield from block_of(pd.concat(held, ignore_index=True), number)
+
+    def block_of(rows: pd.DataFrame, number: int) -> Iterator[pd.DataFrame]:
+        block = TaskContext.get().partitionId() << 32 | number
         head = np.frombuffer(b"".join(x[:8] for x in rows["sha"]), ">u8").astype(np.uint64)
         prints, slot, count = np.unique(head, return_inverse=True, return_counts=True)
         yield rows.assign(kind="row", block=block, slot=slot.astype(np.int64), local=count[slot] > 1, owner=0, payload=None)
@@ -77,7 +86,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
     Texts are equal when they are after deleting white space (``normalised``). The row with the most
     code points stays, then the smallest id. Empty and null texts are equal to each other. A repeated id is
-    a row of its own (of equal rows one has kept = true); a null id comes after all others.
+    a row of its own (of equal rows one has kept = true); a null id comes after all others. Other columns of
+    ``docs`` are not read, so their names do not matter; texts of any length count whole.
     """
     spark = docs.sparkSession
     n_rows = docs.select(id_col).count()
@@ -106,8 +116,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     best = suspects.groupBy("sha").agg(
         F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"), (-F.col("seq")).alias("neg_seq"))).alias("best")
     )
-    groups = equal.join(best, "sha").select("sha", "group_size", "best")
-    out = suspects.join(groups, "sha", "left").select(
+    groups = written(equal.join(best, "sha").select("sha", "group_size", "best"), "exact-groups")
+    out = by_group(suspects, groups, ["sha"], "group_size").select(
         "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size", (F.col("seq") == -F.col("best.neg_seq")).alias("kept"), "sha"
     )
     alone = judged.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")

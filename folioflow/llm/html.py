@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text blocks, each with the path of block elements from the root to it. Text
-length and punctuation are added up for each path, so short paragraphs share the ratios of the long
-ones beside them. Both ratios are smoothed along the page, fused, and thresholded; the paths that
-pass select the content. Elements that are no article by their tag, role or class never enter.
+A page is read into text blocks, each with its path of elements from the root. Text length and punctuation are
+averaged over the blocks of a path, so short paragraphs share the ratios of the long ones beside them. Both ratios are
+smoothed along the page, fused, and added up with weights for where a path lies (in the element that holds the content),
+for the links in it and for elements whose tag or class speaks against it. Paths near enough to the page's best one are
+content. No class word decides alone: where a whole article is marked, its marks count for the best path too.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 RAW = frozenset("script style noscript template iframe textarea title svg object annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,160 +36,194 @@ NOT_ARTICLE = frozenset(
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 
 
-#: First parts of a class or id, as in sidebar-left, that mark an element whatever follows.
+#: Marks of an element: a class that has a word of NOT_ARTICLE among others; one that consists of such words, or a
+#: tag that is no article; and hidden. Their weights, with those for a place in the content, for links, and the threshold.
+WEAK, STRONG, HIDDEN = 1, 2, 3
+WEIGHTS = {0: 0.0, WEAK: -0.4, STRONG: -4.0}
+INSIDE, LINKED, REACH = 2.0, -4.0, 1.9
+#: First parts of a class or id, as in sidebar-left, that make a whole mark.
 HEADS = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comments cookie cookies disqus footer gdpr nav navbar navigation newsletter popup promo sidebar sponsored".split())
+KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2.0)
 
 
-def _marked(value: str) -> bool:
-    """A whole token is on NOT_ARTICLE, or all of its parts are, or its first part is on HEADS."""
-    for token in value.split():
-        parts = [x for x in re.split(r"[^a-z]+", token) if x]
-        if parts and (parts[0] in HEADS or NOT_ARTICLE.issuperset(parts)):
-            return True
-    return False
-
-
-def _unwanted(tag: str, attributes: str, in_article: bool) -> str:
-    """"tag", "hidden" or "mark": why an element is no article; empty if it may be one."""
-    why = "tag" if tag in DROPPED and not (tag == "header" and in_article) else ""
+def _mark(tag: str, attributes: str, in_article: bool) -> int:
+    mark = STRONG if tag in DROPPED and not (tag == "header" and in_article) else 0
     for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "aria-hidden" and value == "true" or key == "hidden":
-            return "hidden"
-        if not why and key in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and _marked(value):
-            why = "mark"
-    return why
-
-
-def blocks_of(page: str) -> list[tuple[str, str, int, float]]:
-    """(path, text, container, share of link text) of each text block; container numbers the
-    article or main element around it, 0 outside."""
-    out: list[tuple[str, str, int, float]] = []
-    stack: list[str] = []
-    parts: list[str] = []
-    linked, links, dropped_at, container, n_containers = 0, 0, -1, [0], 0
-    opened: list[int] = []  # where the elements of the stack begin
-    spared: set[int] = set()  # elements that hold an article, so that their marks do not count
-    may_spare, links_before = False, 0
-
-    def flush() -> None:
-        nonlocal linked
-        text = "".join(parts)
-        parts.clear()
-        text = " ".join((entities.unescape(text) if "&" in text else text).split())
-        if text:
-            out.append(("/".join(stack), text, container[-1], min(1.0, linked / len(text))))
-        linked = 0
-
-    def pop_to(depth: int) -> None:
-        nonlocal dropped_at
-        while len(stack) > depth:
-            opened.pop()
-            if stack.pop() in ("article", "main") and dropped_at < 0 and len(container) > 1:
-                container.pop()
-            if len(stack) <= dropped_at:
-                dropped_at = -1
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        if dropped_at < 0 and (piece := page[at : m.start() if m else end]):
-            parts.append(piece)
-            linked += len(piece) if links else 0
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "a":
-                links = 0
-            if tag in INLINE or tag in VOID:
+            return HIDDEN
+        if key in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            for token in value.split():
+                parts = [x for x in re.split(r"[^a-z]+", token) if x]
+                if parts and (parts[0] in HEADS or NOT_ARTICLE.issuperset(parts)):
+                    mark = max(mark, STRONG)
+                elif not NOT_ARTICLE.isdisjoint(parts):
+                    mark = max(mark, WEAK)
+    return mark
+
+
+class Page:
+    """Elements (parent, path, mark) and text blocks (text, element, characters in links) of a page. Work is linear in
+    its length, however deep it nests."""
+
+    def __init__(self, page: str):
+        self.parent, self.path, self.mark, self.article, self.holds = [0], [0], [0], [0], [False]
+        self.tags = [""]
+        self.paths: dict[tuple[int, str, int], int] = {}
+        self.blocks: list[tuple[str, int, int]] = []
+        self._read(page)
+
+    def _open(self, tag: str, attributes: str, top: int) -> int:
+        n, article = len(self.parent), self.article[top]
+        mark = _mark(tag, attributes, article > 0)
+        if tag in ("article", "main"):
+            at = top
+            while at and not self.holds[at]:  # each element is told once
+                self.holds[at] = True
+                at = self.parent[at]
+            article = article or n
+        self.parent.append(top)
+        self.path.append(self.paths.setdefault((self.path[top], tag, mark), len(self.paths) + 1))
+        self.mark.append(mark)
+        self.article.append(article)
+        self.holds.append(False)
+        self.tags.append(tag)
+        return n
+
+    def _read(self, page: str) -> None:
+        stack, count, lists = [0], dict.fromkeys(ENDS_P, 0), [0]
+        parts: list[str] = []
+        linked, links = 0, 0
+
+        def flush() -> None:
+            nonlocal linked
+            text = "".join(parts)
+            parts.clear()
+            text = " ".join((entities.unescape(text) if "&" in text else text).split())
+            if text:
+                self.blocks.append((text, stack[-1], min(linked, len(text))))
+            linked = 0
+
+        def pop_to(tag: str) -> None:
+            while True:
+                gone = self.tags[stack.pop()]
+                count[gone] -= 1
+                if gone in ("li", "ul", "ol"):
+                    lists.pop()
+                if gone == tag:
+                    return
+
+        at, end, last = 0, len(page), page.rfind(">") + 1  # no tag ends behind
+        while at < end:
+            m = TOKEN.search(page, at, last) if at < last else None
+            piece = page[at : m.start() if m else end]
+            if piece:
+                parts.append(piece)
+                linked += len(piece) if links else 0
+            if not m:
+                break
+            at = m.end()
+            if not m[2]:
                 continue
-            if tag in stack:
-                if dropped_at < 0:
+            tag = m[2].lower()
+            if m[1]:
+                if tag == "a":
+                    links = 0
+                if tag not in INLINE and tag not in VOID and count.get(tag):
                     flush()
-                pop_to(len(stack) - 1 - stack[::-1].index(tag))
-            continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr") and dropped_at < 0:
-                parts.append(" ")
-            continue
-        if tag in INLINE:
-            links = tag == "a" or links
-            continue
-        if m[3].endswith("/"):
-            continue
-        if dropped_at < 0:
-            if tag not in ("td", "th"):
-                flush()
-            else:
+                    pop_to(tag)
+                continue
+            if tag in RAW:
+                if not m[3].endswith("/"):
+                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                    at = close.end() if close else end
+                continue
+            if tag in VOID:
+                if tag in ("br", "hr"):
+                    parts.append(" ")
+                continue
+            if tag in INLINE:
+                links = tag == "a" or links
+                continue
+            if m[3].endswith("/"):
+                continue
+            if tag in ("td", "th"):
                 parts.append(" ")
-        if tag in ENDS_P and "p" in stack:
-            pop_to(len(stack) - 1 - stack[::-1].index("p"))
-        elif tag == "li" and "li" in stack and not {"ul", "ol"} & {*stack[len(stack) - stack[::-1].index("li") :]}:
-            pop_to(len(stack) - 1 - stack[::-1].index("li"))
-        if dropped_at >= 0 and may_spare and tag in ("article", "main"):  # back to the dropped element
-            spared.update(opened[dropped_at:])
-            at, links = opened[dropped_at], links_before
-            del stack[dropped_at:], opened[dropped_at:]
-            dropped_at = -1
-            continue
-        why = _unwanted(tag, m[3], container[-1] > 0) if dropped_at < 0 else ""
-        if why and (why == "hidden" or m.start() not in spared):
-            dropped_at, may_spare, links_before = len(stack), why != "hidden" and container[-1] == 0, links
-        elif dropped_at < 0 and tag in ("article", "main"):
-            if container[-1] == 0:
-                n_containers += 1
-                container.append(n_containers)
             else:
-                container.append(container[-1])
-        stack.append(tag)
-        opened.append(m.start())
-    if dropped_at < 0:
+                flush()
+            if tag in ENDS_P and count.get("p"):
+                pop_to("p")
+            elif tag == "li" and self.tags[lists[-1]] == "li":
+                pop_to("li")
+            n = self._open(tag, m[3], stack[-1])
+            stack.append(n)
+            count[tag] = count.get(tag, 0) + 1
+            if tag in ("li", "ul", "ol"):
+                lists.append(n)
         flush()
-    return out
-
 
-def main_text(page: str | None, threshold: float = 0.2) -> str:
-    """The blocks of the content paths, in page order, joined by an empty line."""
-    found = [b for b in blocks_of(page or "") if b[3] < 0.6 or b[2]]
-    if not found:
+    def marks(self) -> list[int]:
+        """The strongest mark on or above each element. One around an article, outside of any, does not count, unless hidden."""
+        out = [0]
+        for i in range(1, len(self.parent)):
+            own = self.mark[i]
+            spared = own < HIDDEN and self.holds[i] and not self.article[i]
+            out.append(max(out[self.parent[i]], 0 if spared else own))
+        return out
+
+    def container(self, node: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """For each element whether it lies in the lowest one that has four fifths of ``mass`` (by block) in it."""
+        held = np.bincount(node, mass, len(self.parent))
+        for i in range(len(self.parent) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+        lowest = int(np.flatnonzero(held >= 0.8 * mass.sum())[-1])
+        inside = np.zeros(len(self.parent), bool)
+        for i in range(len(self.parent)):
+            inside[i] = i == lowest or (i > 0 and inside[self.parent[i]])
+        return inside
+
+
+def _smooth(x: np.ndarray) -> np.ndarray:
+    return np.convolve(x, KERNEL, "same") / np.convolve(np.ones(len(x)), KERNEL, "same") if len(x) > 4 else x
+
+
+def main_text(page: str | None) -> str:
+    """The blocks of the content paths, in page order, joined by an empty line. Null, and a page without text: empty."""
+    read = Page(page or "")
+    marks = read.marks()
+    blocks = [b for b in read.blocks if marks[b[1]] < HIDDEN]
+    if not blocks:
         return ""
-    paths: dict[str, list[float]] = {}
-    for path, text, _, _ in found:
-        sums = paths.setdefault(path, [0.0, 0.0, 0.0])
-        sums[0] += len(text)
-        sums[1] += len(PUNCTUATION.findall(text))
-        sums[2] += 1
-    length, points = np.array([(paths[b[0]][0] / paths[b[0]][2], paths[b[0]][1] / paths[b[0]][2]) for b in found]).T
-    kernel = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
-    smooth = lambda x: np.convolve(x, kernel, "same") / np.convolve(np.ones(len(x)), kernel, "same") if len(x) > 4 else x
-    fused = np.sqrt(smooth(length) * (smooth(points) + 0.5))
-    content = fused >= threshold * fused.max()
-    around = {b[2] for b, ok in zip(found, content) if ok and b[2]}
-    if around:  # in the articles that hold content, all of their blocks belong to it
-        keep = [b[2] in around for b in found]
-    else:
-        good = {b[0] for b, ok in zip(found, content) if ok}
-        first, last = np.flatnonzero(content)[[0, -1]]
-        parents = {p.rpartition("/")[0] for p in good}
-        keep = [
-            b[0] in good
-            or (first - 2 <= i <= last and b[0].rpartition("/")[2] in HEADINGS and b[0].rpartition("/")[0] in parents)
-            for i, b in enumerate(found)
-        ]
-    return "\n\n".join(b[1] for b, ok in zip(found, keep) if ok)
+    node = np.array([b[1] for b in blocks])
+    size = np.array([len(b[0]) for b in blocks], float)
+    own = np.array([b[2] for b in blocks]) / size
+    parent = np.array(read.parent)[node]
+    beside = np.bincount(parent, own * size) / np.maximum(np.bincount(parent, size), 1)
+    link = own * np.sqrt(beside[parent])
+    mark = np.array([marks[i] for i in node.tolist()])
+    weight = np.array([WEIGHTS[m] for m in range(HIDDEN)])[mark] + LINKED * link
+    _, path = np.unique(np.array(read.path)[node] * 4 + mark, return_inverse=True)
+    mean = lambda x: (np.bincount(path, x) / np.bincount(path))[path]
+    points = np.array([len(PUNCTUATION.findall(b[0])) for b in blocks], float)
+    fused = mean(np.sqrt(_smooth(mean(size)) * (_smooth(mean(points)) + 0.5)))
+    plain = size * np.exp(weight)  # text that nothing speaks against
+    ratio = np.log(fused / ((fused * plain).sum() / plain.sum()))
+    article = np.array(read.article)[node] > 0
+    if not (article & (mark < STRONG)).any():  # no such element: around most of the text of good paths
+        good = ratio + weight >= (ratio + weight).max() - REACH
+        inside = read.container(node, plain * good)[node]
+        first, last = np.flatnonzero(good & inside)[[0, -1]] if (good & inside).any() else (0, len(blocks) - 1)
+        place = np.arange(len(blocks))
+        heading = np.array([read.tags[i] in HEADINGS for i in node.tolist()])
+        article = inside & ((place >= first) & (place <= last) | heading & (place >= first - 2) & (place <= last))
+    score = np.clip(ratio, np.where(article, -1.0, -6.0), 0.5) + INSIDE * article + weight
+    keep = score >= score.max() - REACH
+    return "\n\n".join(b[0] for b, ok in zip(blocks, keep) if ok)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
-    """``pages`` with its main text. Null and empty pages, and pages without text, give an empty text."""
+    """``pages`` with its main text as column ``into``, which replaces one of that name; every other column stays. Null and
+    empty pages, and pages without text, give an empty text; repeated rows are answered one by one, whole pages of any length."""
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

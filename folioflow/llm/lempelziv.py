@@ -215,4 +215,4 @@ def deduplicated(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without the 20-word sequences that start earlier."""
     out = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -3,9 +3,9 @@
 Documents are tokenised once and their ids written. Whole windows are cut off long documents; the
 lengths of what remains form a histogram of at most ``window`` counts, over all documents. Every
 combination of up to three lengths that fills a window is a strategy, and least squares with
-non-negative repeat counts says how often each should be used. Blocks of documents then use these
-strategies as far as their own remainders allow, and pack what is left greedily: end to end, cut at
-the window; the end of the last window is cut into powers of two, so that nothing needs padding.
+non-negative repeat counts says how often each should be used. Blocks of documents use each strategy
+for their share of its count, rounded, as far as their own remainders allow, and pack the residual greedily: end to
+end, cut at the window; the end of the last window is cut into powers of two, so that nothing needs padding.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.shared import written
+from folioflow.llm.words import mix
 
 #: Ids a block holds in memory at once, at least.
 BLOCK_IDS = 1 << 22
@@ -103,7 +104,14 @@ def _powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def _block(lengths: np.ndarray, plan: list[tuple[tuple[int, ...], float]], share: float, window: int) -> list[tuple[int, int, int, int, int]]:
+def rounded(times: np.ndarray, share: float, key: int) -> np.ndarray:
+    """Each block's part of the repeat counts as whole numbers: down or up by a hash of block and strategy, so that over all blocks
+    the parts add up to the counts."""
+    h = mix(np.arange(len(times), dtype=np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15))
+    return (times * share + (h >> np.uint64(11)).astype(float) / (1 << 53)).astype(np.int64)
+
+
+def _block(lengths: np.ndarray, plan: list[tuple[tuple[int, ...], float]], share: float, window: int, key: int = 0) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; documents by index, sequences from 0."""
     out: list[tuple[int, int, int, int, int]] = []
     seq = 0
@@ -115,15 +123,14 @@ def _block(lengths: np.ndarray, plan: list[tuple[tuple[int, ...], float]], share
         if n % window:
             rest.setdefault(n % window, []).append(i)
     start = lambda i: int(lengths[i]) // window * window
-    for ceiling in (True, False):  # the planned share first, then as long as lengths last
-        for combo, times in plan:
-            room = min(len(rest.get(n, ())) // combo.count(n) for n in set(combo))
-            for _ in range(min(room, int(np.ceil(times * share))) if ceiling else room):
-                offset = 0
-                for n in combo:
-                    out.append((i := rest[n].pop(), start(i), n, seq, offset))
-                    offset += n
-                seq += 1
+    for (combo, _), planned in zip(plan, rounded(np.array([x for _, x in plan]), share, key).tolist()):
+        room = min(len(rest.get(n, ())) // combo.count(n) for n in set(combo)) if planned else 0
+        for _ in range(min(room, planned)):
+            offset = 0
+            for n in combo:
+                out.append((i := rest[n].pop(), start(i), n, seq, offset))
+                offset += n
+            seq += 1
     left = [(i, start(i), n) for n in sorted(rest, reverse=True) for i in rest[n]]
     total = sum(x[2] for x in left)
     room = [window] * (total // window) + _powers(total % window)
@@ -140,8 +147,8 @@ def _block(lengths: np.ndarray, plan: list[tuple[tuple[int, ...], float]], share
 
 def pack(docs: DataFrame, window: int = 1024, id_col: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (uint32, little-endian), doc_tokens,
-    sequence_id, offset. No row of ``docs`` is left out: an empty or null text holds ``end_id`` alone, and
-    repeated rows are packed one by one. Sequences are full, or a power of two at a block's end."""
+    sequence_id, offset. No row of ``docs`` is left out: an empty or null text holds ``end_id`` alone, repeated rows are packed one
+    by one, texts of any length whole. Other columns of ``docs`` are not read, so their names do not matter. Sequences are full, or a power of two at a block's end."""
     ids = written(tokenised(docs, id_col, text, path, end_id), "packing-ids")
     counts = ids.groupBy((F.col("n") % window).alias("rest")).agg(F.count("*").alias("k")).collect()  # at most `window` rows
     histogram = np.zeros(window + 1, np.int64)
@@ -158,7 +165,7 @@ def pack(docs: DataFrame, window: int = 1024, id_col: str = "doc_id", text: str
             rows = pd.concat(held, ignore_index=True)
             held.clear()
             n = rows["n"].to_numpy()
-            pieces = np.array(_block(n, plan, len(n) / total, window), np.int64).reshape(-1, 5)
+            pieces = np.array(_block(n, plan, len(n) / total, window, task << 20 | block), np.int64).reshape(-1, 5)
             data, wide, doc = rows["ids"].tolist(), rows["wide"].tolist(), rows["doc_id"]
             base = (task << 40) + (block << 28)
             block += 1

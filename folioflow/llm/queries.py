@@ -50,5 +50,41 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
              + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words) THEN 16 ELSE 0 END
              + CASE WHEN n_words = 0 THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+""",
+    # words of up to five, then pairs by shared shingles, then all that links reach
+    "op4_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p, len(w) AS m FROM d),
+f AS (SELECT doc_id, m, p, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+e AS (SELECT DISTINCT doc_id, g FROM f WHERE p <= m - 4 OR (m < 5 AND p = 1)),
+n AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN e USING (doc_id) GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
+""",
+    # strings of bytes as hexadecimal digits; runs of removed bytes by their starts
+    "op7_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, k, substr(h, 2000 * k + 1, 2098) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS k FROM d)),
+w AS (SELECT doc_id, 1000 * k + j AS i, substr(g, 2 * j + 1, 100) AS t FROM (SELECT *, unnest(range(0, least(1000, len(g) // 2 - 49))) AS j FROM b)),
+f AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t HAVING count(DISTINCT doc_id) > 1),
+k AS (SELECT doc_id, i, first FROM w JOIN f USING (t)),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k WHERE first < doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM g GROUP BY doc_id, run),
+o AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS z FROM r),
+a AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS e, string_agg(substr(h, 2 * z + 1, 2 * (s - z)), '' ORDER BY s) AS kept FROM o JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, 2 * e + 1) END)) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+""",
+    "op9_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p, len(w) AS m FROM d),
+x AS (SELECT doc_id, p AS i, m, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING), ' ') AS t FROM e),
+k AS (SELECT doc_id, i, min({{'d': doc_id, 'i': i}}) OVER (PARTITION BY t) AS first FROM x WHERE i <= m - 19),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM k WHERE first < {{'d': doc_id, 'i': i}}),
+a AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM e ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
 """,
 }

@@ -22,10 +22,11 @@ from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, cove
 from folioflow.llm.shared import written
 
 K = 16
-#: Chunks of texts that hold an anchor before its suffixes are split by 17 more bytes; and how many such anchors are told to all tasks at most.
+#: Chunks of texts that hold an anchor before its suffixes are split by 17 more bytes. Of such anchors the most frequent ones are
+#: told to all tasks, so that any other has at most one in HOT_LISTED of all entries.
 HOT_SUFFIXES = 4096
 HOT_LISTED = 1 << 16
-#: Documents whose anchors give the splitters. This bounds balance, not results.
+#: About how many documents, chosen by hash, give the splitters. This bounds balance, not results.
 SPLITTER_DOCS = 2000
 
 
@@ -96,7 +97,9 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
             data, _, _, _, anchor, _, _ = _anchors([x.encode() for x in some["text"]], window)
             yield pd.DataFrame({"lead": np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[anchor[::16]].astype(np.uint64).view(np.int64)})
 
-    sample = docs.select("text").limit(SPLITTER_DOCS).mapInPandas(leads, "lead long").toPandas()["lead"].to_numpy(np.int64).view(np.uint64)
+    every = max(1, docs.count() // SPLITTER_DOCS)
+    some = docs.filter(F.pmod(F.xxhash64("doc", "th"), F.lit(every)) == 0).select("text").limit(4 * SPLITTER_DOCS)  # a bound where rows repeat
+    sample = some.mapInPandas(leads, "lead long").toPandas()["lead"].to_numpy(np.int64).view(np.uint64)
     splitters = np.unique(np.quantile(np.sort(sample), np.arange(1, n_buckets) / n_buckets, method="nearest")) if len(sample) else np.zeros(0, np.uint64)
     told = suspects.filter("hot IS NOT NULL").orderBy(F.desc(F.reverse(F.substring("hot", 9, 8))), "hot").limit(HOT_LISTED).collect()
     hot_hashes = np.sort(np.array([int.from_bytes(r["hot"][:8], "little") for r in told], np.uint64))
@@ -214,7 +217,8 @@ def deduplicated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row of ``docs``.
 
     A byte goes when a string of ``window`` bytes over it also starts in a document with a smaller id.
-    Null texts are empty; rows with one id are never compared with each other; a null id is after all.
+    Null texts are empty; rows with one id are never compared with each other; a null id is after all. Other columns
+    of ``docs`` are not read, so their names do not matter; texts of any length count whole.
     """
     rows = numbered(docs, id_col, text)
     found = written(repeated_windows(rows, window, hot), "suffix-windows")
