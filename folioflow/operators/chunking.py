@@ -35,25 +35,34 @@ def base_title(title: Column) -> Column:
 
 def sections(clean: Column, base: Column, prefix: Column) -> Column:
     """array<struct<context, body>>: text below each heading, with the headings above it. A heading ends those
-    of its level or deeper; the title is above them all."""
-    rows = F.transform(T.lines(clean), lambda x: F.struct(x.alias("line"), F.length(F.regexp_extract(x, r"(?U)^(#{1,6})\s+.+", 1)).alias("level"), T.strip(F.regexp_extract(x, r"(?U)^#{1,6}\s+(.+)", 1)).alias("name")))
+    of its level or deeper; the title is above them all. Lines are looked at once: a section is a slice of them."""
     crumb = "array<struct<level:int,name:string>>"
-    state = f"struct<out:array<struct<crumbs:{crumb},body:array<string>>>,crumbs:{crumb},body:array<string>>"
     root = F.when(base != "", F.array(F.struct(F.lit(0).alias("level"), base.alias("name")))).otherwise(F.array()).cast(crumb)
-    zero = F.struct(F.array().alias("out"), root.alias("crumbs"), F.array().alias("body")).cast(state)
+    level = lambda x: F.length(F.regexp_extract(x, r"(?U)^(#{1,6})\s+.+", 1))
+    name = lambda x: T.strip(F.regexp_extract(x, r"(?U)^#{1,6}\s+(.+)", 1))
 
-    def closed(s: Column) -> Column:
-        return F.when(F.size(s["body"]) > 0, F.concat(s["out"], F.array(F.struct(s["crumbs"].alias("crumbs"), s["body"].alias("body"))))).otherwise(s["out"])
+    def with_headings(rows: Column) -> Column:
+        at = F.filter(F.transform(rows, lambda x, i: F.when(x.startswith("#") & (level(x) > 0), i)), lambda i: i.isNotNull())
+        return T.let(F.struct(rows.alias("rows"), at.alias("at"), root.alias("root")), with_crumbs)
 
-    def step(s: Column, r: Column) -> Column:
-        above = F.filter(s["crumbs"], lambda c: c["level"] < r["level"])
-        heading = F.struct(closed(s).alias("out"), F.concat(above, F.array(F.struct(r["level"].alias("level"), r["name"].alias("name")))).alias("crumbs"), F.array().cast("array<string>").alias("body"))
-        line = F.struct(s["out"].alias("out"), s["crumbs"].alias("crumbs"), F.concat(s["body"], F.array(r["line"])).alias("body"))
-        return F.when(r["level"] > 0, heading.cast(state)).otherwise(line.cast(state))
+    def with_crumbs(z: Column) -> Column:
+        heads = F.transform(z["at"], lambda i: F.struct(level(z["rows"][i]).alias("level"), name(z["rows"][i]).alias("name")))
+        zero = F.struct(F.array(z["root"]).alias("out"), z["root"].alias("now")).cast(f"struct<out:array<{crumb}>,now:{crumb}>")
 
-    found = F.aggregate(rows, zero, step, closed)
-    context = lambda s: F.concat(F.lit("["), F.array_join(F.transform(s["crumbs"], lambda c: c["name"]), " > "), F.lit("]"), F.when(prefix != "", F.concat(F.lit(" "), prefix)).otherwise(""))
-    return F.filter(F.transform(found, lambda s: F.struct(context(s).alias("context"), T.strip(F.array_join(s["body"], "\n")).alias("body"))), lambda s: s["body"] != "")
+        def step(s: Column, h: Column) -> Column:
+            above = F.concat(F.filter(s["now"], lambda c: c["level"] < h["level"]), F.array(h))
+            return F.struct(F.concat(s["out"], F.array(above)).alias("out"), above.alias("now"))
+
+        crumbs = F.aggregate(heads, zero, step, lambda s: s["out"])
+        starts, ends = F.concat(F.array(F.lit(-1)), z["at"]), F.concat(z["at"], F.array(F.size(z["rows"])))
+        return T.let(F.struct(z["rows"].alias("rows"), crumbs.alias("crumbs"), starts.alias("starts"), ends.alias("ends")), cut)
+
+    def cut(z: Column) -> Column:
+        context = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x["name"]), " > "), F.lit("]"), F.when(prefix != "", F.concat(F.lit(" "), prefix)).otherwise(""))
+        body = lambda i: T.strip(F.array_join(F.slice(z["rows"], z["starts"][i] + 2, z["ends"][i] - z["starts"][i] - 1), "\n"))
+        return F.transform(z["crumbs"], lambda c, i: F.struct(context(c).alias("context"), body(i).alias("body")))
+
+    return F.filter(T.let(T.lines(clean), with_headings), lambda s: s["body"] != "")
 
 
 def packed(body: Column, size: int, overlap: int) -> Column:

@@ -1,7 +1,8 @@
 """Exact nearest neighbours for tables of queries.
 
 Vectors of both sides are packed into blocks; every block of queries meets every block of the corpus once,
-as a matrix product, and yields no more than k rows for each of its queries. A window then takes the best k.
+as a matrix product. A task keeps the best k rows of each query over all the blocks it sees, so that no more than k rows
+for each task and query are shuffled. A window then takes the best k.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 #: Queries that are broadcast at most; more are dealt out with the corpus.
 BROADCAST_QUERIES = 8192
+#: Blocks of queries whose best rows a task holds at once; those of the one seen longest ago are sent before another is held.
+HELD_BLOCKS = 16
 
 
 def _blocks(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
@@ -47,14 +50,25 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int | None = None, dim: int |
     pairs = _blocks(good(corpus), corpus_key, vector, "c").crossJoin(q)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # by block of queries: ids and scores, the best first
+
+        def rows(q_ids: bytes) -> pd.DataFrame:
+            ids, scores = held.pop(q_ids)
+            return pd.DataFrame({"q": np.repeat(np.frombuffer(q_ids, np.int64), ids.shape[1]), "c": ids.ravel(), "score": scores.ravel() + 0.0})
+
         for batch in batches:
             for r in batch.itertuples():
-                qi, ci = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.c_ids, np.int64)
-                scores = np.round(np.frombuffer(r.q_v).reshape(len(qi), -1) @ np.frombuffer(r.c_v).reshape(len(ci), -1).T, 6)
-                by = np.argsort(ci, kind="stable")
-                order = by[np.argsort(-scores[:, by], axis=1, kind="stable")[:, :k]]
-                n = order.shape[1]
-                yield pd.DataFrame({"q": np.repeat(qi, n), "c": ci[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel() + 0.0})
+                n_q, ci = len(r.q_ids) // 8, np.frombuffer(r.c_ids, np.int64)
+                scores = np.round(np.frombuffer(r.q_v).reshape(n_q, -1) @ np.frombuffer(r.c_v).reshape(len(ci), -1).T, 6)
+                ids = np.broadcast_to(ci, scores.shape)
+                if r.q_ids in held:
+                    ids, scores = (np.concatenate(x, 1) for x in zip(held.pop(r.q_ids), (ids, scores)))
+                elif len(held) >= HELD_BLOCKS:
+                    yield rows(next(iter(held)))
+                order = np.lexsort((ids, -scores), axis=1)[:, :k]
+                held[r.q_ids] = tuple(np.take_along_axis(x, order, 1) for x in (ids, scores))
+        for q_ids in list(held):
+            yield rows(q_ids)
 
     found = pairs.mapInPandas(best, "q long, c long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("rank") <= k)

@@ -90,8 +90,7 @@ RRF = "coalesce(0.5 * (1.0 / (60 + vector_rank)), 0.0) + coalesce(0.5 * (1.0 / (
 FUSED = "query_id, rank::INT AS rank, path, hybrid_score, match_type, vector_rank::INT AS vector_rank, keyword_rank::INT AS keyword_rank"
 HTML = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 JUDGED = """
-held AS (SELECT query_id, min({'p': path, 'l': lang}) AS m FROM asked JOIN docs ON contains(docs.text, asked.query) WHERE length(query) >= 40
-         AND len(list_filter(string_split(docs.text, chr(10)), lambda x: length(x) >= 40 AND left(x, 40) = left(asked.query, 40))) > 0 GROUP BY 1),
+held AS (SELECT query_id, min({'p': path, 'l': lang}) AS m FROM asked JOIN docs ON contains(docs.text, asked.query) GROUP BY 1),
 judged AS (SELECT query_id, query, coalesce(m.p, 'none') AS expected, coalesce(m.l, 'none') AS category FROM asked LEFT JOIN held USING (query_id)),
 ranks AS (SELECT judged.query_id, category, min(CASE WHEN contains(lower(path), lower(expected)) THEN rank END) AS r, max(CASE WHEN rank = 1 THEN score END) AS top FROM judged LEFT JOIN hits USING (query_id) GROUP BY ALL)"""
 METRICS = """round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_3, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_5,

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +19,7 @@ from folioflow.operators.passages import holders
 from folioflow.operators.vector import neighbours, topk
 from folioflow.plans import search as P
 from folioflow.sources import corpus
+from folioflow.storage import scratch, written
 from folioflow.streaming import changes as ST
 
 DIM = 64
@@ -31,12 +29,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, where the session names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folioflow-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def notes(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as Markdown notes: path, title, text, raw."""
     docs = table(spark, sf, "documents")
@@ -207,7 +199,7 @@ def recent_changes(spark, sf):
 
 
 def corpus_scan(spark, sf):
-    """Notes written as files, one folder per source, and scanned again."""
+    """Notes written as files, one folder for each, and scanned again."""
     root = scratch(spark, "notes")
     docs = notes(spark, sf)
     docs.select(F.regexp_replace("path", "[/.]", "_").alias("name"), "text").repartition("name").write.partitionBy("name").option("lineSep", "\0").text(root)
@@ -287,7 +279,7 @@ def near_copy_topk(spark, sf):
 
 
 def calibrated_score_grid(spark, sf):
-    """Calibrated scores over similarities from the events table and keywords of every document."""
+    """Calibrated scores of every document, over a range of similarities and with keywords of its own."""
     docs = documents(spark, sf)
     words = F.array(F.lit("the"), F.lit("note"), F.lit("le"), F.col("doc_id").cast("string"), F.lit("src1"))
     m = S.keyword_matches(words, F.col("title"), F.col("text"), F.col("path"))
@@ -307,14 +299,19 @@ def overfetch_rerank(spark, sf):
     return _hits(spark, sf, top_k=5, min_score=0.3).select("query_id", "rank", "doc_id", "score", "raw_rank")
 
 
+def indexed_chunks(spark, sf):
+    """Chunks with their vectors, written once as an index has them."""
+    return written(encode_column(chunked(spark, sf), "chunk_text", HashEncoder(DIM)), "chunks")
+
+
 def search_chunks(spark, sf):
-    chunks = encode_column(chunked(spark, sf), "chunk_text", HashEncoder(DIM))
+    chunks = indexed_chunks(spark, sf)
     return P.search_chunks(asked(spark, sf), chunks, HashEncoder(DIM)).select("query_id", "rank", "doc_id", "chunk_index", "score", "similarity", F.col("context.prev.chunk_index").alias("prev"), F.col("context.next.chunk_index").alias("next"), "salient_sentence")
 
 
 def search_chunk_ranks(spark, sf):
     """The ranking of ``search_chunks`` alone."""
-    chunks = encode_column(chunked(spark, sf), "chunk_text", HashEncoder(DIM))
+    chunks = indexed_chunks(spark, sf)
     hits = P.reranked(P.prepared_queries(asked(spark, sf), HashEncoder(DIM)), chunks, "chunk_id", "chunk_text", 20, 0.0, True)
     return hits.select("query_id", "rank", "chunk_id", "score", "similarity")
 

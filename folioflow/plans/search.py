@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import scoring as S
@@ -75,11 +75,18 @@ def search_documents(queries: DataFrame, documents: DataFrame, encoder: Encoder,
     return hits.select("query_id", "rank", "doc_id", "path", F.col("path").alias("full_path"), F.coalesce(F.nullif("title", F.lit("")), T.file_name(F.col("path"))).alias("title"), "score", "similarity", "raw_rank", T.preview(F.col("text")).alias("preview"))
 
 
+def around(text: Column, words: Column, n: int = 400, before: int = 60) -> Column:
+    """``n`` characters of a text around the first place that has any of the words."""
+    low = F.lower(text)
+    places = F.filter(F.transform(words, lambda w: F.instr(low, w)), lambda p: p > 0)
+    return F.substr(text, F.greatest(F.coalesce(F.array_min(places), F.lit(1)) - before, F.lit(1)), F.lit(n))
+
+
 def as_keyword_hits(hits: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
     """BM25 hits in the shape of an outside service's, with a marked snippet and the score as utility."""
     words = queries.select("query_id", T.tokens(F.col("query")).alias("_words"))
     both = hits.join(documents.select("doc_id", "path", "title", "text"), "doc_id").join(words, "query_id")
-    return both.select("query_id", "rank", F.col("doc_id").alias("file_id"), F.col("path").alias("full_path"), F.lit(None).cast("string").alias("target_path"), F.col("title").alias("file_name"), T.preview(T.highlighted(F.substring("text", 1, 400), F.col("_words"))).alias("snippet"), F.col("score").alias("utility_score"), F.lit(None).cast("double").alias("click_count"))
+    return both.select("query_id", "rank", F.col("doc_id").alias("file_id"), F.col("path").alias("full_path"), F.lit(None).cast("string").alias("target_path"), F.col("title").alias("file_name"), T.preview(T.highlighted(around(F.col("text"), F.col("_words")), F.col("_words"))).alias("snippet"), F.col("score").alias("utility_score"), F.lit(None).cast("double").alias("click_count"))
 
 
 def search_hybrid(queries: DataFrame, vector_hits: DataFrame, keyword_hits: DataFrame, method: str = "rrf", vector_weight: float = 0.5, keyword_weight: float = 0.5, top_k: int = 20, k: int = 60, dedup: str = "last") -> DataFrame:
