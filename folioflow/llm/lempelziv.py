@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import words
-from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, expand, gathered, minimisers, numbered, packed, suspect_anchors, wanted, with_suspects
+from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, expand, gathered, minimisers, numbered, packed, slices, suspect_anchors, wanted, with_suspects
 from folioflow.llm.shared import written
 from folioflow.llm.words import mix
 
@@ -117,7 +117,7 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     suspects = written(suspect_anchors(docs, anchors, n_buckets, within=True), "lz-suspects")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             for some in chunks(iter([batch.assign(text=[expand(z) for z in batch["z"]])]), "text"):
                 word, offsets, hashes, row, first, last = _anchors(some["text"].tolist(), window)
                 use = wanted(some, hashes, row)
@@ -191,7 +191,7 @@ def deduplicated(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
     found = written(repeated(rows, window), "lz-factors")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r in batch.itertuples():
                 each = expand(r.z).split()

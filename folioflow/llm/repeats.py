@@ -68,6 +68,13 @@ def chunks(batches: Iterator[pd.DataFrame], column: str, n_bytes: int = CHUNK) -
             yield some
 
 
+def slices(batches: Iterator[pd.DataFrame], n: int = 512) -> Iterator[pd.DataFrame]:
+    """Batches of ``n`` rows at most."""
+    for batch in batches:
+        for at in range(0, len(batch), n):
+            yield batch.iloc[at : at + n]
+
+
 def minimisers(hashes: np.ndarray, ends: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first, last): places of the anchors, and of the first and last window start each is
     the minimiser of. ``hashes``: of the k-grams at every place of a chunk (garbage across
@@ -130,8 +137,9 @@ def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.
             first = np.flatnonzero(new_hash)
             bucket = ((hashes[first] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(at, np.append(at[1:], len(first))):
-                yield pd.DataFrame({"bucket": [bucket[a]], "keys": [ids[first[a:b]].tobytes()], "who": None, "hashes": [hashes[first[a:b]].tobytes()]})
+            ids, hashes = ids[first], hashes[first]
+            out = [(bucket[a], ids[a:b].tobytes(), None, hashes[a:b].tobytes()) for a, b in zip(at, np.append(at[1:], len(first)))]
+            yield pd.DataFrame(out, columns=["bucket", "keys", "who", "hashes"])
 
     def own(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:

@@ -1,41 +1,16 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""What the operators share: tables written to cut lineage, and joins that split large groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.storage import written  # noqa: F401
+
 #: Groups that one side of ``by_group`` may hold more than this share of the rows each, at most so many of them.
 LARGE = 1000
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only where the session names none and runs on one machine (tests, a laptop) a temporary folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: executors may be lost
-    afterwards without anything before this point being run again."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """``rows`` inner joined with ``groups`` (one row for each of ``keys``, ``size``: its rows). Groups with more than a thousandth of
     all rows, fewer than a thousand, are broadcast, so that no task gets the rows of one group; the others meet by their keys."""

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, covered, expand, gathered, minimisers, mix, numbered, packed, suspect_anchors, wanted, with_suspects
+from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, covered, expand, gathered, minimisers, mix, numbered, packed, slices, suspect_anchors, wanted, with_suspects
 from folioflow.llm.shared import written
 
 K = 16
@@ -105,7 +105,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
     hot_hashes = np.sort(np.array([int.from_bytes(r["hot"][:8], "little") for r in told], np.uint64))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             for some in chunks(iter([batch.assign(text=[expand(z) for z in batch["z"]])]), "text"):
                 data, offsets, hashes, row, anchor, first, last = _anchors(some["text"].tolist(), window)
                 use = wanted(some, hashes, row)
@@ -184,12 +184,14 @@ def _first_of(key: np.ndarray, more: np.ndarray | None, ids: np.ndarray) -> tupl
 
 def _sheets(rows: pd.DataFrame, known: bool) -> Iterator[pd.DataFrame]:
     """Rows packed into one blob of numbers and one of bytes per bucket."""
-    out = []
-    for bucket, some in rows.groupby("bucket", sort=True):
-        numbers = np.concatenate([some[c].to_numpy(np.int64) for c in ("doc", "th", "place", "left", "n")])
-        out.append((bucket, known, numbers.tobytes(), b"" if known else b"".join(some["body"])))
-    if out:
-        yield pd.DataFrame(out, columns=["bucket", "known", "numbers", "body"])
+    if rows.empty:
+        return
+    rows = rows.iloc[np.argsort(rows["bucket"].to_numpy(), kind="stable")]
+    bucket, body = rows["bucket"].to_numpy(), rows["body"].tolist()
+    numbers = np.stack([rows[c].to_numpy(np.int64) for c in ("doc", "th", "place", "left", "n")])
+    at = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
+    out = [(bucket[a], known, numbers[:, a:b].tobytes(), b"" if known else b"".join(body[a:b])) for a, b in zip(at, np.append(at[1:], len(bucket)))]
+    yield pd.DataFrame(out, columns=["bucket", "known", "numbers", "body"])
 
 
 def _unsheet(r) -> tuple:
@@ -224,7 +226,7 @@ def deduplicated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     found = written(repeated_windows(rows, window, hot), "suffix-windows")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, z, starts, counts in zip(batch["doc"], batch["z"], batch["starts"], batch["counts"]):
                 data = expand(z)
