@@ -41,6 +41,39 @@ kw0 AS (SELECT query_id, unnest(list_concat(list_filter(regexp_extract_all(p, '{
 kw AS (SELECT query_id, list(k ORDER BY length(k) DESC, k) AS keywords FROM (SELECT DISTINCT query_id, k FROM kw0) GROUP BY 1)"""
 
 
+def vectors(rows: str, key: str, text: str, name: str, dim: int = DIM) -> str:
+    """Unit vectors of a text column as table ``name``: key, b (bucket), v."""
+    return f"""
+{name}_b AS (SELECT {key}, (('0x' || substr(md5(t), 1, 8))::BIGINT % {dim}) AS b, count(*)::DOUBLE AS v FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS t FROM {rows}) GROUP BY ALL),
+{name} AS (SELECT {key}, b, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS v FROM {name}_b)"""
+
+
+def plain(x: str) -> str:
+    """Markdown as plain sentences."""
+    for pattern, into in (
+        (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"!\[\[[^\]]+\]\]", ""), (r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]", r"\1"), (r"https?://[^\s)>]+", ""), (r"\|", " "),
+        (r"(?m)^#+\s*", ""), (r"(?m)^\s*[-*+]\s+|^\s*[0-9]+\.\s+", ""), (r"[*_`~]", ""), (r"[ \t]+", " "),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{into}', 'g')"
+    return f"trim({x}, E' \\n\\t\\r')"
+
+
+def candidate_sentences(x: str) -> str:
+    """The first eight sentences of a text that read like some. The tables hold no Japanese text."""
+    pieces = f"string_split(regexp_replace({plain(x)}, '([。！？.?!])', E'\\\\1\\n', 'g'), chr(10))"
+    bare = f"list_transform({pieces}, lambda y: trim(regexp_replace(trim(y, E' \\n\\t\\r'), '^[\\s#\\-*|>`()\\[\\]]+|[\\s#\\-*|>`()\\[\\]]+$', '', 'g'), E' \\n\\t\\r'))"
+    good = f"length(y) >= 8 AND len(regexp_extract_all(y, '[\\p{{L}}\\p{{M}}\\p{{N}}_]')) >= 6 AND NOT regexp_matches(lower(y), '\\.({'|'.join(T.FILE_NAME_MARKS)})')"
+    return f"list_filter({bare}, lambda y: {good})[1:8]"
+
+
+def best_sentence(rows: str, key: str, text: str, q: str) -> str:
+    """Table best: key, salient_sentence, of the sentences of ``rows`` closest to the vectors ``q`` (key, b, v)."""
+    return f"""
+sen AS (SELECT {key}, unnest(x) AS s, unnest(range(0, len(x))) AS place FROM (SELECT {key}, {candidate_sentences(text)} AS x FROM {rows})),{vectors('sen', f'{key}, place', 's', 'sv')},
+sc AS (SELECT {key}, place, s, coalesce(round(sum(sv.v * q.v), 6), 0.0) + 0.0 AS score FROM sen LEFT JOIN sv USING ({key}, place) LEFT JOIN {q} q USING ({key}, b) GROUP BY ALL),
+best AS (SELECT {key}, s AS salient_sentence FROM sc QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY score DESC, place) = 1 AND score >= 0.55)"""
+
+
 def base(x: str, floor: str = "0.7", exponent: str = "1.6", width: str = "0.23") -> str:
     return f"(CASE WHEN {x} < {floor} THEN greatest(0.0, ({x} - 0.45) / 1.8) ELSE 0.15 + 0.67 * pow(least(greatest(({x} - {floor}) / {width}, 0.0), 1.0), {exponent}) END)"
 
@@ -91,7 +124,8 @@ FUSED = "query_id, rank::INT AS rank, path, hybrid_score, match_type, vector_ran
 HTML = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 JUDGED = """
 held AS (SELECT query_id, min({'p': path, 'l': lang}) AS m FROM asked JOIN docs ON contains(docs.text, asked.query) GROUP BY 1),
-judged AS (SELECT query_id, query, coalesce(m.p, 'none') AS expected, coalesce(m.l, 'none') AS category FROM asked LEFT JOIN held USING (query_id)),
+judged AS (SELECT query_id, query, coalesce(m.p, 'none') AS expected, coalesce(m.l, 'none') AS category FROM asked LEFT JOIN held USING (query_id))"""
+RANKS = """
 ranks AS (SELECT judged.query_id, category, min(CASE WHEN contains(lower(path), lower(expected)) THEN rank END) AS r, max(CASE WHEN rank = 1 THEN score END) AS top FROM judged LEFT JOIN hits USING (query_id) GROUP BY ALL)"""
 METRICS = """round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_3, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_5,
 round(avg(coalesce(1.0 / r, 0.0)), 6) AS mrr, round(avg(CASE WHEN coalesce(top, 0) >= 0.9999 THEN 1.0 ELSE 0.0 END), 6) AS saturation, round(coalesce(stddev_pop(top), 0.0), 5) AS score_std, round(avg(coalesce(top, 0.0)), 4) AS mean_score, count(*) AS total"""
@@ -128,7 +162,42 @@ p AS (SELECT *, CASE WHEN main = '' THEN [] WHEN length(main) <= 600 THEN [main]
 k AS (SELECT doc_id, path, list_concat(list_transform(parts, lambda x: trim(ctx || E'\n' || x, E' \n')), [last_ctx || E'\n' || tail]) AS chunks FROM p),
 ch AS (SELECT doc_id, path, unnest(chunks) AS chunk_text, unnest(range(0, len(chunks)))::INT AS chunk_index FROM k)"""
 
+#: Hits of ``search_chunks`` as table hits.
+CHUNK_HITS = f"""{NOTES},{CLEAN},{PACK}, {ASKED},{WORDS},
+docs AS (SELECT doc_id * 100000 + chunk_index AS chunk_id, doc_id, chunk_index, path, title, chunk_text, split_part(chunk_text, chr(10), 1) AS header FROM ch JOIN (SELECT doc_id, title FROM notes) USING (doc_id)),
+{vectors('docs', 'chunk_id', 'chunk_text', 'dv')},{vectors('asked', 'query_id', 'query', 'qv')},
+sim AS (SELECT query_id, chunk_id, round(sum(qv.v * dv.v), 6) + 0.0 AS similarity FROM qv JOIN dv USING (b) GROUP BY ALL),
+raw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS raw_rank FROM sim QUALIFY raw_rank <= 80),
+m AS (SELECT raw.*, docs.*, coalesce(keywords, []) AS kws, list_transform(coalesce(keywords, []), lambda k: lower(k)) AS low FROM raw JOIN docs USING (chunk_id) LEFT JOIN kw USING (query_id)),
+m2 AS (SELECT *, len(low) AS total, len(list_filter(low, lambda k: contains(lower(title), k) OR contains(path, k) OR contains(lower(chunk_text), k) OR k = doc_id::VARCHAR)) AS matched,
+         len(list_filter(low, lambda k: contains(lower(title), k) OR contains(path, k))) AS in_title, len(list_filter(low, lambda k: contains(lower(header), k))) AS in_header, list_contains(low, doc_id::VARCHAR) AS is_stem FROM m),
+m3 AS (SELECT *, CASE WHEN total = 0 THEN round(least({base('similarity')}, 0.98), 4) ELSE round(least(greatest({base('similarity')} + matched / total * 0.12
+         + CASE WHEN is_stem THEN 0.08 ELSE least(in_title * 0.03, 0.06) END + least(in_header * 0.04, 0.08), 0.0), 0.98), 4) END AS score FROM m2),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, raw_rank)::INT AS rank FROM m3 QUALIFY rank <= 20)"""
+
 SQL = {
+    "path_parts": r"""SELECT page_id, regexp_extract(url, '(?s)^(.*)[/\\][^/\\]*$', 1) AS parent, regexp_extract(url, '([^/]*)/*$', 1) AS name,
+  lower(regexp_replace(regexp_replace(url, '/(\.?/)+', '/', 'g'), '(.)/\.?$', '\1')) AS key,
+  regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '[/\\]+$', ''), '([^/]*)$', 1), '[^a-zA-Z0-9_\-.]', '_', 'g'), '_+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS model_id,
+  regexp_replace(regexp_replace(trim(url), '[\\/:*?"<>|]', '_', 'g'), '\s+', '_', 'g') AS slug,
+  CASE WHEN starts_with(url, 'https://www.') THEN regexp_replace(substr(url, 13), '^[/\\]+', '') ELSE url END AS relative, url_decode(regexp_extract(url, '^([^?#]*)', 1)) AS decoded FROM pages""",
+    "asset_resolve": """SELECT source || '/' || doc_id || '.md' AS path, 'img%20' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.PNG' ELSE '' END AS reference,
+  CASE WHEN doc_id % 11 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN source || '/' WHEN 1 THEN '' ELSE 'other/' END || 'img ' || doc_id || '.png' END AS asset_path FROM documents""",
+    "context_bundle": f"""WITH {DOCS}, {ASKED},{JUDGED},
+sel AS (SELECT row_number() OVER (ORDER BY query_id) AS n, expected AS path FROM judged WHERE expected <> 'none'),
+b AS (SELECT n, title, doc_id % 3 = 0 AS has, '![' || CASE WHEN doc_id % 3 = 0 THEN '](data:image/png;base64,' || to_base64(encode(lang || doc_id)) || ')' ELSE '[img ' || doc_id || '.png]]' END || chr(10) || text AS body FROM sel JOIN docs USING (path)),
+t AS (SELECT count(*) AS n_documents, count(*) FILTER (WHERE has) AS n_assets, E'# Notes\\n\\nRead this.\\n\\n' || coalesce(string_agg(n || '. ' || title, chr(10) ORDER BY n), '') || E'\\n\\n'
+  || coalesce(string_agg('## ' || n || '. ' || title || E'\\n\\n' || body, E'\\n\\n' ORDER BY n), '') AS text FROM b)
+SELECT sha256(text) AS sha256, n_documents, n_assets, octet_length(encode(text))::BIGINT AS n_bytes FROM t""",
+    "search_chunk_ranks": f"WITH {CHUNK_HITS} SELECT query_id, rank, chunk_id, score, similarity FROM hits",
+    "search_chunks": f"""WITH {CHUNK_HITS}, asking AS (SELECT chunk_id, query_id, chunk_text FROM hits WHERE raw_rank <= 3), hq AS (SELECT asking.chunk_id, query_id, b, v FROM asking JOIN qv USING (query_id)),{best_sentence('asking', 'query_id, chunk_id', 'chunk_text', 'hq')},
+beside AS (SELECT chunk_id, lag(chunk_index) OVER w AS prev, lead(chunk_index) OVER w AS next FROM docs WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index))
+SELECT query_id, rank, doc_id, chunk_index, score, similarity, prev, next, salient_sentence FROM hits JOIN beside USING (chunk_id) LEFT JOIN best USING (query_id, chunk_id)""",
+    "salient_sentence": f"WITH {DOCS},{vectors('docs', 'doc_id', 'text', 'dv')},{best_sentence('docs', 'doc_id', 'text', 'dv')} SELECT doc_id, salient_sentence FROM best",
+    "model_compare": f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS ta, b.text AS tb FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+{", ".join(f"{vectors('p', 'conv_id, turn', t, f'{t}{d}', d)}" for t in ("ta", "tb") for d in (64, 16))},
+s AS (SELECT 'hash_64' AS model, conv_id, turn, round(sum(x.v * y.v), 6) AS s FROM ta64 x JOIN tb64 y USING (conv_id, turn, b) GROUP BY ALL UNION ALL SELECT 'hash_16', conv_id, turn, round(sum(x.v * y.v), 6) FROM ta16 x JOIN tb16 y USING (conv_id, turn, b) GROUP BY ALL)
+SELECT model, count(*) AS n, round(avg(coalesce(s, 0.0)), 4) AS mean FROM (SELECT m.model, p.conv_id, p.turn FROM p, (VALUES ('hash_64'), ('hash_16')) AS m(model)) LEFT JOIN s USING (model, conv_id, turn) GROUP BY 1""",
     "search_documents": f"WITH {DOCS}, {ASKED},{ranked(20, 80)} SELECT query_id, rank::INT AS rank, doc_id, score, similarity, preview FROM hits",
     "overfetch_rerank": f"WITH {DOCS}, {ASKED},{ranked(5, 20, min_score=0.3)} SELECT query_id, rank::INT AS rank, doc_id, score, raw_rank::INT AS raw_rank FROM hits",
     "title_extract": f"WITH {NOTES} SELECT path, title FROM notes",
@@ -197,8 +266,8 @@ SELECT query_id, '<context query="' || {HTML('query')} || E'">\\n' || coalesce(t
     "rag_context_md": f"""WITH {DOCS}, {ASKED},{ranked(20, 80)}, b AS (SELECT query_id, string_agg('### [' || rank || '] ' || title || ' (Score: ' || printf('%.4f', score) || ', Path: `' || path || E'`)\\n' || array_to_string(list_transform({CONTEXT_LINES}, lambda x: CASE WHEN x = '' THEN '>' ELSE '> ' || x END), chr(10)), E'\\n\\n' ORDER BY rank) AS t FROM hits WHERE rank <= 5 GROUP BY 1)
 SELECT query_id, CASE WHEN t IS NULL THEN '## 参考コンテキスト (クエリ: ' || query || E')\\n*関連するコンテキストは見つかりませんでした。*' ELSE E'## 参考コンテキスト\\nユーザーの質問: `' || query || E'`\\n\\n' || t END AS context FROM asked LEFT JOIN b USING (query_id)""",
     "relevance_tiers": f"WITH {DOCS}, {ASKED},{ranked(20, 80)} SELECT CASE WHEN score >= 0.7 THEN 'High' WHEN score >= 0.4 THEN 'Medium' ELSE 'Low' END AS tier, count(*) AS n FROM hits GROUP BY 1",
-    "eval_metrics": f"WITH {DOCS}, {ASKED},{ranked(20, 80)},{JUDGED} SELECT {METRICS} FROM ranks",
-    "eval_by_category": f"WITH {DOCS}, {ASKED},{ranked(20, 80)},{JUDGED} SELECT category, {METRICS} FROM ranks GROUP BY category UNION ALL SELECT NULL, {METRICS} FROM ranks",
+    "eval_metrics": f"WITH {DOCS}, {ASKED},{ranked(20, 80)},{JUDGED},{RANKS} SELECT {METRICS} FROM ranks",
+    "eval_by_category": f"WITH {DOCS}, {ASKED},{ranked(20, 80)},{JUDGED},{RANKS} SELECT category, {METRICS} FROM ranks GROUP BY category UNION ALL SELECT NULL, {METRICS} FROM ranks",
     "grid_search": f"""WITH {DOCS}, {ASKED},{ranked(40, 40)},{JUDGED}, {GRID},
 g AS (SELECT query_id, raw_rank, path, noise_floor, exponent, lexical_weight, stem_bonus, round(least(greatest({base('similarity', 'noise_floor', 'exponent', '(0.93 - noise_floor)')} + CASE WHEN total > 0 THEN matched / total ELSE 0.0 END * lexical_weight + CASE WHEN is_stem THEN stem_bonus ELSE least(matched * 0.03, 0.06) END, 0.0), 0.98), 6) AS s FROM m2, grid),
 gr AS (SELECT *, row_number() OVER (PARTITION BY query_id, noise_floor, exponent, lexical_weight, stem_bonus ORDER BY s DESC, raw_rank) AS pos FROM g),

@@ -470,9 +470,12 @@ def document_resolve(spark, sf):
 
 
 def context_bundle(spark, sf):
-    """The judged documents in the order of their passages, as one text."""
+    """The judged documents in the order of their passages, as one text, with the images they embed where those are found."""
     chosen = _judgments(spark, sf).filter("expected <> 'none'").select(F.col("query_id").alias("position"), F.col("expected").alias("path"))
-    out = X.bundle(chosen, documents(spark, sf), prompt="Read this.", title="Notes")
+    image = F.concat(F.lit("img "), F.col("doc_id").cast("string"), F.lit(".png"))
+    docs = documents(spark, sf).withColumn("text", F.concat(F.lit("![["), image, F.lit("]]\n"), "text"))
+    assets = docs.filter("doc_id % 3 = 0").select(F.concat(T.parent_folder(F.col("path")), F.lit("/"), image).alias("asset_path"), F.concat("lang", F.col("doc_id").cast("string")).cast("binary").alias("content"))
+    out = X.bundle(chosen, docs, assets, prompt="Read this.", title="Notes")
     return out.select(F.sha2("text", 256).alias("sha256"), "n_documents", "n_assets", "n_bytes")
 
 
