@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import words
-from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, expand, gathered, minimisers, numbered, packed, slices, suspect_anchors, wanted, with_suspects
+from folioflow.llm.repeats import NULL_ID, bucket_of, buckets_for, chunks, compressed, expand, gathered, minimisers, numbered, packed, slices, suspect_anchors, wanted, with_suspects
 from folioflow.llm.shared import written
 from folioflow.llm.words import mix
 
@@ -133,7 +133,7 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
                     told = _answers(docs_[later], ths[later], starts[later], size[later], docs_[ref[later]], starts[ref[later]], n_buckets)
                     yield told.assign(bucket=-1 - told.pop("part"), spans=None, words=None)
                 sent = np.flatnonzero(~known)
-                bucket = ((hashes[sent] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                bucket = bucket_of(hashes[sent], n_buckets)
                 by = np.lexsort((starts[sent], row[sent], bucket))
                 sent, bucket = sent[by], bucket[by]
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))

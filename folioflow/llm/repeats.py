@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.words import mix  # noqa: F401
+from folioflow.llm.words import mix
 
 
 #: Stands for a null id: after all others.
@@ -112,6 +112,11 @@ def buckets_for(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) >> 23)
 
 
+def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets of anchors. Their hashes are the smallest of a window each, so they are mixed once more."""
+    return ((mix(hashes) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], n_buckets: int, within: bool, hot: int = 0) -> DataFrame:
     """Replies for ``with_suspects``: by document, the hashes of its anchors that another document has too, or, with
     ``within``, that occur twice in it. ``anchors`` gives for a chunk the (hash, row) of every anchor.
@@ -135,7 +140,9 @@ def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.
             known = packed(ids[local], np.zeros(local.sum(), np.int64), {"hashes": hashes[local]}, n_buckets)
             yield known.assign(bucket=-1 - known.pop("part"))
             first = np.flatnonzero(new_hash)
-            bucket = ((hashes[first] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = bucket_of(hashes[first], n_buckets)
+            by = np.argsort(bucket, kind="stable")
+            bucket, first = bucket[by], first[by]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             ids, hashes = ids[first], hashes[first]
             out = [(bucket[a], ids[a:b].tobytes(), None, hashes[a:b].tobytes()) for a, b in zip(at, np.append(at[1:], len(first)))]
