@@ -22,37 +22,42 @@ MIN_LANGUAGE_SCORE = 0.05
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language: null, without a letter, or unlike every profile."""
     profiles = language.prototypes(docs.filter(~language.held_out()))
-    found = language.identify(docs, profiles, languages="_lang", score="_score")
-    return found.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    found = language.identify(docs.select(F.struct("*").alias("row"), "text"), profiles)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+
+
+def kept_rows(keyed: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``row`` of ``keyed`` (row, keys) for which ``verdicts`` (keys, kept, every: each of its rows stays) has a kept one. Of several
+    rows with one key, which are then alike, one stays. Keys may be null."""
+    stays = verdicts.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count_if(~F.col("every")).alias("_n"), F.max("kept").alias("_kept")).filter("_kept")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    left = keyed.hint("merge").join(stays, same)
+    return left.filter("_n <= 1").unionByName(left.filter("_n > 1").dropDuplicates(keys)).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts."""
-    verdicts = written(exact.duplicates(docs).select("doc_id", "text_sha256", "kept"), "pipeline-verdicts")
-    stays = verdicts.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_n"), F.max("kept").alias("_kept")).filter("_kept")
-    sha = F.sha2(exact.normalised(F.col("text")), 256)
-    left = docs.withColumn("_text_sha", sha).hint("merge").join(stays, (F.col("_text_sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    # rows that repeat both id and text: one of them
-    again = left.filter("_n > 1").dropDuplicates(["_id", "_sha"])
-    return left.filter("_n = 1").unionByName(again).select(*docs.columns)
+    """Keeps one row of each group of equal texts: the longest, then the one with the smallest id."""
+    verdicts = written(exact.duplicates(docs).select("doc_id", "text_sha256", "n_points", "kept", F.lit(False).alias("every")), "pipeline-verdicts")
+    sha, n = F.sha2(exact.normalised(F.col("text")), 256), F.length(F.coalesce("text", F.lit(""))).cast("long")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), sha.alias("text_sha256"), n.alias("n_points"))
+    return kept_rows(keyed, verdicts, ["doc_id", "text_sha256", "n_points"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of near duplicates: the one with the smallest id, null ids after all others."""
-    verdicts = jaccard.near_duplicates(docs)
-    # a row without words is a component of its own, also when it repeats
-    stays = verdicts.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.count_if(F.col("n_shingles") > 0).alias("_n"), F.max("kept").alias("_kept")).filter("_kept")
-    keyed = docs.withColumns({"_row_doc": row_id("doc_id"), "_row_th": text_hash("text")})
-    left = keyed.hint("merge").join(stays, (F.col("_row_doc") == F.col("_doc")) & (F.col("_row_th") == F.col("_th")))
-    # rows that repeat both id and text: one of them
-    again = left.filter("_n > 1").dropDuplicates(["_doc", "_th"])
-    return left.filter("_n <= 1").unionByName(again).select(*docs.columns)
+    """Keeps one row of each component of near duplicates: the one with the smallest id, null ids after all others. A row without
+    words is a component of its own, also when it repeats."""
+    verdicts = jaccard.near_duplicates(docs).select("doc", "th", "kept", (F.col("n_shingles") == 0).alias("every"))
+    keyed = docs.select(F.struct("*").alias("row"), row_id("doc_id").alias("doc"), text_hash("text").alias("th"))
+    return kept_rows(keyed, verdicts, ["doc", "th"])
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; n_chars follows the text."""
-    out = pii.redact(docs)
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    out = pii.redact(docs.select(F.struct("*").alias("row"), "text"))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("text").cast("long"))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL cannot express the trained and hashed stages; tests compare run() with a brute-force version.
+#: SQL cannot express the trained stages; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 

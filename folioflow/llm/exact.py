@@ -82,7 +82,7 @@ def _suspects(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_points (code points of the text).
 
     Texts are equal when they are after deleting white space (``normalised``). The row with the most
     code points stays, then the smallest id. Empty and null texts are equal to each other. A repeated id is
@@ -118,12 +118,12 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     )
     groups = written(equal.join(best, "sha").select("sha", "group_size", "best"), "exact-groups")
     out = by_group(suspects, groups, ["sha"], "group_size").select(
-        "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size", (F.col("seq") == -F.col("best.neg_seq")).alias("kept"), "sha"
+        "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size", (F.col("seq") == -F.col("best.neg_seq")).alias("kept"), "sha", "n_points"
     )
-    alone = judged.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    return out.unionByName(alone).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    alone = judged.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "n_points")
+    return out.unionByName(alone).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "n_points")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with the row that stays for its text."""
-    return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_points")

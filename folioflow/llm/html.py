@@ -4,7 +4,7 @@ A page is read into text blocks, each with its path of elements from the root. T
 averaged over the blocks of a path, so short paragraphs share the ratios of the long ones beside them. Both ratios are
 smoothed along the page, fused, and added up with weights for where a path lies (in the element that holds the content),
 for the links in it and for elements whose tag or class speaks against it. Paths near enough to the page's best one are
-content. No class word decides alone: where a whole article is marked, its marks count for the best path too.
+content. No class word decides alone: where nothing but poor text is without one, classes do not count.
 """
 
 from __future__ import annotations
@@ -36,18 +36,20 @@ NOT_ARTICLE = frozenset(
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 
 
-#: Marks of an element: a class that has a word of NOT_ARTICLE among others; one that consists of such words, or a
+#: Marks of an element: a class that has a word of NOT_ARTICLE among others; one that consists of such words; a
 #: tag that is no article; and hidden. Their weights, with those for a place in the content, for links, and the threshold.
-WEAK, STRONG, HIDDEN = 1, 2, 3
-WEIGHTS = {0: 0.0, WEAK: -0.4, STRONG: -4.0}
+WEAK, STRONG, TAG, HIDDEN = 1, 2, 3, 4
+WEIGHTS = (0.0, -0.4, -4.0, -4.0)
 INSIDE, LINKED, REACH = 2.0, -4.0, 1.9
+#: Where text without marks has less than this part of the best ratio of marked text, and is in no article, classes do not count.
+POOR = 0.3
 #: First parts of a class or id, as in sidebar-left, that make a whole mark.
 HEADS = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comments cookie cookies disqus footer gdpr nav navbar navigation newsletter popup promo sidebar sponsored".split())
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2.0)
 
 
 def _mark(tag: str, attributes: str, in_article: bool) -> int:
-    mark = STRONG if tag in DROPPED and not (tag == "header" and in_article) else 0
+    mark = TAG if tag in DROPPED and not (tag == "header" and in_article) else 0
     for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "aria-hidden" and value == "true" or key == "hidden":
@@ -172,7 +174,7 @@ class Page:
         return out
 
     def container(self, node: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        """For each element whether it lies in the lowest one that has four fifths of ``mass`` (by block) in it."""
+        """For each element whether it lies in the lowest one that has four fifths of ``mass`` in it, which ``node`` has, by block."""
         held = np.bincount(node, mass, len(self.parent))
         for i in range(len(self.parent) - 1, 0, -1):
             held[self.parent[i]] += held[i]
@@ -201,17 +203,21 @@ def main_text(page: str | None) -> str:
     beside = np.bincount(parent, own * size) / np.maximum(np.bincount(parent, size), 1)
     link = own * np.sqrt(beside[parent])
     mark = np.array([marks[i] for i in node.tolist()])
-    weight = np.array([WEIGHTS[m] for m in range(HIDDEN)])[mark] + LINKED * link
-    _, path = np.unique(np.array(read.path)[node] * 4 + mark, return_inverse=True)
+    _, path = np.unique(np.array(read.path)[node] * HIDDEN + mark, return_inverse=True)
     mean = lambda x: (np.bincount(path, x) / np.bincount(path))[path]
     points = np.array([len(PUNCTUATION.findall(b[0])) for b in blocks], float)
     fused = mean(np.sqrt(_smooth(mean(size)) * (_smooth(mean(points)) + 0.5)))
+    article = np.array(read.article)[node] > 0
+    bare = mark < STRONG
+    free = fused * (1 - link)
+    if not (article & bare).any() and free[bare].max(initial=0.0) < POOR * free[mark < TAG].max(initial=0.0):
+        mark = np.where(mark < TAG, 0, mark)
+    weight = np.array(WEIGHTS)[mark] + LINKED * link
     plain = size * np.exp(weight)  # text that nothing speaks against
     ratio = np.log(fused / ((fused * plain).sum() / plain.sum()))
-    article = np.array(read.article)[node] > 0
     if not (article & (mark < STRONG)).any():  # no such element: around most of the text of good paths
         good = ratio + weight >= (ratio + weight).max() - REACH
-        inside = read.container(node, plain * good)[node]
+        inside = read.container(parent, plain * good)[parent]
         first, last = np.flatnonzero(good & inside)[[0, -1]] if (good & inside).any() else (0, len(blocks) - 1)
         place = np.arange(len(blocks))
         heading = np.array([read.tags[i] in HEADINGS for i in node.tolist()])

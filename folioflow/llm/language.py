@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.repeats import chunks
+
 DIMENSIONS = 512
 UNKNOWN = "und"
 MASK = 0xFFFFFFFFFFFFFFFF
@@ -81,7 +83,7 @@ def prototypes(docs: DataFrame, text: str = "text", label: str = "lang") -> dict
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, sums = Letters(), {}
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             for name, some in batch.groupby("label"):
                 pairs = [(c, n / n.sum()) for c, n in map(letters.trigrams, some["text"]) if len(c)]
                 if not pairs:
@@ -102,7 +104,8 @@ def prototypes(docs: DataFrame, text: str = "text", label: str = "lang") -> dict
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", languages: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its cosine, from the text alone. ``und`` and 0 for a
-    text that is null or has no letter, or without any profile; equal cosines go to the first name."""
+    text that is null or has no letter, or without any profile; equal cosines go to the first name. Texts of any length count
+    whole; columns of ``docs`` by the two new names, or _p, are replaced, all others stay."""
     names = list(profiles)
     matrix = np.array([profiles[k] for k in names], np.float32).reshape(-1, DIMENSIONS)
 

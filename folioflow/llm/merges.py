@@ -262,7 +262,7 @@ def decode_ids(ids: np.ndarray, table: Pieces) -> str:
 def encode(docs: DataFrame, seed: int = 0, dropout: float = 0.1, text: str = "text", id_col: str = "doc_id", into: str = "ids", path: str | None = None, decode: bool = False) -> DataFrame:
     """``docs`` with the piece ids of its texts (int32, little-endian). Null and empty texts have none;
     repeated rows are encoded alike; without dropout these are the model's own ids. With ``decode``, also ``decoded``, the
-    text that the ids give back."""
+    text that the ids give back. Columns of ``docs`` by these names, or _encoded, are replaced, all others stay; texts of any length count whole."""
 
     @F.pandas_udf("struct<ids: binary, decoded: string>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

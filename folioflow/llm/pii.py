@@ -23,7 +23,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 STRICT = KINDS[:4]
 #: Passages of the corpus that spans are planted into, spans planted, and the precision that a kind's threshold must reach.
 PASSAGES, PLANTED, PRECISION = 256, 6000, 0.98
-DEPTH, TREES, BINS, RATE = 4, 16, 16, 0.4
+DEPTH, TREES, BINS, RATE = 4, 24, 16, 0.4
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -37,7 +37,7 @@ LOOSE = {
     "tight": r"(?<![A-Za-z0-9])[+(]?[0-9]++(?:[().,/_-]{1,2}[0-9]++)*+",
     "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\[({]\x20?at\x20?[\])}]|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}+"
     r"(?:\x20?(?:\.|[\[({]\x20?dot\x20?[\])}]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,24}+){1,5}+",
-    "dotted": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\x20?(?:\.|[\[({]\x20?(?:\.|dot)\x20?[\])}]|\x20dot\x20)\x20?[0-9]{1,3}){3}(?![A-Za-z0-9.])",
+    "dotted": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\x20?(?:\.|[\[({]\x20?(?:\.|dot)\x20?[\])}]|\x20dot\x20)\x20?[0-9]{1,3}){3}(?!\.?[A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{16,256}+(?![A-Za-z0-9+/_=-])",
 }
 #: A text without it has no match, so that most texts are not searched. _d: a digit, _a: a sign or word for @.
@@ -115,6 +115,9 @@ FEATURES = {
     "dots": "CAST(x.body LIKE '%.%' AS int)",
     "breaks": "CAST(x.body rlike '[\\n\\t]' AS int)",
     "blanks": "CAST(x.body LIKE '% %' AS int)",
+    "dot_word": "CAST(x.body rlike '(?i)(^|[^a-z])dot([^a-z]|$)' AS int)",
+    "enclosed": r"CAST(x.body rlike '([({]|\\x5B) ?(at|dot|[.])' AS int)",
+    "domain": "CAST(lower(element_at(x.g, -1)) IN ('com', 'org', 'net', 'edu', 'gov', 'info', 'io', 'de', 'fr', 'es', 'it', 'uk', 'eu') AS int)",
     "at": "CAST(x.body LIKE '%@%' AS int)",
     "hex": "CAST(x.body rlike '^[0-9a-fA-F]+$' AS int)",
     "upper": "CAST(x.body rlike '[A-Z]' AND x.body rlike '[a-z]' AS int)",
@@ -229,7 +232,9 @@ def passages(docs: DataFrame, text: str, n: int = PASSAGES) -> list[str]:
 
 def described(spark, texts: list[dict]) -> list:
     """Features and label of every candidate in the planted ``texts``: good if it is the planted span, of its kind."""
-    rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(texts)), "array<struct<text: string, kind: string, start: int, end: int, good: boolean, fold: int>>")).alias("r")).select("r.*")
+    parts = F.array(*(F.lit(json.dumps(texts[i::8])) for i in range(8)))
+    kind = "array<struct<text: string, kind: string, start: int, end: int, good: boolean, fold: int>>"
+    rows = spark.range(0, 8, 1, 8).select(F.explode(F.from_json(F.element_at(parts, F.col("id").cast("int") + 1), kind)).alias("r")).select("r.*")
     found = _candidates(rows.withColumnRenamed("kind", "planted"), "text").select("start", "end", "good", "fold", "planted", F.explode("_loose").alias("x"))
     label = "good AND x.kind = planted AND least(x.end, end) - greatest(x.start, start) >= 0.8 * (greatest(x.end, end) - least(x.start, start))"
     return found.select("x.*", F.expr(label).alias("label"), "fold", F.expr("good AND x.start < end AND start < x.end").alias("touches")).collect()

@@ -43,7 +43,8 @@ POLICIES = {
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measurement columns; a null text counts as empty.
+    """``docs`` with the measurement columns; a null text counts as empty. A column of ``docs`` by the name of a measurement is replaced,
+    as are fail_bits, policy and kept below; names that start with _ are taken on the way.
 
     A word is a run of characters other than space and \\t..\\r. Work stays inside one row, so
     nothing is shuffled. Three-word windows are compared by a 64-bit hash.
