@@ -25,19 +25,21 @@ def is_expected(path: Column, expected: Column) -> Column:
 
 
 def match_ranks(hits: DataFrame, judgments: DataFrame) -> DataFrame:
-    """``judgments`` with the rank of the first expected hit (null: none) and the top score."""
-    both = judgments.join(hits.select("query_id", "rank", "path", "score"), "query_id", "left")
-    return both.groupBy(*judgments.columns).agg(F.min(F.when(is_expected(F.col("path"), F.col("expected")), F.col("rank"))).alias("match_rank"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"))
+    """``judgments`` with the rank of the first expected hit (null: none) and the top score; with the query's ``seconds``, if ``hits`` have them."""
+    timed = ["seconds"] if "seconds" in hits.columns else []
+    both = judgments.join(hits.select("query_id", "rank", "path", "score", *timed), "query_id", "left")
+    return both.groupBy(*judgments.columns).agg(*(F.max(c).alias(c) for c in timed), F.min(F.when(is_expected(F.col("path"), F.col("expected")), F.col("rank"))).alias("match_rank"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"))
 
 
 def metrics(ranks: DataFrame, *by: str) -> DataFrame:
-    """hit_1, hit_3, hit_5, mrr, saturation, score_std, mean_score and total, by group or over all."""
+    """hit_1, hit_3, hit_5, mrr, saturation, score_std, mean_score, total and, for timed hits, mean_seconds, by group or over all."""
     hit = lambda k: F.round(F.avg(F.when(F.col("match_rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit_{k}")
     top = F.coalesce("top_score", F.lit(0.0))
     return ranks.groupBy(*by).agg(
         hit(1), hit(3), hit(5), F.round(F.avg(F.coalesce(1.0 / F.col("match_rank"), F.lit(0.0))), 6).alias("mrr"),
         F.round(F.avg(F.when(top >= SATURATED, 1.0).otherwise(0.0)), 6).alias("saturation"),
         F.round(F.coalesce(F.stddev_pop("top_score"), F.lit(0.0)), 5).alias("score_std"), F.round(F.avg(top), 4).alias("mean_score"), F.count("*").alias("total"),
+        *([F.round(F.avg("seconds"), 6).alias("mean_seconds")] if "seconds" in ranks.columns else []),
     )
 
 
@@ -72,6 +74,20 @@ def grid_search(candidates: DataFrame, judgments: DataFrame, grid: DataFrame) ->
     return ranks.groupBy(*params).agg(F.round(F.avg(F.coalesce(1.0 / F.col("match_rank"), F.lit(0.0))), 6).alias("mrr"), hit(1), hit(3)).orderBy(F.desc("mrr"), F.desc("hit_1"), *params)
 
 
+def best_parameters(rows: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` best rows of ``grid_search``."""
+    return rows.orderBy(F.desc("mrr"), F.desc("hit_1"), "noise_floor", "exponent", "lexical_weight", "stem_bonus").limit(n)
+
+
+def judged_sets(sets: dict[str, DataFrame]) -> DataFrame:
+    """Several judged sets (query_id, query, expected, category) as one, with the name of each as judged_set."""
+    out = None
+    for name, rows in sets.items():
+        rows = rows.select("query_id", "query", "expected", "category", F.lit(name).alias("judged_set"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def model_similarities(pairs: DataFrame, encoders: dict) -> DataFrame:
     """(model, text_a, text_b, similarity) of each pair of texts under each encoder."""
     from folioflow.operators.encode import encode_column

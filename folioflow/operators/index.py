@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import stem_of
 from folioflow.functions.text import title as title_of
 from folioflow.operators.chunking import chunk_documents
-from folioflow.operators.encode import Encoder, embed_index
+from folioflow.operators.encode import Encoder, HashEncoder, embed_index
 
 LOG = "doc_id long, path string, op string, title string, mtime timestamp, size long, sha256 string, text string, embedding array<double>, model_id string, batch_id long"
 CHUNK_LOG = "chunk_id long, doc_id long, path string, title string, chunk_index int, chunk_text string, embedding array<double>, embedding_dim int, sha256 string, model_id string, batch_id long"
@@ -43,6 +43,17 @@ def chunks(spark: SparkSession, index_dir: str, model: str) -> DataFrame:
     return read_table(spark, index_dir, "chunks").filter(F.col("model_id") == model).join(live, ["path", "batch_id"], "left_semi")
 
 
+def embedded_documents(spark: SparkSession, index_dir: str, model: str) -> DataFrame:
+    """doc_id, path, title, text, embedding of the current documents that have a vector."""
+    return documents(spark, index_dir, model).filter(F.col("embedding").isNotNull()).select("doc_id", "path", "title", "text", "embedding")
+
+
+def chunk_rows(spark: SparkSession, index_dir: str, model: str) -> DataFrame:
+    """The current chunks, each with its document's row: doc_title, mtime, size and doc_text beside the chunk's own columns."""
+    docs = documents(spark, index_dir, model).select("path", "batch_id", F.col("title").alias("doc_title"), "mtime", "size", F.col("text").alias("doc_text"))
+    return read_table(spark, index_dir, "chunks").filter(F.col("model_id") == model).join(docs, ["path", "batch_id"])
+
+
 def point_lookup(docs: DataFrame, path: str | None = None, doc_id: int | None = None) -> DataFrame:
     return docs.filter(F.col("path") == path if path is not None else F.col("doc_id") == doc_id)
 
@@ -111,6 +122,25 @@ def model_stats(pieces: DataFrame, doc: str = "path", vector: str = "embedding")
     return pieces.groupBy("model_id").agg(F.count_distinct(doc).alias("document_count"), F.count("*").alias("chunk_count"), F.max(F.size(vector)).alias("dim"), F.sum(F.size(vector) * 4).cast("long").alias("vector_bytes"))
 
 
+def statistics(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``model_stats`` with documents counted from their own table (model_id, path), so that those without chunks count too."""
+    count = docs.groupBy("model_id").agg(F.count("*").alias("document_count"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return count.join(model_stats(pieces).drop("document_count"), "model_id", "full_outer").select("model_id", zero("document_count"), zero("chunk_count"), "dim", zero("vector_bytes"))
+
+
+def reset(spark: SparkSession, index_dir: str, model: str) -> int:
+    """Empty one model's index by a batch of tombstones, and return how many documents it held. Other models stay as they are; the
+    model's next run encodes everything again."""
+    held = documents(spark, index_dir, model).select("path").persist()
+    n = held.count()
+    if n:
+        nothing = read_table(spark, index_dir, "documents").filter("false").select("path", "title", "text", "mtime", "size", "sha256")
+        write_batch(spark, index_dir, model, next_batch(spark, index_dir), nothing, held, HashEncoder(1))
+    held.unpersist()
+    return n
+
+
 def compact(spark: SparkSession, index_dir: str, target_dir: str, model: str) -> None:
     """Copy what is current to a new tree as batch 1."""
     for table, name in ((documents(spark, index_dir, model), "documents"), (chunks(spark, index_dir, model), "chunks")):

@@ -1,11 +1,4 @@
 """Table schemas, as DDL strings."""
 
-DOCUMENTS_RAW = "path string, relative_path string, title string, mtime timestamp, size long, sha256 string, text string"
-DOCUMENTS = "doc_id long, path string, title string, mtime timestamp, size long, sha256 string, text string, embedding array<float>, indexed_at timestamp"
-CHUNKS = "chunk_id long, doc_id long, path string, title string, chunk_index int, text string, embedding array<float>, embedding_dim int"
-GLOSSARY = "entry_id int, term string, synonyms array<string>, description string"
-VECTOR_HITS = "query_id long, rank int, doc_id long, path string, full_path string, title string, score double, hit_text string"
 KEYWORD_HITS = "query_id long, rank int, file_id long, full_path string, target_path string, file_name string, snippet string, utility_score double, click_count double"
-JUDGMENTS = "query_id long, query string, expected string, category string"
 CHANGES = "path string, op string, content string, mtime timestamp"
-CHANGE_LOG = "path string, op string, title string, mtime timestamp, size long, sha256 string, text string"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ EXCLUDED_DIRS = (".obsidian", ".git", ".vector_search", ".trash", ".agents", "no
 EXCLUDED_SUFFIXES = (".excalidraw.md", ".excalidraw", ".canvas", ".drawio.svg", ".drawio")
 DEFAULT_EXTENSIONS = (".md", ".markdown", ".txt")
 
+#: Names that a targeted scan tells the file listing at most.
+NAMED = 10_000
+
 
 def normalised_extensions(extensions: str | list[str] | None) -> list[str]:
     """Lower case with a dot; a string is split at commas, semicolons and blanks; nothing means the usual ones."""
@@ -32,11 +37,14 @@ def is_wanted(relative: Column, extensions: list[str]) -> Column:
     return F.regexp_extract(low, r"(?<=[^/])(\.[^./]*)\z", 1).isin(*extensions) & ~excluded & ~hidden
 
 
-def scan_corpus(spark: SparkSession, root: str, extensions: str | list[str] | None = None) -> DataFrame:
+def scan_corpus(spark: SparkSession, root: str, extensions: str | list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """path, relative_path, title, mtime, size, sha256, text of every note below ``root``. Bytes that are no UTF-8 are
     replaced. Files whose name starts with an underscore or a dot are not seen (Spark hides them); a root that is
-    not there raises."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    not there raises. With ``names``, only files with one of these names are read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if names is not None:
+        reader = reader.option("pathGlobFilter", "{" + ",".join(re.sub(r"([\\{}\[\],*?])", r"\\\1", x) for x in names) + "}")
+    files = reader.load(root)
     base = F.regexp_replace(F.regexp_replace(F.lit(root), r"^file:/*", "/"), r"/+\z", "")
     path = F.regexp_replace("path", r"^[a-z0-9]+:(?://[^/]*)?/*", "/")
     relative = F.regexp_replace(F.substr(path, F.instr(path, base) + F.length(base)), "^/+", "")
@@ -49,8 +57,11 @@ def scan_corpus(spark: SparkSession, root: str, extensions: str | list[str] | No
 
 
 def scan_files(spark: SparkSession, root: str, requested: DataFrame, extensions: str | list[str] | None = None) -> DataFrame:
-    """The notes at the relative paths of ``requested``, with nulls for those that are missing or cannot be seen."""
-    return requested.select("relative_path").join(scan_corpus(spark, root, extensions), "relative_path", "left")
+    """The notes at the relative paths of ``requested``, with nulls for those that are missing or cannot be seen. Only files by the
+    requested names are read; a request for more than NAMED of them reads every file."""
+    names = [r["name"] for r in requested.select(T.file_name(F.col("relative_path")).alias("name")).distinct().limit(NAMED + 1).collect()]
+    found = scan_corpus(spark, root, extensions, [n for n in names if n] if len(names) <= NAMED else None)
+    return requested.select("relative_path").join(found, "relative_path", "left")
 
 
 def keyword_hits(spark: SparkSession, path: str) -> DataFrame:

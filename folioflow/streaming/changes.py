@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from folioflow.operators import index as I
 from folioflow.operators.encode import Encoder
@@ -65,6 +67,30 @@ def stream_index(spark: SparkSession, changes: DataFrame, index_dir: str, model:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+class RunProgress(StreamingQueryListener):
+    """Adds up the events of a query's batches against the number that the feed holds."""
+
+    def __init__(self, total: int):
+        self.total, self.done, self.deletions, self.began = total, 0, 0, time.time()
+
+    def onQueryStarted(self, event) -> None:
+        self.began = time.time()
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get("changes")
+        if seen is not None:
+            self.done, self.deletions = self.done + seen["events"], self.deletions + seen["deletions"]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def state(self) -> dict[str, float]:
+        return progress(self.done, self.total, time.time() - self.began)
+
+
 def progress(done: int, total: int, seconds: float) -> dict[str, float]:
     """Percentage and estimated seconds that remain."""
     share = done / total if total else 1.0

@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +212,65 @@ def test_salient_sentence_in_every_language(spark):
     langs = registry.documents(spark, sf).select("doc_id", "lang")
     got = registry.salient_sentence(spark, sf).join(langs, "doc_id").groupBy("lang").count().collect()
     assert {r["lang"] for r in got} == {r["lang"] for r in langs.select("lang").distinct().collect()} and len(got) == 4
+
+
+def test_targeted_scan_reads_the_named_files_alone(spark, tmp_path):
+    for name in ("a.md", "sub/a.md", "x{1},[2].md", "b.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert {r["relative_path"] for r in corpus.scan_corpus(spark, str(tmp_path), names=["a.md"]).collect()} == {"a.md", "sub/a.md"}
+    asked = spark.createDataFrame([("sub/a.md",), ("x{1},[2].md",), ("no.md",)], "relative_path string")
+    assert {r["relative_path"]: r["text"] for r in corpus.scan_files(spark, str(tmp_path), asked).collect()} == {"sub/a.md": "sub/a.md", "x{1},[2].md": "x{1},[2].md", "no.md": None}
+
+
+def test_one_model_is_reset_and_rows_join(spark, tmp_path):
+    where = str(tmp_path / "ix")
+    for model, width in (("m", 8), ("n", 4)):
+        I.update_index(scanned(spark, [("a", "one"), ("b", "# Head\n\ntwo")]), where, model, HashEncoder(width))
+    rows = {r["path"]: (r["doc_text"], r["chunk_text"]) for r in I.chunk_rows(spark, where, "m").collect()}
+    assert set(rows) == {"a", "b"} and rows["a"][0] == "one" and "one" in rows["a"][1]
+    assert I.embedded_documents(spark, where, "n").count() == 2
+    log = lambda name: I.read_table(spark, where, name)
+    stats = {r["model_id"]: (r["document_count"], r["dim"]) for r in I.statistics(I.current_version(log("documents"), partition=("model_id",)), log("chunks")).collect()}
+    assert stats == {"m": (2, 8), "n": (2, 4)}
+    assert I.reset(spark, where, "m") == 2 and I.reset(spark, where, "m") == 0 and I.reset(spark, where, "other") == 0
+    assert I.documents(spark, where, "m").count() == I.chunks(spark, where, "m").count() == 0 and I.documents(spark, where, "n").count() == 2
+    assert I.update_index(scanned(spark, [("a", "one")]), where, "m", HashEncoder(8)).first()["created"] == 1
+
+
+def test_lookup_and_keyword_hits(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, path string")
+    assert I.point_lookup(docs, path="b").first()["doc_id"] == 2 and I.point_lookup(docs, doc_id=1).first()["path"] == "a"
+    (tmp_path / "k.json").write_text('{"query_id": 1, "rank": 1, "file_id": 7, "full_path": "/v/a.md", "utility_score": 2.5}\n')
+    row = corpus.keyword_hits(spark, str(tmp_path / "k.json")).first()
+    assert (row["file_id"], row["utility_score"], row["snippet"]) == (7, 2.5, None)
+
+
+def test_judged_sets_times_and_best(spark):
+    one = spark.createDataFrame([(1, "q", "a", "c")], "query_id long, query string, expected string, category string")
+    both = E.judged_sets({"x": one, "y": one.withColumn("query_id", F.lit(2).cast("long"))})
+    assert {(r["query_id"], r["judged_set"]) for r in both.collect()} == {(1, "x"), (2, "y")}
+    hits = spark.createDataFrame([(1, 1, "a", 0.9, 0.25), (2, 1, "b", 0.5, 0.75)], "query_id long, rank int, path string, score double, seconds double")
+    got = E.evaluate(hits, both).first()
+    assert (got["hit_1"], got["mean_seconds"], got["total"]) == (0.5, 0.5, 2)
+    grid = E.parameter_grid(spark).withColumn("mrr", F.col("exponent")).withColumn("hit_1", F.lit(0.5))
+    assert [r["exponent"] for r in E.best_parameters(grid).collect()] == [1.8] * 5
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    feed = spark.createDataFrame([(f"p{i}", "deleted" if i == 3 else "updated", "x", datetime.datetime(2024, 1, 1)) for i in range(4)], ST.CHANGES)
+    feed.write.parquet(str(tmp_path / "feed"))
+    seen = ST.RunProgress(4)
+    spark.streams.addListener(seen)
+    ST.stream_index(spark, ST.read_changes(spark, str(tmp_path / "feed")), str(tmp_path / "ix"), "m", HashEncoder(4), str(tmp_path / "state")).awaitTermination()
+    for _ in range(100):
+        if seen.done:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(seen)
+    assert seen.state()["percent"] == 100.0 and seen.deletions == 1
+
+
+def test_snippet_around_a_late_hit(spark):
+    row = spark.createDataFrame([("a " * 500 + "Needle here", ["needle"]), ("plain", ["no"])], "t string, w array<string>").select(P.around(F.col("t"), F.col("w")).alias("s")).collect()
+    assert "Needle here" in row[0]["s"] and row[1]["s"] == "plain"
