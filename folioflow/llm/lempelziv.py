@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import words
-from folioflow.llm.repeats import NULL_ID, bucket_of, buckets_for, chunks, compressed, expand, gathered, minimisers, numbered, packed, slices, suspect_anchors, wanted, with_suspects
+from folioflow.llm.repeats import NULL_ID, SPARED, bucket_of, buckets_for, chunks, compressed, expand, gathered, minimisers, numbered, packed, slices, suspect_anchors, wanted, with_suspects
 from folioflow.llm.shared import written
 from folioflow.llm.words import mix
 
@@ -52,7 +52,7 @@ def _anchors(texts: list[bytes], window: int):
         grams = grams * P + padded[j : j + len(word)]
     grams = mix(grams)
     anchor, first, last = minimisers(grams, np.repeat(offsets[1:], np.diff(offsets)), K, window)
-    return word, offsets, grams[anchor], np.searchsorted(offsets, anchor, "right") - 1, first, last
+    return word, offsets, grams[anchor] >> SPARED, np.searchsorted(offsets, anchor, "right") - 1, first, last
 
 
 def _earliest(prints, docs, starts) -> tuple[np.ndarray, np.ndarray]:

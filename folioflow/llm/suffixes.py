@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.repeats import NULL_ID, buckets_for, chunks, compressed, covered, expand, gathered, minimisers, mix, numbered, packed, slices, suspect_anchors, wanted, with_suspects
+from folioflow.llm.repeats import NULL_ID, SPARED, buckets_for, chunks, compressed, covered, expand, gathered, minimisers, mix, numbered, packed, slices, suspect_anchors, wanted, with_suspects
 from folioflow.llm.shared import written
 
 K = 16
@@ -28,6 +28,8 @@ HOT_SUFFIXES = 4096
 HOT_LISTED = 1 << 16
 #: About how many documents, chosen by hash, give the splitters. This bounds balance, not results.
 SPLITTER_DOCS = 2000
+#: Of a context: its document among those of its sheet, and its place there; how far its anchor is in, and how many windows it has.
+NUMBERS = np.dtype([("who", "<u4"), ("place", "<i4"), ("left", "<u2"), ("n", "<u2")])
 
 
 def _bytes_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +46,7 @@ def _anchors(texts, window: int):
     hashes = mix(word[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(word[8 : n + 8]))
     anchor, first, last = minimisers(hashes, ends, K, window)
     row = np.searchsorted(offsets, anchor, "right") - 1
-    return data, offsets, hashes[anchor], row, anchor, first, last
+    return data, offsets, hashes[anchor] >> SPARED, row, anchor, first, last
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
@@ -128,7 +130,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
                 ids, ths = some["doc"].to_numpy(np.int64)[row], some["th"].to_numpy(np.int64)[row]
                 place, left = first - offsets[row], anchor - first
                 # of equal contexts only the smallest id's is compared elsewhere; the others repeat it
-                out = pd.DataFrame({"bucket": bucket, "doc": ids, "th": ths, "place": place, "left": left, "n": last - first + 1, "body": body})
+                out = pd.DataFrame({"bucket": bucket, "row": row, "doc": ids, "th": ths, "place": place, "left": left, "n": last - first + 1, "body": body})
                 least = out.groupby(["body", "left"], sort=False)["doc"].transform("min")
                 known = out["doc"].to_numpy() > least.to_numpy()
                 yield from _sheets(out[~known], False)
@@ -168,7 +170,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT_SUFFIXES)
         start = np.concatenate([place[known], *(place[d] + left[d] - o for d, o in hits)])
         return _intervals(ids[rows], ths[rows], start, np.concatenate([n[known], np.ones(len(rows) - len(known), np.int64)]), n_buckets)
 
-    sheets = with_suspects(docs, suspects, n_buckets).mapInPandas(contexts, "bucket long, known boolean, numbers binary, body binary")
+    sheets = with_suspects(docs, suspects, n_buckets).mapInPandas(contexts, "bucket long, known boolean, keys binary, numbers binary, body binary")
     return gathered(sheets.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(compare, "part long, keys binary, who binary, starts binary, counts binary"), {"starts": "<i4", "counts": "<i4"}, n_buckets)
 
 
@@ -187,16 +189,22 @@ def _sheets(rows: pd.DataFrame, known: bool) -> Iterator[pd.DataFrame]:
     if rows.empty:
         return
     rows = rows.iloc[np.argsort(rows["bucket"].to_numpy(), kind="stable")]
-    bucket, body = rows["bucket"].to_numpy(), rows["body"].tolist()
-    numbers = np.stack([rows[c].to_numpy(np.int64) for c in ("doc", "th", "place", "left", "n")])
-    at = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
-    out = [(bucket[a], known, numbers[:, a:b].tobytes(), b"" if known else b"".join(body[a:b])) for a, b in zip(at, np.append(at[1:], len(bucket)))]
-    yield pd.DataFrame(out, columns=["bucket", "known", "numbers", "body"])
+    bucket, body, row = rows["bucket"].to_numpy(), rows["body"].tolist(), rows["row"].to_numpy()
+    keys = rows[["doc", "th"]].to_numpy(np.int64)
+    numbers = np.empty(len(rows), NUMBERS)
+    for c in ("place", "left", "n"):
+        numbers[c] = rows[c]
+    at, out = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1)), []
+    for a, b in zip(at, np.append(at[1:], len(bucket))):
+        _, first, numbers["who"][a:b] = np.unique(row[a:b], return_index=True, return_inverse=True)
+        out.append((bucket[a], known, keys[a:b][first].tobytes(), numbers[a:b].tobytes(), b"" if known else b"".join(body[a:b])))
+    yield pd.DataFrame(out, columns=["bucket", "known", "keys", "numbers", "body"])
 
 
 def _unsheet(r) -> tuple:
-    ids, ths, place, left, n = np.frombuffer(r.numbers, np.int64).reshape(5, -1)
-    return ids, ths, place, left, n, r.body
+    numbers = np.frombuffer(r.numbers, NUMBERS)
+    keys = np.frombuffer(r.keys, np.int64).reshape(-1, 2)[numbers["who"]]
+    return keys[:, 0], keys[:, 1], *(numbers[c].astype(np.int64) for c in ("place", "left", "n")), r.body
 
 
 def _intervals(ids: np.ndarray, ths: np.ndarray, start: np.ndarray, n: np.ndarray, n_parts: int) -> pd.DataFrame:
