@@ -15,8 +15,9 @@ TERM_HEADERS = ("専門用語", "代表語", "term", "単語", "用語")
 SYNONYM_HEADERS = ("類似語", "同義語", "略称", "別名", "synonym", "alias")
 DESCRIPTION_HEADERS = ("意味", "解説", "説明", "description", "備考", "詳細")
 SEPARATORS = r"[,、，\n\t]+"
-#: A glossary of at most so many spellings is broadcast; beyond, texts and spellings meet by shared three-letter pieces.
+#: A glossary of at most so many spellings is broadcast; beyond, texts and spellings meet by up to HEAD letters.
 BROADCAST_VARIANTS = 20_000
+HEAD = 4
 
 
 def nfkc(c: Column) -> Column:
@@ -99,10 +100,12 @@ def detect_terms(texts: DataFrame, glossary: DataFrame, key: str, text: str) ->
     normal = F.col("_k").isNotNull() & F.contains("_norm", F.col("_k"))
     if spelled.limit(BROADCAST_VARIANTS + 1).count() <= BROADCAST_VARIANTS:
         found = low.join(F.broadcast(spelled), direct | normal)
-    else:  # each occurrence shares the spelling's first letters with the text
-        pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
-        heads = spelled.select("*", F.explode(F.array_distinct(F.array_compact(F.array(F.when(F.col("_n") >= 2, F.left("_v", F.lit(2))), F.left("_k", F.lit(2)))))).alias("_head"))
-        found = low.select("*", F.explode(F.array_union(pieces(F.col("_low"), 2), pieces(F.col("_norm"), 2))).alias("_head")).join(heads, "_head").filter(direct | normal)
+    else:  # each occurrence shares the spelling's first letters with the text; texts do not travel with their pieces
+        pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+        every = F.array_distinct(F.concat(*(pieces(F.col(c), n) for c in ("_low", "_norm") for n in range(2, HEAD + 1))))
+        heads = spelled.select("entry_id", "place", F.explode(F.array_distinct(F.array_compact(F.array(F.when(F.col("_n") >= 2, F.left("_v", F.lit(HEAD))), F.left("_k", F.lit(HEAD)))))).alias("_head"))
+        near = low.select(key, F.explode_outer(every).alias("_head")).join(heads, "_head").select(key, "entry_id", "place").distinct()
+        found = near.join(low, key).join(spelled, ["entry_id", "place"]).filter(direct | normal)
     rank = F.struct(F.when(direct, 0).otherwise(1).alias("by"), F.when(direct, -F.col("_n")).otherwise(0).alias("n"), "entry_id", "place")
     best = found.groupBy(key, "entry_id").agg(F.min(rank).alias("_rank"))
     return best.select(key, "entry_id", F.row_number().over(Window.partitionBy(key).orderBy("_rank")).alias("place"))
