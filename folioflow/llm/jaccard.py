@@ -36,8 +36,8 @@ from folioflow.llm.shared import by_group, written
 from folioflow.llm.words import mix
 
 WORDS = 5
-#: Text bytes a task looks at together, and that an owner of n-grams stands for.
-CHUNK = 1 << 23
+#: Text bytes a task looks at together, and for which there is one more owner of n-grams.
+CHUNK, OWNED = 1 << 20, 1 << 23
 #: Fragments of the global order in which pairs are counted.
 FRAGMENTS = 8
 #: Rounds with one central document per n-gram, before pairs between components are joined.
@@ -142,7 +142,7 @@ def judged(rows: DataFrame, n_words: int = WORDS) -> DataFrame:
     may have a link. Rows without a link may be core; rows with one always are."""
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // CHUNK)
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // OWNED)
     bits = min(64, max(32, math.ceil(math.log2(total / 4 + 1)) + 8))  # so that few n-grams look shared by chance
     book = written(rows.mapInPandas(_book(n_words, owners, bits), BOOK), "jaccard-book", "kind")
     lists = book.filter("kind = 'list'").select("chunk", "owner", "coded").repartition(owners, "owner")
@@ -153,7 +153,7 @@ def judged(rows: DataFrame, n_words: int = WORDS) -> DataFrame:
 
 def _exploded(n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in chunks(batches, "text", 1 << 20):
+        for some in chunks(batches, "text", CHUNK):
             row, grams = ngram_sets([x.encode() for x in some["text"]], n_words)
             yield pd.DataFrame({"rid": some["rid"].to_numpy()[row], "n": some["n"].to_numpy()[row], "gram": grams.view(np.int64)})
 
