@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import written
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -33,12 +35,14 @@ RULES = (
     Rule(3, "symbols", "100 * n_symbols > 25 * n_words"),
     Rule(4, "word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words)"),
     Rule(5, "no_words", "n_words = 0"),
+    Rule(6, "capitals", "100 * n_upper > 60 * n_letters"),
 )
 
 #: Masks by version. A published version keeps its mask.
 POLICIES = {
     "base": 0b000011,
     "v1": 0b111111,
+    "v2": 0b1111111,
 }
 
 
@@ -57,6 +61,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_words", F.size("_w").cast("long"))
         .withColumn("word_chars", F.length(F.regexp_replace("_t", SPACE, "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"))
+        .withColumn("n_letters", F.length(F.regexp_replace("_t", r"\P{L}+", "")).cast("long"))
+        .withColumn("n_upper", F.length(F.regexp_replace("_t", r"\P{Lu}+", "")).cast("long"))
         .withColumn("n_lines", F.size("_l").cast("long"))
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
         .withColumn(
@@ -111,11 +117,11 @@ def ablation(book: DataFrame, version: str = "v1", rules: tuple[Rule, ...] = RUL
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """One row per document: the base measurements, the base verdict and the policy's verdict.
+    """One row per document: the base measurements, the base verdict and the policy's verdict, from the stored ledger.
 
     A null or empty text has no words and fails; repeated rows are judged one by one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    book = apply_policy(ledger(docs), "v1")
+    book = apply_policy(written(ledger(docs).drop("text"), "quality-ledger"), "v2")
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("fail_bits").bitwiseAND(F.lit(POLICIES["base"])) != 0).alias("base_failed"),

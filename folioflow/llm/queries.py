@@ -43,12 +43,13 @@ k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM k WHERE n > 1) GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper,
              (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
       FROM d LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
              + CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 4 ELSE 0 END + CASE WHEN 100 * n_symbols > 25 * n_words THEN 8 ELSE 0 END
              + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words) THEN 16 ELSE 0 END
-             + CASE WHEN n_words = 0 THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+             + CASE WHEN n_words = 0 THEN 32 ELSE 0 END + CASE WHEN 100 * n_upper > 60 * n_letters THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """,
     # words of up to five, then pairs by shared shingles, then all that links reach
