@@ -38,7 +38,7 @@ LOOSE = {
     "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\[({]\x20?at\x20?[\])}]|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}+"
     r"(?:\x20?(?:\.|[\[({]\x20?dot\x20?[\])}]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,24}+){1,5}+",
     "dotted": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\x20?(?:\.|[\[({]\x20?(?:\.|dot)\x20?[\])}]|\x20dot\x20)\x20?[0-9]{1,3}){3}(?!\.?[A-Za-z0-9])",
-    "token": r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{16,256}+(?![A-Za-z0-9+/_=-])",
+    "token": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,256}+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 #: A text without it has no match, so that most texts are not searched. _d: a digit, _a: a sign or word for @.
 NEEDS = {"email": "instr(_t, '@') > 0", "ip": "_d", "card": "_d", "phone": "instr(_t, '+') > 0", "wide": "_d", "tight": "_d", "spelled": "_a", "dotted": "_d", "token": "_d"}
