@@ -279,3 +279,13 @@ SELECT doc_id, similarity, round(least(greatest({base('similarity')} + matched /
     "embedded_tables": f"""WITH {NOTES} SELECT path, 0 AS "row", 'n' AS name, regexp_replace(left(raw, 30), '[\\n"\\\\]', ' ', 'g') AS excerpt, 'a|b' AS tags FROM notes UNION ALL SELECT path, 1, 'x' || doc_id, 'y', NULL FROM notes""",
     "document_resolve": f"WITH {DOCS} SELECT doc_id AS position, path AS doc_path FROM docs",
 }
+
+#: Keywords of the queries themselves, and of the glossary terms found in them.
+TERM_WORDS = WORDS.replace("FROM asked)", "FROM asked0)").replace("\nkw AS (", "\nown AS (") + f""",
+texts AS (SELECT query_id AS id, query AS t FROM asked0), {DETECT},
+more AS (SELECT id AS query_id, flatten(list(list_concat(list_filter(list_concat([term], synonyms), lambda v: length(v) >= 2), regexp_extract_all(description, '[a-zA-Z0-9]{{2,}}')))) AS more FROM de JOIN gl USING (entry_id) GROUP BY 1),
+kw AS (SELECT query_id, list_distinct(list_concat(coalesce(keywords, []), coalesce(more, []))) AS keywords FROM asked0 LEFT JOIN own USING (query_id) LEFT JOIN more USING (query_id))"""
+SQL["ab_delta"] = f"""WITH enriched AS ({SQL["enriched_query"]}),
+a AS (WITH {DOCS}, {ASKED.replace("asked AS", "asked0 AS")}, asked AS (SELECT query_id, enriched AS query FROM enriched),{ranked(20, 80).replace(WORDS, TERM_WORDS)} SELECT query_id, score FROM hits WHERE rank = 1),
+b AS (WITH {DOCS}, {ASKED},{ranked(20, 80)} SELECT query_id, score FROM hits WHERE rank = 1)
+SELECT round(avg(a.score - b.score), 6) AS delta, count(*) AS n_queries FROM a JOIN b USING (query_id)"""
