@@ -9,20 +9,26 @@ from folioflow.plans.registry import DIM, GLOSSARY
 
 NOTES = r"""
 n0 AS (SELECT doc_id, lang, source, text AS raw, source || '/' || doc_id || '.md' AS path,
-         E'---\ntags: [' || lang || ', ' || source || E']\naliases:\n  - ' || source || E'\n---\n' AS front,
-         '# Note ' || doc_id || E'\n\n## Body\n\n' AS head, replace(text, chr(10), E'\n\n') AS body,
-         E'\n\n### Links\n\nSee ' AS links, '[[Note|label]] and [site](http://x.y/z) #tag' || (doc_id % 7) AS links_raw, 'label and site #tag' || (doc_id % 7) AS links_clean
+         E'---\ntags: [' || lang || ', ' || source || E']\nkeywords: k' || (doc_id % 5) || E', extra words\naliases:\n  - ' || source || E'\n---\n' AS front,
+         '# Note ' || doc_id || E'\n\n## Body\n\n' AS head, replace(text, chr(10), E'\n\n') AS body, E'\n\n### Links\n\nSee ' AS links,
+         '[[Note|label]] and [site](http://x.y/z) #tag' || (doc_id % 7) || E'\n\n%%a comment%%\n![[pic.png]] ![alt](pic.png)\n\n#### Deep\n\nDeep text' AS links_raw,
+         CASE WHEN doc_id % 6 = 0 THEN E'\n\n# Excalidraw Data\n\nsecret' ELSE '' END AS drawing
        FROM documents),
-notes AS (SELECT *, front || head || body || links || links_raw AS text, doc_id || ' - Note ' || doc_id AS title FROM n0)"""
+notes AS (SELECT *, front || head || body || links || links_raw || drawing AS text, doc_id || ' - Note ' || doc_id AS title FROM n0)"""
 DOCS = "docs AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, 'Note ' || doc_id AS title, text, lang FROM documents)"
 ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 SPACE = r"[ \t\n\x0B\f\r\x1C-\x1F\x85\xA0]"
 KEYS = "|".join(T.METADATA_KEYS)
 NOISE = rf"""(regexp_matches(lower(x), '^({KEYS})') OR regexp_matches(x, '^[A-Za-z0-9+/=]{{30,}}$') OR (regexp_matches(x, '%[0-9A-Fa-f]{{2}}%[0-9A-Fa-f]{{2}}') AND length(x) > 30)
  OR regexp_matches(x, '^[:|\-\s*>`%]+$'))"""
+#: Comments, embeds and links, in the order in which they go: a comment that opens in the body may take a link with it.
+LINKED = "head || body || links || links_raw"
+for _pattern, _into in ((r"%%.*?%%", ""), (r"!\[\[.*?\]\]", ""), (r"!\[.*?\]\(.*?\)", ""), (r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"https?://\S+", "")):
+    LINKED = f"regexp_replace({LINKED}, '{_pattern}', '{_into}', '{'gs' if _pattern.startswith('%%') else 'g'}')"
 #: The notes' cleaned text, whose first two headings and last section are known.
 CLEAN = rf"""
-c0 AS (SELECT *, regexp_replace(regexp_replace(head || body || links || links_clean, '%%.*?%%', '', 'gs'), 'https?://\S+', '', 'g') AS linked FROM notes),
+c00 AS (SELECT *, {LINKED} AS linked FROM notes),
+c0 AS (SELECT *, CASE WHEN contains(linked, '#tag') THEN 'tag' || (doc_id % 7) END AS tag FROM c00),
 c1 AS (SELECT *, trim(regexp_replace(list_aggregate(list_filter(list_transform(string_split(linked, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]{{2,}}', ' ', 'g'), E' \t\r')),
        lambda x: x = '' OR NOT {NOISE}), 'string_agg', chr(10)), '\n{{3,}}', E'\n\n', 'g'), E' \n') AS clean_text FROM c0)"""
 VECTORS = f"""
@@ -153,13 +159,14 @@ GRID = "grid AS (SELECT * FROM (SELECT unnest([{}]) AS noise_floor), (SELECT unn
 )
 CONTEXT_LINES = "string_split(trim(coalesce(nullif(preview, ''), ''), E' \\n\\r\\t'), chr(10))"
 PACK = r"""
-s AS (SELECT *, '[' || title || ' > Note ' || doc_id || ' > Body] [Tags: #' || lang || ' #' || source || ' #tag' || (doc_id % 7) || '] [Aliases: ' || source || ']' AS ctx,
-        '[' || title || ' > Note ' || doc_id || ' > Body > Links] [Tags: #' || lang || ' #' || source || ' #tag' || (doc_id % 7) || '] [Aliases: ' || source || ']' AS last_ctx,
-        trim(split_part(split_part(clean_text, '## Body', 2), '### Links', 1), E' \n') AS main, trim(split_part(clean_text, '### Links', 2), E' \n') AS tail FROM c1),
+x AS (SELECT *, '] [Tags: #' || lang || ' #' || source || coalesce(' #' || tag, '') || '] [Aliases: ' || source || '] [Keywords: extra k' || (doc_id % 5) || ' words]' AS meta, '[' || title || ' > Note ' || doc_id || ' > Body' AS crumbs,
+        contains(clean_text, E'\n### Links') AS has_links, split_part(clean_text, '## Body', 2) AS rest FROM c1),
+s AS (SELECT *, crumbs || meta AS ctx, crumbs || ' > Links' || meta AS last_ctx, crumbs || CASE WHEN has_links THEN ' > Links > Deep' ELSE ' > Deep' END AS deep_crumbs,
+        trim(split_part(CASE WHEN has_links THEN split_part(rest, '### Links', 1) ELSE rest END, '#### Deep', 1), E' \n') AS main, CASE WHEN has_links THEN trim(split_part(split_part(rest, '### Links', 2), '#### Deep', 1), E' \n') END AS tail FROM x),
 p AS (SELECT *, CASE WHEN main = '' THEN [] WHEN length(main) <= 600 THEN [main] ELSE string_split(list_reduce(list_filter(list_transform(regexp_split_to_array(main, '\n\s*\n'), lambda x: trim(x, E' \n\t\r')), lambda x: x <> ''),
         lambda a, x: CASE WHEN a = '' THEN x WHEN length(string_split(a, chr(1))[-1]) + length(x) + 2 <= 600 THEN a || E'\n\n' || x
           ELSE a || chr(1) || CASE WHEN length(string_split(a, chr(1))[-1]) > 80 THEN right(a, 80) || E'\n\n' || x ELSE x END END, ''), chr(1)) END AS parts FROM s),
-k AS (SELECT doc_id, path, list_concat(list_transform(parts, lambda x: trim(ctx || E'\n' || x, E' \n')), [last_ctx || E'\n' || tail]) AS chunks FROM p),
+k AS (SELECT doc_id, path, list_concat(list_transform(parts, lambda x: trim(ctx || E'\n' || x, E' \n')), list_filter([last_ctx || E'\n' || tail, deep_crumbs || meta || E'\nDeep text'], lambda y: y IS NOT NULL)) AS chunks FROM p),
 ch AS (SELECT doc_id, path, unnest(chunks) AS chunk_text, unnest(range(0, len(chunks)))::INT AS chunk_index FROM k)"""
 
 #: Hits of ``search_chunks`` as table hits.
@@ -202,24 +209,23 @@ SELECT model, count(*) AS n, round(avg(coalesce(s, 0.0)), 4) AS mean FROM (SELEC
     "overfetch_rerank": f"WITH {DOCS}, {ASKED},{ranked(5, 20, min_score=0.3)} SELECT query_id, rank::INT AS rank, doc_id, score, raw_rank::INT AS raw_rank FROM hits",
     "title_extract": f"WITH {NOTES} SELECT path, title FROM notes",
     "content_fingerprint": "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size FROM documents",
-    "frontmatter_tags": f"WITH {NOTES} SELECT path, lang || '|' || source || '|tag' || (doc_id % 7) AS tags, source AS aliases, '' AS keywords FROM notes",
+    "frontmatter_tags": f"WITH {NOTES},{CLEAN} SELECT path, concat_ws('|', lang, source, tag) AS tags, source AS aliases, 'extra|k' || (doc_id % 5) || '|words' AS keywords FROM c0",
     "clean_text": f"WITH {NOTES},{CLEAN} SELECT path, clean_text FROM c1",
-    "plain_text_view": rf"""WITH {NOTES}, p AS (SELECT path, regexp_replace(regexp_replace(front || head || body || links || links_clean, 'https?://[^\s)>]+', '', 'g'), '\|', ' ', 'g') AS t FROM notes)
-SELECT path, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^#+\s*', '', 'g'), '(?m)^\s*[-*+]\s+|^\s*[0-9]+\.\s+', '', 'g'), '[*_`~]', '', 'g'), '[ \t]+', ' ', 'g'), E' \n') AS plain FROM p""",
+    "plain_text_view": f"WITH {NOTES} SELECT path, {plain('text')} AS plain FROM notes",
     "line_filters": rf"""WITH {NOTES}, l AS (SELECT path, trim(unnest(string_split(text, chr(10))), E' \t\r') AS x FROM notes)
 SELECT path, count(*) AS n_lines, count(*) FILTER (WHERE {NOISE}) AS n_noise FROM l WHERE x <> '' GROUP BY 1""",
     "chunk_pack": f"WITH {NOTES},{CLEAN},{PACK} SELECT path, chunk_index, chunk_text FROM ch",
     "chunk_stats": f"WITH {NOTES},{CLEAN},{PACK} SELECT count(DISTINCT path) AS document_count, count(*) AS chunk_count, sum(length(chunk_text))::BIGINT AS n_chars FROM ch",
-    "section_breadcrumbs": f"""WITH {NOTES},{CLEAN},{PACK} SELECT path, '[' || title || ' > Note ' || doc_id || ' > Body]' AS context, length(main)::INT AS n_chars FROM s WHERE main <> ''
-UNION ALL SELECT path, '[' || title || ' > Note ' || doc_id || ' > Body > Links]', length(tail)::INT FROM s""",
-    "metadata_prefix": f"WITH {NOTES} SELECT path, '[Tags: #' || lang || ' #' || source || ' #tag' || (doc_id % 7) || '] [Aliases: ' || source || ']' AS prefix FROM notes",
+    "section_breadcrumbs": f"""WITH {NOTES},{CLEAN},{PACK} SELECT path, crumbs || ']' AS context, length(main)::INT AS n_chars FROM s WHERE main <> ''
+UNION ALL SELECT path, crumbs || ' > Links]', length(tail)::INT FROM s WHERE has_links UNION ALL SELECT path, deep_crumbs || ']', 9 FROM s""",
+    "metadata_prefix": f"WITH {NOTES},{CLEAN},{PACK} SELECT path, substr(meta, 3) AS prefix FROM x",
     "model_prefix": "WITH h AS (SELECT doc_id, left(text, 2000) AS head FROM documents) SELECT doc_id, '検索文書: ' || head AS ruri, 'query: ' || head AS e5, head AS plain FROM h",
     "highlight": "SELECT doc_id, regexp_replace(text, '(that|the|le)', '<mark>\\1</mark>', 'gi') AS marked FROM documents",
     "snippets": """WITH x AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '<mark>' || left(text, 5) || '</mark>' || text ELSE text END AS f FROM documents),
 y AS (SELECT *, regexp_replace(f, '<[^>]+>', '', 'g') AS b FROM x) SELECT doc_id, CASE WHEN length(b) > 200 THEN left(b, 200) || '...' ELSE f END AS snippet FROM y""",
     "query_keywords": f"WITH {ASKED},{WORDS} SELECT query_id, array_to_string(coalesce(keywords, []), '|') AS keywords, CASE WHEN keywords IS NULL THEN query ELSE array_to_string(keywords, ' OR ') END AS keyword_query FROM asked LEFT JOIN kw USING (query_id)",
     "html_escape": f"SELECT page_id, {HTML('html')} AS escaped FROM pages",
-    "drawing_notes": f"WITH {NOTES} SELECT path, doc_id % 5 = 0 AS drawing FROM notes",
+    "drawing_notes": f"WITH {NOTES} SELECT path, doc_id % 5 = 0 OR strpos(text, '# Excalidraw') BETWEEN 1 AND 2989 AS drawing FROM notes",
     "export_body": f"WITH {NOTES} SELECT path, trim(head || body || links || links_raw, E' \\n') AS body FROM notes",
     "corpus_diff": f"WITH {ALTERED} SELECT count(*) FILTER (WHERE status <> 'deleted') AS total, count(*) FILTER (WHERE status = 'created') AS created, count(*) FILTER (WHERE status = 'updated') AS updated, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'deleted') AS deleted FROM b",
     "diff_status": f"WITH {ALTERED} SELECT path, status FROM b",

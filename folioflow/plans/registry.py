@@ -30,12 +30,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as Markdown notes: path, title, text, raw."""
+    """Documents as Markdown notes with all that a note may hold: path, title, text, raw."""
     docs = table(spark, sf, "documents")
-    body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    n, body = F.col("doc_id").cast("string"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    part = lambda k: (F.col("doc_id") % k).cast("string")
     text = F.concat(
-        F.lit("---\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\naliases:\n  - "), "source", F.lit("\n---\n# Note "), F.col("doc_id").cast("string"),
-        F.lit("\n\n## Body\n\n"), body, F.lit("\n\n### Links\n\nSee [[Note|label]] and [site](http://x.y/z) #tag"), (F.col("doc_id") % 7).cast("string"),
+        F.lit("---\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\nkeywords: k"), part(5), F.lit(", extra words\naliases:\n  - "), "source", F.lit("\n---\n# Note "), n,
+        F.lit("\n\n## Body\n\n"), body, F.lit("\n\n### Links\n\nSee [[Note|label]] and [site](http://x.y/z) #tag"), part(7),
+        F.lit("\n\n%%a comment%%\n![[pic.png]] ![alt](pic.png)\n\n#### Deep\n\nDeep text"), F.when(F.col("doc_id") % 6 == 0, "\n\n# Excalidraw Data\n\nsecret").otherwise(""),
     )
     out = docs.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"), F.col("text").alias("raw"), "lang")
     return out.withColumn("title", T.title(F.col("text"), T.stem_of(F.col("path"))))
