@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import rice
-from folioflow.llm.shared import by_group, written
+from folioflow.llm.shared import by_group, small_batches, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Fingerprints an owner gets on average, at most.
@@ -93,7 +93,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     n_rows = docs.select(id_col).count()
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // OWNED + 1)
     norm = normalised(F.col(text))
-    narrow = docs.select(
+    narrow = small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_points"),
         F.unhex(F.sha2(norm, 256)).alias("sha"),

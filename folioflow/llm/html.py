@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import small_batches
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 RAW = frozenset("script style noscript template iframe textarea title svg object annotation annotation-xml".split())
@@ -236,7 +238,7 @@ def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFra
         for batch in batches:
             yield pd.Series([main_text(x) for x in batch], dtype=object)
 
-    return pages.withColumn(into, texts(F.col(html)))
+    return small_batches(pages).withColumn(into, texts(F.col(html)))
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:

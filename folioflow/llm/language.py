@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.repeats import chunks
+from folioflow.llm.shared import small_batches
 
 DIMENSIONS = 512
 UNKNOWN = "und"
@@ -94,7 +95,7 @@ def prototypes(docs: DataFrame, text: str = "text", label: str = "lang") -> dict
         for name, v in sums.items():
             yield pd.DataFrame({"label": name, "i": np.arange(len(v)), "v": v})
 
-    rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
+    rows = small_batches(docs).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
     sums = rows.mapInPandas(bundle, "label string, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect()
     found: dict[str, np.ndarray] = {}
     for r in sums:
@@ -125,7 +126,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
                 out.append((names[k], float(min(1.0, max(0.0, cosines[k])))))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
-    return docs.withColumn("_p", predict(F.col(text))).withColumn(languages, F.col("_p.lang")).withColumn(score, F.col("_p.score")).drop("_p")
+    return small_batches(docs).withColumn("_p", predict(F.col(text))).withColumn(languages, F.col("_p.lang")).withColumn(score, F.col("_p.score")).drop("_p")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.repeats import chunks, mix
+from folioflow.llm.shared import small_batches
 
 BLANK = "▁"
 #: Occurrences of words that are segmented side by side.
@@ -274,7 +275,7 @@ def encode(docs: DataFrame, seed: int = 0, dropout: float = 0.1, text: str = "te
                     out.append((x.astype("<i4").tobytes(), decode_ids(x, table) if decode else None))
             yield pd.DataFrame(out, columns=["ids", "decoded"])
 
-    both = docs.withColumn("_encoded", run(F.col(text), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))).withColumn(into, F.col("_encoded.ids"))
+    both = small_batches(docs).withColumn("_encoded", run(F.col(text), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))).withColumn(into, F.col("_encoded.ids"))
     return (both.withColumn("decoded", F.col("_encoded.decoded")) if decode else both).drop("_encoded")
 
 

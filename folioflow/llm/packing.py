@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import written
+from folioflow.llm.shared import small_batches, written
 from folioflow.llm.words import mix
 
 #: Ids a block holds in memory at once, at least.
@@ -64,7 +64,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path:
                 ids = [np.array([*encode(x or ""), end_id], kind) for x in some["text"]]
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "n": [len(x) for x in ids], "wide": kind == "<u4", "ids": [x.tobytes() for x in ids]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, n long, wide boolean, ids binary")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, n long, wide boolean, ids binary")
 
 
 def strategies(histogram: np.ndarray, window: int, rounds: int = 400) -> list[tuple[tuple[int, ...], float]]:

@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import small_batches
 from folioflow.llm.words import mix
 
 
@@ -58,7 +59,7 @@ def text_hash(text: str) -> Column:
 
 def numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """doc (the id, or NULL_ID), th (hash of the text: repeated ids with other texts stay apart), text."""
-    return docs.select(row_id(id_col).alias("doc"), text_hash(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return small_batches(docs).select(row_id(id_col).alias("doc"), text_hash(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def chunks(batches: Iterator[pd.DataFrame], column: str, n_bytes: int = CHUNK) -> Iterator[pd.DataFrame]:
