@@ -8,10 +8,13 @@ from folioflow.llm.jaccard import op4_ngram_jaccard
 from folioflow.llm.language import op10_language_id
 from folioflow.llm.lempelziv import op9_substring_dedup
 from folioflow.llm.merges import op6_sentencepiece
+from folioflow.llm.merkle import op13_merkle_manifest
 from folioflow.llm.packing import op5_packing
+from folioflow.llm.phrases import op12_phrase_collocation
 from folioflow.llm.pii import op8_pii
 from folioflow.llm.quality import op1_quality_rules
 from folioflow.llm.suffixes import op7_suffix_array_dedup
+from folioflow.llm.warc import op11_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -24,10 +27,52 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_warc": op11_warc,
+    "op12_phrase_collocation": op12_phrase_collocation,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def merkle_sql(levels: int = 5, top: int = 3) -> str:
+    """SQL of operator 13 for sources of up to 16 ** levels rows, up to 16 ** top of them. ``n`` and ``s`` are the levels of the sources' trees and
+    of the one above, with the number of nodes of each; ``r`` their runs; ``q`` what a row's path has made of it up to a level."""
+    coded = [f"coalesce(strlen({x}::VARCHAR) || ':' || {x}, '-')" for x in ("doc_id", "source", "lang", "n_chars")]
+    text = f"translate(text, '{UPPER}', '{LOWER}')"
+    leaf, lower = (f"sha256({' || '.join(coded)} || coalesce(strlen({x}) || ':' || {x}, '-'))" for x in ("text", text))
+    bits = "flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(doc_id::VARCHAR, '')])"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+    out = [f"d AS (SELECT doc_id, source, {leaf} AS h, CASE WHEN {crc} % 5 = 0 THEN {lower} ELSE {leaf} END AS changed FROM documents)"]
+    out.append("n0 AS (SELECT doc_id, changed, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, h, count(*) OVER (PARTITION BY source) AS c FROM d)")
+    out.append("q0 AS (SELECT doc_id, h AS leaf, source, i, changed AS node, '' AS proof FROM n0)")
+
+    def climb(n: str, q: str, depth: int, start: int) -> None:
+        for k in range(depth):
+            own = f"64 * ({q}{start + k}.i % 16)"
+            before, behind = f"substr(hs, 1, {own})", f"substr(hs, {own} + 65)"
+            out.append(f"r{n}{k} AS (SELECT source, i // 16 AS i, string_agg(h, '' ORDER BY i) AS hs FROM {n}{k} WHERE c > 1 GROUP BY 1, 2)")
+            out.append(f"{n}{k + 1} AS (SELECT source, i, sha256(hs) AS h, count(*) OVER (PARTITION BY source) AS c FROM r{n}{k})")
+            out.append(
+                f"{q}{start + k + 1} AS (SELECT doc_id, leaf, {q}{start + k}.source AS source, {q}{start + k}.i // 16 AS i, CASE WHEN hs IS NULL THEN node ELSE sha256({before} || node || {behind}) END AS node, "
+                f"proof || coalesce({before} || {behind}, '') AS proof FROM {q}{start + k} LEFT JOIN r{n}{k} ON r{n}{k}.source IS NOT DISTINCT FROM {q}{start + k}.source AND r{n}{k}.i = {q}{start + k}.i // 16)"
+            )
+
+    climb("n", "q", levels, 0)
+    out.append("u AS (" + " UNION ALL ".join(f"SELECT source, h FROM n{k} WHERE c = 1" for k in range(levels + 1)) + ")")
+    out.append("v AS (SELECT source AS of, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM u)")
+    out.append("s0 AS (SELECT 0 AS source, place AS i, subroot AS h, count(*) OVER () AS c FROM v)")
+    out.append(f"p0 AS (SELECT doc_id, leaf, 0 AS source, place AS i, node, proof, v.of AS of FROM q{levels} JOIN v ON v.of IS NOT DISTINCT FROM q{levels}.source)")
+    climb("s", "p", top, 0)
+    roots = " UNION ALL ".join(f"SELECT h AS root FROM s{k} WHERE c = 1" for k in range(top + 1))
+    # a row is told apart by its leaf and proof, which carry its source and place
+    out.append(f"z AS (SELECT doc_id, leaf, proof, node, (SELECT root FROM ({roots})) AS root FROM p{top})")
+    out.append("y AS (SELECT DISTINCT ON (leaf) p0.leaf, v.subroot FROM p0 JOIN v ON v.of IS NOT DISTINCT FROM p0.of)")
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM z JOIN y USING (leaf)"
+
+
 ORACLE = {
     "op2_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents),
@@ -88,4 +133,24 @@ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM k WHERE first <
 a AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM e ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
 """,
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS stays FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN stays = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(stays, page_id) AS refers_to FROM d
+""",
+    "op12_phrase_collocation": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+f AS (SELECT lang, w[i : i + m - 1] AS p, count(*) AS a FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 5) AS m(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+c AS (SELECT lang, p, a FROM f WHERE len(p) > 1 AND a >= 30),
+h AS (SELECT lang, p[i : i + m - 1] AS p, max(a) AS most FROM (SELECT lang, p, a, unnest(range(1, len(p))) AS i FROM c), range(2, 4) AS m(m) WHERE i + m - 1 <= len(p) AND m < len(p) GROUP BY ALL),
+e AS (SELECT c.lang, c.p, c.a, unnest(range(1, len(c.p))) AS k FROM c LEFT JOIN h USING (lang, p) WHERE most IS NULL OR 100 * most < 80 * c.a),
+s AS (SELECT e.lang, e.p, e.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * e.a) // (x.a + y.a))::BIGINT AS score
+      FROM e JOIN f x ON x.lang = e.lang AND x.p = e.p[1 : k] JOIN f y ON y.lang = e.lang AND y.p = e.p[k + 1 :]),
+b AS (SELECT DISTINCT ON (lang, p) lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM s ORDER BY lang, p, score, k),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+""",
+    "op13_merkle_manifest": merkle_sql(),
 }
