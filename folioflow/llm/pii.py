@@ -35,17 +35,18 @@ PATTERNS = {
 LOOSE = {
     "wide": r"(?<![A-Za-z0-9])[+(]{0,2}[0-9]++(?:[\x20\n\t().,/_-]{1,3}[0-9]++)*+",
     "tight": r"(?<![A-Za-z0-9])[+(]?[0-9]++(?:[().,/_-]{1,2}[0-9]++)*+",
-    "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\[({]\x20?at\x20?[\])}]|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}+"
-    r"(?:\x20?(?:\.|[\[({]\x20?dot\x20?[\])}]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,24}+){1,5}+",
+    "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20)[A-Za-z0-9_%+-]++)*+"
+    r"\x20?(?:@|[\[({]\x20?at\x20?[\])}]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,}+)++",
     "dotted": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\x20?(?:\.|[\[({]\x20?(?:\.|dot)\x20?[\])}]|\x20dot\x20)\x20?[0-9]{1,3}){3}(?!\.?[A-Za-z0-9])",
-    "token": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,256}+={0,2}(?![A-Za-z0-9+/_=-])",
+    "colons": r"(?<![A-Za-z0-9:.])[0-9A-Fa-f]{0,4}(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}+(?:::)?(?![A-Za-z0-9:])",
+    "token": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,}+(?:\.[A-Za-z0-9+/_-]++)*+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 #: A text without it has no match, so that most texts are not searched. _d: a digit, _a: a sign or word for @.
-NEEDS = {"email": "instr(_t, '@') > 0", "ip": "_d", "card": "_d", "phone": "instr(_t, '+') > 0", "wide": "_d", "tight": "_d", "spelled": "_a", "dotted": "_d", "token": "_d"}
+NEEDS = {"email": "instr(_t, '@') > 0", "ip": "_d", "card": "_d", "phone": "instr(_t, '+') > 0", "wide": "_d", "tight": "_d", "spelled": "_a", "dotted": "_d", "colons": "instr(_t, ':') > 0", "token": "_d"}
 SPAN = "array<struct<start: int, end: int, body: string>>"
 #: Matches whose positions are added up together.
 STEP = 64
-#: No loose span is longer, and at most so many places lie between two that overlap when they are sorted.
+#: Of spans up to this length, at most so many places lie between two that overlap when they are sorted. Longer ones (long tokens) are compared with all.
 WIDEST, NEIGHBOURS = 512, 256
 NEAR = f"slice({{0}}, greatest(1, i + 1 - {NEIGHBOURS}), {2 * NEIGHBOURS + 1})"
 OVERLAP = "{0}.start < x.end AND x.start < {0}.end"
@@ -90,6 +91,7 @@ READ_AS = {
     "tight": {"card": "length(x.d) BETWEEN 12 AND 19", "phone": "length(x.d) BETWEEN 7 AND 15"},
     "spelled": {"email": "true"},
     "dotted": {"ip": "true"},
+    "colons": {"ip": "CASE WHEN x.body LIKE '%::%' THEN instr(substring(x.body, instr(x.body, '::') + 1), '::') = 0 ELSE size(split(x.body, ':')) = 8 END"},
     "token": {"secret": "x.d <> '' AND x.body rlike '[A-Za-z]'"},
 }
 CUES = {
@@ -150,7 +152,8 @@ def _candidates(docs: DataFrame, text: str) -> DataFrame:
         loose.append(f"CASE WHEN {NEEDS[name]} THEN transform(array({with_digits}), z -> concat({', '.join(each)}))[0] ELSE {empty} END")
     out = out.withColumn("_every", F.expr(f"array_distinct(concat({', '.join(loose)}))"))
     both = "array_sort(concat(transform(_base, b -> struct(b.start, b.end, true AS strict, b.body, b.kind)), transform(_every, b -> struct(b.start, b.end, false AS strict, b.body, b.kind))))"
-    apart = f"NOT x.strict AND NOT exists({NEAR.format('z')}, b -> b.strict AND {OVERLAP.format('b')}) AND NOT exists(_base, b -> b.end - b.start > {WIDEST} AND {OVERLAP.format('b')})"
+    near = f"CASE WHEN x.end - x.start > {WIDEST} THEN z ELSE {NEAR.format('z')} END"
+    apart = f"NOT x.strict AND NOT exists({near}, b -> b.strict AND {OVERLAP.format('b')}) AND NOT exists(_base, b -> b.end - b.start > {WIDEST} AND {OVERLAP.format('b')})"
     kept = f"transform(array({both}), z -> filter(z, (x, i) -> {apart}))[0]"
     out = out.withColumn("_every", F.expr(f"CASE WHEN size(_every) = 0 THEN _every ELSE transform({kept}, {AS_SPAN}) END"))
     around = f"""x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'kind', x.kind, 'd', {DIGITS},
@@ -166,13 +169,13 @@ def _digits(rng: random.Random, shape: str) -> str:
     return "".join(rng.choice("123456789") if c == "D" else rng.choice("0123456789") if c == "#" else c for c in shape)
 
 
-def _card(rng: random.Random) -> str:
+def _card(rng: random.Random, mistyped: bool) -> str:
     digits = [int(c) for c in rng.choice("3456") + _digits(rng, "#" * rng.choice([13, 14, 14, 14, 15]))]
     total = sum(x if i % 2 else 2 * x - 9 * (x > 4) for i, x in enumerate(digits[::-1]))
     body = "".join(map(str, digits)) + str(-total % 10)
-    if rng.random() < 0.3:  # one that was mistyped is still personal
+    if mistyped:
         at = rng.randrange(1, len(body))
-        body = body[:at] + rng.choice("0123456789") + body[at + 1 :]
+        body = body[:at] + rng.choice([c for c in "0123456789" if c != body[at]]) + body[at + 1 :]
     sep = rng.choice(["", "", " ", "-", ".", "_", "/", " - ", "\n"])
     return sep.join(body[i : i + 4] for i in range(0, len(body), 4))
 
@@ -183,24 +186,32 @@ def _planted(rng: random.Random, kind: str, good: bool) -> tuple[str, str]:
     word = lambda: "".join(pick("abcdefghilmnoprstuvw") for _ in range(rng.randint(3, 9)))
     cue = pick({"email": ["e-mail: ", "contact ", "write to "], "ip": ["host ", "ip ", "server "], "card": ["card ", "visa ", "paid with "], "phone": ["tel. ", "call ", "phone: "], "secret": ["token = ", "key: ", 'secret="']}[kind]) if rng.random() < 0.5 else ""
     octets = [str(rng.randint(0, 255)) for _ in range(4)]
+    tokens = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
     code = lambda n, letters: "".join(pick(letters) for _ in range(n))
     if good:
         if kind == "email":
             at, dot = pick([(" at ", " dot "), (" (at) ", "."), ("[at]", "[dot]"), ("@ ", "."), (" @", "."), ("(at)", "(dot)"), (" {at} ", " {dot} ")])
             return cue, word() + pick(["", "." + word(), str(rng.randint(1, 99))]) + at + word() + dot + pick(["com", "org", "net", "de", "fr", "io"])
+        if kind == "ip" and rng.random() < 0.4:
+            groups = [code(rng.randint(1, 4), "0123456789abcdef") for _ in range(8)]
+            return cue, ":".join(groups) if rng.random() < 0.5 else "::".join((":".join(groups[: rng.randint(1, 4)]), ":".join(groups[rng.randint(5, 7) :])))
         if kind == "ip":
             return cue, pick(["[.]", " . ", "(.)", " dot ", "[dot]", " ."]).join(octets)
-        if kind == "card":
-            return cue, _card(rng)
+        if kind == "card":  # a number that fails the test is a mistyped card where a cue says that it is one
+            return cue, _card(rng, cue != "" and rng.random() < 0.4)
         if kind == "phone":
             return cue, _digits(rng, pick(["D##-###-####", "(D##) ###-####", "D##.###.####", "00D# ## ### ####", "0## ### ## ##", "0D ## ## ## ##", "(0##) ### ####", "0D##/#######", "D## ### ####", "1-8##-###-####", "0D##-#######"]))
-        return pick(["token = \"", "api_key: ", "secret=", "password: ", "bearer ", ""]), pick([code(40, "0123456789abcdef"), code(32, "ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789"), "sk_" + code(24, "abcdefghij0123456789"), "AK" + code(18, "ABCDEFGHIJ0123456789")])
+        return pick(["token = \"", "api_key: ", "secret=", "password: ", "bearer ", ""]), pick([code(rng.choice([40, 40, 64, 320]), "0123456789abcdef"), ".".join(["eyJ" + code(rng.randint(14, 40), tokens), code(rng.randint(30, 300), tokens), code(43, tokens)]), code(32, "ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789"), "sk_" + code(24, "abcdefghij0123456789"), "AK" + code(18, "ABCDEFGHIJ0123456789")])
     if kind == "email":
         return "", pick([f"{word()} at {word()} . {word()}", f"look at {word()}.{word()}", f"{word()} at page.{word()}", f"{word()} at noon. {word()}"])
+    if kind == "ip" and rng.random() < 0.2:
+        return "", "::".join((code(rng.randint(2, 4), "abcdef"), code(rng.randint(2, 4), "abcdef")))
     if kind == "ip":
         return pick(["version ", "section ", "chapter ", "", "scores "]), pick([". ", ".", " . "]).join(str(rng.choice([rng.randint(0, 30), rng.randint(256, 999)])) for _ in range(4))
+    if kind == "card" and rng.random() < 0.5:  # as long and grouped as a card, without a cue, and no valid number
+        return pick(["", "", word() + " "]), _card(rng, True)
     if kind == "card":
-        return pick(["order ", "isbn ", "id ", "sum ", ""]), _digits(rng, pick(["16###########", "978-D-##-######-#", "978##########", "D##,###,###,###", "20## 20## 20##", "0.D###########", "D.#############", "1################.##", "20##-##-## ##:##:##", "000000######", "D## ### ### ###"]))
+        return pick(["order ", "isbn ", "id ", "sum ", "", ""]), _digits(rng, pick(["16###########", "978-D-##-######-#", "978##########", "D##,###,###,###", "20## 20## 20##", "0.D###########", "D.#############", "1################.##", "20##-##-## ##:##:##", "000000######", "D## ### ### ###"]))
     if kind == "phone":
         return pick(["", "page ", "order ", "id ", "$", "in ", "no. "]), _digits(rng, pick(["20##-0#-1#", "1#/0#/20##", "D,###,###", "1### - 20##", "20##/20##", "D###,###.##", "0.#######", "########", "D## 20##", "1# 1# 20##", "D.###.###", "#########", "16########", "D.##.####", "19## 20##"]))
     return pick(["sha ", "commit ", "", "see ", "id "]), pick([word() + "-" + word() + "-" + word() + "-2024", "a/" + word() + "/" + word() + "/" + word() + "7", word() + "_" + word() + "_" + word() + str(rng.randint(1, 9)), word() * 3 + str(rng.randint(1, 99)), "-" * 20 + "1a"])
@@ -312,8 +323,10 @@ def detect(docs: DataFrame, text: str = "text", score: str | None = None, into:
     ordered = lambda c: f"CASE WHEN size({c}) < 2 THEN {c} ELSE transform(array_sort(transform({c}, y -> struct(y.start, {rank} AS k, y.end, y AS v))), z -> z.v) END"
     scored = f"filter(transform(_loose, x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'kind', x.kind, 'score', {score})), x -> x.score >= 0)"
     better = "(y.score > x.score OR y.score = x.score AND (y.end - y.start > x.end - x.start OR y.end - y.start = x.end - x.start AND (y.start < x.start OR y.start = x.start AND y.kind < x.kind)))"
-    best = f"filter(z, (x, i) -> NOT exists({NEAR.format('z')}, y -> {OVERLAP.format('y')} AND {better}))"
-    more = f"transform(array({scored}), z -> transform({best}, {AS_SPAN}))[0]"
+    near = f"CASE WHEN x.end - x.start > {WIDEST} THEN c.z ELSE {NEAR.format('c.z')} END"
+    lost = f"exists({near}, y -> {OVERLAP.format('y')} AND {better}) OR exists(c.long, y -> {OVERLAP.format('y')} AND {better})"
+    both = f"transform(array({scored}), z -> struct(z AS z, filter(z, y -> y.end - y.start > {WIDEST}) AS long))"
+    more = f"transform({both}, c -> transform(filter(c.z, (x, i) -> NOT ({lost})), {AS_SPAN}))[0]"
     return (
         _candidates(docs, text)
         .withColumn("_more", F.expr(f"CASE WHEN size(_loose) = 0 THEN filter(_base, x -> false) ELSE {more} END"))
