@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.operators.numbering import numbered
+from folioflow.operators.patterns import PART, occurrences
 
 # What a header cell says about its column.
 TERM_HEADERS = ("専門用語", "代表語", "term", "単語", "用語")
 SYNONYM_HEADERS = ("類似語", "同義語", "略称", "別名", "synonym", "alias")
 DESCRIPTION_HEADERS = ("意味", "解説", "説明", "description", "備考", "詳細")
 SEPARATORS = r"[,、，\n\t]+"
-#: A glossary of at most so many spellings is broadcast; beyond, texts and spellings meet by up to HEAD letters.
-BROADCAST_VARIANTS = 20_000
-HEAD = 4
+
+#: The column of a saved glossary that holds its ids.
+ENTRY = "entry_id"
 
 
 def nfkc(c: Column) -> Column:
@@ -49,20 +51,24 @@ def column_roles(header: list[str]) -> tuple[int, int, int]:
 
 
 def parse_glossary(table: DataFrame) -> DataFrame:
-    """entry_id, term, synonyms, description from a table whose header names the columns' roles. The term
-    cell may hold a list; rows without a term are dropped; entry ids follow the file's order."""
+    """entry_id, term, synonyms, description from a table whose header names the columns' roles. The term cell may hold a list; rows
+    without a term are dropped. Entry ids are those of a column ``entry_id`` if there is one, as in files that were saved here, else
+    they follow the order of files and of rows in them: a prefix sum over partitions numbers them."""
     cells = table.columns
-    term, synonyms, description = column_roles(cells)
-    cell = lambda i: F.coalesce(F.col(f"`{cells[i]}`").cast("string"), F.lit("")) if 0 <= i < len(cells) else F.lit("")
+    named = [c for c in cells if c != ENTRY]
+    term, synonyms, description = column_roles(named)
+    cell = lambda i: F.coalesce(F.col(f"`{named[i]}`").cast("string"), F.lit("")) if 0 <= i < len(named) else F.lit("")
     listed = lambda c: F.array_distinct(T.listed(c, SEPARATORS))
-    rows = table.select(F.monotonically_increasing_id().alias("_at"), listed(cell(term)).alias("terms"), listed(cell(synonyms)).alias("more"), T.strip(cell(description)).alias("description"))
+    rows = table.select(listed(cell(term)).alias("terms"), listed(cell(synonyms)).alias("more"), T.strip(cell(description)).alias("description"), *([F.col(ENTRY).cast("int").alias("entry_id")] if ENTRY in cells else []))
     rows = rows.filter(F.size("terms") > 0)
-    return rows.select(
-        F.row_number().over(Window.orderBy("_at")).cast("int").alias("entry_id"),  # a glossary is small: one file
+    entries = rows.select(
+        *(["entry_id"] if ENTRY in cells else []),
         F.col("terms")[0].alias("term"),
         F.array_remove(F.array_distinct(F.concat(F.slice("terms", 2, F.size("terms")), "more")), F.col("terms")[0]).alias("synonyms"),
         "description",
     )
+    out = entries if ENTRY in cells else numbered(entries, "entry_id").withColumn("entry_id", F.col("entry_id").cast("int"))
+    return out.select("entry_id", "term", "synonyms", "description")
 
 
 def load_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -71,9 +77,11 @@ def load_glossary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_glossary(glossary: DataFrame, path: str) -> None:
-    """Two columns, all spellings and the description; blank rows are left out."""
-    rows = glossary.filter(F.coalesce(F.col("term"), F.lit("")) != "").orderBy("entry_id")
-    rows.select(F.array_join(F.concat(F.array("term"), "synonyms"), ", ").alias("専門用語"), F.col("description").alias("意味・解説")).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    """All spellings and the description, as many files as the table has ranges of entries, each in order; an id beside them keeps
+    entries what they are. Blank rows are left out."""
+    rows = glossary.filter(F.coalesce(F.col("term"), F.lit("")) != "").repartitionByRange("entry_id").sortWithinPartitions("entry_id")
+    columns = [F.array_join(F.concat(F.array("term"), "synonyms"), ", ").alias("専門用語"), F.col("description").alias("意味・解説"), F.col("entry_id").alias(ENTRY)]
+    rows.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def variants(glossary: DataFrame) -> DataFrame:
@@ -88,27 +96,22 @@ def matches_filter(glossary: DataFrame, query: str) -> DataFrame:
     return glossary.filter(F.exists(F.concat(F.array("term"), "synonyms"), lambda v: F.contains(F.lower(v), F.lit(low))) | F.contains(F.lower("description"), F.lit(low)))
 
 
-def detect_terms(texts: DataFrame, glossary: DataFrame, key: str, text: str) -> DataFrame:
+def detect_terms(texts: DataFrame, glossary: DataFrame, key: str, text: str, part_size: int = PART) -> DataFrame:
     """(key, entry_id, place from 1): the entries that occur in each text, each once.
 
     First those with a spelling of two characters or more in the text, case aside, longest spelling first;
-    then those whose normalised key is in the normalised text, in entry order. Nested terms all count.
+    then those whose normalised key is in the normalised text, in entry order. Nested terms all count. Spellings and keys are
+    looked for by automata (``occurrences``), so a text is read once however many there are.
     """
-    low = texts.select(F.col(key), F.lower(F.coalesce(text, F.lit(""))).alias("_low"), term_key(F.col(text)).alias("_norm"))
-    spelled = variants(glossary).select("entry_id", "place", F.lower("variant").alias("_v"), F.length("variant").alias("_n"), F.when(F.length("norm_key") >= 2, F.col("norm_key")).alias("_k")).filter("_n >= 2 OR _k IS NOT NULL")
-    direct = (F.col("_n") >= 2) & F.contains("_low", F.col("_v"))
-    normal = F.col("_k").isNotNull() & F.contains("_norm", F.col("_k"))
-    if spelled.limit(BROADCAST_VARIANTS + 1).count() <= BROADCAST_VARIANTS:
-        found = low.join(F.broadcast(spelled), direct | normal)
-    else:  # each occurrence shares the spelling's first letters with the text; texts do not travel with their pieces
-        pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
-        every = F.array_distinct(F.concat(*(pieces(F.col(c), n) for c in ("_low", "_norm") for n in range(2, HEAD + 1))))
-        heads = spelled.select("entry_id", "place", F.explode(F.array_distinct(F.array_compact(F.array(F.when(F.col("_n") >= 2, F.left("_v", F.lit(HEAD))), F.left("_k", F.lit(HEAD)))))).alias("_head"))
-        near = low.select(key, F.explode_outer(every).alias("_head")).join(heads, "_head").select(key, "entry_id", "place").distinct()
-        found = near.join(low, key).join(spelled, ["entry_id", "place"]).filter(direct | normal)
-    rank = F.struct(F.when(direct, 0).otherwise(1).alias("by"), F.when(direct, -F.col("_n")).otherwise(0).alias("n"), "entry_id", "place")
-    best = found.groupBy(key, "entry_id").agg(F.min(rank).alias("_rank"))
-    return best.select(key, "entry_id", F.row_number().over(Window.partitionBy(key).orderBy("_rank")).alias("place"))
+    low = texts.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("low"), term_key(F.col(text)).alias("norm"))
+    spelled = variants(glossary).select("entry_id", "place", "variant", "norm_key", F.length("variant").alias("n"))
+    sides = (
+        spelled.filter("n >= 2").select("entry_id", "place", F.lower("variant").alias("pattern"), "n", F.lit(0).alias("side"))
+        .unionByName(spelled.filter(F.length("norm_key") >= 2).select("entry_id", "place", F.col("norm_key").alias("pattern"), "n", F.lit(1).alias("side")))
+    )
+    found = occurrences(low, sides, part_size).repartition("key")
+    best = found.groupBy("key", "entry_id").agg(F.min(F.struct("by", "n", "entry_id", "place")).alias("rank"))
+    return best.select(F.col("key").alias(key), "entry_id", F.row_number().over(Window.partitionBy("key").orderBy("rank")).alias("place"))
 
 
 def find_by_term(terms: DataFrame, glossary: DataFrame, term: str) -> DataFrame:

@@ -147,13 +147,15 @@ ALTERED = """docs AS (SELECT source || '/' || doc_id || '.md' AS path, doc_id, s
 b AS (SELECT path, doc_id, CASE WHEN doc_id % 10 = 1 THEN 'created' WHEN doc_id % 10 = 3 THEN 'deleted' WHEN doc_id % 10 = 2 THEN 'updated' ELSE 'skipped' END AS status FROM docs)"""
 LOG = "log AS (SELECT 'u/' || user_id || '.md' AS path, CASE WHEN event_id % 5 = 0 THEN 'deleted' ELSE 'upsert' END AS op, event_id AS batch_id, ts FROM events)"
 GLOSS = "gl AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {list(s)!r}::VARCHAR[], '{d}')" for i, t, s, d in GLOSSARY) + ") AS g(entry_id, term, synonyms, description))"
-DETECT = GLOSS + r""",
+DETECTED = r""",
 va AS (SELECT entry_id, unnest(list_concat([term], synonyms)) AS v, unnest(range(0, len(synonyms) + 1)) AS place FROM gl),
 vk AS (SELECT *, lower(v) AS lv, regexp_replace(lower(v), '[\s\-_ー−―]+', '', 'g') AS k FROM va),
 tx AS (SELECT id, lower(t) AS lt, regexp_replace(lower(t), '[\s\-_ー−―]+', '', 'g') AS nt FROM texts),
 fo AS (SELECT id, entry_id, min(CASE WHEN length(v) >= 2 AND contains(lt, lv) THEN [0, -length(v), entry_id, place] ELSE [1, 0, entry_id, place] END) AS r
        FROM tx JOIN vk ON (length(v) >= 2 AND contains(lt, lv)) OR (length(k) >= 2 AND contains(nt, k)) GROUP BY ALL),
 de AS (SELECT id, entry_id, row_number() OVER (PARTITION BY id ORDER BY r)::INT AS place FROM fo)"""
+DETECT = GLOSS + DETECTED
+PARTS = "gl AS (SELECT p_partkey::INT AS entry_id, p_name || ' ' || p_partkey AS term, ['P-' || p_partkey, p_brand || ' no ' || p_partkey] AS synonyms, p_type AS description FROM part)"
 GRID = "grid AS (SELECT * FROM (SELECT unnest([{}]) AS noise_floor), (SELECT unnest([{}]) AS exponent), (SELECT unnest([{}]) AS lexical_weight), (SELECT unnest([{}]) AS stem_bonus))".format(
     *(", ".join(f"{x}::DOUBLE" for x in v) for v in (E.NOISE_FLOORS, E.EXPONENTS, E.LEXICAL_WEIGHTS, E.STEM_BONUSES))
 )
@@ -233,7 +235,7 @@ y AS (SELECT *, regexp_replace(f, '<[^>]+>', '', 'g') AS b FROM x) SELECT doc_id
     "current_version": f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY batch_id DESC) AS n FROM log) SELECT path, batch_id FROM r WHERE n = 1 AND op <> 'deleted'",
     "recent_changes": f"WITH {LOG} SELECT path, op, batch_id FROM log ORDER BY ts DESC, batch_id DESC LIMIT 8",
     "corpus_scan": f"WITH {NOTES} SELECT replace(replace(path, '/', '_'), '.', '_') AS name, length(text)::INT AS n_chars, sha256(text) AS sha256 FROM notes",
-    "glossary_load": "SELECT 'part ' || p_partkey AS term, 'p-' || p_partkey || '|P_' || p_partkey AS synonyms, 'about, \"this\" ' || p_partkey AS description FROM part",
+    "glossary_load": "SELECT p_partkey::INT AS entry_id, 'part ' || p_partkey AS term, 'p-' || p_partkey || '|P_' || p_partkey AS synonyms, 'about, \"this\" ' || p_partkey AS description FROM part",
     "model_stats": "SELECT CASE WHEN vec_id % 3 = 0 THEN 'small' ELSE 'large' END AS model_id, count(DISTINCT vec_id % 100) AS document_count, count(*) AS chunk_count, max(len(embedding))::INT AS dim, sum(len(embedding) * 4)::BIGINT AS vector_bytes FROM embeddings GROUP BY 1",
     "index_update": "SELECT source || '/' || doc_id || '.md' AS path, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size, CASE WHEN doc_id % 10 IN (1, 2) THEN 2 ELSE 1 END::BIGINT AS batch_id FROM documents WHERE doc_id % 10 <> 3",
     "stream_index": "SELECT source || '/' || doc_id || '.md' AS path, sha256(CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE text END) AS sha256 FROM documents WHERE doc_id % 4 <> 1",
@@ -246,6 +248,9 @@ s AS (SELECT q.query_id, e.vec_id, round(list_sum(list_transform(range(1, {DIM}
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 5) SELECT *, round({base('score')}, 4) AS calibrated FROM t""",
     "neighbour_context": "SELECT conv_id, turn, lag(text) OVER w AS prev, lead(text) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "glossary_detect": f"WITH texts AS (SELECT doc_id AS id, text AS t FROM documents), {DETECT} SELECT id AS doc_id, entry_id, place FROM de",
+    "glossary_detect_parts": f"""WITH {PARTS}, c AS (SELECT count(*) AS n FROM part),
+texts AS (SELECT doc_id AS id, coalesce(text, '') || ' uses ' || x.term || ' and ' || y.synonyms[1] || '.' AS t
+          FROM documents, c, gl x, gl y WHERE x.entry_id = doc_id * 7 % n AND y.entry_id = doc_id * 3 % n){DETECTED} SELECT id AS doc_id, entry_id, place FROM de""",
     "detected_report": f"WITH texts AS (SELECT doc_id AS id, text AS t FROM documents), {DETECT}, ag AS (SELECT id, string_agg(term || ':' || array_to_string(synonyms, ','), ';' ORDER BY place) AS terms FROM de JOIN gl USING (entry_id) GROUP BY 1) SELECT doc_id, coalesce(terms, '') AS terms FROM documents LEFT JOIN ag ON id = doc_id",
     "glossary_lookup": f"""WITH {ASKED}, w AS (SELECT query_id, unnest(x) AS word, unnest(range(0, len(x)))::INT AS place FROM (SELECT query_id, regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+') AS x FROM asked)), {GLOSS},
 vk AS (SELECT max(entry_id) AS entry_id, k FROM (SELECT entry_id, regexp_replace(lower(unnest(list_concat([term], synonyms))), '[\\s\\-_ー−―]+', '', 'g') AS k FROM gl) GROUP BY k)

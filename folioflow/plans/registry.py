@@ -215,7 +215,7 @@ def glossary_load(spark, sf):
     made = parts.select(F.col("p_partkey").cast("int").alias("entry_id"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("term"), F.array(F.concat(F.lit("p-"), F.col("p_partkey").cast("string")), F.concat(F.lit("P_"), F.col("p_partkey").cast("string"))).alias("synonyms"), F.concat(F.lit("about, \"this\" "), F.col("p_partkey").cast("string")).alias("description"))
     path = scratch(spark, "glossary")
     G.save_glossary(made, path)
-    return G.load_glossary(spark, path).select("term", joined("synonyms").alias("synonyms"), "description")
+    return G.load_glossary(spark, path).select("entry_id", "term", joined("synonyms").alias("synonyms"), "description")
 
 
 def model_stats(spark, sf):
@@ -336,6 +336,24 @@ def glossary_detect(spark, sf):
     return G.detect_terms(_glossary_texts(spark, sf), terms(spark), "doc_id", "text")
 
 
+def _parts_glossary(spark, sf):
+    """Every part as an entry with three spellings, many of which lie in each other."""
+    n = F.col("p_partkey").cast("string")
+    other = F.array(F.concat(F.lit("P-"), n), F.concat("p_brand", F.lit(" no "), n))
+    return table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("entry_id"), F.concat("p_name", F.lit(" "), n).alias("term"), other.alias("synonyms"), F.col("p_type").alias("description"))
+
+
+def glossary_detect_parts(spark, sf):
+    """Documents that name parts, against a glossary of all parts."""
+    parts = _parts_glossary(spark, sf)
+    n = parts.count()
+    named = lambda k, c: parts.select((F.col("entry_id")).alias(f"part{k}"), c.alias(f"name{k}"))
+    docs = table(spark, sf, "documents").withColumns({"part1": (F.col("doc_id") * 7 % n).cast("int"), "part2": (F.col("doc_id") * 3 % n).cast("int")})
+    docs = docs.join(named(1, F.col("term")), "part1").join(named(2, F.col("synonyms")[0]), "part2")
+    texts = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" uses "), "name1", F.lit(" and "), "name2", F.lit(".")).alias("text"))
+    return G.detect_terms(texts, parts, "doc_id", "text")
+
+
 def detected_report(spark, sf):
     out = G.detected_report(_glossary_texts(spark, sf), terms(spark), "doc_id", "text")
     return out.select("doc_id", F.array_join(F.transform("terms", lambda t: F.concat(t["term"], F.lit(":"), F.array_join(t["synonyms"], ","))), ";").alias("terms"))
@@ -487,7 +505,7 @@ QUERIES = {
         search_documents, title_extract, content_fingerprint, frontmatter_tags, clean_text, plain_text_view, line_filters, section_breadcrumbs, chunk_pack, chunk_stats,
         metadata_prefix, path_parts, model_prefix, highlight, snippets, query_keywords, html_escape, drawing_notes, export_body, corpus_diff, diff_status, deleted_paths,
         current_version, recent_changes, corpus_scan, glossary_load, model_stats, index_update, stream_index, unit_norm, vector_topk, vector_topk_min_score, near_copy_topk,
-        calibrated_score_grid, overfetch_rerank, search_chunks, search_chunk_ranks, neighbour_context, salient_sentence, glossary_detect, detected_report, glossary_lookup,
+        calibrated_score_grid, overfetch_rerank, search_chunks, search_chunk_ranks, neighbour_context, salient_sentence, glossary_detect, glossary_detect_parts, detected_report, glossary_lookup,
         enriched_query, chunk_enrichment, keyword_bm25, rrf_fusion, weighted_fusion, hybrid_search, hybrid_fallback, three_way_compare, rag_context_xml, rag_context_md,
         relevance_tiers, eval_metrics, eval_by_category, ab_delta, grid_search, model_compare, embedded_tables, asset_resolve, document_resolve, context_bundle,
     )

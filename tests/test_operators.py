@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.operators import context as X
 from folioflow.operators import evaluate as E
 from folioflow.operators import glossary as G
+from folioflow.operators.numbering import numbered
 from folioflow.operators import index as I
 from folioflow.operators.encode import HashEncoder, SeededEncoder, encode_column
 from folioflow.operators.fusion import fuse
@@ -78,12 +79,15 @@ def test_detect_and_enrich(spark):
     assert out == {1: "[関連用語: Fluid Bed => Fluid Bed, fluid-bed, a bed] FB use", 2: "nothing"}
 
 
-def test_detection_without_broadcast_is_the_same(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "the FLUID BED here"), (2, "a fluidbed, abc"), (3, "none")], "id long, text string")
-    rows = lambda: sorted(map(tuple, G.detect_terms(texts, glossary(spark), "id", "text").collect()))
-    want = rows()
-    monkeypatch.setattr(G, "BROADCAST_VARIANTS", 1)
-    assert rows() == want
+def test_detection_in_parts_is_the_same(spark):
+    """Many parts, of which a task holds one at a time; nested and repeated spellings; odd texts; an empty glossary."""
+    texts = spark.createDataFrame([(1, "the FLUID BED here"), (2, "a fluidbed, abc"), (3, "none"), (4, None), (5, ""), (6, "bed " * 50_000)], "id long, text string")
+    more = glossary(spark).unionByName(spark.createDataFrame([(i, f"e{i}", [f"ee{i}", "bed"], None) for i in range(10, 60)], "entry_id int, term string, synonyms array<string>, description string"))
+    rows = lambda **k: sorted(map(tuple, G.detect_terms(texts, more, "id", "text", **k).collect()))
+    assert rows(part_size=7) == rows() and len(rows()) == 52 + 53 + 51
+    assert G.detect_terms(texts, more.limit(0), "id", "text").count() == 0
+    plan = G.detect_terms(texts, more, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_lookup_ignores_width_and_hyphens(spark):
@@ -100,6 +104,18 @@ def test_glossary_round_trip(spark, tmp_path):
     assert [(r["term"], r["synonyms"], r["description"]) for r in G.load_glossary(spark, str(tmp_path / "h.csv")).collect()] == [("A", ["a1", "a2"], "text")]
 
 
+def test_glossary_numbers_over_files(spark, tmp_path):
+    """Ids follow rows over partitions without gaps, and a glossary that was saved in many files keeps them."""
+    rows = [(f"t{i}", f"s{i}", f'a "quoted", {i}\nline') for i in range(1000)]
+    made = G.parse_glossary(spark.createDataFrame(rows, "term string, synonym string, description string").repartition(7))
+    ids = {r["term"]: r["entry_id"] for r in made.collect()}
+    assert sorted(ids.values()) == list(range(1, 1001))
+    G.save_glossary(made, str(tmp_path / "g"))
+    assert len(list((tmp_path / "g").glob("*.csv"))) > 1
+    assert {r["term"]: r["entry_id"] for r in G.load_glossary(spark, str(tmp_path / "g")).collect()} == ids
+    assert numbered(made.limit(0).drop("entry_id"), "n").count() == 0
+
+
 def test_scan(spark, tmp_path):
     for name, data in {"a.md": b"# Head\nx", "sub/b.TXT": b"\xff\xfe bad", ".obsidian/c.md": b"x", "d.excalidraw.md": b"x", "node_modules/e.md": b"x", "f.png": b"x"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
