@@ -236,14 +236,14 @@ def index_update(spark, sf):
 
 
 def stream_index(spark, sf):
-    """Documents as a feed of two files of events, applied by a stream."""
+    """Documents as a feed of events in many files, applied by a stream that is stopped and begun again between two sets of them."""
     docs = documents(spark, sf)
     event = lambda op, content, day: docs.select("path", F.lit(op).alias("op"), content.alias("content"), F.lit(day).cast("timestamp").alias("mtime"), "doc_id")
     feed, where = scratch(spark, "feed"), scratch(spark, "index")
     first = event("updated", F.col("text"), "2024-01-01")
     second = event("updated", F.lit("new"), "2024-01-02").filter("doc_id % 4 = 0").union(event("deleted", F.lit(None).cast("string"), "2024-01-02").filter("doc_id % 4 = 1")).union(event("updated", F.lit("stale"), "2023-01-01").filter("doc_id % 4 = 2"))
     for events in (first, second):
-        events.drop("doc_id").coalesce(1).write.mode("append").parquet(feed)
+        events.drop("doc_id").repartition(4).write.mode("append").parquet(feed)
         query = ST.stream_index(spark, ST.read_changes(spark, feed), where, "hash_64", HashEncoder(DIM), f"{where}/state")
         query.awaitTermination()
     return I.documents(spark, where, "hash_64").select("path", "sha256")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from folioflow.operators import index as I
 from folioflow.operators.encode import Encoder
@@ -53,20 +56,104 @@ def apply_changes(spark: SparkSession, index_dir: str, model: str, changes: Data
     return status.select("path", "status")
 
 
+#: State of a path, what the stream says about it, and the store that keeps states.
+STORED = "sha256 string, mtime timestamp, version long"
+VERDICTS = "path string, op string, content string, mtime timestamp, sha256 string, status string, version long"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EVENT = ["op", "content", "mtime", "sha256"]
+
+
+def verdict(stored: tuple | None, op: str, content: str | None, mtime, sha256: str | None) -> str:
+    """What an event makes of a path (``classified`` by row). ``stored``: digest, time and version of what is there."""
+    if stored is not None and mtime is not None and stored[1] is not None and mtime < stored[1]:
+        return "skipped"
+    if op == "deleted":
+        return "missing" if stored is None else "deleted"
+    if content is None:
+        return "error"
+    return "created" if stored is None else "skipped" if stored[0] == sha256 else "updated"
+
+
+class PathStates(StatefulProcessor):
+    """Keeps digest, time and number of versions of every path that is there, so that a batch reads no more than its own events.
+    Of a path's events in one batch the last one counts: by time, a deletion after others, then by content."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stored = handle.getValueState("stored", STORED)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.stored.update((row["sha256"], _time(row["mtime"]), 1))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, rank = None, None
+        for batch in rows:
+            for row in zip(*(batch[c] for c in EVENT), strict=True):
+                op, content, mtime, sha256 = (None if x is None or x != x else x for x in row)
+                own = (mtime is not None, mtime or 0, op == "deleted", content is not None, content or "")
+                if rank is None or own > rank:
+                    last, rank = (op, content, _time(mtime), sha256), own
+        stored = self.stored.get()
+        status = verdict(stored, *last)
+        version = stored[2] if stored else 0
+        if status in ("created", "updated"):
+            version += 1
+            self.stored.update((last[3], last[2], version))
+        elif status == "deleted":
+            self.stored.clear()
+        yield pd.DataFrame({"path": [key[0]], "op": [last[0]], "content": [last[1]], "mtime": [last[2]], "sha256": [last[3]], "status": [status], "version": [version]})
+
+    def close(self) -> None:
+        pass
+
+
+def _time(value):
+    """A time as Python has it, null for none."""
+    return None if value is None or value != value else pd.Timestamp(value).to_pydatetime()
+
+
+def path_states(changes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """A stream of VERDICTS for a stream of events, one row for each path in a batch. ``stored`` (path, sha256, mtime) is what an index holds
+    when the stream first begins; from then on the state store knows. Needs a store that lies on disk, which it sets."""
+    spark = changes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    events = changes.select("path", *EVENT[:3], F.sha2("content", 256).alias("sha256"))
+    begin = stored.select("path", "sha256", "mtime").groupBy("path") if stored is not None else None
+    return events.groupBy("path").transformWithStateInPandas(PathStates(), VERDICTS, "Update", "None", begin)
+
+
 def stream_index(spark: SparkSession, changes: DataFrame, index_dir: str, model: str, encoder: Encoder, checkpoint: str, chunk_size: int = 600, overlap: int = 80, once: bool = True) -> StreamingQuery:
-    """Apply a change stream batch by batch. Batches are written by their number, so a restart repeats none. The query's
+    """Apply a change stream batch by batch. What a path's last version was is keyed state of the stream (``path_states``), begun from the
+    index as it is, so a batch reads its own events and nothing else. Batches are written by their number after those of the
+    index, and states are those of the batch before, so one that is repeated after a failure writes the same again. The query's
     progress (listener or ``lastProgress``) carries the observed number of events."""
+    first = _first_batch(spark, index_dir, checkpoint)
+    # without what a batch that failed has written: that is repeated
+    held = I.current_version(I.read_table(spark, index_dir, "documents").filter((F.col("model_id") == model) & (F.col("batch_id") < first)))
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
-        apply_changes(spark, index_dir, model, rows, encoder, number + 1, chunk_size, overlap).unpersist()
+        if not rows.filter("status IN ('created', 'updated', 'deleted')").isEmpty():
+            work = I.prepared(rows.filter("status IN ('created', 'updated')"))
+            I.write_batch(spark, index_dir, model, first + number, work, rows.filter("status = 'deleted'").select("path"), encoder, chunk_size, overlap)
         rows.unpersist()
 
     watched = changes.observe("changes", F.count("*").alias("events"), F.count_if(F.col("op") == "deleted").alias("deletions"))
-    writer = watched.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = path_states(watched, held).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _first_batch(spark: SparkSession, index_dir: str, checkpoint: str) -> int:
+    """The number of a stream's batch 0 in the index, fixed when the stream first begins and kept beside its checkpoint."""
+    path = f"{checkpoint.rstrip('/')}-first"
+    try:
+        return spark.read.schema("first long").json(path).first()[0]
+    except AnalysisException:
+        first = I.next_batch(spark, index_dir)
+        spark.createDataFrame([(first,)], "first long").coalesce(1).write.json(path)
+        return first
+
+
 class RunProgress(StreamingQueryListener):
     """Adds up the events of a query's batches against the number that the feed holds."""
 

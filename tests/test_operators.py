@@ -290,3 +290,58 @@ def test_progress_of_a_stream(spark, tmp_path):
 def test_snippet_around_a_late_hit(spark):
     row = spark.createDataFrame([("a " * 500 + "Needle here", ["needle"]), ("plain", ["no"])], "t string, w array<string>").select(P.around(F.col("t"), F.col("w")).alias("s")).collect()
     assert "Needle here" in row[0]["s"] and row[1]["s"] == "plain"
+
+
+EVENTS = "path string, op string, content string, mtime timestamp"
+
+
+def feed(spark, where, *events):
+    """Events as files of a feed, one file each."""
+    for path, op, content, day in events:
+        row = spark.createDataFrame([(path, op, content, f"2024-01-0{day}")], "path string, op string, content string, mtime string")
+        row.withColumn("mtime", F.to_timestamp("mtime")).coalesce(1).write.mode("append").parquet(where)
+
+
+def test_stream_keeps_states_by_path(spark, tmp_path, monkeypatch):
+    """Begins from an index that is there, several files in one batch; stale, equal and empty events; a restart; a batch that fails
+    after it was written and is repeated. The index is read once, before the first batch."""
+    ix, where, state = (str(tmp_path / x) for x in ("ix", "feed", "state"))
+    begin = spark.createDataFrame([(p, f"# {p}\ntext of {p}") for p in "abce"], "path string, text string").withColumn("mtime", F.to_timestamp(F.lit("2024-01-03")))
+    scanned = begin.withColumns({"title": F.col("path"), "size": F.length("text").cast("long"), "sha256": F.sha2("text", 256)})
+    I.update_index(scanned, ix, "m", HashEncoder(4))
+    run = lambda: ST.stream_index(spark, ST.read_changes(spark, where), ix, "m", HashEncoder(4), state).awaitTermination()
+    held = lambda: {r["path"]: (r["text"], r["batch_id"]) for r in I.documents(spark, ix, "m").collect()}
+
+    feed(spark, where, ("a", "updated", "# a\ntext of a", 4), ("b", "deleted", None, 4), ("c", "updated", "stale", 1), ("d", "updated", "one", 4), ("d", "updated", "two", 5), ("x", "deleted", None, 4), ("e", "updated", None, 4))
+    real, calls = I.write_batch, []
+
+    def fails(*a, **k):
+        real(*a, **k)
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(I, "write_batch", fails)
+    with pytest.raises(Exception, match="lost after the write"):
+        run()
+    run()
+    assert len(calls) == 2
+    want = {"a": ("# a\ntext of a", 1), "c": ("# c\ntext of c", 1), "d": ("two", 2), "e": ("# e\ntext of e", 1)}
+    assert held() == want
+    monkeypatch.setattr(I, "write_batch", real)
+    read = I.read_table
+    monkeypatch.setattr(I, "read_table", lambda *a: read(*a).limit(0))  # a restart asks the state, not the index
+    feed(spark, where, ("d", "updated", "old", 4), ("c", "updated", "new", 6), ("b", "updated", "again", 6), ("d", "deleted", None, 7))
+    run()
+    monkeypatch.undo()
+    got = held()
+    assert got.pop("b")[0] == "again" and got.pop("c")[0] == "new" and got == {k: want[k] for k in ("a", "e")}
+
+
+def test_verdicts_are_those_of_a_batch(spark):
+    stored = spark.createDataFrame([("a", "s1", "2024-01-02"), ("b", None, "2024-01-02")], "path string, sha256 string, mtime string").withColumn("mtime", F.to_timestamp("mtime"))
+    for path, op, content, day in [("a", "updated", "x", 3), ("a", "updated", "x", 1), ("a", "deleted", None, 3), ("q", "deleted", None, 3), ("q", "updated", None, 3), ("q", "updated", "y", 3)]:
+        rows = spark.createDataFrame([(path, op, content, f"2024-01-0{day}")], "path string, op string, content string, mtime string").withColumn("mtime", F.to_timestamp("mtime"))
+        want = ST.classified(rows, stored).first()
+        old = {r["path"]: (r["sha256"], r["mtime"], 1) for r in stored.collect()}.get(path)
+        assert ST.verdict(old, op, content, want["mtime"], want["sha256"]) == want["status"]
