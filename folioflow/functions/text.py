@@ -15,6 +15,8 @@ FILE_NAME_MARKS = ("jp", "com", "net", "html", "php", "aspx", "ipynb", "excalidr
 MODEL_PREFIXES = {"ruri": ("検索クエリ: ", "検索文書: "), "e5": ("query: ", "passage: ")}
 NFKC_MARKS = r"[\s\-_ー−―]+"
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -25,7 +27,7 @@ def let(c: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode blanks included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lines(c: Column) -> Column:

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from folioflow.functions import text as T
-from folioflow.storage import written
-
-K1, B = 1.2, 0.75
+from folioflow.operators import inverted
+from folioflow.storage import scratch
 
 
 def search_keyword(queries: DataFrame, documents: DataFrame, limit: int = 50, query: str = "query", key: str = "query_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, doc, score, rank): documents with any of a query's words, by BM25, ``limit`` each.
+    """(key, doc, score, rank): documents with any of a query's words, by BM25, ``limit`` each; an inverted index is stored for the
+    search. Ties go to the smaller document id; a query without words finds nothing."""
+    path = scratch(documents.sparkSession, "keyword-index")
+    inverted.store(inverted.build(documents, doc, text), path)
+    return search_index(queries, inverted.load(documents.sparkSession, path), limit, query, key, doc)
+
 
-    Only words that some query has are exploded and shuffled, and their counts are written once, for document
-    frequencies and for scores; the corpus size and mean length are one row. Ties go to the smaller document id.
-    """
-    terms = queries.select(key, F.explode(F.array_distinct(T.tokens(F.col(query)))).alias("term"))
-    words = documents.select(doc, T.tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    corpus = words.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    wanted = terms.select("term").distinct()
-    counts = words.select(doc, "length", F.explode_outer("words").alias("term")).join(wanted, "term", "left_semi").groupBy(doc, "length", "term").agg(F.count("*").alias("tf"))
-    counts = written(counts, "keyword-counts")
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = frequency.crossJoin(F.broadcast(corpus)).select("term", "mean_length", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = counts.join(idf, "term").join(terms, "term").groupBy(key, doc).agg(F.round(F.sum(share), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), doc))).filter(F.col("rank") <= limit)
+def search_index(queries: DataFrame, index: DataFrame, limit: int = 50, query: str = "query", key: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """``search_keyword`` over an index that is there (``inverted.build``)."""
+    return inverted.Search(queries, index, limit, query, key, doc).hits()

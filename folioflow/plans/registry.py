@@ -29,9 +29,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts, whose work is CPU: dealt out where it lies in fewer files than there are cores, as the rows of one
+    row group are one task however it is split."""
+    rows, cores = table(spark, sf, name), spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+
+
 def notes(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as Markdown notes with all that a note may hold: path, title, text, raw."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     n, body = F.col("doc_id").cast("string"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     part = lambda k: (F.col("doc_id") % k).cast("string")
     text = F.concat(
@@ -45,7 +52,7 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as an index has them: doc_id, path, title, text, lang."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     return docs.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("Note "), F.col("doc_id").cast("string")).alias("title"), "text", "lang")
 
 
@@ -87,7 +94,7 @@ def title_extract(spark, sf):
 
 
 def content_fingerprint(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     return docs.select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
 
 
@@ -133,17 +140,17 @@ def path_parts(spark, sf):
 
 
 def model_prefix(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("head", F.substring("text", 1, 2000))
+    docs = texts(spark, sf, "documents").withColumn("head", F.substring("text", 1, 2000))
     c = F.col("head")
     return docs.select("doc_id", T.with_model_prefix(c, "ruri", False).alias("ruri"), T.with_model_prefix(c, "e5", True).alias("e5"), T.with_model_prefix(c, None, True).alias("plain"))
 
 
 def highlight(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.highlighted(F.col("text"), F.array(F.lit("that"), F.lit("the"), F.lit("e"), F.lit("le"))).alias("marked"))
+    return texts(spark, sf, "documents").select("doc_id", T.highlighted(F.col("text"), F.array(F.lit("that"), F.lit("the"), F.lit("e"), F.lit("le"))).alias("marked"))
 
 
 def snippets(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     some = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<mark>"), F.substring("text", 1, 5), F.lit("</mark>"), F.col("text")))
     return docs.select("doc_id", T.snippet(some, F.when(F.col("doc_id") % 3 == 1, F.lit("")), F.col("text")).alias("snippet"))
 
@@ -348,7 +355,7 @@ def glossary_detect_parts(spark, sf):
     parts = _parts_glossary(spark, sf)
     n = parts.count()
     named = lambda k, c: parts.select((F.col("entry_id")).alias(f"part{k}"), c.alias(f"name{k}"))
-    docs = table(spark, sf, "documents").withColumns({"part1": (F.col("doc_id") * 7 % n).cast("int"), "part2": (F.col("doc_id") * 3 % n).cast("int")})
+    docs = texts(spark, sf, "documents").withColumns({"part1": (F.col("doc_id") * 7 % n).cast("int"), "part2": (F.col("doc_id") * 3 % n).cast("int")})
     docs = docs.join(named(1, F.col("term")), "part1").join(named(2, F.col("synonyms")[0]), "part2")
     texts = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" uses "), "name1", F.lit(" and "), "name2", F.lit(".")).alias("text"))
     return G.detect_terms(texts, parts, "doc_id", "text")

@@ -1,4 +1,8 @@
+import collections
 import datetime
+import math
+import random
+import re
 import time
 
 import pytest
@@ -7,10 +11,12 @@ from pyspark.sql import functions as F
 from folioflow.operators import context as X
 from folioflow.operators import evaluate as E
 from folioflow.operators import glossary as G
-from folioflow.operators.numbering import numbered
 from folioflow.operators import index as I
+from folioflow.operators import inverted as KW
 from folioflow.operators.encode import HashEncoder, SeededEncoder, encode_column
 from folioflow.operators.fusion import fuse
+from folioflow.operators.keyword import search_keyword
+from folioflow.operators.numbering import numbered
 from folioflow.operators.vector import topk
 from folioflow.plans import search as P
 from folioflow.sources import corpus
@@ -345,3 +351,45 @@ def test_verdicts_are_those_of_a_batch(spark):
         want = ST.classified(rows, stored).first()
         old = {r["path"]: (r["sha256"], r["mtime"], 1) for r in stored.collect()}.get(path)
         assert ST.verdict(old, op, content, want["mtime"], want["sha256"]) == want["status"]
+
+
+def bm25(docs, queries, limit):
+    """By definition, over all documents."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    each = [(i, words(t)) for i, t in docs]
+    mean = sum(len(w) for _, w in each) / len(each)
+    df = collections.Counter(w for _, ws in each for w in set(ws))
+    out = []
+    for q, text in queries:
+        scores = []
+        for i, ws in each:
+            c = collections.Counter(ws)
+            s = [math.log(1 + (len(each) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for t in set(words(text)) if c[t]]
+            if s:
+                scores.append((-round(sum(s), 6), i))
+        out += [(q, i, -s, n) for n, (s, i) in enumerate(sorted(scores)[:limit], 1)]
+    return out
+
+
+def test_inverted_index_passes_over_blocks(spark, tmp_path):
+    """The same rows as scoring everything, with and without a bound; blocks are passed over; a hot term is one row a block."""
+    rng = random.Random(4)
+    topics = [[f"w{k}x{j}" for j in range(30)] for k in range(8)]
+    docs = [(i, " ".join(["hot"] + rng.choices(topics[i % 8], k=rng.randint(3, 60)))) for i in range(900)] + [(900, ""), (901, "hot"), (902, "w0x1 w0x1 w0x1")]
+    queries = [(1, "hot w0x1 w0x2"), (2, "w3x4"), (3, "none here"), (4, ""), (5, "hot"), (6, "w1x1 w2x2 hot w5x3")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    KW.store(KW.build(table, size=16), str(tmp_path / "ix"))
+    index = KW.load(spark, str(tmp_path / "ix"))
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    for limit in (3, 5000):
+        search = KW.Search(asked, index, limit)
+        got = [(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in search.hits().orderBy("query_id", "rank").collect()]
+        want = bm25(docs, queries, limit)
+        assert [(q, i, n) for q, i, _, n in got] == [(q, i, n) for q, i, _, n in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want))
+        blocks = search.passed_over().agg(F.sum("blocks"), F.sum("visited")).first()
+        assert blocks[1] < 0.6 * blocks[0] if limit == 3 else blocks[0] == blocks[1]
+    hot = index.filter("term = 'hot'").agg(F.count("*"), F.max("n")).first()
+    assert hot[0] >= 900 // 16 and hot[1] <= 16
+    assert KW.Search(asked, KW.build(table.limit(0)), 3).hits().count() == 0
+    odd = spark.createDataFrame([(1, None), (1, "a b"), (None, "a")], "doc_id long, text string")
+    assert {(r["doc_id"], r["rank"]) for r in search_keyword(spark.createDataFrame([(1, "a")], "query_id long, query string"), odd).collect()} == {(1, 2), (None, 1)}
