@@ -318,3 +318,27 @@ def test_digest_of_kept_bytes(spark):
             gone[k : k + n] |= seen[b[k : k + n]] < r["doc_id"]
         assert hashlib.sha256(bytes(r["kept"])).digest() == hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).digest()
         assert r["n_spans"] == int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+
+
+def test_only_suspects_leave_the_scan(spark):
+    """Texts that occur once are dropped where they are read; whatever the second scan's partitions, no suspect is."""
+    rows = [(i if i % 3 else None, f"text {i // 2 if i < 40 else i}", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, norm int").repartition(5).cache()
+    docs.count()
+    kept = {}
+    real = exact.suspect_texts
+
+    def seen(d, marks, text="text"):
+        for name, frame in (("same", d), ("other", d.coalesce(1)), ("more", d.repartition(9))):
+            kept[name] = sorted(r["norm"] for r in real(frame, marks, text).collect())
+        return real(d, marks, text)
+
+    exact.suspect_texts = seen
+    try:
+        out = exact.duplicates(docs).collect()
+    finally:
+        exact.suspect_texts = real
+    want = sorted(f"text{i // 2}" for i in range(40))
+    assert kept["same"] == want
+    assert all(not collections.Counter(want) - collections.Counter(kept[k]) for k in ("other", "more"))
+    assert sorted(r["group_size"] for r in out) == [1] * 360 + [2] * 40 and sum(r["kept"] for r in out) == 380
