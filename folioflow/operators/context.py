@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.functions.rowtables import row_tables
 
 # Texts of the two formats.
 EMPTY_XML = "  <!-- 関連コンテキストは見つかりませんでした -->"
@@ -146,18 +147,7 @@ def bundle(selection: DataFrame, documents: DataFrame, assets: DataFrame | None
     return totals.select(text.alias("text"), F.size("parts").cast("long").alias("n_documents"), "n_assets").withColumn("n_bytes", F.octet_length("text").cast("long"))
 
 
-ROW = "struct<path:string,name:string,tags:array<string>,excerpt:string,ctime:string,mtime:string>"
-
-
 def embedded_tables(notes: DataFrame, text: str = "text") -> DataFrame:
-    """(path, row, name, tags, excerpt, ctime, mtime): rows of the JSON arrays that ``dataviewjs`` blocks of a note assign to a
-    list, and of their ``dv.table(headers, rows)`` calls; bare keys and trailing commas are repaired."""
-    blocks = F.regexp_extract_all(F.col(text), F.lit(r"(?s)```dataviewjs\s*\n(.*?)```"), 1)
-    lists = lambda b: F.regexp_extract_all(b, F.lit(r"(?s)\b(?:noteListRows|rows|data|notes)\s*=\s*(\[.*?\])\s*;"), 1)
-    fixed = lambda j: F.regexp_replace(F.regexp_replace(j, r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":'), r",\s*([\]}])", "$1")
-    records = F.flatten(F.transform(F.flatten(F.transform(blocks, lists)), lambda j: F.coalesce(F.from_json(fixed(j), f"array<{ROW}>"), F.array().cast(f"array<{ROW}>"))))
-    calls = lambda b: F.regexp_extract_all(b, F.lit(r"(?s)dv\.table\(\s*\[.*?\]\s*,\s*(\[\s*\[.*?\]\s*\])\s*\)"), 1)
-    cells = F.flatten(F.transform(F.flatten(F.transform(blocks, calls)), lambda j: F.coalesce(F.from_json(F.regexp_replace(j, r",\s*\]", "]"), "array<array<string>>"), F.array().cast("array<array<string>>"))))
-    null = lambda kind="string": F.lit(None).cast(kind)
-    tabled = F.transform(cells, lambda c: F.struct(null().alias("path"), F.get(c, F.lit(0)).alias("name"), null("array<string>").alias("tags"), F.get(c, F.lit(1)).alias("excerpt"), F.get(c, F.lit(2)).alias("ctime"), F.get(c, F.lit(3)).alias("mtime")).cast(ROW))
-    return notes.select("path", F.posexplode(F.concat(records, tabled)).alias("row", "r")).select("path", "row", "r.name", "r.tags", "r.excerpt", "r.ctime", "r.mtime")
+    """(path, row, name, tags, excerpt, ctime, mtime): rows of the arrays that ``dataviewjs`` blocks of a note assign to a list, and of
+    their ``dv.table(headers, rows)`` calls. An array is read as JSON; only one that is none is repaired, outside its strings."""
+    return notes.select("path", F.posexplode(row_tables(F.col(text))).alias("row", "r")).select("path", "row", "r.name", "r.tags", "r.excerpt", "r.ctime", "r.mtime")

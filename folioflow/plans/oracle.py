@@ -287,7 +287,8 @@ SELECT noise_floor, exponent, lexical_weight, stem_bonus, round(avg(coalesce(1.0
     "calibrated_score_grid": f"""WITH {DOCS}, a AS (SELECT *, round(0.4 + (doc_id % 60) / 100.0, 6)::DOUBLE AS similarity, lower(text) AS lt FROM docs),
 m AS (SELECT *, 2 + CASE WHEN contains(lt, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lt, 'le') THEN 1 ELSE 0 END + CASE WHEN contains(path, 'src1') OR contains(lt, 'src1') THEN 1 ELSE 0 END AS matched FROM a)
 SELECT doc_id, similarity, round(least(greatest({base('similarity')} + matched / 5 * 0.12 + 0.08, 0.0), 0.98), 4) AS score, round(least({base('similarity')}, 0.98), 4) AS bare FROM m""",
-    "embedded_tables": f"""WITH {NOTES} SELECT path, 0 AS "row", 'n' AS name, regexp_replace(left(raw, 30), '[\\n"\\\\]', ' ', 'g') AS excerpt, 'a|b' AS tags FROM notes UNION ALL SELECT path, 1, 'x' || doc_id, 'y', NULL FROM notes""",
+    "embedded_tables": f"""WITH {NOTES}, said AS (SELECT path, doc_id, replace(left(raw, 120), '`', '''') || ', note: "x"]; {{a: 1,}}' AS excerpt FROM notes)
+SELECT path, "row", name, excerpt, 'a|b' AS tags FROM said, (VALUES (0, 'json'), (1, 'json'), (2, 'script')) AS r("row", name) UNION ALL SELECT path, 3, 'x' || doc_id, excerpt, NULL FROM said""",
     "document_resolve": f"WITH {DOCS} SELECT doc_id AS position, path AS doc_path FROM docs",
 }
 

@@ -474,8 +474,15 @@ def model_compare(spark, sf):
 
 
 def embedded_tables(spark, sf):
-    head = F.regexp_replace(F.substring("raw", 1, 30), r'[\n"\\]', " ")
-    block = F.concat(F.lit("```dataviewjs\nconst rows = [{path: \"p"), F.col("doc_id").cast("string"), F.lit("\", name: \"n\", tags: [\"a\", \"b\",], excerpt: \""), head, F.lit("\",},];\n```\n"), F.lit("```dataviewjs\ndv.table([\"h\"], [[\"x"), F.col("doc_id").cast("string"), F.lit("\", \"y\"]])\n```"))
+    """Each note holds a list in JSON, one as a script has it, and a table call; their strings hold raw text, quotes, brackets and colons."""
+    n = F.col("doc_id").cast("string")
+    said = F.concat(F.replace(F.substring("raw", 1, 120), F.lit("`"), F.lit("'")), F.lit(', note: "x"]; {a: 1,}'))
+    quoted = F.regexp_extract(F.to_json(F.struct(said.alias("e"))), r'(?s)^\{"e":(.*)\}$', 1)
+    row = F.struct(F.concat(F.lit("p"), n).alias("path"), F.lit("json").alias("name"), F.array(F.lit("a"), F.lit("b")).alias("tags"), said.alias("excerpt"))
+    block = F.concat(
+        F.lit("```dataviewjs\nconst noteListRows = "), F.to_json(F.array(row, row)), F.lit(";\nlet rows = [{path: \"p"), n, F.lit("\", title: 'script', tags: [\"a\", \"b\",], excerpt: "), quoted,
+        F.lit(",},];\n```\n```dataviewjs\ndv.table([\"h\"], [[\"x"), n, F.lit("\", "), quoted, F.lit("]])\n```"),
+    )
     return X.embedded_tables(notes(spark, sf).withColumn("text", F.concat(block, F.lit("\n"), "text"))).select("path", "row", "name", "excerpt", joined("tags").alias("tags"))
 
 

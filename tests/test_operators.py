@@ -393,3 +393,20 @@ def test_inverted_index_passes_over_blocks(spark, tmp_path):
     assert KW.Search(asked, KW.build(table.limit(0)), 3).hits().count() == 0
     odd = spark.createDataFrame([(1, None), (1, "a b"), (None, "a")], "doc_id long, text string")
     assert {(r["doc_id"], r["rank"]) for r in search_keyword(spark.createDataFrame([(1, "a")], "query_id long, query string"), odd).collect()} == {(1, 2), (None, 1)}
+
+
+def test_row_tables_of_awkward_blocks(spark):
+    good = '[{"path":"p","name":"n","excerpt":"see, note: x"},{"path":"q","name":"m","tags":"#a #b","excerpt":"a ]; b \\" {c: 1}"}]'
+    blocks = {
+        f"const rows = {good};": [("n", "see, note: x", None), ("m", 'a ]; b " {c: 1}', ["#a", "#b"])],
+        "let data = [{name: 'it\\'s, word: y', excerpt: \"x\", tags: ['#t', ' ',],},]\n;": [("it's, word: y", "x", ["#t"])],
+        'notes = [{"name": 5, "excerpt": null}];': [("5", None, None)],
+        'rows = [{"name": "open"}': [], "rows = [nonsense here];": [], "rows = {};": [], 'rows = [1, "x", {"name": "y"}];': [("y", None, None)],
+        'dv.table(["a, b", "]"], [["x, (y)", "z"], ["q"]])': [("x, (y)", "z", None), ("q", None, None)],
+        "rows = " + "[" + ",".join('{"name": "k"}' for _ in range(5000)) + "];": [("k", None, None)] * 5000,
+    }
+    notes = [(f"n{i}", f"# T\n```dataviewjs\n{b}\n```\nend") for i, b in enumerate(blocks)] + [("none", "no block"), ("null", None)]
+    got = collections.defaultdict(list)
+    for r in X.embedded_tables(spark.createDataFrame(notes, "path string, text string")).orderBy("path", "row").collect():
+        got[r["path"]].append((r["name"], r["excerpt"], r["tags"]))
+    assert {f"n{i}": v for i, v in enumerate(blocks.values()) if v} == dict(got)
