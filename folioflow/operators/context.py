@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.functions.rowtables import row_tables
+from folioflow.operators.numbering import numbered, running_totals
+from folioflow.storage import written
 
 # Texts of the two formats.
 EMPTY_XML = "  <!-- 関連コンテキストは見つかりませんでした -->"
@@ -126,25 +128,57 @@ def is_drawing(path: Column, text: Column) -> Column:
     return F.lower(path).endswith(".excalidraw.md") | head.rlike(r"(?i)excalidraw-plugin\s*:") | head.rlike(r"(?im)^tags:.*excalidraw|#excalidraw\b") | head.rlike(r"(?im)^#+\s*excalidraw\b")
 
 
+PART = "section int, number long, offset long, n_bytes long, n_assets long, content string"
+
+
 def bundle(selection: DataFrame, documents: DataFrame, assets: DataFrame | None = None, prompt: str = "", title: str = "Context", include_raw: bool = True) -> DataFrame:
-    """One row: text, n_documents, n_assets, n_bytes. Documents keep the order of ``selection`` (position, path), are
-    numbered and listed; embedded files found in ``assets`` (asset_path, content) are inlined as data URLs."""
+    """The parts (PART) of one text: a head (section 0), a list of the documents (1) and the documents (2). Each part ends with what parts it
+    from the next one and says at which byte of the whole it begins, so parts can be written, served and checked one by one.
+
+    Documents keep the order of ``selection`` (position, path), of equal positions that of their paths, and are numbered; embedded files found in
+    ``assets`` (asset_path, content) are inlined as data URLs. Numbers and offsets are prefix sums, so no task holds the whole text.
+    An empty selection gives the head alone.
+    """
     chosen = resolve_documents(selection, documents).filter(F.col("doc_path").isNotNull()).select("position", "doc_path")
     docs = chosen.join(documents.select(F.col("path").alias("doc_path"), "title", "text"), "doc_path").withColumn("body", export_body(F.col("text")))
+    docs = docs.repartitionByRange("position", "doc_path").sortWithinPartitions("position", "doc_path").select("position", "doc_path", "title", "body")
+    docs = numbered(docs, "number")
     n_assets = F.lit(0)
     if assets is not None:
-        refs = docs.select("position", F.col("doc_path").alias("path"), F.explode(embeds(F.col("body"))).alias("reference")).distinct()
+        refs = docs.select("number", F.col("doc_path").alias("path"), F.explode(embeds(F.col("body"))).alias("reference")).distinct()
         found = resolve_assets(refs, assets).filter(F.col("asset_path").isNotNull()).join(assets.select("asset_path", "content"), "asset_path")
-        urls = found.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("reference", T.data_url(F.col("content"), mime_type(F.col("asset_path"))).alias("url")))).alias("urls"))
-        docs = docs.join(urls, "position", "left").withColumn("urls", F.coalesce("urls", F.array().cast("array<struct<reference:string,url:string>>")))
-        inlined = F.aggregate("urls", F.col("body"), lambda b, u: F.replace(F.replace(b, F.concat(F.lit("![["), u["reference"], F.lit("]]")), F.concat(F.lit("![]("), u["url"], F.lit(")"))), F.concat(F.lit("]("), u["reference"], F.lit(")")), F.concat(F.lit("]("), u["url"], F.lit(")"))))
-        docs, n_assets = docs.withColumn("body", inlined), F.coalesce(F.sum(F.size("urls")), F.lit(0))
-    docs = docs.withColumn("number", F.row_number().over(Window.orderBy("position")))  # a selection is a reader's list
-    part = F.struct("number", F.concat(F.col("number").cast("string"), F.lit(". "), F.col("title")).alias("entry"), F.concat(F.lit("## "), F.col("number").cast("string"), F.lit(". "), F.col("title"), F.lit("\n\n"), F.col("body" if include_raw else "title")).alias("block"))
-    joined = lambda f, sep: F.array_join(F.transform("parts", lambda x: x[f]), sep)
-    totals = docs.agg(F.array_sort(F.collect_list(part)).alias("parts"), n_assets.cast("long").alias("n_assets"))
-    text = F.concat_ws("\n\n", F.lit(f"# {title}"), F.lit(prompt or None), joined("entry", "\n"), joined("block", "\n\n"))
-    return totals.select(text.alias("text"), F.size("parts").cast("long").alias("n_documents"), "n_assets").withColumn("n_bytes", F.octet_length("text").cast("long"))
+        urls = found.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("reference", T.data_url(F.col("content"), mime_type(F.col("asset_path"))).alias("url")))).alias("urls"))
+        docs = docs.join(urls, "number", "left").withColumn("urls", F.coalesce("urls", F.array().cast("array<struct<reference:string,url:string>>")))
+        wiki = lambda b, u: F.replace(b, F.concat(F.lit("![["), u["reference"], F.lit("]]")), F.concat(F.lit("![]("), u["url"], F.lit(")")))
+        link = lambda b, u: F.replace(b, F.concat(F.lit("]("), u["reference"], F.lit(")")), F.concat(F.lit("]("), u["url"], F.lit(")")))
+        docs, n_assets = docs.withColumn("body", F.aggregate("urls", F.col("body"), lambda b, u: link(wiki(b, u), u))), F.size("urls")
+    spark, last = documents.sparkSession, docs.agg(F.coalesce(F.max("number"), F.lit(0)).alias("last"))
+    entry = F.concat(F.col("number").cast("string"), F.lit(". "), "title")
+    block = F.concat(F.lit("## "), entry, F.lit("\n\n"), F.col("body" if include_raw else "title"))
+    ends = F.col("number") == F.col("last")
+    parts = written(docs.crossJoin(F.broadcast(last)).select(
+        "number", n_assets.cast("long").alias("n_assets"), F.concat(entry, F.when(ends, "\n\n").otherwise("\n")).alias("entry"),
+        F.concat(block, F.when(ends, "").otherwise("\n\n")).alias("block"),
+    ), "bundle-parts")
+    head = "\n\n".join([f"# {title}", *([prompt] if prompt else [])]) + "\n\n"
+    sizes = parts.select("number", F.octet_length("entry").cast("long").alias("entry"), F.octet_length("block").cast("long").alias("block"))
+    placed = running_totals(sizes, "number", "entry", "block").select("number", "before_entry", "before_block")
+    listed, n_head = sizes.agg(F.coalesce(F.sum("entry"), F.lit(0)).alias("listed")), len(head.encode())
+    rows = parts.join(placed, "number").crossJoin(F.broadcast(listed))
+    each = lambda section, offset, n, content: F.struct(F.lit(section).alias("section"), "number", offset.alias("offset"), F.octet_length(content).cast("long").alias("n_bytes"), n.alias("n_assets"), F.col(content).alias("content"))
+    both = F.array(each(1, F.col("before_entry") + n_head, F.lit(0).cast("long"), "entry"), each(2, F.col("before_block") + F.col("listed") + n_head, F.col("n_assets"), "block"))
+    return spark.createDataFrame([(0, 0, 0, n_head, 0, head)], PART).unionByName(rows.select(F.explode(both).alias("p")).select("p.*"))
+
+
+def bundle_totals(parts: DataFrame) -> DataFrame:
+    """One row: n_documents, n_assets, n_bytes."""
+    return parts.agg(F.count_if(F.col("section") == 2).alias("n_documents"), F.sum("n_assets").alias("n_assets"), F.sum("n_bytes").alias("n_bytes"))
+
+
+def save_bundle(parts: DataFrame, path: str) -> None:
+    """The text as files in the order of their names, each a range of parts; one behind the other they are the whole, and a line end."""
+    rows = parts.repartitionByRange("section", "number").sortWithinPartitions("section", "number")
+    rows.select(F.regexp_replace("content", r"\n\z", "")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def embedded_tables(notes: DataFrame, text: str = "text") -> DataFrame:

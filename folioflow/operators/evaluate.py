@@ -31,23 +31,32 @@ def match_ranks(hits: DataFrame, judgments: DataFrame) -> DataFrame:
     return both.groupBy(*judgments.columns).agg(*(F.max(c).alias(c) for c in timed), F.min(F.when(is_expected(F.col("path"), F.col("expected")), F.col("rank"))).alias("match_rank"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"))
 
 
-def metrics(ranks: DataFrame, *by: str) -> DataFrame:
-    """hit_1, hit_3, hit_5, mrr, saturation, score_std, mean_score, total and, for timed hits, mean_seconds, by group or over all."""
+def measures(ranks: DataFrame) -> list[Column]:
+    """hit_1, hit_3, hit_5, mrr, saturation, score_std, mean_score, total and, for timed hits, mean_seconds, as aggregates."""
     hit = lambda k: F.round(F.avg(F.when(F.col("match_rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit_{k}")
     top = F.coalesce("top_score", F.lit(0.0))
-    return ranks.groupBy(*by).agg(
+    return [
         hit(1), hit(3), hit(5), F.round(F.avg(F.coalesce(1.0 / F.col("match_rank"), F.lit(0.0))), 6).alias("mrr"),
         F.round(F.avg(F.when(top >= SATURATED, 1.0).otherwise(0.0)), 6).alias("saturation"),
         F.round(F.coalesce(F.stddev_pop("top_score"), F.lit(0.0)), 5).alias("score_std"), F.round(F.avg(top), 4).alias("mean_score"), F.count("*").alias("total"),
         *([F.round(F.avg("seconds"), 6).alias("mean_seconds")] if "seconds" in ranks.columns else []),
-    )
+    ]
+
+
+def metrics(ranks: DataFrame, *by: str) -> DataFrame:
+    """``measures`` by group or over all."""
+    return ranks.groupBy(*by).agg(*measures(ranks))
 
 
 def evaluate(search: Callable[[DataFrame], DataFrame] | DataFrame, judgments: DataFrame, by: str | None = None) -> DataFrame:
-    """Metrics of a search function (queries to ranked hits), or of hits; with ``by``, per group and for all (null)."""
+    """Metrics of a search function (queries to ranked hits), or of hits; with ``by``, per group and for all (null), in one
+    pass by grouping sets. Queries without a group are in the row for all alone."""
     hits = search(judgments.select("query_id", "query")) if callable(search) else search
     ranks = match_ranks(hits, judgments)
-    return metrics(ranks) if by is None else metrics(ranks, by).unionByName(metrics(ranks).withColumn(by, F.lit(None).cast("string")), allowMissingColumns=True)
+    if by is None:
+        return metrics(ranks)
+    # of rolled-up rows, the one over all is told from a group that is null by its level
+    return ranks.rollup(by).agg(*measures(ranks), F.grouping_id().alias("_level")).filter(F.col(by).isNotNull() | (F.col("_level") == 1)).drop("_level")
 
 
 def ab_delta(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -159,6 +159,14 @@ PARTS = "gl AS (SELECT p_partkey::INT AS entry_id, p_name || ' ' || p_partkey AS
 GRID = "grid AS (SELECT * FROM (SELECT unnest([{}]) AS noise_floor), (SELECT unnest([{}]) AS exponent), (SELECT unnest([{}]) AS lexical_weight), (SELECT unnest([{}]) AS stem_bonus))".format(
     *(", ".join(f"{x}::DOUBLE" for x in v) for v in (E.NOISE_FLOORS, E.EXPONENTS, E.LEXICAL_WEIGHTS, E.STEM_BONUSES))
 )
+BUNDLE = r""",
+sel AS (SELECT row_number() OVER (ORDER BY query_id) AS n, expected AS path FROM judged WHERE expected <> 'none'),
+b AS (SELECT n, title, doc_id % 3 = 0 AS has, '![' || CASE WHEN doc_id % 3 = 0 THEN '](data:image/png;base64,' || to_base64(encode(lang || doc_id)) || ')' ELSE '[img ' || doc_id || '.png]]' END || chr(10) || text AS body,
+             n = max(n) OVER () AS ends FROM sel JOIN docs USING (path)),
+content AS (SELECT 0 AS section, 0::BIGINT AS number, E'# Notes\n\nRead this.\n\n' AS content
+  UNION ALL SELECT 1, n, n || '. ' || title || CASE WHEN ends THEN E'\n\n' ELSE chr(10) END FROM b
+  UNION ALL SELECT 2, n, '## ' || n || '. ' || title || E'\n\n' || body || CASE WHEN ends THEN '' ELSE E'\n\n' END FROM b),
+parts AS (SELECT *, octet_length(encode(content))::BIGINT AS n_bytes FROM content)"""
 CONTEXT_LINES = "string_split(trim(coalesce(nullif(preview, ''), ''), E' \\n\\r\\t'), chr(10))"
 PACK = r"""
 x AS (SELECT *, '] [Tags: #' || lang || ' #' || source || coalesce(' #' || tag, '') || '] [Aliases: ' || source || '] [Keywords: extra k' || (doc_id % 5) || ' words]' AS meta, '[' || title || ' > Note ' || doc_id || ' > Body' AS crumbs,
@@ -192,12 +200,9 @@ SQL = {
   CASE WHEN starts_with(url, 'https://www.') THEN regexp_replace(substr(url, 13), '^[/\\]+', '') ELSE url END AS relative, url_decode(regexp_extract(url, '^([^?#]*)', 1)) AS decoded FROM pages""",
     "asset_resolve": """SELECT source || '/' || doc_id || '.md' AS path, 'img%20' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.PNG' ELSE '' END AS reference,
   CASE WHEN doc_id % 11 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN source || '/' WHEN 1 THEN '' ELSE 'other/' END || 'img ' || doc_id || '.png' END AS asset_path FROM documents""",
-    "context_bundle": f"""WITH {DOCS}, {ASKED},{JUDGED},
-sel AS (SELECT row_number() OVER (ORDER BY query_id) AS n, expected AS path FROM judged WHERE expected <> 'none'),
-b AS (SELECT n, title, doc_id % 3 = 0 AS has, '![' || CASE WHEN doc_id % 3 = 0 THEN '](data:image/png;base64,' || to_base64(encode(lang || doc_id)) || ')' ELSE '[img ' || doc_id || '.png]]' END || chr(10) || text AS body FROM sel JOIN docs USING (path)),
-t AS (SELECT count(*) AS n_documents, count(*) FILTER (WHERE has) AS n_assets, E'# Notes\\n\\nRead this.\\n\\n' || coalesce(string_agg(n || '. ' || title, chr(10) ORDER BY n), '') || E'\\n\\n'
-  || coalesce(string_agg('## ' || n || '. ' || title || E'\\n\\n' || body, E'\\n\\n' ORDER BY n), '') AS text FROM b)
-SELECT sha256(text) AS sha256, n_documents, n_assets, octet_length(encode(text))::BIGINT AS n_bytes FROM t""",
+    "context_bundle": f"""WITH {DOCS}, {ASKED},{JUDGED}{BUNDLE}
+SELECT section, number, (coalesce(sum(n_bytes) OVER (ORDER BY section, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", n_bytes, sha256(content) AS sha256 FROM parts""",
+    "bundle_totals": f"WITH {DOCS}, {ASKED},{JUDGED}{BUNDLE} SELECT (SELECT count(*) FROM b) AS n_documents, (SELECT count(*) FILTER (WHERE has) FROM b) AS n_assets, sum(n_bytes)::BIGINT AS n_bytes FROM parts",
     "search_chunk_ranks": f"WITH {CHUNK_HITS} SELECT query_id, rank, chunk_id, score, similarity FROM hits",
     "search_chunks": f"""WITH {CHUNK_HITS}, asking AS (SELECT chunk_id, query_id, chunk_text FROM hits WHERE raw_rank <= 3), hq AS (SELECT asking.chunk_id, query_id, b, v FROM asking JOIN qv USING (query_id)),{best_sentence('asking', 'query_id, chunk_id', 'chunk_text', 'hq')},
 beside AS (SELECT chunk_id, lag(chunk_index) OVER w AS prev, lead(chunk_index) OVER w AS next FROM docs WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index))

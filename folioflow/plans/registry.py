@@ -503,14 +503,22 @@ def document_resolve(spark, sf):
     return X.resolve_documents(docs.select(n.alias("position"), how.alias("path")), docs, "/vault").select("position", "doc_path")
 
 
-def context_bundle(spark, sf):
-    """The judged documents in the order of their passages, as one text, with the images they embed where those are found."""
+def _bundle(spark, sf):
+    """The judged documents in the order of their passages, with the images they embed where those are found."""
     chosen = _judgments(spark, sf).filter("expected <> 'none'").select(F.col("query_id").alias("position"), F.col("expected").alias("path"))
     image = F.concat(F.lit("img "), F.col("doc_id").cast("string"), F.lit(".png"))
     docs = documents(spark, sf).withColumn("text", F.concat(F.lit("![["), image, F.lit("]]\n"), "text"))
     assets = docs.filter("doc_id % 3 = 0").select(F.concat(T.parent_folder(F.col("path")), F.lit("/"), image).alias("asset_path"), F.concat("lang", F.col("doc_id").cast("string")).cast("binary").alias("content"))
-    out = X.bundle(chosen, docs, assets, prompt="Read this.", title="Notes")
-    return out.select(F.sha2("text", 256).alias("sha256"), "n_documents", "n_assets", "n_bytes")
+    return X.bundle(chosen, docs, assets, prompt="Read this.", title="Notes")
+
+
+def context_bundle(spark, sf):
+    """A bundle as its parts."""
+    return _bundle(spark, sf).select("section", "number", "offset", "n_bytes", F.sha2("content", 256).alias("sha256"))
+
+
+def bundle_totals(spark, sf):
+    return X.bundle_totals(_bundle(spark, sf))
 
 
 QUERIES = {
@@ -521,6 +529,6 @@ QUERIES = {
         current_version, recent_changes, corpus_scan, glossary_load, model_stats, index_update, stream_index, unit_norm, vector_topk, vector_topk_min_score, near_copy_topk,
         calibrated_score_grid, overfetch_rerank, search_chunks, search_chunk_ranks, neighbour_context, salient_sentence, glossary_detect, glossary_detect_parts, detected_report, glossary_lookup,
         enriched_query, chunk_enrichment, keyword_bm25, rrf_fusion, weighted_fusion, hybrid_search, hybrid_fallback, three_way_compare, rag_context_xml, rag_context_md,
-        relevance_tiers, eval_metrics, eval_by_category, ab_delta, grid_search, model_compare, embedded_tables, asset_resolve, document_resolve, context_bundle,
+        relevance_tiers, eval_metrics, eval_by_category, ab_delta, grid_search, model_compare, embedded_tables, asset_resolve, document_resolve, context_bundle, bundle_totals,
     )
 }

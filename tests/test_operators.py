@@ -16,7 +16,7 @@ from folioflow.operators import inverted as KW
 from folioflow.operators.encode import HashEncoder, SeededEncoder, encode_column
 from folioflow.operators.fusion import fuse
 from folioflow.operators.keyword import search_keyword
-from folioflow.operators.numbering import numbered
+from folioflow.operators.numbering import numbered, running_totals
 from folioflow.operators.vector import topk
 from folioflow.plans import search as P
 from folioflow.sources import corpus
@@ -186,9 +186,34 @@ def test_bundle(spark):
     docs = spark.createDataFrame([("d/a.md", "A", "---\nx: 1\n---\nbody ![[pic.png]]"), ("b.md", "B", "two")], "path string, title string, text string")
     chosen = spark.createDataFrame([(2, "/v/d/a.md"), (1, "B.MD"), (3, "missing")], "position long, path string")
     assets = spark.createDataFrame([("d/pic.png", bytearray(b"\x01\x02"))], "asset_path string, content binary")
-    row = X.bundle(chosen, docs, assets, "Prompt", "Title").first()
-    assert row["text"] == "# Title\n\nPrompt\n\n1. B\n2. A\n\n## 1. B\n\ntwo\n\n## 2. A\n\nbody ![](data:image/png;base64,AQI=)"
-    assert (row["n_documents"], row["n_assets"], row["n_bytes"]) == (2, 1, len(row["text"].encode()))
+    whole = lambda parts: "".join(r["content"] for r in parts.orderBy("section", "number").collect())
+    parts = X.bundle(chosen, docs, assets, "Prompt", "Title")
+    text = whole(parts)
+    assert text == "# Title\n\nPrompt\n\n1. B\n2. A\n\n## 1. B\n\ntwo\n\n## 2. A\n\nbody ![](data:image/png;base64,AQI=)"
+    assert tuple(X.bundle_totals(parts).first()) == (2, 1, len(text.encode()))
+    assert whole(X.bundle(chosen.limit(0), docs, assets, "", "Title")) == "# Title\n\n"
+
+
+def test_bundle_parts_are_files_in_order(spark, tmp_path):
+    docs = spark.createDataFrame([(f"n{i}.md", f"T{i}", "é" * (i % 7) + f"\nline {i}\n") for i in range(700)], "path string, title string, text string").repartition(3)
+    chosen = spark.createDataFrame([((i * 37) % 700, f"n{i}.md") for i in range(0, 700, 2)], "position long, path string").repartition(5)
+    parts = X.bundle(chosen, docs).cache()
+    data = b""
+    for r in parts.orderBy("section", "number").collect():
+        assert r["offset"] == len(data) and r["n_bytes"] == len(r["content"].encode())
+        data += r["content"].encode()
+    X.save_bundle(parts, str(tmp_path / "out"))
+    files = b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("part-*")))
+    assert files == data + b"\n" * (not data.endswith(b"\n"))
+    assert data.decode().split("\n")[2:4] == ["1. T0", "2. T246"]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_running_totals(spark):
+    rows = spark.range(1, 501).select("id", (F.col("id") % 5).alias("a"), F.lit(2).alias("b")).repartition(7)
+    got = {r["id"]: (r["before_a"], r["before_b"]) for r in running_totals(rows, "id", "a", "b", size=16).collect()}
+    assert got == {i: (sum(k % 5 for k in range(1, i)), 2 * (i - 1)) for i in range(1, 501)}
 
 
 def test_assets_prefer_the_own_folder(spark):
