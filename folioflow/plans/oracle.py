@@ -242,6 +242,10 @@ y AS (SELECT *, regexp_replace(f, '<[^>]+>', '', 'g') AS b FROM x) SELECT doc_id
     "corpus_scan": f"WITH {NOTES} SELECT replace(replace(path, '/', '_'), '.', '_') AS name, length(text)::INT AS n_chars, sha256(text) AS sha256 FROM notes",
     "glossary_load": "SELECT p_partkey::INT AS entry_id, 'part ' || p_partkey AS term, 'p-' || p_partkey || '|P_' || p_partkey AS synonyms, 'about, \"this\" ' || p_partkey AS description FROM part",
     "model_stats": "SELECT CASE WHEN vec_id % 3 = 0 THEN 'small' ELSE 'large' END AS model_id, count(DISTINCT vec_id % 100) AS document_count, count(*) AS chunk_count, max(len(embedding))::INT AS dim, sum(len(embedding) * 4)::BIGINT AS vector_bytes FROM embeddings GROUP BY 1",
+    "stored_chunks": f"""WITH packed AS (WITH {NOTES},{CLEAN},{PACK} SELECT path, chunk_index, chunk_text FROM ch), n AS (WITH {NOTES} SELECT path, title, text FROM notes)
+SELECT path, chunk_index, chunk_text, title AS doc_title, octet_length(encode(text))::BIGINT AS size, {DIM}::INT AS embedding_dim FROM packed JOIN n USING (path) WHERE path NOT LIKE '%3.md'""",
+    "stored_vectors": f"""WITH {NOTES}, heads AS (SELECT path, left(text, 2000) AS head FROM notes WHERE path NOT LIKE '%3.md'),{vectors("heads", "path", "head", "dv")}
+SELECT path, b::INT AS b, round(v, 6) AS v FROM dv""",
     "index_update": "SELECT source || '/' || doc_id || '.md' AS path, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size, CASE WHEN doc_id % 10 IN (1, 2) THEN 2 ELSE 1 END::BIGINT AS batch_id FROM documents WHERE doc_id % 10 <> 3",
     "stream_index": "SELECT source || '/' || doc_id || '.md' AS path, sha256(CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE text END) AS sha256 FROM documents WHERE doc_id % 4 <> 1",
     "unit_norm": "WITH n AS (SELECT vec_id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) SELECT vec_id, round(n, 6) AS norm, round(list_max(list_transform(e, lambda x: x::DOUBLE / n)), 6) AS largest FROM n",

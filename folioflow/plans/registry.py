@@ -242,6 +242,29 @@ def index_update(spark, sf):
     return I.documents(spark, where, "hash_64").select("path", "sha256", "size", "batch_id")
 
 
+def _stored(spark, sf):
+    """An index of notes after two runs: of an earlier corpus by a narrower model, then of the corpus as it is, with which everything
+    is chunked and encoded again, as the width has changed; what was deleted in between is gone."""
+    whole = notes(spark, sf).withColumns({"mtime": F.lit("2024-01-01").cast("timestamp"), "size": F.octet_length("text").cast("long"), "sha256": F.sha2("text", 256)}).drop("doc_id", "raw", "lang")
+    hour = F.regexp_extract("path", r"([0-9])\.md$", 1)
+    first = whole.filter(hour != "1").withColumn("text", F.when(hour == "2", F.lit("# Old\n\nold text")).otherwise(F.col("text"))).withColumn("sha256", F.sha2("text", 256))
+    where = scratch(spark, "index")
+    I.update_index(first, where, "hash", HashEncoder(DIM // 2))
+    I.update_index(whole.filter(hour != "3"), where, "hash", HashEncoder(DIM))
+    return where
+
+
+def stored_chunks(spark, sf):
+    """The chunks that an index holds, with the title and size of their documents."""
+    return I.chunk_rows(spark, _stored(spark, sf), "hash").select("path", "chunk_index", "chunk_text", "doc_title", "size", "embedding_dim")
+
+
+def stored_vectors(spark, sf):
+    """The vectors that an index holds of its documents, entry by entry."""
+    docs = I.embedded_documents(spark, _stored(spark, sf), "hash")
+    return docs.select("path", F.posexplode("embedding").alias("b", "v")).filter("v <> 0").select("path", "b", F.round("v", 6).alias("v"))
+
+
 def stream_index(spark, sf):
     """Documents as a feed of events in many files, applied by a stream that is stopped and begun again between two sets of them."""
     docs = documents(spark, sf)
@@ -526,7 +549,7 @@ QUERIES = {
     for f in (
         search_documents, title_extract, content_fingerprint, frontmatter_tags, clean_text, plain_text_view, line_filters, section_breadcrumbs, chunk_pack, chunk_stats,
         metadata_prefix, path_parts, model_prefix, highlight, snippets, query_keywords, html_escape, drawing_notes, export_body, corpus_diff, diff_status, deleted_paths,
-        current_version, recent_changes, corpus_scan, glossary_load, model_stats, index_update, stream_index, unit_norm, vector_topk, vector_topk_min_score, near_copy_topk,
+        current_version, recent_changes, corpus_scan, glossary_load, model_stats, index_update, stored_chunks, stored_vectors, stream_index, unit_norm, vector_topk, vector_topk_min_score, near_copy_topk,
         calibrated_score_grid, overfetch_rerank, search_chunks, search_chunk_ranks, neighbour_context, salient_sentence, glossary_detect, glossary_detect_parts, detected_report, glossary_lookup,
         enriched_query, chunk_enrichment, keyword_bm25, rrf_fusion, weighted_fusion, hybrid_search, hybrid_fallback, three_way_compare, rag_context_xml, rag_context_md,
         relevance_tiers, eval_metrics, eval_by_category, ab_delta, grid_search, model_compare, embedded_tables, asset_resolve, document_resolve, context_bundle, bundle_totals,
