@@ -239,7 +239,8 @@ y AS (SELECT *, regexp_replace(f, '<[^>]+>', '', 'g') AS b FROM x) SELECT doc_id
     "deleted_paths": f"WITH {ALTERED} SELECT path FROM b WHERE status = 'deleted'",
     "current_version": f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY batch_id DESC) AS n FROM log) SELECT path, batch_id FROM r WHERE n = 1 AND op <> 'deleted'",
     "recent_changes": f"WITH {LOG} SELECT path, op, batch_id FROM log ORDER BY ts DESC, batch_id DESC LIMIT 8",
-    "corpus_scan": f"WITH {NOTES} SELECT replace(replace(path, '/', '_'), '.', '_') AS name, length(text)::INT AS n_chars, sha256(text) AS sha256 FROM notes",
+    "corpus_scan": f"""WITH {NOTES}, m AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '_' ELSE '' END AS mark FROM notes)
+SELECT source || '/' || mark || doc_id || '.md' AS relative_path, mark || title AS title, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha256 FROM m""",
     "glossary_load": "SELECT p_partkey::INT AS entry_id, 'part ' || p_partkey AS term, 'p-' || p_partkey || '|P_' || p_partkey AS synonyms, 'about, \"this\" ' || p_partkey AS description FROM part",
     "model_stats": "SELECT CASE WHEN vec_id % 3 = 0 THEN 'small' ELSE 'large' END AS model_id, count(DISTINCT vec_id % 100) AS document_count, count(*) AS chunk_count, max(len(embedding))::INT AS dim, sum(len(embedding) * 4)::BIGINT AS vector_bytes FROM embeddings GROUP BY 1",
     "stored_chunks": f"""WITH packed AS (WITH {NOTES},{CLEAN},{PACK} SELECT path, chunk_index, chunk_text FROM ch), n AS (WITH {NOTES} SELECT path, title, text FROM notes)

@@ -18,7 +18,7 @@ from folioflow.operators.keyword import search_keyword
 from folioflow.operators.passages import holders
 from folioflow.operators.vector import neighbours, topk
 from folioflow.plans import search as P
-from folioflow.sources import corpus
+from folioflow.sources import corpus, tree
 from folioflow.storage import scratch, written
 from folioflow.streaming import changes as ST
 
@@ -208,12 +208,11 @@ def recent_changes(spark, sf):
 
 
 def corpus_scan(spark, sf):
-    """Notes written as files, one folder for each, and scanned again."""
+    """Notes written as files, a third of them with names that begin with an underscore, and scanned again."""
     root = scratch(spark, "notes")
-    docs = notes(spark, sf)
-    docs.select(F.regexp_replace("path", "[/.]", "_").alias("name"), "text").repartition("name").write.partitionBy("name").option("lineSep", "\0").text(root)
-    found = corpus.scan_corpus(spark, root, ".txt")
-    return found.select(F.regexp_extract("relative_path", r"name=([^/]*)/", 1).alias("name"), F.length(F.replace("text", F.lit("\0"), F.lit(""))).alias("n_chars"), F.sha2(F.replace("text", F.lit("\0"), F.lit("")), 256).alias("sha256"))
+    name = F.regexp_replace("path", "/", F.when(F.col("doc_id") % 3 == 0, "/_").otherwise("/"))
+    tree.write_tree(notes(spark, sf).select(name.alias("path"), "text"), root)
+    return corpus.scan_corpus(spark, root).select("relative_path", "title", "size", "sha256")
 
 
 def glossary_load(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.sources.tree import opened, read_tree
 
 # What is no note.
 EXCLUDED_DIRS = (".obsidian", ".git", ".vector_search", ".trash", ".agents", "node_modules", ".venv", "__pycache__")
@@ -39,16 +40,19 @@ def is_wanted(relative: Column, extensions: list[str]) -> Column:
 
 def scan_corpus(spark: SparkSession, root: str, extensions: str | list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """path, relative_path, title, mtime, size, sha256, text of every note below ``root``. Bytes that are no UTF-8 are
-    replaced. Files whose name starts with an underscore or a dot are not seen (Spark hides them); a root that is
-    not there raises. With ``names``, only files with one of these names are read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if names is not None:
-        reader = reader.option("pathGlobFilter", "{" + ",".join(re.sub(r"([\\{}\[\],*?])", r"\\\1", x) for x in names) + "}")
-    files = reader.load(root)
-    base = F.regexp_replace(F.regexp_replace(F.lit(root), r"^file:/*", "/"), r"/+\z", "")
-    path = F.regexp_replace("path", r"^[a-z0-9]+:(?://[^/]*)?/*", "/")
-    relative = F.regexp_replace(F.substr(path, F.instr(path, base) + F.length(base)), "^/+", "")
-    wanted = files.withColumn("relative_path", relative).filter(is_wanted(F.col("relative_path"), normalised_extensions(extensions)))
+    replaced; a root that is not there raises. With ``names``, only files with one of these names are read. In a file system that
+    pyarrow does not open, Spark's file source reads, which does not see names that begin with an underscore or a dot."""
+    if opened(root) is not None:
+        files = read_tree(spark, root, names)
+        path = F.col("path")
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        if names is not None:
+            reader = reader.option("pathGlobFilter", "{" + ",".join(re.sub(r"([\\{}\[\],*?])", r"\\\1", x) for x in names) + "}")
+        bare = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:(?://[^/]*)?/*", "/")
+        path, base = bare(F.col("path")), F.regexp_replace(bare(F.lit(root)), r"/+\z", "")
+        files = reader.load(root).withColumn("relative_path", F.regexp_replace(F.substr(path, F.length(base) + 1), "^/+", ""))
+    wanted = files.filter(is_wanted(F.col("relative_path"), normalised_extensions(extensions)))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return wanted.select(
         path.alias("path"), "relative_path", T.title(text, T.stem_of(F.col("relative_path"))).alias("title"), F.col("modificationTime").alias("mtime"),

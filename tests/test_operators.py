@@ -261,6 +261,22 @@ def test_salient_sentence_in_every_language(spark):
     assert {r["lang"] for r in got} == {r["lang"] for r in langs.select("lang").distinct().collect()} and len(got) == 4
 
 
+def test_scan_sees_all_names(spark, tmp_path, monkeypatch):
+    """Names that begin with an underscore come back, also when they are asked for; a file system that is not known goes to Spark's source."""
+    for name in ("_x.md", "sub/_y.md", "sub/a b.md", ".hidden/z.md", "_dir/in.md", ".dot.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}")
+    seen = lambda **k: {r["relative_path"] for r in corpus.scan_corpus(spark, str(tmp_path), **k).collect()}
+    assert seen() == {"_x.md", "sub/_y.md", "sub/a b.md", "_dir/in.md", ".dot.md"} and seen(names=["_y.md"]) == {"sub/_y.md"}
+    asked = spark.createDataFrame([("sub/_y.md",)], "relative_path string")
+    assert corpus.scan_files(spark, str(tmp_path), asked).first()["text"] == "# sub/_y.md"
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|cannot"):
+        corpus.scan_corpus(spark, str(tmp_path / "none")).count()
+    monkeypatch.setattr(corpus, "opened", lambda root: None)
+    assert seen() == {"sub/a b.md"}
+    assert {r["relative_path"] for r in corpus.scan_corpus(spark, f"file://{tmp_path}", names=["a b.md"]).collect()} == {"sub/a b.md"}
+
+
 def test_targeted_scan_reads_the_named_files_alone(spark, tmp_path):
     for name in ("a.md", "sub/a.md", "x{1},[2].md", "b.md"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
