@@ -6,8 +6,8 @@
 3. A shard becomes a bidirectional index: the Burrows-Wheeler transforms of its numbers and of their reverse. A phrase is an
    interval in both; extending it to the right is a step in the second, which splits the first by the counts of
    the smaller extensions, and the other way round to the left. Suffixes are sorted by ``DEPTH`` words only, which is as far
-   as phrases go. Pairs are counted this way in every shard and summed.
-4. Shards are told which of their pairs are frequent over all. Those are extended to the left to three words and to the right to
+   as phrases go. Pairs are counted this way in every shard; owners of pairs get their keys as one Golomb-coded list a shard, with counts.
+4. Owners sum pairs and answer with a bitmap a list: which are frequent over all. Those are extended to the left to three words and to the right to
    four; an extension lives only if its outer pair is frequent as well. Counts are summed again.
 
 Every part of a phrase is at least as frequent as the phrase, so nothing that reaches the threshold is lost. A word or pair is sent
@@ -19,19 +19,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm import rice
 from folioflow.llm.shared import small_batches, written
+from folioflow.llm.words import mix
 from folioflow.operators.numbering import numbered
 
 DEPTH = 4
 #: Text of a shard. A longer piece without punctuation is a shard of its own.
 SHARD_BYTES = 8 << 20
 LEAST, TOP, SCALE = 30, 2000, 2_000_000
+#: Shards for each owner of pairs: some 500,000 pairs each.
+OWNED = 4
+#: Frequent words that are broadcast at most, about 50 MB.
+FEW = 1 << 19
 #: Candidates of a language that one task ranks before the best of each task meet.
 RANKED = 1 << 19
 
@@ -40,8 +45,17 @@ SHARDS = "kind string, shard long, symbols binary, symbol int, lang string, word
 SHARD_ROWS = pa.schema([
     ("kind", pa.string()), ("shard", pa.int64()), ("symbols", pa.binary()), ("symbol", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()),
 ])
-PAIRS = "kind string, shard long, slot int, w1 int, w2 int, n long, words binary, bwt binary, twb binary"
-GRAMS = "w1 int, w2 int, w3 int, w4 int, n long"
+OWN = "of long, symbols binary, ids binary"
+OWN_ROWS = pa.schema([("of", pa.int64()), ("symbols", pa.binary()), ("ids", pa.binary())])
+#: Of a shard its frequent words, and for each owner of pairs the sorted keys of those that it owns (Golomb-coded) and their counts.
+SENT = "kind string, shard long, owner int, words binary, sequence binary, pairs binary, counts binary"
+SENT_ROWS = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("owner", pa.int32()), *((c, pa.binary()) for c in ("words", "sequence", "pairs", "counts"))])
+#: An owner's frequent pairs, and its answers: a bit for each pair of a message.
+TOLD = "kind string, w1 int, w2 int, n long, shard long, owner int, bits binary"
+TOLD_ROWS = pa.schema([("kind", pa.string()), ("w1", pa.int32()), ("w2", pa.int32()), ("n", pa.int64()), ("shard", pa.int64()), ("owner", pa.int32()), ("bits", pa.binary())])
+#: Longer phrases travel as two numbers, of two words each.
+GRAM_ROWS = pa.schema([("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int32())])
+GRAMS = "head long, tail long, n int"
 IDS = ["w1", "w2", "w3", "w4"]
 
 ENDS = np.zeros(256, bool)
@@ -53,13 +67,16 @@ LOWER[65:91] += 32
 
 
 def narrow(x: np.ndarray) -> bytes:
-    """Numbers in two bytes each if they fit, else in four; the first byte says which."""
-    kind = np.uint16 if len(x) == 0 or int(x.max()) < 1 << 16 else np.uint32
-    return bytes([kind().itemsize]) + x.astype(kind).tobytes()
+    """Numbers in one to four bytes each, as the largest needs; the first byte says how many."""
+    size = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([size]) + np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size]).tobytes()
 
 
 def wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    held = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    out = np.zeros((len(held), 4), np.uint8)
+    out[:, : data[0]] = held
+    return out.view("<u4").ravel().astype(np.int64)
 
 
 def numbered_words(texts: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
@@ -76,7 +93,15 @@ def numbered_words(texts: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, n
     offsets = np.concatenate([[0], np.cumsum(end - first)]).astype(np.int32)
     coded = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[word].tobytes())]).dictionary_encode()
     spread = int(lang.max()) + 1
-    keys, symbol, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * spread + lang, return_inverse=True, return_counts=True)
+    key = coded.indices.to_numpy().astype(np.int64) * spread + lang
+    if len(coded.dictionary) * spread <= 8 * len(key):
+        seen = np.bincount(key)
+        keys = np.flatnonzero(seen)
+        counts, place = seen[keys], np.zeros(len(seen), np.int64)
+        place[keys] = np.arange(len(keys))
+        symbol = place[key]
+    else:
+        keys, symbol, counts = np.unique(key, return_inverse=True, return_counts=True)
     breaks = np.flatnonzero(np.diff(closed))
     symbols = np.insert(symbol.astype(np.int64) + 1, breaks + 1, 0)
     return symbols, keys % spread, coded.dictionary.take(pa.array(keys // spread)), counts
@@ -131,29 +156,36 @@ def _shards(size: int):
     return partition
 
 
+def sorted_places(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by several columns of numbers below 2 ** 32, the first one first; a radix sort of 16 bits at a time."""
+    order = None
+    for key in reversed(keys):
+        for shift in (0, 16) if int(key.max(initial=0)) >> 16 else (0,):
+            digit = ((key >> shift) & 0xFFFF).astype(np.uint16)
+            order = np.argsort(digit, kind="stable") if order is None else order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
 def transform(s: np.ndarray) -> np.ndarray:
     """The symbol before each suffix of ``s`` (cyclic), suffixes in the order of their first ``DEPTH`` symbols, then of their places."""
-    n, rank = len(s), s
-    for step in (1, 2):
-        behind = np.concatenate([rank[step:], np.zeros(min(step, n), np.int64)])
-        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + behind, return_inverse=True)[1]
-    return s[np.argsort(rank, kind="stable") - 1]
+    padded = np.concatenate([s, np.zeros(DEPTH, s.dtype)])
+    return s[sorted_places([padded[i : i + len(s)] for i in range(DEPTH)]) - 1]
 
 
 class Index:
-    """The two transforms of a shard. Phrases are rows of three arrays: lo (interval in the one of the text), ol (interval in that of
+    """The two transforms of a shard's words (a 0 last). Phrases are rows of three arrays: lo (interval in the one of the text), ol (interval in that of
     the reversed text) and n (the length of both)."""
 
-    def __init__(self, bwt: np.ndarray, twb: np.ndarray, n_words: int):
-        self.bwt, self.twb = bwt, twb
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=n_words + 1))])
-        self.steps = [self._steps(x) for x in (bwt, twb)]
+    def __init__(self, words: np.ndarray, n_words: int):
+        self.bwt, self.twb = transform(words), transform(np.concatenate([words[:-1][::-1], [0]]))
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=n_words + 1))])
+        self.steps = [self._steps(x) for x in (self.bwt, self.twb)]
 
     @staticmethod
     def _steps(x: np.ndarray) -> np.ndarray:
         """Where each place of a transform goes when its symbol is put in front: the symbol's start and its rank."""
         to = np.empty(len(x), np.int64)
-        to[np.argsort(x, kind="stable")] = np.arange(len(x))
+        to[sorted_places([x])] = np.arange(len(x))
         return to
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,26 +228,74 @@ def pairs_of(index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return first + 1, second, lo, ol, n
 
 
-def no_rows(*columns: str) -> pd.DataFrame:
-    return pd.DataFrame({c: np.zeros(0, object) for c in columns})
+def _table(schema: pa.Schema, *columns) -> pa.Table:
+    return pa.table([pa.nulls(len(columns[0]), f.type) if x is None else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _own_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (of, symbol, id) as lists, one for each shard in a batch."""
+    for batch in batches:
+        of, symbol, ids = (batch.column(c).to_numpy() for c in ("of", "symbol", "id"))
+        order = np.argsort(of, kind="stable")
+        names, starts = np.unique(of[order], return_index=True)
+        lists = [[narrow(x[order][a:b]) for a, b in zip(starts, [*starts[1:], len(of)])] for x in (symbol, ids)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(x, pa.binary()) for x in lists)], schema=OWN_ROWS)
+
+
+def _listed(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(wide(x) for x in column.to_pylist())])
+
+
+def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) % np.uint64(owners)).astype(np.int64)
+
 
+def _indexed(n_words: int, owners: int):
+    """The index of a shard over its frequent words, and a message with its pairs for each owner. A pair's key is the number of its first word
+    times ``n_words`` and that of its second; words are in the order of their numbers, so keys ascend with slots."""
 
-def _indexed(key: tuple, shard: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-    """The index of a shard over its frequent words, and its pairs."""
-    symbols = wide(shard["symbols"].iloc[0]) if len(shard) else np.zeros(0, np.int64)
-    if not len(symbols) or not len(own):
-        return no_rows("kind", "shard", "slot", "w1", "w2", "n", "words", "bwt", "twb")
-    own = own.sort_values("id")
-    to = np.zeros(int(symbols.max()) + 1, np.int64)
-    to[own["symbol"].to_numpy(np.int64)] = np.arange(1, len(own) + 1)
-    s = np.append(to[symbols], 0)
-    s = s[(s > 0) | (np.concatenate([[0], s[:-1]]) > 0)]  # one end of a piece is as good as many
-    words = np.concatenate([[0], own["id"].to_numpy(np.int64)])
-    bwt, twb = transform(s), transform(np.concatenate([s[:-1][::-1], [0]]))
-    first, second, _, _, n = pairs_of(Index(bwt, twb, len(own)))
-    index = pd.DataFrame({"kind": ["index"], "shard": key[0], "slot": 0, "w1": 0, "w2": 0, "n": 0, "words": [narrow(words)], "bwt": [narrow(bwt)], "twb": [narrow(twb)]})
-    pairs = pd.DataFrame({"kind": "pair", "shard": key[0], "slot": np.arange(len(n)), "w1": words[first], "w2": words[second], "n": n, "words": None, "bwt": None, "twb": None})
-    return pd.concat([index, pairs], ignore_index=True)
+    def run(key: tuple, shard: pa.Table, own: pa.Table) -> pa.Table:
+        symbols = wide(shard.column("symbols")[0].as_py()) if shard.num_rows else np.zeros(0, np.int64)
+        if not len(symbols) or not own.num_rows:
+            return _table(SENT_ROWS, *[[]] * len(SENT_ROWS))
+        local, ids = _listed(own.column("symbols")), _listed(own.column("ids"))
+        order = np.argsort(ids)
+        to = np.zeros(int(symbols.max()) + 1, np.int64)
+        to[local[order]] = np.arange(1, len(ids) + 1)
+        s = np.append(to[symbols], 0)
+        s = s[(s > 0) | (np.concatenate([[0], s[:-1]]) > 0)]  # one end of a piece is as good as many
+        words = np.concatenate([[0], ids[order]])
+        first, second, _, _, n = pairs_of(Index(s, len(ids)))
+        keys, name = words[first] * n_words + words[second], key[0].as_py()
+        owner = owner_of(keys, owners)
+        order = np.argsort(owner, kind="stable")
+        present, starts = np.unique(owner[order], return_index=True)
+        parts = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)])]
+        index = _table(SENT_ROWS, ["index"], [name], None, [narrow(words)], [narrow(s)], None, None)
+        pairs = [rice.encode(keys[x].astype(np.uint64)) for x in parts]
+        sent = _table(SENT_ROWS, ["pairs"] * len(parts), [name] * len(parts), present, None, None, pairs, [narrow(n[x]) for x in parts])
+        return pa.concat_tables([index, sent])
+
+    return run
+
+
+def _owned(n_words: int, least: int):
+    """One owner: sums of its pairs over all shards, and which pairs of each message are frequent."""
+
+    def run(key: tuple, messages: pa.Table) -> pa.Table:
+        lists = [rice.decode(x).astype(np.int64) for x in messages.column("pairs").to_pylist()]
+        keys, counts = np.concatenate(lists), _listed(messages.column("counts"))
+        order = np.argsort(keys, kind="stable")
+        every, starts = np.unique(keys[order], return_index=True)
+        sums = np.add.reduceat(counts[order], starts)
+        live = sums >= least
+        frequent = every[live]
+        found = _table(TOLD_ROWS, ["pair"] * len(frequent), frequent // n_words, frequent % n_words, sums[live], None, None, None)
+        bits = [np.packbits(np.isin(x, frequent, assume_unique=True)).tobytes() for x in lists]
+        told = _table(TOLD_ROWS, ["answer"] * len(bits), None, None, None, messages.column("shard").to_pylist(), messages.column("owner").to_pylist(), bits)
+        return pa.concat_tables([found, told])
+
+    return run
 
 
 def longer(index: Index, frequent: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -230,14 +310,32 @@ def longer(index: Index, frequent: np.ndarray) -> tuple[list[np.ndarray], list[n
     return three, [*(x[of[live]] for x in three[:3]), word[live], n4[live]]
 
 
-def _longer(key: tuple, shard: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
-    if not len(shard) or not len(slots):
-        return no_rows(*IDS, "n")
-    words, bwt, twb = (wide(shard[c].iloc[0]) for c in ("words", "bwt", "twb"))
-    three, four = longer(Index(bwt, twb, len(words) - 1), np.sort(slots["slot"].to_numpy(np.int64)))
-    three = [*three[:3], np.zeros(len(three[3]), np.int64), three[3]]
-    columns = [np.concatenate(x) for x in zip(three, four, strict=True)]
-    return pd.DataFrame({c: words[x] for c, x in zip(IDS, columns[:4], strict=True)} | {"n": columns[4]})
+def _longer(n_words: int, owners: int):
+    def run(key: tuple, shard: pa.Table, answers: pa.Table) -> pa.Table:
+        if not shard.num_rows or not answers.num_rows:
+            return _table(GRAM_ROWS, *[[]] * len(GRAM_ROWS))
+        words, sequence = (wide(shard.column(c)[0].as_py()) for c in ("words", "sequence"))
+        index = Index(sequence, len(words) - 1)  # made again: a shard's words are half as large as its two transforms
+        first, second, *_ = pairs_of(index)
+        owner = owner_of(words[first] * n_words + words[second], owners)
+        order = np.argsort(owner, kind="stable")
+        present, starts = np.unique(owner[order], return_index=True)
+        at, frequent = dict(zip(present.tolist(), zip(starts, [*starts[1:], len(order)]))), np.zeros(len(order), bool)
+        for o, bits in zip(answers.column("owner").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+            a, b = at[o]
+            frequent[order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        three, four = longer(index, np.flatnonzero(frequent))
+        three = [*three[:3], np.zeros(len(three[3]), np.int64), three[3]]
+        columns = [np.concatenate(x) for x in zip(three, four, strict=True)]
+        w1, w2, w3, w4 = (words[x] for x in columns[:4])
+        return _table(GRAM_ROWS, w1 << 32 | w2, w3 << 32 | w4, columns[4])
+
+    return run
+
+
+def _met(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``few``, a stored table, which is broadcast up to ``FEW`` rows (counted first)."""
+    return rows.join(F.broadcast(few) if few.count() <= FEW else few, keys)
 
 
 def counted(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, size: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -248,15 +346,20 @@ def counted(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     vocabulary = book.filter("kind = 'word'").select("shard", "symbol", "lang", "word", "n")
     sums = written(vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrases-sums")
     words = written(numbered(sums.filter(F.col("n") >= least), "id").withColumn("id", F.col("id").cast("int")), "phrases-words")
-    own = vocabulary.select("shard", "symbol", "lang", "word").join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "symbol", "id")
+    own = _met(vocabulary.select("shard", "symbol", "lang", "word"), words.select("lang", "word", "id"), ["lang", "word"])
+    own = own.select(F.col("shard").alias("of"), "symbol", "id").mapInArrow(_own_ids, OWN)
     shards = book.filter("kind = 'shard'").select("shard", "symbols")
-    index = written(shards.groupBy("shard").cogroup(own.groupBy("of")).applyInPandas(_indexed, PAIRS), "phrases-index", "kind")
-    local = index.filter("kind = 'pair'").select("shard", "slot", "w1", "w2", "n")
-    pairs = written(local.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases-pairs")
-    slots = local.join(pairs.select("w1", "w2"), ["w1", "w2"], "left_semi").select(F.col("shard").alias("of"), "slot")
-    blobs = index.filter("kind = 'index'").select("shard", "words", "bwt", "twb")
-    found = blobs.groupBy("shard").cogroup(slots.groupBy("of")).applyInPandas(_longer, GRAMS)
-    grams = found.groupBy(*IDS).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    n_words, owners = words.count() + 1, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards.count() // OWNED)
+    sent = written(shards.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(_indexed(n_words, owners), SENT), "phrases-index", "kind")
+    messages = sent.filter("kind = 'pairs'").select("shard", "owner", "pairs", "counts")
+    told = written(messages.groupBy("owner").applyInArrow(_owned(n_words, least), TOLD), "phrases-pairs", "kind")
+    pairs = told.filter("kind = 'pair'").select("w1", "w2", "n")
+    answers = told.filter("kind = 'answer'").select(F.col("shard").alias("of"), "owner", "bits")
+    blobs = sent.filter("kind = 'index'").select("shard", "words", "sequence")
+    found = blobs.groupBy("shard").cogroup(answers.groupBy("of")).applyInArrow(_longer(n_words, owners), GRAMS)
+    totals = found.groupBy("head", "tail").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    halves = lambda c: (F.shiftright(c, 32).cast("int"), F.col(c).bitwiseAND(0xFFFFFFFF).cast("int"))
+    grams = totals.select(*(x.alias(name) for x, name in zip((*halves("head"), *halves("tail")), IDS, strict=True)), "n")
     zero = F.lit(0).cast("int")
     phrases = written(pairs.select("w1", "w2", zero.alias("w3"), zero.alias("w4"), "n").unionByName(grams), "phrases-counts")
     return words, phrases, sums.groupBy("lang").agg(F.sum("n").alias("total"))

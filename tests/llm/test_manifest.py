@@ -184,7 +184,7 @@ def test_intervals_of_phrases():
     s = np.append(rng.integers(0, 5, 300), 0)
     order = lambda x: sorted(range(len(x)), key=lambda i: ([int(v) for v in x[i : i + phrases.DEPTH]] + [0] * 4)[: phrases.DEPTH])
     back = np.concatenate([s[:-1][::-1], [0]])
-    index = phrases.Index(phrases.transform(s), phrases.transform(back), 4)
+    index = phrases.Index(s, 4)
     want = collections.Counter(tuple(s[i : i + d].tolist()) for d in (2, 3, 4) for i in range(len(s) - d + 1) if all(s[i : i + d]))
     first, second, lo, ol, n = phrases.pairs_of(index)
     found = {(a, b): (x, y, k) for a, b, x, y, k in zip(first.tolist(), second.tolist(), lo, ol, n)}
