@@ -1,10 +1,14 @@
 """The index: an append-only change log of documents with their chunks, one Parquet tree per table.
 
-A batch is one partition, so writing it again replaces it; what is current is the last version of each path.
+A batch is one partition, so writing it again replaces it; what is current is the last version of each path. ``compact`` copies what
+is current to a generation of its own, which a small file then names, so that documents and chunks change together.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,11 +22,30 @@ LOG = "doc_id long, path string, op string, title string, mtime timestamp, size
 CHUNK_LOG = "chunk_id long, doc_id long, path string, title string, chunk_index int, chunk_text string, embedding array<double>, embedding_dim int, sha256 string, model_id string, batch_id long"
 
 
+#: The file that names the generation that is read and written; without it the tables lie in the index folder itself.
+CURRENT = "CURRENT"
+
+
+def generation(index_dir: str) -> str:
+    """The name of the current generation, empty for the first."""
+    system, inner = fs.FileSystem.from_uri(index_dir)
+    path = f"{inner.rstrip('/')}/{CURRENT}"
+    if system.get_file_info(path).type != fs.FileType.File:
+        return ""
+    with system.open_input_stream(path) as file:
+        return file.read().decode()
+
+
+def tables(index_dir: str) -> str:
+    """Where the tables of the current generation lie."""
+    return f"{index_dir.rstrip('/')}/{generation(index_dir)}".rstrip("/")
+
+
 def read_table(spark: SparkSession, index_dir: str, name: str) -> DataFrame:
     """A table of the index; empty before its first batch."""
     schema = LOG if name == "documents" else CHUNK_LOG
     try:
-        return spark.read.schema(schema).parquet(f"{index_dir}/{name}")
+        return spark.read.schema(schema).parquet(f"{tables(index_dir)}/{name}")
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
@@ -88,7 +111,7 @@ def write_batch(spark: SparkSession, index_dir: str, model: str, batch_id: int,
     for table, name, schema in ((pieces, "chunks", CHUNK_LOG), (rows, "documents", LOG)):
         fields = [x.strip().split(" ") for x in schema.split(", ")]
         out = tagged(table).select(*(F.col(c).cast(kind).alias(c) for c, kind in fields))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id", "batch_id").parquet(f"{index_dir}/{name}")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id", "batch_id").parquet(f"{tables(index_dir)}/{name}")
 
 
 def next_batch(spark: SparkSession, index_dir: str) -> int:
@@ -141,10 +164,30 @@ def reset(spark: SparkSession, index_dir: str, model: str) -> int:
     return n
 
 
-def compact(spark: SparkSession, index_dir: str, target_dir: str, model: str) -> None:
-    """Copy what is current to a new tree as batch 1."""
-    for table, name in ((documents(spark, index_dir, model), "documents"), (chunks(spark, index_dir, model), "chunks")):
-        table.withColumn("batch_id", F.lit(1).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id", "batch_id").parquet(f"{target_dir}/{name}")
+def compact(spark: SparkSession, index_dir: str) -> None:
+    """Keep what is current and remove all other files: earlier versions, deleted paths, models that were reset.
+
+    The rows of every model are written as its last batch into a new generation; naming that generation is one small file that is
+    moved into place, and makes documents and chunks visible together. The old generation is deleted after that. A run that fails
+    before changes nothing; one that fails after leaves files that the next one removes. Not to be run beside a writer.
+    """
+    log = read_table(spark, index_dir, "documents")
+    last = log.groupBy("model_id").agg(F.max("batch_id").alias("last"))
+    docs = current_version(log, partition=("model_id",))
+    pieces = read_table(spark, index_dir, "chunks").join(docs.select("model_id", "path", "batch_id"), ["model_id", "path", "batch_id"], "left_semi")
+    old, new = generation(index_dir), f"generation-{uuid.uuid4().hex}"
+    for table, name, schema in ((pieces, "chunks", CHUNK_LOG), (docs, "documents", LOG)):
+        whole = table.drop("batch_id").join(last, "model_id").withColumnRenamed("last", "batch_id").select(*(x.strip().split(" ")[0] for x in schema.split(", ")))
+        whole.write.partitionBy("model_id", "batch_id").parquet(f"{index_dir.rstrip('/')}/{new}/{name}")
+    system, inner = fs.FileSystem.from_uri(index_dir)
+    inner = inner.rstrip("/")
+    with system.open_output_stream(f"{inner}/{CURRENT}.{new}") as file:
+        file.write(new.encode())
+    system.move(f"{inner}/{CURRENT}.{new}", f"{inner}/{CURRENT}")
+    for info in system.get_file_info(fs.FileSelector(inner)):
+        dead = info.base_name in ("documents", "chunks") if not old else False
+        if info.type == fs.FileType.Directory and (dead or info.base_name.startswith("generation-") and info.base_name != new):
+            system.delete_dir(info.path)
 
 
 def prepared(changes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

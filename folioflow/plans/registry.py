@@ -243,13 +243,14 @@ def index_update(spark, sf):
 
 def _stored(spark, sf):
     """An index of notes after two runs: of an earlier corpus by a narrower model, then of the corpus as it is, with which everything
-    is chunked and encoded again, as the width has changed; what was deleted in between is gone."""
+    is chunked and encoded again, as the width has changed; what was deleted in between is gone, and so are its files."""
     whole = notes(spark, sf).withColumns({"mtime": F.lit("2024-01-01").cast("timestamp"), "size": F.octet_length("text").cast("long"), "sha256": F.sha2("text", 256)}).drop("doc_id", "raw", "lang")
     hour = F.regexp_extract("path", r"([0-9])\.md$", 1)
     first = whole.filter(hour != "1").withColumn("text", F.when(hour == "2", F.lit("# Old\n\nold text")).otherwise(F.col("text"))).withColumn("sha256", F.sha2("text", 256))
     where = scratch(spark, "index")
     I.update_index(first, where, "hash", HashEncoder(DIM // 2))
     I.update_index(whole.filter(hour != "3"), where, "hash", HashEncoder(DIM))
+    I.compact(spark, where)
     return where
 
 

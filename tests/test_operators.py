@@ -301,6 +301,34 @@ def test_one_model_is_reset_and_rows_join(spark, tmp_path):
     assert I.update_index(scanned(spark, [("a", "one")]), where, "m", HashEncoder(8)).first()["created"] == 1
 
 
+def test_compaction_removes_what_is_dead(spark, tmp_path, monkeypatch):
+    """After a reset and a compaction the old files are gone and other models are what they were; batches go on; a run that fails
+    before the new generation is named changes nothing."""
+    where = str(tmp_path / "ix")
+    for model in ("m", "n/2"):
+        for text in ("one", "two"):
+            I.update_index(scanned(spark, [("a", text), ("b", "same"), *([("c", "gone")] if text == "one" else [])]), where, model, HashEncoder(4))
+    assert I.reset(spark, where, "m") == 2
+    rows = lambda model: sorted((r["path"], r["text"], r["sha256"]) for r in I.documents(spark, where, model).collect())
+    pieces = lambda model: sorted((r["path"], r["chunk_text"], r["embedding"]) for r in I.chunks(spark, where, model).collect())
+    before, following = (rows("n/2"), pieces("n/2")), I.next_batch(spark, where)
+    dead = sorted((tmp_path / "ix").rglob("*.parquet"))
+    monkeypatch.setattr(I, "current_version", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        I.compact(spark, where)
+    monkeypatch.undo()
+    assert sorted((tmp_path / "ix").rglob("*.parquet")) == dead and (rows("n/2"), pieces("n/2")) == before
+    for _ in range(2):
+        I.compact(spark, where)
+        assert not any(f.exists() for f in dead)
+        dead = sorted((tmp_path / "ix").rglob("*.parquet"))
+        assert (rows("n/2"), pieces("n/2")) == before and len(before[0]) == 2 and rows("m") == pieces("m") == []
+        assert I.read_table(spark, where, "documents").count() == 2
+    I.update_index(scanned(spark, [("a", "three"), ("b", "same")]), where, "n/2", HashEncoder(4))
+    got = {r["path"]: (r["text"], r["batch_id"]) for r in I.documents(spark, where, "n/2").collect()}
+    assert got["a"][0] == "three" and got["b"][0] == "same" and got["b"][1] < got["a"][1] <= following
+
+
 def test_lookup_and_keyword_hits(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, path string")
     assert I.point_lookup(docs, path="b").first()["doc_id"] == 2 and I.point_lookup(docs, doc_id=1).first()["path"] == "a"
