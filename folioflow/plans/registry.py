@@ -380,8 +380,8 @@ def glossary_detect_parts(spark, sf):
     named = lambda k, c: parts.select((F.col("entry_id")).alias(f"part{k}"), c.alias(f"name{k}"))
     docs = texts(spark, sf, "documents").withColumns({"part1": (F.col("doc_id") * 7 % n).cast("int"), "part2": (F.col("doc_id") * 3 % n).cast("int")})
     docs = docs.join(named(1, F.col("term")), "part1").join(named(2, F.col("synonyms")[0]), "part2")
-    texts = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" uses "), "name1", F.lit(" and "), "name2", F.lit(".")).alias("text"))
-    return G.detect_terms(texts, parts, "doc_id", "text")
+    named_in = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" uses "), "name1", F.lit(" and "), "name2", F.lit(".")).alias("text"))
+    return G.detect_terms(named_in, parts, "doc_id", "text")
 
 
 def detected_report(spark, sf):
