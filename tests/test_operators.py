@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from folioflow.operators.encode import HashEncoder, SeededEncoder, encode_column
 from folioflow.operators.fusion import fuse
 from folioflow.operators.keyword import search_keyword
 from folioflow.operators.numbering import numbered, running_totals
-from folioflow.operators.vector import topk
+from folioflow.operators.vector import topk, visits
 from folioflow.plans import search as P
 from folioflow.sources import corpus
 from folioflow.streaming import changes as ST
@@ -65,6 +66,31 @@ def test_topk(spark):
     assert topk(q, e.filter("false"), 3).count() == 0 and topk(q.filter("false"), e, 3).count() == 0
 
 
+@pytest.mark.parametrize("kind, share", [("spread", 1.0), ("clusters", 0.5), ("same", 1.0)])
+def test_topk_by_bounds(spark, kind, share):
+    """The same rows as brute force: of vectors in all directions, in clusters (most leaves are passed over), and of which a third are equal."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 8))
+    v = rng.normal(size=(30, 8))[rng.integers(0, 30, 3000)] * 9 + 0.1 * v if kind == "clusters" else v
+    v[::3] = v[0] if kind == "same" else v[::3]
+    rows = [(i - 1500, x) for i, x in enumerate(v.tolist())]
+    odd = [(5000, None), (5001, [1.0]), (5002, [None] * 8), (5003, [float("nan")] * 8), (5004, [float("inf")] * 8)]
+    e = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(3)
+    q = e.filter("vec_id % 20 = 0 OR vec_id > 4999").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {}
+    for r in topk(q, e, 7, dim=8).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    ids = np.arange(3000) - 1500
+    for i, x in rows:
+        if i % 20 == 0:
+            scores = np.round(v @ np.array(x), 6)
+            best = np.lexsort((ids, -scores))[:7]
+            assert [got[i][n] for n in range(1, 8)] == [(ids[b], pytest.approx(scores[b], abs=2e-6)) for b in best]
+    assert len(got) == 150
+    seen = visits(q, e, 7, dim=8).first()
+    assert seen["pairs"] > 150 * 30 and seen["seen"] <= share * seen["pairs"]
+
+
 def test_encoders(spark):
     df = spark.createDataFrame([("same text",), ("same text",), ("",), (None,)], "t string")
     for encoder in (HashEncoder(16), SeededEncoder(16)):
