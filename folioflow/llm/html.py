@@ -4,7 +4,10 @@ A page is read into text blocks, each with its path of elements from the root. T
 averaged over the blocks of a path, so short paragraphs share the ratios of the long ones beside them. Both ratios are
 smoothed along the page, fused, and added up with weights for where a path lies (in the element that holds the content),
 for the links in it and for elements whose tag or class speaks against it. Paths near enough to the page's best one are
-content. No class word decides alone: where nothing but poor text is without one, classes do not count.
+content. No class word decides alone: where nothing but poor text is without one, classes do not count, but for those of
+comments and cookie notices. Links below a heading that names sources do not count either. A header that stands beside the
+content, with a heading and no menu, is the article's own. Each table cell is a block, whether or not its end is written.
+Drawings have no text.
 """
 
 from __future__ import annotations
@@ -35,6 +38,19 @@ NOT_ARTICLE = frozenset(
     "dialog disqus footer form gdpr header hidden login menu modal nav navbar navigation newsletter notice notification popup promo "
     "promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription widget".split()
 )
+#: Words that stand beside those and say nothing of the content.
+NEUTRAL = frozenset("area bar block box container item items list panel reader readers section thread user users wrap wrapper".split())
+#: Words of which one makes a class that has only words of the two sets above no article, whatever else the page holds.
+NEVER = frozenset("comments consent cookie cookies disqus gdpr".split())
+#: Headings of lists of sources.
+SOURCES = frozenset(
+    "bibliography;citations;external links;footnotes;further reading;literature;notes;references;sources;works cited;"
+    "anmerkungen;belege;einzelnachweise;literatur;quellen;weblinks;bibliographie;liens externes;notes et références;références;sources et références;"
+    "bibliografía;enlaces externos;fuentes;notas;referencias".split(";")
+)
+#: Elements whose running text a label belongs to, and those of a table that end each other.
+TEXTUAL = frozenset("p li td th dd dt blockquote h1 h2 h3 h4 h5 h6".split())
+CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 
 
@@ -59,7 +75,11 @@ def _mark(tag: str, attributes: str, in_article: bool) -> int:
         if key in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
             for token in value.split():
                 parts = [x for x in re.split(r"[^a-z]+", token) if x]
-                if parts and (parts[0] in HEADS or NOT_ARTICLE.issuperset(parts)):
+                said = [x for x in parts if x not in NEUTRAL]
+                known = bool(said) and NOT_ARTICLE.issuperset(said) and (len(said) == len(parts) or said != ["header"])  # a box-header may be a title
+                if known and (not NEVER.isdisjoint(parts) or "comment" in parts and len(parts) > 1):
+                    mark = TAG
+                elif known or parts and parts[0] in HEADS:
                     mark = max(mark, STRONG)
                 elif not NOT_ARTICLE.isdisjoint(parts):
                     mark = max(mark, WEAK)
@@ -95,7 +115,7 @@ class Page:
         return n
 
     def _read(self, page: str) -> None:
-        stack, count, lists = [0], dict.fromkeys(ENDS_P, 0), [0]
+        stack, count, lists, cells = [0], dict.fromkeys(ENDS_P, 0), [0], [0]
         parts: list[str] = []
         linked, links = 0, 0
 
@@ -114,6 +134,8 @@ class Page:
                 count[gone] -= 1
                 if gone in ("li", "ul", "ol"):
                     lists.pop()
+                if gone in CELLS or gone == "table":
+                    cells.pop()
                 if gone == tag:
                     return
 
@@ -146,15 +168,14 @@ class Page:
                 if tag in ("br", "hr"):
                     parts.append(" ")
                 continue
-            if tag in INLINE:
+            if tag in INLINE or tag == "label" and self.tags[stack[-1]] in TEXTUAL:
                 links = tag == "a" or links
                 continue
             if m[3].endswith("/"):
                 continue
-            if tag in ("td", "th"):
-                parts.append(" ")
-            else:
-                flush()
+            flush()
+            while self.tags[cells[-1]] in CELLS.get(tag, ()):
+                pop_to(self.tags[cells[-1]])
             if tag in ENDS_P and count.get("p"):
                 pop_to("p")
             elif tag == "li" and self.tags[lists[-1]] == "li":
@@ -164,6 +185,8 @@ class Page:
             count[tag] = count.get(tag, 0) + 1
             if tag in ("li", "ul", "ol"):
                 lists.append(n)
+            if tag in CELLS or tag == "table":
+                cells.append(n)
         flush()
 
     def marks(self) -> list[int]:
@@ -187,6 +210,35 @@ class Page:
         return inside
 
 
+    def own_headers(self) -> np.ndarray:
+        """For each element whether it lies in a header of the content: one that has a heading and no menu, and whose parent is, or lies in,
+        the lowest element with most of the text that has no mark, but not the body. Their marks are lifted."""
+        out = np.zeros(len(self.parent), bool)
+        headers = [i for i, t in enumerate(self.tags) if t == "header" and self.mark[i] == TAG and self.tags[self.parent[i]] not in ("", "html", "body")]
+        if not headers:
+            return out
+        marks = self.marks()
+        plain = [(self.parent[b[1]], len(b[0])) for b in self.blocks if not marks[b[1]]]
+        if not plain:
+            return out
+        inside = self.container(*(np.array(x) for x in zip(*plain)))
+        held: dict[int, set[str]] = {}  # tags in a header
+        for i in headers:
+            if inside[self.parent[i]]:
+                out[i] = True
+        top = [0] * len(self.tags)  # the header that an element lies in
+        for i in range(1, len(self.tags)):
+            top[i] = top[self.parent[i]] or (i if out[i] else 0)
+            if top[i]:
+                held.setdefault(top[i], set()).add(self.tags[i])
+        for i in np.flatnonzero(out).tolist():
+            out[i] = not HEADINGS.isdisjoint(held[i]) and held[i].isdisjoint(("nav", "menu", "form"))
+            self.mark[i] = 0 if out[i] else TAG
+        for i in range(1, len(self.tags)):
+            out[i] |= out[self.parent[i]]
+        return out
+
+
 def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, KERNEL, "same") / np.convolve(np.ones(len(x)), KERNEL, "same") if len(x) > 4 else x
 
@@ -194,6 +246,7 @@ def _smooth(x: np.ndarray) -> np.ndarray:
 def main_text(page: str | None) -> str:
     """The blocks of the content paths, in page order, joined by an empty line. Null, and a page without text: empty."""
     read = Page(page or "")
+    own_header = read.own_headers()
     marks = read.marks()
     blocks = [b for b in read.blocks if marks[b[1]] < HIDDEN]
     if not blocks:
@@ -204,6 +257,10 @@ def main_text(page: str | None) -> str:
     parent = np.array(read.parent)[node]
     beside = np.bincount(parent, own * size) / np.maximum(np.bincount(parent, size), 1)
     link = own * np.sqrt(beside[parent])
+    heading = np.array([read.tags[i] in HEADINGS for i in node.tolist()])
+    source = np.array([h and b[0].strip(" .:0123456789").lower() in SOURCES for b, h in zip(blocks, heading)])
+    latest = np.maximum.accumulate(np.where(heading, np.arange(len(blocks)), -1))  # the heading above
+    link[(latest >= 0) & source[latest]] = 0
     mark = np.array([marks[i] for i in node.tolist()])
     _, path = np.unique(np.array(read.path)[node] * HIDDEN + mark, return_inverse=True)
     mean = lambda x: (np.bincount(path, x) / np.bincount(path))[path]
@@ -222,8 +279,8 @@ def main_text(page: str | None) -> str:
         inside = read.container(parent, plain * good)[parent]
         first, last = np.flatnonzero(good & inside)[[0, -1]] if (good & inside).any() else (0, len(blocks) - 1)
         place = np.arange(len(blocks))
-        heading = np.array([read.tags[i] in HEADINGS for i in node.tolist()])
         article = inside & ((place >= first) & (place <= last) | heading & (place >= first - 2) & (place <= last))
+        article |= own_header[node]
     score = np.clip(ratio, np.where(article, -1.0, -6.0), 0.5) + INSIDE * article + weight
     keep = score >= score.max() - REACH
     return "\n\n".join(b[0] for b, ok in zip(blocks, keep) if ok)

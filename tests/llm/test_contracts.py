@@ -139,6 +139,51 @@ def test_html_path_ratios_decide():
     assert html.main_text(f"<body><div class='widget'><h1>T</h1><p>{ARTICLE}</p></div><div>bye</div></body>").startswith("T\n\nSome long")
 
 
+@pytest.mark.parametrize(
+    "page, more",
+    [
+        ("<article>{}<section class='comment-list'><h3>Comments</h3><p>{}</p></section></article>", []),
+        ("<article>{}<div class='user-comments'><div class='user-comment'><p>{}</p></div></div></article>", []),
+        ("<article>{}<h2>Sources</h2><ul><li><a href=x>First source</a><li><a href=y>Second one</a></ul><h2>More</h2><ul><li><a>Other</a></ul></article>", ["Sources", "First source", "Second one", "More"]),
+        ("<article>{}<p>Use <label>x</label> here, now.</p></article>", ["Use x here, now."]),
+        ("<article>{}<table><tr><td>a</td><td>b</td></tr><tr><th>c</th><td>d</td></tr></table></article>", ["a", "b", "c", "d"]),
+        ("<article>{}<table><tr><td>a<td>b<tr><th>c<td>d</table></article>", ["a", "b", "c", "d"]),
+        ("<article>{}<p>See <svg><title>no</title><text>none</text></svg> here.</p></article>", ["See here."]),
+    ],
+)
+def test_html_by_its_contract(page, more):
+    body = f"<h1>T</h1><p>{ARTICLE}</p><p>{ARTICLE}</p>"
+    assert html.main_text("<body>" + page.format(body, ARTICLE) + "</body>").split("\n\n") == ["T", ARTICLE.strip(), ARTICLE.strip(), *more]
+
+
+def test_html_headers_and_notices():
+    header = "<header><h1>Title</h1><p>By Ann Lee, 3 May</p></header>"
+    site = "<header><h1>Daily</h1><nav><a>Home</a></nav></header>"
+    want = ["Title", "By Ann Lee, 3 May", ARTICLE.strip(), ARTICLE.strip()]
+    for page in (f"<div class='post'>{header}<p>{ARTICLE}</p><p>{ARTICLE}</p></div>", f"<div id=page>{site}<div class='post'>{header}<p>{ARTICLE}</p><p>{ARTICLE}</p></div></div>"):
+        assert html.main_text(f"<body>{page}<footer>bye</footer></body>").split("\n\n") == want
+    assert html.main_text(f"<body><header><h1>Daily</h1><p>All, the news.</p></header><p>{ARTICLE}</p></body>") == ARTICLE.strip()
+    notice = f"<div class='cookie-notice'><p>We use cookies. {ARTICLE}</p></div>"
+    assert html.main_text(f"<body>{notice}<div><h1>T</h1><p>A short text, of one line.</p></div></body>") == "T\n\nA short text, of one line."
+
+
+def test_html_of_the_given_pages(spark):
+    """Every page of the table against a plain reading: what its article element holds, cut at the tags of blocks."""
+    import html as entities
+    import re
+
+    def plain(page):
+        article = re.search(r"<article>(.*)</article>", page or "", re.S)[1]
+        parts = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", re.sub(r"<br\s*/?>", " ", re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", article, flags=re.S)))
+        blocks = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts)
+        return "\n\n".join(x for x in blocks if x)
+
+    sf = "/root/testdata/sf0.01"
+    want = {r["page_id"]: plain(r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in html.op3_html_extraction(spark, sf).collect()}
+    assert got == want
+
+
 def test_html_of_odd_pages(spark):
     deep = "<div>x" * 100_000
     assert html.main_text(deep).count("x") >= 80_000
