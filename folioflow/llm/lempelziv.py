@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import words
-from folioflow.llm.repeats import NULL_ID, SPARED, bucket_of, buckets_for, chunks, compressed, expand, gathered, minimisers, numbered, packed, slices, suspect_anchors, wanted, with_suspects
+from folioflow.llm.repeats import NULL_ID, REMEMBERED, SPARED, bucket_of, buckets_for, chunks, compressed, expand, gathered, minimisers, numbered, packed, slices, suspect_anchors, wanted, with_suspects
 from folioflow.llm.shared import written
 from folioflow.llm.words import mix
 
@@ -117,6 +117,7 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     suspects = written(suspect_anchors(docs, anchors, n_buckets, within=True), "lz-suspects")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dealt = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # stretches this task has sent: print, document, start
         for batch in slices(batches):
             for some in chunks(iter([batch.assign(text=[expand(z) for z in batch["z"]])]), "text"):
                 word, offsets, hashes, row, first, last = _anchors(some["text"].tolist(), window)
@@ -126,11 +127,16 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
                     continue
                 docs_, ths = some[["doc", "th"]].to_numpy(np.int64)[row].T
                 starts = first - offsets[row]
-                # of equal stretches only the first is factored elsewhere; the others are one factor each
-                ref, known = _earliest(Prints(word).of(first, size), docs_, starts)
+                # of equal stretches only the first is factored elsewhere; the others, also than one sent before, are one factor each
+                prints, n = Prints(word).of(first, size), len(row)
+                all_prints, all_docs, all_starts = (np.concatenate(x) for x in zip((prints, docs_, starts), dealt))
+                ref, known = (x[:n] for x in _earliest(all_prints, all_docs, all_starts))
                 later = np.flatnonzero(known)
+                recent = np.concatenate([np.unique(ref[ref >= n]), np.flatnonzero(~known)])
+                recent = np.concatenate([recent, np.setdiff1d(np.arange(n, len(all_prints)), recent)])[:REMEMBERED]
+                dealt = all_prints[recent], all_docs[recent], all_starts[recent]
                 if len(later):
-                    told = _answers(docs_[later], ths[later], starts[later], size[later], docs_[ref[later]], starts[ref[later]], n_buckets)
+                    told = _answers(docs_[later], ths[later], starts[later], size[later], all_docs[ref[later]], all_starts[ref[later]], n_buckets)
                     yield told.assign(bucket=-1 - told.pop("part"), spans=None, words=None)
                 sent = np.flatnonzero(~known)
                 bucket = bucket_of(hashes[sent], n_buckets)
@@ -142,9 +148,9 @@ def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
                     part = sent[a:b]
                     who, local = np.unique(row[part], return_inverse=True)
                     keys = some[["doc", "th"]].to_numpy(np.int64)[who]
-                    n = size[part]
-                    place = np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    out.append((bucket[a], keys.tobytes(), local.astype("<u4").tobytes(), np.stack([starts[part], n]).astype("<i4").tobytes(), word[place].tobytes()))
+                    length = size[part]
+                    place = np.repeat(first[part] - np.cumsum(length) + length, length) + np.arange(length.sum())
+                    out.append((bucket[a], keys.tobytes(), local.astype("<u4").tobytes(), np.stack([starts[part], length]).astype("<i4").tobytes(), word[place].tobytes()))
                 yield pd.DataFrame(out, columns=["bucket", "keys", "who", "spans", "words"]).assign(**dict.fromkeys(FOUND))
 
     def block(key, rows: pd.DataFrame) -> pd.DataFrame:

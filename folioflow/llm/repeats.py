@@ -27,6 +27,8 @@ NULL_ID = (1 << 63) - 1
 CHUNK = 1 << 19
 #: Bits of an anchor's hash that are left out: fewer bytes to send, and two anchors that look alike only cost a closer look.
 SPARED = np.uint64(16)
+#: Anchors, or stretches, that a task remembers to have sent, so that one that is in most chunks goes to its owner about once a task.
+REMEMBERED = 1 << 16
 #: Window starts looked at together, and the bits that hold a place among them.
 SEGMENT = 1 << 17
 PLACE = np.uint64((1 << 18) - 1)
@@ -137,10 +139,12 @@ def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
 
 def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], n_buckets: int, within: bool, hot: int = 0) -> DataFrame:
     """Replies for ``with_suspects``: by document, the hashes of its anchors that another document has too, or, with
-    ``within``, that occur twice in it. ``anchors`` gives for a chunk the (hash, row) of every anchor.
+    ``within``, that occur twice in it. ``anchors`` gives for a chunk the (hash, row) of every anchor. An anchor that is shared in a
+    chunk is not sent again by the same task, unless chunks are to be counted: its documents know already, and its owner too.
     Rows with ``hot`` hold no documents but the (hash, count) of anchors that ``hot`` chunks or more have."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = np.zeros(0, np.uint64)  # shared anchors that this task has sent
         for some in chunks(batches, "text"):
             hashes, rows = anchors(some)
             if not len(hashes):
@@ -154,10 +158,16 @@ def suspect_anchors(docs: DataFrame, anchors: Callable[[pd.DataFrame], tuple[np.
             shared = np.bincount(group, new) > 1  # in two documents of this chunk
             if within:
                 shared |= np.bincount(group) > 1
-            local = new & shared[group]
+            first = np.flatnonzero(new_hash)
+            old = np.isin(hashes[first], told)
+            local = new & (shared | old)[group]
             known = packed(ids[local], np.zeros(local.sum(), np.int64), {"hashes": hashes[local]}, n_buckets)
             yield known.assign(bucket=-1 - known.pop("part"))
-            first = np.flatnonzero(new_hash)
+            if not hot:
+                told = np.concatenate([hashes[first[old]], hashes[first[shared & ~old]], told[~np.isin(told, hashes[first[old]])]])[:REMEMBERED]
+            first = first[~old]
+            if not len(first):
+                continue
             bucket = bucket_of(hashes[first], n_buckets)
             by = np.argsort(bucket, kind="stable")
             bucket, first = bucket[by], first[by]

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import duckdb
@@ -127,6 +128,29 @@ def test_very_long_texts_and_clashing_names(spark):
 ARTICLE = "Some long, nice paragraph, with points and more. " * 12
 
 
+def test_lempel_ziv_hot_passages(spark):
+    """One passage in every document and another in each hundredth one, over many chunks of one task, with ids in no order, so that the first
+    document by id is met late; and a passage that only two far chunks share."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    hot, rare, twice = ([word() for _ in range(n)] for n in (27, 40, 21))
+    ids = list(range(3000))
+    rng.shuffle(ids)
+    texts = {}
+    for n, i in enumerate(ids):
+        own = [word() for _ in range(60)]
+        at = rng.randrange(60)
+        texts[i] = own[:at] + hot + own[at:] + (rare if n % 100 == 7 else []) + (twice if n in (5, 2990) else [])
+    docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in ids], "doc_id long, text string").coalesce(1)
+    first = {"hot": 0, "rare": min(i for n, i in enumerate(ids) if n % 100 == 7), "twice": min(ids[5], ids[2990])}
+    got = {r["doc_id"]: r for r in lempelziv.deduplicated(docs).collect()}
+    for n, i in enumerate(ids):
+        gone = (i != first["hot"]) * 27 + (n % 100 == 7 and i != first["rare"]) * 40 + (n in (5, 2990) and i != first["twice"]) * 21
+        assert (got[i]["n_words"], got[i]["n_removed"]) == (len(texts[i]), gone)
+        for f in got[i]["factors"]:
+            assert texts[i][f["start"] : f["start"] + f["length"]] == texts[f["ref_doc"]][f["ref_start"] : f["ref_start"] + f["length"]]
+
+
 def test_html_path_ratios_decide():
     top = "<div class=top><a href=/>Home</a> <a>About</a></div>"
     body = f"<div class='post-header'><h1>The title</h1></div><p>{ARTICLE}</p><p>Short one.</p><h2>Sub</h2><ul><li>item a<li>item b</ul><p>{ARTICLE}</p><ul class=related><li><a>Other</a><li><a>More</a></ul>"
