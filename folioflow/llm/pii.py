@@ -13,9 +13,9 @@ planted as the one or the other is its label; thresholds come from planted spans
 
 from __future__ import annotations
 
-import json
 import random
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,18 +139,17 @@ def _candidates(docs: DataFrame, text: str) -> DataFrame:
     those may overlap each other, and no base span."""
     none = f"CAST(array() AS {SPAN})"
     out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn("_d", F.expr("_t rlike '[0-9]'")).withColumn("_a", F.expr("instr(_t, '@') > 0 OR _t rlike '[\\\\[({ ]at[\\\\])} ]'"))
+    out = out.withColumns({"_d": F.expr("_t rlike '[0-9]'"), "_a": F.expr("instr(_t, '@') > 0 OR _t rlike '[\\\\[({ ]at[\\\\])} ]'")})
     as_kind = lambda k: f"x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'kind', '{k}')"
     found = lambda name, p, k: f"transform(filter({spans_of('_t', p)}, x -> {VALID[k]}), {as_kind(k)})"
     empty = "CAST(array() AS array<struct<start: int, end: int, body: string, kind: string>>)"
     strict = [f"CASE WHEN {NEEDS[k]} THEN {found(k, PATTERNS[k], k)} ELSE {empty} END" for k in STRICT]
-    out = out.withColumn("_base", F.expr(f"concat({', '.join(strict)})"))
     loose = []
     for name, kinds in READ_AS.items():
         with_digits = f"transform({spans_of('_t', LOOSE[name])}, x -> named_struct('start', x.start, 'end', x.end, 'body', x.body, 'd', {DIGITS}))"
         each = [f"transform(filter(z, x -> {where}), {as_kind(k)})" for k, where in kinds.items()]
         loose.append(f"CASE WHEN {NEEDS[name]} THEN transform(array({with_digits}), z -> concat({', '.join(each)}))[0] ELSE {empty} END")
-    out = out.withColumn("_every", F.expr(f"array_distinct(concat({', '.join(loose)}))"))
+    out = out.withColumns({"_base": F.expr(f"concat({', '.join(strict)})"), "_every": F.expr(f"array_distinct(concat({', '.join(loose)}))")})
     both = "array_sort(concat(transform(_base, b -> struct(b.start, b.end, true AS strict, b.body, b.kind)), transform(_every, b -> struct(b.start, b.end, false AS strict, b.body, b.kind))))"
     near = f"CASE WHEN x.end - x.start > {WIDEST} THEN z ELSE {NEAR.format('z')} END"
     apart = f"NOT x.strict AND NOT exists({near}, b -> b.strict AND {OVERLAP.format('b')}) AND NOT exists(_base, b -> b.end - b.start > {WIDEST} AND {OVERLAP.format('b')})"
@@ -242,13 +241,15 @@ def passages(docs: DataFrame, text: str, n: int = PASSAGES) -> list[str]:
 
 
 def described(spark, texts: list[dict]) -> list:
-    """Features and label of every candidate in the planted ``texts``: good if it is the planted span, of its kind."""
-    parts = F.array(*(F.lit(json.dumps(texts[i::8])) for i in range(8)))
-    kind = "array<struct<text: string, kind: string, start: int, end: int, good: boolean, fold: int>>"
-    rows = spark.range(0, 8, 1, 8).select(F.explode(F.from_json(F.element_at(parts, F.col("id").cast("int") + 1), kind)).alias("r")).select("r.*")
-    found = _candidates(rows.withColumnRenamed("kind", "planted"), "text").select("start", "end", "good", "fold", "planted", F.explode("_loose").alias("x"))
+    """Features and label of every candidate in the planted ``texts``, in their order: good if it is the planted span, of its kind. The texts are
+    rows, not literals, and the explode is the outer form, as Spark filters by the size of what a plain one gets: with either, the plan, which
+    the driver holds and rewrites, would be several times as large."""
+    kind = "_n int, text string, kind string, start int, end int, good boolean, fold int"
+    rows = spark.createDataFrame(pa.Table.from_pylist([{"_n": i} | t for i, t in enumerate(texts)]), kind).repartition(8)
+    found = _candidates(rows.withColumnRenamed("kind", "planted"), "text").select("_n", "start", "end", "good", "fold", "planted", F.posexplode_outer("_loose").alias("_i", "x"))
     label = "good AND x.kind = planted AND least(x.end, end) - greatest(x.start, start) >= 0.8 * (greatest(x.end, end) - least(x.start, start))"
-    return found.select("x.*", F.expr(label).alias("label"), "fold", F.expr("good AND x.start < end AND start < x.end").alias("touches")).collect()
+    out = found.filter("x IS NOT NULL").select("_n", "_i", "x.*", F.expr(label).alias("label"), "fold", F.expr("good AND x.start < end AND start < x.end").alias("touches"))
+    return sorted(out.collect(), key=lambda r: (r["_n"], r["_i"]))
 
 
 def _fit(rows: list) -> tuple[list, dict[str, float]]:

@@ -237,6 +237,20 @@ def test_pii_on_planted_spans(spark, score):
         assert right / (right + missed) > 0.7 and right / (right + wrong) > 0.9, (kind, right, missed, wrong)
 
 
+def test_planted_texts_are_no_part_of_the_plan(spark, monkeypatch):
+    """The driver plans for one pass over the texts, which it does not hold as literals."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or collect(df))
+    texts = pii.planted(["what stands around"], 400, seed=5)
+    rows = pii.described(spark, texts)
+    assert len(plans) == 1 and len(plans[0]) < 50_000 and "what stands around" not in plans[0]
+    assert plans[0].count(pii.LOOSE["colons"]) <= 2 and not re.search("Python|Pandas|Arrow", plans[0])
+    assert all(r["fold"] == texts[r["_n"]]["fold"] for r in rows)
+    assert {texts[r["_n"]]["kind"] for r in rows if r["label"]} == set(pii.KINDS)
+
+
 def test_pii_spans_beside_the_strict_ones(spark, score):
     texts = ["call (415) 555-1234 now", "mail joe at example dot org please", "host 10[.]0[.]0[.]7 is down", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "in version 1.2 of 2024-01-02, page 12", "no data", None, "", "a@b.co " * 3000]
     out = {r["i"]: r for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), score=score).collect()}
