@@ -101,7 +101,7 @@ def detect_terms(texts: DataFrame, glossary: DataFrame, key: str, text: str, par
 
     First those with a spelling of two characters or more in the text, case aside, longest spelling first;
     then those whose normalised key is in the normalised text, in entry order. Nested terms all count. Spellings and keys are
-    looked for by automata (``occurrences``), so a text is read once however many there are.
+    looked for all at once (``occurrences``), so a text is read once however many there are.
     """
     low = texts.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("low"), term_key(F.col(text)).alias("norm"))
     spelled = variants(glossary).select("entry_id", "place", "variant", "norm_key", F.length("variant").alias("n"))

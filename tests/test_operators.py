@@ -18,6 +18,8 @@ from folioflow.operators.encode import HashEncoder, SeededEncoder, encode_column
 from folioflow.operators.fusion import fuse
 from folioflow.operators.keyword import search_keyword
 from folioflow.operators.numbering import numbered, running_totals
+from folioflow.operators.patterns import occurrences
+from folioflow.operators.sieve import sifted
 from folioflow.operators.vector import topk, visits
 from folioflow.plans import search as P
 from folioflow.sources import corpus
@@ -122,6 +124,24 @@ def test_detection_in_parts_is_the_same(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_sieve_finds_what_stands_in_the_texts(spark):
+    """Against a search for each spelling: spellings of 2 to 80 characters, of several bytes each, nested, at ends of texts and across them; few
+    other stretches pass, and a text is searched once, not once for every thousand spellings."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abé炉😀 ", k=n))
+    spelled = sorted({word(n).strip() for n in [*range(2, 81)] * 40 if n > 5 or rng.random() < 0.2} - {""})
+    spelled = [w for w in spelled if len(w) >= 2]
+    texts = [(i, (word(200) + rng.choice(spelled) + word(i % 3) + rng.choice(spelled)) if i % 7 else rng.choice(["", None, spelled[i], spelled[i][1:]])) for i in range(60)]
+    patterns = [(j, 0, w, len(w), side) for j, w in enumerate(spelled) for side in (0, 1)]
+    table = spark.createDataFrame(patterns, "entry_id int, place int, pattern string, n int, side int").repartition(3)
+    rows = spark.createDataFrame([(i, t, (t or "")[::-1]) for i, t in texts], "key int, low string, norm string").repartition(2)
+    want = {(i, j, side) for i, t in texts for side, x in enumerate((t or "", (t or "")[::-1])) for j, w in enumerate(spelled) if w in x}
+    got = occurrences(rows, table, 1000).groupBy("key", "entry_id", "by").agg(F.min("n").alias("n")).collect()
+    assert len(patterns) > 5000 and {(r["key"], r["entry_id"], r["by"]) for r in got} == want
+    assert all(r["n"] == (0 if r["by"] else -len(spelled[r["entry_id"]])) for r in got)
+    assert sifted(rows, table).distinct().count() <= 1.05 * len(want)
+
+
 def test_lookup_ignores_width_and_hyphens(spark):
     asked = spark.createDataFrame([("fluid_bed",), ("abc炉",), ("zzz",)], "word string")
     got = {r["word"]: r["entry_id"] for r in G.find_by_term(asked, glossary(spark), "word").collect()}
