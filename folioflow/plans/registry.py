@@ -50,9 +50,10 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("title", T.title(F.col("text"), T.stem_of(F.col("path"))))
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as an index has them: doc_id, path, title, text, lang."""
-    docs = texts(spark, sf, "documents")
+def documents(spark: SparkSession, sf: str, dealt: bool = True) -> DataFrame:
+    """Documents as an index has them: doc_id, path, title, text, lang. ``dealt``: out to all cores; a scan that only looks rows up does
+    without."""
+    docs = texts(spark, sf, "documents") if dealt else table(spark, sf, "documents")
     return docs.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("Note "), F.col("doc_id").cast("string")).alias("title"), "text", "lang")
 
 
@@ -320,7 +321,7 @@ def calibrated_score_grid(spark, sf):
 
 
 def _hits(spark, sf, **kw):
-    return P.search_documents(asked(spark, sf), embedded(spark, sf), HashEncoder(DIM), **kw)
+    return P.search_documents(asked(spark, sf), documents(spark, sf, False), HashEncoder(DIM), vectors=embedded(spark, sf).select("doc_id", "embedding"), **kw)
 
 
 def search_documents(spark, sf):
@@ -412,37 +413,38 @@ def keyword_bm25(spark, sf):
 
 
 def _two(spark, sf):
-    q, docs = asked(spark, sf), documents(spark, sf)
-    vector = _hits(spark, sf, top_k=40)
-    return q, docs, vector, P.as_keyword_hits(search_keyword(q, docs, 40), q, docs)
+    """The rankings of both sides, each written once, as a fusion reads them more than once."""
+    q, docs = asked(spark, sf), documents(spark, sf, False)
+    vector = written(_hits(spark, sf, top_k=40), "vector-hits")
+    return vector, written(P.as_keyword_hits(search_keyword(q, documents(spark, sf), 40), q, docs), "keyword-hits")
 
 
 FUSED = ("query_id", "rank", "path", "hybrid_score", "match_type", "vector_rank", "keyword_rank")
 
 
 def rrf_fusion(spark, sf):
-    _, _, v, k = _two(spark, sf)
+    v, k = _two(spark, sf)
     return fuse(v, k).select(*FUSED)
 
 
 def weighted_fusion(spark, sf):
-    _, _, v, k = _two(spark, sf)
+    v, k = _two(spark, sf)
     return fuse(v, k, method="weighted", vector_weight=0.6, keyword_weight=0.4).select(*FUSED)
 
 
 def hybrid_search(spark, sf):
-    q, _, v, k = _two(spark, sf)
-    return P.search_hybrid(q, v, k).select(*FUSED)
+    v, k = _two(spark, sf)
+    return P.search_hybrid(asked(spark, sf), v, k).select(*FUSED)
 
 
 def hybrid_fallback(spark, sf):
     """Queries with an odd id have no keyword hits."""
-    q, _, v, k = _two(spark, sf)
-    return P.search_hybrid(q, v, k.filter("query_id % 2 = 0")).select(*FUSED)
+    v, k = _two(spark, sf)
+    return P.search_hybrid(asked(spark, sf), v, k.filter("query_id % 2 = 0")).select(*FUSED)
 
 
 def three_way_compare(spark, sf):
-    _, _, v, k = _two(spark, sf)
+    v, k = _two(spark, sf)
     return three_way(fuse(v, k))
 
 

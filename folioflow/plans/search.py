@@ -11,10 +11,20 @@ from folioflow.operators import glossary as G
 from folioflow.operators.encode import Encoder, encode_column
 from folioflow.operators.fusion import fuse
 from folioflow.operators.vector import neighbours, topk
+from folioflow.storage import written
 
 SENTENCES = 8
 SALIENT_HITS = 3
 SALIENT_SCORE = 0.55
+#: Hits that are broadcast at most, where their rows are looked up; more are joined by shuffle.
+BROADCAST_HITS = 1 << 18
+
+
+def looked_up(hits: DataFrame, rows: DataFrame, row_id: str) -> DataFrame:
+    """``hits`` with the columns of their rows. Hits are stored first; up to ``BROADCAST_HITS`` of them go to the rows, so that no
+    text is shuffled but those of hits."""
+    stored = written(hits, "hits")
+    return (F.broadcast(stored) if stored.count() <= BROADCAST_HITS else stored).join(rows, row_id)
 
 
 def prepared_queries(queries: DataFrame, encoder: Encoder, glossary: DataFrame | None = None) -> DataFrame:
@@ -29,11 +39,12 @@ def prepared_queries(queries: DataFrame, encoder: Encoder, glossary: DataFrame |
     return encode_column(out, "_encoded", encoder, True).drop("_encoded")
 
 
-def reranked(queries: DataFrame, rows: DataFrame, row_id: str, text: str, top_k: int, min_score: float, keyword_boost: bool) -> DataFrame:
+def reranked(queries: DataFrame, rows: DataFrame, row_id: str, text: str, top_k: int, min_score: float, keyword_boost: bool, vectors: DataFrame | None = None) -> DataFrame:
     """Raw top 4k of each query, scored again with its keywords, filtered and cut to ``top_k``: the columns of both
-    sides with similarity, raw_rank, score and rank. Ties in score keep the raw order."""
-    raw = topk(queries, rows, 4 * top_k, corpus_key=row_id).withColumnRenamed("score", "similarity").withColumnRenamed("rank", "raw_rank")
-    both = raw.join(rows.drop("embedding"), row_id).join(queries.select("query_id", "keywords", F.col("embedding").alias("query_vector")), "query_id")
+    sides with similarity, raw_rank, score and rank. Ties in score keep the raw order. ``vectors`` (row_id, embedding): those of ``rows``, if they
+    lie in a table of their own."""
+    raw = topk(queries, rows if vectors is None else vectors, 4 * top_k, corpus_key=row_id).withColumnRenamed("score", "similarity").withColumnRenamed("rank", "raw_rank")
+    both = looked_up(raw, rows.drop("embedding"), row_id).repartition("query_id").join(queries.select("query_id", "keywords", F.col("embedding").alias("query_vector")), "query_id")
     matches = S.keyword_matches(F.col("keywords"), F.col("title"), F.col(text), F.col("path"))
     both = both.withColumn("score", S.calibrated(F.col("similarity"), matches, keyword_boost))
     if min_score > 0:
@@ -69,9 +80,10 @@ def search_chunks(queries: DataFrame, chunks: DataFrame, encoder: Encoder, top_k
     )
 
 
-def search_documents(queries: DataFrame, documents: DataFrame, encoder: Encoder, top_k: int = 20, min_score: float = 0.0, keyword_boost: bool = True, glossary: DataFrame | None = None) -> DataFrame:
-    """Ranked documents with a preview. ``documents``: doc_id, path, title, text, embedding."""
-    hits = reranked(prepared_queries(queries, encoder, glossary), documents, "doc_id", "text", top_k, min_score, keyword_boost)
+def search_documents(queries: DataFrame, documents: DataFrame, encoder: Encoder, top_k: int = 20, min_score: float = 0.0, keyword_boost: bool = True, glossary: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Ranked documents with a preview. ``documents``: doc_id, path, title, text, embedding; the last may lie in ``vectors`` (doc_id,
+    embedding)."""
+    hits = reranked(prepared_queries(queries, encoder, glossary), documents, "doc_id", "text", top_k, min_score, keyword_boost, vectors)
     return hits.select("query_id", "rank", "doc_id", "path", F.col("path").alias("full_path"), F.coalesce(F.nullif("title", F.lit("")), T.file_name(F.col("path"))).alias("title"), "score", "similarity", "raw_rank", T.preview(F.col("text")).alias("preview"))
 
 
@@ -85,7 +97,7 @@ def around(text: Column, words: Column, n: int = 400, before: int = 60) -> Colum
 def as_keyword_hits(hits: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
     """BM25 hits in the shape of an outside service's, with a marked snippet and the score as utility."""
     words = queries.select("query_id", T.tokens(F.col("query")).alias("_words"))
-    both = hits.join(documents.select("doc_id", "path", "title", "text"), "doc_id").join(words, "query_id")
+    both = looked_up(hits, documents.select("doc_id", "path", "title", "text"), "doc_id").repartition("query_id").join(words, "query_id")
     return both.select("query_id", "rank", F.col("doc_id").alias("file_id"), F.col("path").alias("full_path"), F.lit(None).cast("string").alias("target_path"), F.col("title").alias("file_name"), T.preview(T.highlighted(around(F.col("text"), F.col("_words")), F.col("_words"))).alias("snippet"), F.col("score").alias("utility_score"), F.lit(None).cast("double").alias("click_count"))
 
 

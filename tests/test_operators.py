@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import context as X
 from folioflow.operators import evaluate as E
+from folioflow.operators import forward
 from folioflow.operators import glossary as G
 from folioflow.operators import index as I
 from folioflow.operators import inverted as KW
@@ -510,6 +512,51 @@ def test_inverted_index_passes_over_blocks(spark, tmp_path):
     assert {(r["doc_id"], r["rank"]) for r in search_keyword(spark.createDataFrame([(1, "a")], "query_id long, query string"), odd).collect()} == {(1, 2), (None, 1)}
 
 
+def stored_bytes(spark):
+    return sum(f.stat().st_size for f in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("*") if f.is_file())
+
+
+@pytest.mark.parametrize("at_once", [40, 1 << 20])
+def test_keyword_search_of_a_table_of_queries(spark, monkeypatch, at_once):
+    """The same rows as scoring everything, in small steps too: ties, scores that round to nothing, empty texts and queries, keys that are strings.
+    Rows of one id, or without one, add up as in SQL. The words of no query are not stored."""
+    rng = random.Random(6)
+    words = [f"w{j}" for j in range(40)]
+    docs = [(f"d{i:03}", " ".join(["all"] + rng.choices(words, k=rng.randint(0, 40)) + [f"rare{i}x{j}" for j in range(30)])) for i in range(400)] + [("e", ""), ("f", None), ("g", "all w1"), ("h", "all w1")]
+    queries = [("a", "all w1 w2"), ("b", "w3 W3 w4"), ("c", "none here"), ("d", ""), ("e", None), ("f", "all"), ("g", "w5 w6 w7 w8 w9 all")]
+    table = spark.createDataFrame(docs, "doc_id string, text string").repartition(5).cache()
+    asked = spark.createDataFrame(queries, "query_id string, query string")
+    monkeypatch.setattr(forward, "AT_ONCE", at_once)
+    for limit in (3, 7, 5000):
+        before = stored_bytes(spark)
+        got = search_keyword(asked, table, limit).orderBy("query_id", "rank").collect()
+        assert stored_bytes(spark) - before < 80_000
+        want = bm25(docs, queries, limit)
+        assert [(r["query_id"], r["doc_id"], r["rank"]) for r in got] == [(q, i, n) for q, i, _, n in want]
+        assert all(abs(r["score"] - s) < 2e-6 for r, (_, _, s, _) in zip(got, want))
+    assert search_keyword(asked, table.limit(0), 3).count() == search_keyword(asked.limit(0), table, 3).count() == 0
+    repeated = [(i % 7 if i % 5 else None, text) for i, (_, text) in enumerate(docs)]
+    table = spark.createDataFrame(repeated, "doc_id int, text string").repartition(5).cache()
+    index = KW.Search(asked, KW.build(table), 5000)
+    rows = lambda df: sorted([(r["query_id"], -1 if r["doc_id"] is None else r["doc_id"], r["rank"], round(r["score"], 4)) for r in df.collect()])
+    assert rows(search_keyword(asked, table, 5000)) == rows(index.hits())
+    monkeypatch.setattr(forward, "QUERIES", 2)  # more queries than a task holds
+    assert rows(search_keyword(asked, table, 5000)) == rows(index.hits())
+
+
+def test_hits_are_looked_up_without_a_shuffle_of_texts(spark):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("p").alias("path"), F.lit("t").alias("title"), F.repeat(F.lit("w "), 100).alias("text"))
+    q = spark.createDataFrame([(1, "w")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, 5, 0.5, 1)], "query_id long, doc_id long, score double, rank int").repartition(2, "doc_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.as_keyword_hits(hits, q, docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and [r["file_id"] for r in out.collect()] == [5]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_row_tables_of_awkward_blocks(spark):
     good = '[{"path":"p","name":"n","excerpt":"see, note: x"},{"path":"q","name":"m","tags":"#a #b","excerpt":"a ]; b \\" {c: 1}"}]'
     blocks = {
