@@ -461,6 +461,28 @@ def test_stream_keeps_states_by_path(spark, tmp_path, monkeypatch):
     assert got.pop("b")[0] == "again" and got.pop("c")[0] == "new" and got == {k: want[k] for k in ("a", "e")}
 
 
+def test_stream_states_are_kept_by_groups_of_paths(spark, tmp_path, monkeypatch):
+    """Random events in three runs, begun from an index: the same index as batch by batch, from as many states as there are groups."""
+    monkeypatch.setattr(ST, "BUCKETS", 5)
+    rng = random.Random(7)
+    ix, other, where, state = (str(tmp_path / x) for x in ("ix", "other", "feed", "state"))
+    event = lambda: (f"p{rng.randrange(60)}", *rng.choice([("updated", rng.choice("xyz")), ("deleted", None), ("updated", None)]), rng.choice([None, f"2024-01-0{rng.randint(1, 9)}"]))
+    for n, run in enumerate(range(3), 1):
+        rows = spark.createDataFrame([event() for _ in range(90)], "path string, op string, content string, day string")
+        rows = rows.select("path", "op", "content", F.to_timestamp("day").alias("mtime")).localCheckpoint()
+        rows.repartition(2).write.mode("append").parquet(where)
+        if run == 0:
+            first = spark.createDataFrame([(f"p{i}", "x", datetime.datetime(2024, 1, 4)) for i in range(0, 60, 2)], "path string, text string, mtime timestamp")
+            for w in (ix, other):
+                I.update_index(first.withColumns({"title": F.col("path"), "size": F.lit(1).cast("long"), "sha256": F.sha2("text", 256)}), w, "m", HashEncoder(4))
+        query = ST.stream_index(spark, ST.read_changes(spark, where), ix, "m", HashEncoder(4), state)
+        query.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 5
+        ST.apply_changes(spark, other, "m", rows, HashEncoder(4), n + 1)
+        got, want = (sorted((r["path"], r["text"], str(r["mtime"])) for r in I.documents(spark, w, "m").collect()) for w in (ix, other))
+        assert got == want and len(got) > 10
+
+
 def test_verdicts_are_those_of_a_batch(spark):
     stored = spark.createDataFrame([("a", "s1", "2024-01-02"), ("b", None, "2024-01-02")], "path string, sha256 string, mtime string").withColumn("mtime", F.to_timestamp("mtime"))
     for path, op, content, day in [("a", "updated", "x", 3), ("a", "updated", "x", 1), ("a", "deleted", None, 3), ("q", "deleted", None, 3), ("q", "updated", None, 3), ("q", "updated", "y", 3)]:
